@@ -13,9 +13,11 @@ from functools import cache
 import numpy as np
 
 #: Pieces that a worker remembers; then it starts afresh. Bounds memory, changes no result.
-PIECES = 600_000
+PIECES = 500_000
 #: A longer piece is encoded each time.
 LONGEST = 64
+#: Marks that end a word and are tokens of their own behind a letter.
+MARKS = (".", ",")
 
 
 class Encoder:
@@ -29,7 +31,12 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.seen: dict[str, bytes | bool] = {}
-        self.marks = {x: self.whole(x) for x in ".,"}
+        size, last = self.tokenizer.get_vocab_size(), self.tokenizer.model.end_of_word_suffix
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        #: Which tokens end a word, or else begin one with its space.
+        self.ends = np.array([t.endswith(last) for t in tokens]) if last else None
+        self.begins = None if last else np.array([t.startswith("\u0120") for t in tokens])
+        self.marks = {x: self.whole(x) for x in MARKS}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -46,25 +53,53 @@ class Encoder:
         if None in known:
             self.learn({x for x, y in zip(rest, known) if y is None})
             known = list(map(self.seen.get, rest))
-        if not first or first[-1].isspace() or False in known:
+        if not first or first[-1].isspace():
+            return self.whole(text)
+        try:
+            return self.whole(first) + b"".join(known)
+        except TypeError:  # a False among them
             return self.whole(text)
-        return self.whole(first) + b"".join(known)
 
     def learn(self, pieces: set[str]) -> None:
         """A word and the mark that ends it are tokens of their own, so the word alone is encoded; False: a piece that ends no token."""
-        cores: dict[str, list[str]] = {}
+        words: dict[str, list[str]] = {}
+        others: dict[str, list[str]] = {}
+        seen = self.seen
         for x in pieces:
-            if not x or x == "\n" or x[-1].isspace() or x[x[0] == "\n"].isspace():
-                self.seen[x] = False
-            elif x[-1] in ".," and len(x) > 2 and x[-2].isalpha():
-                cores.setdefault(x[:-1], []).append(x)
+            if x.isalpha():
+                words.setdefault(x, [])
+            elif x[-1:] in MARKS and x[-2:-1].isalpha() and len(x) > 2:
+                if ids := seen.get(core := x[:-1]):
+                    seen[x] = ids + self.marks[x[-1]]
+                else:
+                    (words if core.isalpha() else others).setdefault(core, []).append(x)
+            elif not x or x == "\n" or x[-1].isspace() or x[x[0] == "\n"].isspace():
+                seen[x] = False
             else:
-                cores.setdefault(x, []).append(x)
-        texts = [x if x[0] == "\n" else " " + x for x in cores]
-        for core, e in zip(cores, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, dtype=self.dtype).tobytes()
-            for x in cores[core]:
-                self.seen[x] = ids if x == core else ids + self.marks[x[-1]]
+                others.setdefault(x, [])
+        if words and not self.learn_words(words):
+            others |= words
+        texts = [x if x[0] == "\n" else " " + x for x in others]
+        for (core, ends), e in zip(others.items(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.keep(core, ends, np.array(e.ids, dtype=self.dtype).tobytes())
+
+    def learn_words(self, words: dict[str, list[str]]) -> bool:
+        """Words of letters alone, encoded as one text; False if the tokenizer cuts it into other words, then nothing is learnt."""
+        e = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, dtype=self.dtype)
+        first = np.flatnonzero(self.begins[ids]) if self.begins is not None else np.concatenate([[0], np.flatnonzero(self.ends[ids])[:-1] + 1])
+        if len(first) != len(words) or first[0] != 0:
+            return False
+        data, width = ids.tobytes(), self.dtype.itemsize
+        bounds = (first * width).tolist()
+        for (core, pieces), a, b in zip(words.items(), bounds, [*bounds[1:], len(data)]):
+            self.keep(core, pieces, data[a:b])
+        return True
+
+    def keep(self, core: str, pieces: list[str], ids: bytes) -> None:
+        self.seen[core] = ids
+        for x in pieces:
+            self.seen[x] = ids + self.marks[x[-1]]
 
 
 @cache
