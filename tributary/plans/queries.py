@@ -385,7 +385,7 @@ def section_skills(spark, sf_dir):
 def experience_latch(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
     bullets = F.array_join(F.transform("t", lambda x: F.concat(F.lit("• turn "), x.cast("string"))), "\n")
-    text = F.concat(F.lit("Work Experience\nnear Pune, India\nAcme Labs\nData Engineer "), F.col("conv_id").cast("string"), F.lit("\nJan 2020 – Present\n"), bullets, F.lit("\nPune"))
+    text = F.concat(F.lit("Work Experience\nremote, near pune\nAcme Labs\nData Engineer "), F.col("conv_id").cast("string"), F.lit("\nJan 2020 – Present\n"), bullets, F.lit("\nPune"))
     body = sections.sections(sections.lines(t.select("conv_id", text.alias("text")), "conv_id"))
     return sections.experience(body.where("section = 'experience'")).select("doc", "company", "title", "end", "summary")
 

@@ -108,7 +108,8 @@ def files(spark: SparkSession, paths: list[str]) -> DataFrame:
         ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
         base = [F.lit(i).alias("source_seq"), F.lit(name).alias("source_id"), F.lit(ext).alias("ext")]
         try:
-            parts.append(spark.read.format("binaryFile").load(path).select(*base, "content", F.lit(None).cast("string").alias("error")))
+            content = spark.read.format("binaryFile").load(path).select("content")  # an empty file has no row there
+            parts.append(spark.range(1).join(content, F.lit(True), "left").select(*base, F.coalesce("content", F.lit(b"")).alias("content"), F.lit(None).cast("string").alias("error")))
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
