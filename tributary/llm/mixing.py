@@ -118,7 +118,11 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text:
     return out.drop("_mix_s", "_mix_h", "_mix_p", "_k", "_q", "_off", "_cum")
 
 
-def mixed_rows(docs: DataFrame, mix: Mix = Mix(), **names: str) -> DataFrame:
-    """The mix itself: each row of docs as often as the mix takes it, with docs' own columns."""
-    out = mix_sources(docs, mix, **names)
-    return out.where("copies > 0").withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def mixed_rows(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it, with docs' own columns, whatever their names."""
+    own = [doc_id, text, source]
+    rest = [c for c in docs.columns if c not in own]
+    packed = docs.select(*own, F.struct(*(docs[c] for c in rest)).alias("rest")) if rest else docs
+    out = mix_sources(packed, mix, doc_id, text, source).where("copies > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(c) if c in own else F.col("rest")[c].alias(c) for c in docs.columns])
