@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.session import ship
+
 #: What separates words, as a pattern for Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,22 +41,10 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Before an operator in Python: an Arrow batch holds so many rows, and the workers can import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    file = Path(tempfile.mkdtemp(prefix="tributary-")) / "tributary_package.zip"
-    with zipfile.ZipFile(file, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(file))
-    _shipped.add(sc.applicationId)
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
