@@ -18,6 +18,7 @@ PIECES = 500_000
 LONGEST = 64
 #: Marks that end a word and are tokens of their own behind a letter.
 MARKS = (".", ",")
+NONE: tuple[str, ...] = ()
 
 
 class Encoder:
@@ -51,8 +52,10 @@ class Encoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         known = list(map(self.seen.get, rest))
         if None in known:
-            self.learn({x for x, y in zip(rest, known) if y is None})
-            known = list(map(self.seen.get, rest))
+            novel = [i for i, y in enumerate(known) if y is None]
+            self.learn({rest[i] for i in novel})
+            for i in novel:
+                known[i] = self.seen[rest[i]]
         if not first or first[-1].isspace():
             return self.whole(text)
         try:
@@ -62,28 +65,29 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """A word and the mark that ends it are tokens of their own, so the word alone is encoded; False: a piece that ends no token."""
-        words: dict[str, list[str]] = {}
-        others: dict[str, list[str]] = {}
+        words: dict[str, tuple[str, ...]] = {}
+        others: dict[str, tuple[str, ...]] = {}
         seen = self.seen
         for x in pieces:
             if x.isalpha():
-                words.setdefault(x, [])
+                words.setdefault(x, NONE)
             elif x[-1:] in MARKS and x[-2:-1].isalpha() and len(x) > 2:
                 if ids := seen.get(core := x[:-1]):
                     seen[x] = ids + self.marks[x[-1]]
                 else:
-                    (words if core.isalpha() else others).setdefault(core, []).append(x)
+                    group = words if core.isalpha() else others
+                    group[core] = (*group.get(core, NONE), x)
             elif not x or x == "\n" or x[-1].isspace() or x[x[0] == "\n"].isspace():
                 seen[x] = False
             else:
-                others.setdefault(x, [])
+                others.setdefault(x, NONE)
         if words and not self.learn_words(words):
             others |= words
         texts = [x if x[0] == "\n" else " " + x for x in others]
         for (core, ends), e in zip(others.items(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             self.keep(core, ends, np.array(e.ids, dtype=self.dtype).tobytes())
 
-    def learn_words(self, words: dict[str, list[str]]) -> bool:
+    def learn_words(self, words: dict[str, tuple[str, ...]]) -> bool:
         """Words of letters alone, encoded as one text; False if the tokenizer cuts it into other words, then nothing is learnt."""
         e = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0]
         ids = np.array(e.ids, dtype=self.dtype)
@@ -96,7 +100,7 @@ class Encoder:
             self.keep(core, pieces, data[a:b])
         return True
 
-    def keep(self, core: str, pieces: list[str], ids: bytes) -> None:
+    def keep(self, core: str, pieces: tuple[str, ...], ids: bytes) -> None:
         self.seen[core] = ids
         for x in pieces:
             self.seen[x] = ids + self.marks[x[-1]]
