@@ -43,7 +43,9 @@ def resolve(ev: DataFrame, config: dict | None = None, sources: DataFrame | None
     dropped = skipped.select("entity_id", F.lit("dropped").alias("kind"), F.concat(F.lit("dropped unparseable "), "field", F.lit(" value '"), "raw_value", F.lit("' from "), "source_id").alias("message"))
     failed = sources.where("not ok").select("entity_id", F.lit("skipped").alias("kind"), F.concat(F.lit("source '"), "source_id", F.lit("' skipped: "), "error").alias("message"))
     told = sources.select("entity_id", F.lit("source").alias("kind"), F.explode("warnings").alias("message"))
-    bare = profiles.where((F.size("emails") == 0) & (F.size("phones") == 0) & (F.size("skills") == 0)).select("entity_id", F.lit("incomplete").alias("kind"), F.lit("Profile incomplete: no contact details or skills were found.").alias("message"))
+    shown = F.try_parse_json("output_json")
+    has = [F.coalesce(~F.try_variant_get(shown, f"$.{k}", "string").isin("", "[]"), F.lit(False)) for k in ("emails", "phones", "skills")]
+    bare = output.where(F.col("output_json").isNotNull() & ~(has[0] | has[1] | has[2])).select("entity_id", F.lit("incomplete").alias("kind"), F.lit("Profile incomplete: missing email, phone, skills").alias("message"))
     warnings = failed.union(dropped).union(told).union(profile.conflicts(profiles)).union(bare)
     none = spark.createDataFrame([], "entity_id string, kind string, url string")
     return RunResult(output, profiles, warnings, skipped, sources, none if links is None else links)
@@ -60,12 +62,14 @@ def link_evidence(links: DataFrame, source_seq: int = 999) -> DataFrame:
     return E.evidence(per, F.col("entity_id"), F.lit("links"), F.lit(None), F.lit("url_discovery"), F.lit("unstructured"), F.lit("regex:url_discovery"), F.lit(source_seq), F.lit(0), value_map=F.col("m"))
 
 
-def run(spark: SparkSession, paths: list[str], config: dict | None = None, extract: Callable[[bytes], str] | None = None, profiles: DataFrame | None = None, entity: str = "entity") -> RunResult:
+def run(spark: SparkSession, paths: list[str], config: dict | None = None, extract: Callable[[bytes], str] | None = None, profiles: DataFrame | None = None, entity: str = "entity", text_as_document: bool = False) -> RunResult:
     """All files are about one entity, unless there is one table alone with several rows: then each row is an entity.
 
-    extract: text of a document's bytes. profiles: (url, payload) to enrich from.
+    extract: text of a document's bytes. profiles: (url, payload) to enrich from. text_as_document: .txt files are read as documents, not as tables.
     """
     found = R.files(spark, paths)
+    if text_as_document:
+        found = found.withColumn("ext", F.when(F.col("ext") == ".txt", ".text").otherwise(F.col("ext")))
     rows = R.facts(found)
     one = F.lit(entity)
     if len(paths) == 1 and paths[0].lower().endswith(".csv"):
@@ -84,4 +88,9 @@ def run(spark: SparkSession, paths: list[str], config: dict | None = None, extra
     ev = E.union(ev, link_evidence(links))
     if profiles is not None:
         ev = E.union(ev, enrich(links, profiles))
-    return resolve(ev, config, states, links)
+    out = resolve(ev, config, states, links)
+    known = links if profiles is None else links.join(profiles.select("url"), "url", "left_anti")
+    names = F.when(F.col("kind") == "linkedin", "LinkedIn").when(F.col("kind") == "github", "GitHub")
+    missed = known.where(names.isNotNull()).select("entity_id", F.lit("enrichment").alias("kind"), F.concat(names, F.lit(" enrichment unavailable")).alias("message"))
+    out.warnings = out.warnings.union(missed)
+    return out

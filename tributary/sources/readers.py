@@ -97,7 +97,8 @@ def json_facts(name: str, data: bytes) -> Iterator[tuple]:
 
 
 READERS: dict[str, tuple[str, Callable[[str, bytes], Iterator[tuple]]]] = {".csv": ("structured", csv_facts), ".txt": ("structured", csv_facts), ".json": ("semistructured", json_facts)}
-DOCUMENTS = (".pdf",)
+#: .text: text that is to be read as a document, as it is.
+DOCUMENTS = (".pdf", ".text")
 
 
 def files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -167,12 +168,13 @@ def document_texts(found: DataFrame, extract: Callable[[bytes], str] | None = No
 
         for batch in batches:
             out = []
-            for seq, name, data, error in zip(batch["source_seq"], batch["source_id"], batch["content"], batch["error"]):
+            for seq, name, ext, data, error in zip(batch["source_seq"], batch["source_id"], batch["ext"], batch["content"], batch["error"]):
                 text = None
+                read = extract if ext == ".pdf" else lambda b: b.decode("utf-8", "replace")
                 if error is None:
                     try:
-                        text = extract(data) if extract else None
-                        error = "could not read PDF: no text extractor is configured" if extract is None else None if text and text.strip() else "PDF produced no extractable text (likely scanned/image-only)"
+                        text = read(data) if read else None
+                        error = "could not read PDF: no text extractor is configured" if read is None else None if text and text.strip() else "PDF produced no extractable text (likely scanned/image-only)"
                     except Exception as e:  # noqa: BLE001
                         error = f"could not read PDF: {e}"
                 out.append((seq, name, text if error is None else None, error))
