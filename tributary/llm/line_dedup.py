@@ -2,8 +2,8 @@
 
 A line is cut into threshold + 1 segments. A line within the threshold of it has at least one of them unchanged, at a place
 that the edits before and after it can explain. So each line is indexed by (length, number, segment) and probes the indexes of its own
-length and of those up to threshold shorter with the substrings at such places; what meets is verified by banded bit-parallel
-edit distance. Lines in one component of links are one class; its first line, by document and place, stays.
+length and of those up to threshold shorter with the substrings at such places; what meets, and counts of letters don't rule out, is verified by
+banded bit-parallel edit distance. Lines in one component of links are one class; its first line, by document and place, stays.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.llm.common import checked_broadcast, components, durable
@@ -18,8 +19,8 @@ from tributary.llm.common import checked_broadcast, components, durable
 
 @dataclass(frozen=True)
 class Lines:
-    """edits: threshold. least: lines of fewer characters, without white space around, are never removed.
-    near: lines of fewer characters count as duplicates only if they are equal. lookups: so many line ids are broadcast at most."""
+    """edits: threshold. least: lines of fewer bytes, without white space around, are never removed.
+    near: lines of fewer bytes count as duplicates only if they are equal. lookups: so many line ids are broadcast at most."""
 
     edits: int = 2
     least: int = 20
@@ -97,7 +98,30 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
+#: Letters that are counted: any give right results, frequent ones leave few pairs to verify.
+LETTERS = ("etaoinsh", "rdlucmfw", "ypvbgkqx")
+
+
+def letter_counts(line: Column, letters: str) -> Column:
+    """How often each of eight letters occurs, up to 255, in a byte each of a long."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(letters):
+        n = F.least(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long")
+        out = out.bitwiseOR(F.shiftleft(n, 8 * i))
+    return out
+
+
+def alike(pairs: list[tuple[Column, Column]], edits: int) -> Column:
+    """Whether letter counts allow for so few edits: an edit changes two counts at most, each by one."""
+    byte = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+    total = F.lit(0).cast("long")
+    for a, b in pairs:
+        for i in range(8):
+            total = total + F.abs(byte(a, i) - byte(b, i))
+    return total <= 2 * edits
 
 
 def split_lines(text: Column) -> Column:
@@ -105,52 +129,62 @@ def split_lines(text: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, lines: Lines, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, row, pos, id, size) of each line that may be removed: row is the text's hash, id the line's. Texts themselves don't travel."""
+    """(doc_id, row, pos, id) of each line that may be removed: row is the text's hash, id the line's. Texts themselves don't travel."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(split_lines(F.col(text))).alias("pos", "line"))
-    rows = rows.withColumn("line", trimmed(F.col("line"))).withColumn("size", F.length("line"))
-    return rows.where(F.col("size") >= lines.least).select("doc_id", "row", "pos", F.xxhash64("line").alias("id"), "size")
+    rows = rows.withColumn("line", trimmed(F.col("line"))).withColumn("size", F.octet_length("line"))
+    return rows.where(F.col("size") >= lines.least).select("doc_id", "row", "pos", F.xxhash64("line").alias("id"))
+
 
+def meetings(docs: DataFrame, lines: Lines, text: str) -> DataFrame:
+    """(id, key, probes): the keys at which a line meets a different one, by its index, which probes as well, or by its other probes.
 
-def near_pairs(docs: DataFrame, first: DataFrame, lines: Lines, doc_id: str, text: str) -> DataFrame:
-    """Pairs (a, b) of ids of different lines within the threshold. first: (doc_id, row, at): in which places of which documents each line is to be read."""
+    Copies of a line combine before the shuffle; what travels of a line is its keys, not its text. The least and the
+    largest line of a key tell whether a line has partners there, so a key that many lines share makes no more rows than it has.
+    """
     parts = lines.edits + 1
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), split_lines(F.col(text)).alias("lines"))
-    read = read.join(first, read["doc_id"].eqNullSafe(first["doc_id"]) & (read["row"] == first["row"]))
-    read = read.select(F.explode(F.transform("at", lambda i: F.get("lines", i))).alias("line"))
-    read = read.select(trimmed(F.col("line")).alias("line"))
-    read = read.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("id"))
+    read = docs.select(F.explode(F.transform(split_lines(F.col(text)), trimmed)).alias("line"))
+    read = read.select(F.col("line").cast("binary").alias("line"), F.octet_length("line").alias("n"), F.xxhash64("line").alias("id")).where(F.col("n") >= lines.near)
     line, n = F.col("line"), F.col("n")
-    index = read.select("id", F.explode(F.array(*[_key(line, n, i, 0, parts) for i in range(parts)])).alias("key"))
-    probes = [_key(line, n - less, i, shift, parts) for i, less, shift in places(lines.edits)]
-    probe = read.select(F.col("id").alias("other"), F.explode(F.array(*probes)).alias("key"))
-    met = index.join(probe, "key").where("id <> other")
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-def verified(docs: DataFrame, pairs: DataFrame, lines: Lines, doc_id: str, text: str) -> DataFrame:
-    """Those of the pairs, durable, that are within the threshold."""
-    ids = durable(pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct())
-    read = docs.select(F.explode(F.transform(split_lines(F.col(text)), trimmed)).alias("line")).where(F.length("line") >= lines.near)
+    keys = [_key(line, n, i, 0, parts) for i in range(parts)] + [_key(line, n - less, i, shift, parts) for i, less, shift in places(lines.edits) if less or shift]
+    names = [f"k{i}" for i in range(len(keys))]
+    one = read.select("id", *[k.alias(c) for k, c in zip(keys, names)]).groupBy("id").agg(*[F.min(c).alias(c) for c in names])
+    rows = one.select("id", F.posexplode(F.array(*names)).alias("pos", "key")).select("id", "key", (F.col("pos") >= parts).alias("probes"))
+    at, indexed = W.partitionBy("key"), F.when(~F.col("probes"), F.col("id"))
+    ends = {"low": F.min("id"), "high": F.max("id"), "index_low": F.min(indexed), "index_high": F.max(indexed)}
+    rows = rows.withColumns({k: v.over(at) for k, v in ends.items()})
+    other = lambda low, high: (F.col(low) != F.col("id")) | (F.col(high) != F.col("id"))
+    return rows.where(F.when(F.col("probes"), other("index_low", "index_high")).otherwise(other("low", "high"))).select("id", "key", "probes")
+
+
+def linked(docs: DataFrame, met: DataFrame, lines: Lines, text: str) -> DataFrame:
+    """Pairs (a, b) of ids of different lines within the threshold, of meetings, durable."""
+    ids = durable(met.select(F.col("id").alias("want")).distinct())
+    read = docs.select(F.explode(F.transform(split_lines(F.col(text)), trimmed)).alias("line")).where(F.octet_length("line") >= lines.near)
     read = read.select("line", F.xxhash64("line").alias("id"))
-    found = read.join(checked_broadcast(ids, lines.lookups), F.col("id") == F.col("want"), "left_semi")
-    found = durable(found.groupBy("id").agg(F.min("line").alias("line")))
-    both = pairs.join(found.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    found = read.join(checked_broadcast(ids, lines.lookups), F.col("id") == F.col("want"), "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    found = durable(found.select("id", "line", *[letter_counts(F.col("line"), x).alias(f"l{i}") for i, x in enumerate(LETTERS)]))
+    counts = [f"l{i}" for i in range(len(LETTERS))]
+    side = lambda rows, name: rows.join(found.drop("line"), "id").select("key", F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in counts])
+    near = alike([(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in counts], lines.edits)
+    pairs = side(met.where("not probes"), "a").join(side(met, "b"), "key").where((F.col("a") != F.col("b")) & near)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    as_bytes = F.decode(F.col("line").cast("binary"), "ISO-8859-1")  # a character for each byte
+    both = pairs.join(found.select(F.col("id").alias("a"), as_bytes.alias("x")), "a").join(found.select(F.col("id").alias("b"), as_bytes.alias("y")), "b")
     both = both.withColumn("swap", F.length("x") > F.length("y")).select("a", "b", F.when(F.col("swap"), F.col("y")).otherwise(F.col("x")).alias("p"), F.when(F.col("swap"), F.col("x")).otherwise(F.col("y")).alias("t"))
     return both.where(within(F.col("p"), F.col("t"), lines.edits)).select("a", "b")
 
 
 def line_classes(docs: DataFrame, lines: Lines = Lines(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, pos, id, size, class, head, near, n_links) of each line that may be removed.
+    """(doc_id, row, pos, id, class, head, near, n_links) of each line that may be removed.
 
     class: the least id of the class. head: (doc_id, row, pos) of the class's first line, which stays. near: the line differs from the head. n_links: how many different lines are within the threshold.
     Ids are 64 bit hashes: of ten thousand million different lines, about three pairs would share one.
     """
     rows = durable(line_rows(docs, lines, doc_id, text))
     place = F.struct("doc_id", "row", "pos")
-    distinct = durable(rows.groupBy("id").agg(F.min(place).alias("first"), F.first("size").alias("size")))
-    first = distinct.where(F.col("size") >= lines.near).groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")).agg(F.collect_list("first.pos").alias("at"))
-    pairs = durable(near_pairs(docs, first, lines, doc_id, text))
-    links = durable(verified(docs, pairs, lines, doc_id, text))
+    distinct = durable(rows.groupBy("id").agg(F.min(place).alias("first")))
+    met = durable(meetings(docs, lines, text))
+    links = durable(linked(docs, met, lines, text))
     count = links.select(F.col("a").alias("_id")).union(links.select("b")).groupBy("_id").agg(F.count("*").alias("n"))
     roots = components(links, native=True)
     known = distinct.join(roots, F.col("id") == F.col("node"), "left").join(count, F.col("id") == F.col("_id"), "left").select("id", "first", F.coalesce("root", "id").alias("class"), F.coalesce("n", F.lit(0)).alias("n_links"))
