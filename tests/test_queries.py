@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def duck():
 
 
 def plain(v):
-    return None if v is None or v != v else round(v, 9) if isinstance(v, float) else v
+    return None if pd.isna(v) else round(v, 9) if isinstance(v, float) else v
 
 
 def rows(frame, columns):

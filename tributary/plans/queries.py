@@ -264,10 +264,10 @@ def norm_date(spark, sf_dir):
 SKILL_CASES = {"•  reactjs;": ("React", True), " K8S ": ("Kubernetes", True), "some niche  framework": ("Some Niche Framework", False), "GraphQL": ("GraphQL", False), "3d-rest api's": ("3D-Rest Api'S", False), " - ": (None, None), "ETL": ("ETL", False)}
 
 
-@query("WITH c(i, name, known) AS (VALUES " + ", ".join(f"({i}, {'NULL' if n is None else chr(39) + n.replace(chr(39), chr(39) * 2) + chr(39)}, {'NULL' if k is None else k})" for i, (n, k) in enumerate(SKILL_CASES.values())) + f") SELECT p_partkey, name, known FROM part JOIN c ON i = p_partkey % {len(SKILL_CASES)}")
+@query("WITH c(i, name, known) AS (VALUES " + ", ".join(f"({i}, {'NULL' if n is None else chr(39) + n.replace(chr(39), chr(39) * 2) + chr(39)}, {'NULL' if k is None else k})" for i, (n, k) in enumerate(SKILL_CASES.values())) + f") SELECT p_partkey, name, coalesce(known, false) AS known FROM part JOIN c ON i = p_partkey % {len(SKILL_CASES)}")
 def norm_skill(spark, sf_dir):
     said = F.get(F.array(*map(F.lit, SKILL_CASES)), (F.col("p_partkey") % len(SKILL_CASES)).cast("int"))
-    return table(spark, sf_dir, "part").withColumn("s", X.canonical_skill(said)).select("p_partkey", F.col("s.name").alias("name"), F.col("s.known").alias("known"))
+    return table(spark, sf_dir, "part").withColumn("s", X.canonical_skill(said)).select("p_partkey", F.col("s.name").alias("name"), F.coalesce("s.known", F.lit(False)).alias("known"))
 
 
 @query("""WITH f AS (SELECT page_id, list_filter(regexp_extract_all(url || ' ' || url, '(?i)((?:https?://|www\\.)[\\w\\-]+\\.[\\w\\-]+(?:\\.[\\w\\-]+)*(?:/[\\w\\-./]*)?)', 1), lambda u: NOT regexp_matches(lower(u), '^(?:https?://|www\\.)(?:www\\.)?(?:linkedin|github|google|facebook|twitter|instagram|youtube)\\.com')) AS u FROM pages)
