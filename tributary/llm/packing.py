@@ -106,6 +106,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
                 size += len(held[-1][1]) // width
                 if size >= window:
                     yield packed()
+        use.seen.clear()
         if held:
             yield packed()
 
