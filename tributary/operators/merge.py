@@ -47,42 +47,85 @@ def value_groups(ev: DataFrame, by: list[str] = ["entity_id", "field_name"]) ->
     ).withColumn("longest", F.col("longest.at.value"))
 
 
-def merge_single(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], containment: tuple[str, ...] = CONTAINMENT, distinct_sources: bool = False) -> DataFrame:
-    """value, confidence, sources, methods, conflict, conflicting_values, n_values of each field of each entity.
+def single_of(one: DataFrame, g: str, contained: Column | None, distinct_sources: bool = False) -> tuple[DataFrame, dict[str, Column]]:
+    """What a field's groups (n, first, key, weight, longest, rows) come to, as columns over the DataFrame that is returned with them.
 
-    One distinct value is agreed on. A fuller name wins over its parts, the most frequent value over the others, both
-    for less confidence; a tie at the top has no value, no confidence. distinct_sources: a source corroborates once, however many rows it has.
+    contained: whether a fuller name may win.
     """
-    groups = value_groups(ev, by)
-    packed = F.struct((-F.col("n")).alias("minus"), "first", "key", "n", "weight", "longest", "rows")
-    one = groups.groupBy(*by).agg(F.array_sort(F.collect_list(packed)).alias("g"))
-    g = F.col("g")
-    top, second = F.get(g, 0), F.get(g, 1)
-    if "field_name" in by and containment:
-        full = F.filter(g, lambda x: F.forall(g, lambda y: (x["key"] == y["key"]) | is_token_subsequence(y["key"], x["key"])))
-        whole = F.when(F.col("field_name").isin(*containment) & (F.size(g) > 1), F.get(full, 0))
+    sorted_ = F.array_sort(F.transform(g, lambda x: F.struct((-x["n"]).alias("minus"), x["first"].alias("first"), x["key"].alias("key"), x["n"].alias("n"), x["weight"].alias("weight"), x["longest"].alias("longest"), x["rows"].alias("rows"))))
+    one = one.withColumn("_g", sorted_)
+    g_ = F.col("_g")
+    top, second = F.get(g_, 0), F.get(g_, 1)
+    if contained is not None:
+        full = F.filter(g_, lambda x: F.forall(g_, lambda y: (x["key"] == y["key"]) | is_token_subsequence(y["key"], x["key"])))
+        whole = F.when(contained & (F.size(g_) > 1), F.get(full, 0))
     else:
-        whole = F.lit(None).cast(one.schema["g"].dataType.elementType)
-    one = one.withColumn("whole", whole)
-    case = F.when(F.size(g) == 1, "agreed").when(F.col("whole").isNotNull(), "contained").when(top["n"] > second["n"], "plurality").otherwise("tie")
-    one = one.withColumn("case", case).withColumn("win", F.coalesce(F.col("whole"), top))
-    win, c = F.col("win"), F.col("case")
-    rows_all = F.array_sort(F.flatten(F.transform(g, lambda x: x["rows"])))
+        whole = F.lit(None).cast(one.schema["_g"].dataType.elementType)
+    one = one.withColumn("_whole", whole)
+    case = F.when(F.size(g_) == 1, "agreed").when(F.col("_whole").isNotNull(), "contained").when(top["n"] > second["n"], "plurality").otherwise("tie")
+    one = one.withColumn("_case", case).withColumn("_win", F.coalesce(F.col("_whole"), top))
+    win, c = F.col("_win"), F.col("_case")
+    rows_all = F.array_sort(F.flatten(F.transform(g_, lambda x: x["rows"])))
     rows_win = F.array_sort(win["rows"])
     count = (lambda rows: F.size(F.array_distinct(_each(rows, "source")))) if distinct_sources else F.size
-    best = F.array_max(F.transform(g, lambda x: x["weight"]))
+    best = F.array_max(F.transform(g_, lambda x: x["weight"]))
     conf = F.when(c == "agreed", confidence(win["weight"], count(rows_win))).when(c == "contained", confidence(best, count(rows_all), "partial")).when(c == "plurality", confidence(win["weight"], count(rows_win), "partial")).otherwise(F.lit(0.0))
-    losers = F.when(c == "tie", g).otherwise(F.filter(g, lambda x: x["key"] != win["key"]))
+    losers = F.when(c == "tie", g_).otherwise(F.filter(g_, lambda x: x["key"] != win["key"]))
     other = F.map_from_entries(F.transform(losers, lambda x: F.struct(x["key"], _each(F.array_sort(x["rows"]), "raw"))))
+    return one, {
+        "value": F.when(c != "tie", win["longest"]),
+        "confidence": conf,
+        "sources": F.when(c.isin("contained", "tie"), _each(rows_all, "source")).otherwise(_each(rows_win, "source")),
+        "methods": F.when(c == "tie", _each(rows_all, "method")).otherwise(_each(rows_win, "method")),
+        "conflict": c != "agreed",
+        "conflicting_values": F.when(c != "agreed", other),
+        "n_values": F.size(g_),
+    }
+
+
+def merge_single(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], containment: tuple[str, ...] = CONTAINMENT, distinct_sources: bool = False) -> DataFrame:
+    """value, confidence, sources, methods, conflict, conflicting_values, n_values of each field of each entity.
+
+    One distinct value is agreed on. A fuller name wins over its parts, the most frequent value over the others, both
+    for less confidence; a tie at the top has no value, no confidence. distinct_sources: a source corroborates once, however many rows it has.
+    """
+    one = value_groups(ev, by).groupBy(*by).agg(F.collect_list(F.struct("key", "n", "first", "weight", "longest", "rows")).alias("g"))
+    one, columns = single_of(one, "g", F.col("field_name").isin(*containment) if "field_name" in by and containment else None, distinct_sources)
+    return one.select(*by, *[v.alias(k) for k, v in columns.items()])
+
+
+def merge_values(ev: DataFrame, singles: list[str], multis: list[str], distinct_sources: bool = False) -> DataFrame:
+    """(entity_id, field_name, single, items, skills) of all fields of these kinds at once: what merge_single, merge_multi and merge_skills give, in two shuffles of one reading."""
+    field = F.col("field_name")
+    is_single, is_multi = field.isin(singles), field.isin(multis)
+    rows = ranked(ev.where(is_single | is_multi | (field == "skills"))).withColumn("_s", F.when(field == "skills", canonical_skill(F.col("raw_value"))))
+    key = F.when(is_single, key_of(F.col("value"))).when(is_multi, F.col("value")).otherwise(F.col("_s.name"))
+    rows = rows.withColumn("key", key).where((F.col("key") != "") & ((field == "skills") | (F.col("value") != "")))
+    at = place()
+    row = F.struct(at.alias("at"), F.col("source_id").alias("source"), "method", F.col("raw_value").alias("raw"), "rank")
+    by = ["entity_id", "field_name"]
+    groups = rows.groupBy(*by, "key").agg(
+        F.count("*").alias("n"), F.max("weight").alias("weight"), F.min("rank").alias("rank"), F.bool_or(F.col("_s.known")).alias("known"), F.min(at).alias("first"),
+        F.min(F.struct((-F.length("value")).alias("l"), at.alias("at"))).alias("longest"), F.array_sort(F.collect_list(row)).alias("rows"),
+    ).withColumn("longest", F.col("longest.at.value"))
+    one = groups.groupBy(*by).agg(F.collect_list(F.struct("key", "n", "weight", "rank", "known", "first", "longest", "rows")).alias("g"))
+    one, single = single_of(one, "g", field.isin(*CONTAINMENT), distinct_sources)
+    single.pop("n_values")
+
+    def ranked_list(conf, order, name: str, sources) -> Column:
+        items = F.transform("g", lambda x: F.struct((-conf(x)).alias("minus"), order(x).alias("rank"), x["key"].alias("key"), conf(x).alias("confidence"), sources(x).alias("sources"), _each(x["rows"], "method").alias("methods")))
+        return F.transform(F.array_sort(items), lambda x: F.struct(x["key"].alias(name), x["confidence"].alias("confidence"), x["sources"].alias("sources"), x["methods"].alias("methods")))
+
+    def best_first(x: Column) -> Column:
+        return F.array_distinct(_each(F.array_sort(F.transform(x["rows"], lambda r: F.struct(r["rank"].alias("rank"), r["at"]["source_seq"].alias("seq"), r["source"].alias("source")))), "source"))
+
+    agreed = lambda x: confidence(x["weight"], x["n"])
+    by_name = lambda x: F.when(x["known"], agreed(x)).otherwise(confidence(x["weight"], x["n"], "unknown"))
     return one.select(
         *by,
-        F.when(c != "tie", win["longest"]).alias("value"),
-        conf.alias("confidence"),
-        F.when(c.isin("contained", "tie"), _each(rows_all, "source")).otherwise(_each(rows_win, "source")).alias("sources"),
-        F.when(c == "tie", _each(rows_all, "method")).otherwise(_each(rows_win, "method")).alias("methods"),
-        (c != "agreed").alias("conflict"),
-        F.when(c != "agreed", other).alias("conflicting_values"),
-        F.size(g).alias("n_values"),
+        F.when(is_single, F.struct(*[v.alias(k) for k, v in single.items()])).alias("single"),
+        F.when(is_multi, ranked_list(agreed, lambda x: x["rank"], "value", lambda x: _each(x["rows"], "source"))).alias("items"),
+        F.when(field == "skills", ranked_list(by_name, lambda x: F.lit(0), "name", best_first)).alias("skills"),
     )
 
 
@@ -132,16 +175,31 @@ def map_entries(ev: DataFrame, order: Column, by: list[str] = ["entity_id", "fie
     return entries.groupBy(*by, "k").agg(F.min_by("v", F.struct(order, F.col("v"))).alias("v"))
 
 
+def _entries(ev: DataFrame, order: Column, by: list[str]) -> DataFrame:
+    return map_entries(ev, order, by).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("entries"))
+
+
+def _link_order() -> Column:
+    return F.struct(F.col("rank").cast("long").alias("a"), (-F.col("source_seq")).cast("long").alias("b"), (-F.col("ev_seq")).cast("long").alias("c"))
+
+
+def _first_order() -> Column:
+    return F.struct(F.lit(0).cast("long").alias("a"), F.col("source_seq").cast("long").alias("b"), F.col("ev_seq").cast("long").alias("c"))
+
+
 def merge_links(ev: DataFrame, by: list[str] = ["entity_id", "field_name"]) -> DataFrame:
     """entries: of each kind of link, the best source's; among sources of one rank the last one's."""
-    order = F.struct("rank", (-F.col("source_seq")).alias("s"), (-F.col("ev_seq")).alias("e"))
-    return map_entries(ev, order, by).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("entries"))
+    return _entries(ev, _link_order(), by)
 
 
 def merge_attributes(ev: DataFrame, by: list[str] = ["entity_id", "field_name"]) -> DataFrame:
     """entries: of each attribute, what was said first."""
-    order = F.struct("source_seq", "ev_seq")
-    return map_entries(ev, order, by).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("entries"))
+    return _entries(ev, _first_order(), by)
+
+
+def merge_maps(ev: DataFrame, links: str = "links") -> DataFrame:
+    """entries of all map fields at once, that of links as merge_links has them, others as merge_attributes."""
+    return _entries(ev, F.when(F.col("field_name") == links, _link_order()).otherwise(_first_order()), ["entity_id", "field_name"])
 
 
 def ordered_text(df: DataFrame, by: list[str], order: Column, text: Column, sep: str = "\n") -> DataFrame:

@@ -32,37 +32,34 @@ def _list(payload: Column, schema: T.ArrayType) -> Column:
 def canonical(ev: DataFrame, entities: DataFrame | None = None, distinct_sources: bool = False) -> DataFrame:
     """A profile for each entity of normalized evidence; entities (entity_id): those that must have one even without.
 
-    One aggregation by (entity, field, key) and one by (entity, field) for each kind of field; all results are then grouped by entity once.
+    The evidence is read for values, for payloads and for maps; each reading groups by (entity, field, key) and by (entity, field).
+    All results are then grouped by entity once.
     """
     ev = accepted(ev)
     field = F.col("field_name")
-    none = lambda kind: F.lit(None).cast(kind)
-    shape = {"f": FIELD, "i": ITEMS, "s": SKILLS, "x": EXPERIENCE.simpleString(), "e": EDUCATION.simpleString(), "m": "map<string,string>"}
+    shape = {"f": FIELD, "i": ITEMS, "s": SKILLS, "p": "array<string>", "m": "map<string,string>"}
 
-    def part(df: DataFrame, name: Column, slot: str, value: Column) -> DataFrame:
-        return df.select("entity_id", name.alias("name"), *[(value.cast(kind) if k == slot else none(kind)).alias(k) for k, kind in shape.items()])
+    def part(df: DataFrame, name: Column, **slots: str) -> DataFrame:
+        return df.select("entity_id", name.alias("name"), *[(F.col(slots[k]) if k in slots else F.lit(None)).cast(kind).alias(k) for k, kind in shape.items()])
 
-    single = M.merge_single(ev.where(field.isin(D.SINGLE_FIELDS)), distinct_sources=distinct_sources)
     parts = [
-        part(single, field, "f", F.struct("value", "confidence", "sources", "methods", "conflict", "conflicting_values")),
-        part(M.merge_multi(ev.where(field.isin(D.MULTI_FIELDS))), field, "i", F.col("items")),
-        part(M.merge_skills(ev.where(field == "skills")), F.lit("skills"), "s", F.col("items")),
-        part(M.first_source(ev.where(field == "experience"), keep_all=True), field, "x", _list(F.col("payload"), EXPERIENCE)),
-        part(M.first_source(ev.where(field == "education"), keep_all=True), field, "e", _list(F.col("payload"), EDUCATION)),
-        part(M.merge_links(ev.where(field == "links")), field, "m", F.col("entries")),
-        part(M.merge_attributes(ev.where(field == "extra_attributes")), field, "m", F.col("entries")),
+        part(M.merge_values(ev, D.SINGLE_FIELDS, D.MULTI_FIELDS, distinct_sources), field, f="single", i="items", s="skills"),
+        part(M.first_source(ev.where(field.isin("experience", "education")), keep_all=True), field, p="payload"),
+        part(M.merge_maps(ev.where(field.isin("links", "extra_attributes"))), field, m="entries"),
     ]
     if entities is not None:
-        parts.append(part(entities.select("entity_id").distinct(), F.lit(""), "f", none(FIELD)))
+        parts.append(part(entities.select("entity_id").distinct(), F.lit("")))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
     pick = lambda name, slot: F.max_by(slot, F.when(F.col("name") == name, F.lit(1))).alias(name)
-    slots = {**dict.fromkeys(D.SINGLE_FIELDS, "f"), **dict.fromkeys(D.MULTI_FIELDS, "i"), "skills": "s", "experience": "x", "education": "e", "links": "m", "extra_attributes": "m"}
+    slots = {**dict.fromkeys(D.SINGLE_FIELDS, "f"), **dict.fromkeys(D.MULTI_FIELDS, "i"), "skills": "s", "experience": "p", "education": "p", "links": "m", "extra_attributes": "m"}
     wide = long.groupBy("entity_id").agg(*[pick(name, slot) for name, slot in slots.items()])
     empty_map = F.create_map().cast("map<string,string>")
-    blank = {"f": _none(), "i": F.array().cast(ITEMS), "s": F.array().cast(SKILLS), "x": F.array().cast(EXPERIENCE), "e": F.array().cast(EDUCATION), "m": empty_map}
-    wide = wide.select("entity_id", *[F.coalesce(name, blank[slot]).alias(name) for name, slot in slots.items()])
+    blank = {"f": _none(), "i": F.array().cast(ITEMS), "s": F.array().cast(SKILLS), "p": F.array().cast("array<string>"), "m": empty_map}
+    lists = {"experience": EXPERIENCE, "education": EDUCATION}
+    filled = {name: F.coalesce(name, blank[slot]) for name, slot in slots.items()}
+    wide = wide.select("entity_id", *[(_list(v, lists[name]) if name in lists else v).alias(name) for name, v in filled.items()])
     email, phone = (F.get(F.col(k), 0)["value"] for k in D.MULTI_FIELDS)
     name = F.col("full_name.value")
     contact = (F.size("emails") > 0) | (F.size("phones") > 0)
