@@ -27,21 +27,22 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 #: Rules: a document is rejected if the measure is at least the cutoff, or at most where the cutoffs fall below the usual. Lenient ones first.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "symbols_per_word": (">=", (4.0, 3.0, 2.5, 2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05)),
+    "repeat_share": (">=", (0.3, 0.275, 0.25, 0.225, 0.2, 0.15, 0.1)),
+    "dup_lines_per_word": (">=", (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
     "long_words": (">=", (20.0, 15.0, 12.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0, 6.5, 6.0)),
     "short_words": ("<=", (1.0, 1.5, 2.0, 2.5, 3.0, 3.25, 3.5, 3.75, 4.0, 4.25)),
-    "dup_lines_per_word": (">=", (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
-    "repeat_share": (">=", (0.3, 0.275, 0.25, 0.225, 0.2, 0.15, 0.1)),
 }
 
 
 @dataclass(frozen=True)
 class Risk:
     """alpha: part of a stratum's good documents that a rule may reject. delta: chance that any cutoff breaks that. price: bad
-    documents that rejecting a good one must bring on the proposing half. seed: of the hash that splits the labels. strata: so many strata may be broadcast."""
+    documents that rejecting a good one must bring. worth: part of the stratum's bad documents that a rule must bring. seed: of the hash that splits the labels. strata: so many strata may be broadcast."""
 
     alpha: float = 0.02
     delta: float = 0.05
     price: int = 50
+    worth: float = 0.05
     seed: int = 17
     strata: int = 5000
 
@@ -112,49 +113,51 @@ def certified(rejected: int, good: int, alpha: float, delta: float) -> bool:
     return top + math.log(sum(math.exp(x - top) for x in logs)) <= math.log(delta)
 
 
-def choose(counts: dict[str, list[tuple[int, int, int]]], good: int, tests: int, risk: Risk) -> dict[str, float | None]:
-    """The cutoff of each rule in a stratum, or None. counts: for each cutoff, the bad and the good rejected on the proposing half and the good on the testing half."""
-    out: dict[str, float | None] = {}
-    for rule, (_, cutoffs) in RULES.items():
-        best, chosen = 0, None
-        for cutoff, (bad, wrong, tested) in zip(cutoffs, counts[rule]):
-            if not certified(tested, good, risk.alpha, risk.delta / tests):
-                break
-            if (gain := bad - risk.price * (wrong + tested)) > best:  # of equal gain, the more lenient
-                best, chosen = gain, cutoff
-        out[rule] = chosen
-    return out
+def choose(rule: str, counts: list[tuple[int, int, int]], good: int, bad: int, tests: int, risk: Risk) -> float | None:
+    """The cutoff of a rule in a stratum, or None. counts: for each cutoff, the bad that no earlier rule rejects and the good on the proposing half, and the good on the testing half.
+
+    Of cutoffs that gain alike, the more lenient.
+    """
+    best, chosen = risk.worth * bad, None
+    for cutoff, (caught, wrong, tested) in zip(RULES[rule][1], counts):
+        if not certified(tested, good, risk.alpha, risk.delta / tests):
+            break
+        if (gain := caught - risk.price * (wrong + tested)) > best:
+            best, chosen = gain, cutoff
+    return chosen
 
 
 def thresholds(based: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
-    """A row for each stratum that has labels: stratum and each rule's cutoff, null where none could be certified.
+    """A row for each stratum that has labels: stratum and each rule's cutoff, null where none could be certified or none is worth it.
 
-    Labels of null quality or id don't count; a document that is labelled twice counts twice. Documents that fail the base rules are no cases.
+    Rules are chosen one after another, so none is there for documents that another rejects anyway. What is certified counts all good
+    documents that a rule alone rejects. Labels of null quality or id don't count; a document that is labelled twice counts twice.
+    Documents that fail the base rules are no cases.
     """
-    cases = based.where(~base_failed()).join(labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).alias("_q")).where("_q is not null"), "doc_id")
     test = F.pmod(F.xxhash64(F.lit(risk.seed), "doc_id"), F.lit(2)) == 1
-    good = F.col("_q") == 1
-    sums = [F.sum((good & test).cast("long")).alias("good")]
-    for rule, measure in measures().items():
+    cases = based.where(~base_failed()).join(labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).alias("_q")).where("_q is not null"), "doc_id")
+    cases = durable(cases.select("stratum", (F.col("_q") == 1).alias("good"), test.alias("test"), F.lit(True).alias("open"), *[m.alias(r) for r, m in measures().items()]))
+    out = durable(cases.groupBy("stratum").agg(F.sum((F.col("good") & F.col("test")).cast("long")).alias("n_good"), F.sum((~F.col("good") & ~F.col("test")).cast("long")).alias("n_bad")))
+    tests = max(1, out.count()) * len(RULES)
+    for rule, (_, cutoffs) in RULES.items():
         each = []
-        for cutoff in RULES[rule][1]:
-            hit = rejects(rule, measure, F.lit(cutoff))
-            each += [F.sum((hit & cond).cast("long")) for cond in (~good & ~test, good & ~test, good & test)]
-        sums.append(F.array(*each).alias(rule))
-    counted = cases.groupBy("stratum").agg(*sums)
-    counted = durable(counted)
-    tests = max(1, counted.count()) * len(RULES)
-    schema = "stratum string, " + ", ".join(f"{r} double" for r in RULES)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for x in batch.to_dict("records"):
-                counts = {r: [tuple(x[r][i : i + 3]) for i in range(0, len(x[r]), 3)] for r in RULES}
-                rows.append({"stratum": x["stratum"], **choose(counts, x["good"], tests, risk)})
-            yield pd.DataFrame(rows, columns=["stratum", *RULES]).astype({r: "float64" for r in RULES})
-
-    return counted.mapInPandas(run, schema)
+        for cutoff in cutoffs:
+            hit = rejects(rule, F.col(rule), F.lit(cutoff))
+            each += [F.sum((hit & cond).cast("long")) for cond in (~F.col("good") & ~F.col("test") & F.col("open"), F.col("good") & ~F.col("test"), F.col("good") & F.col("test"))]
+        counted = out.join(cases.groupBy("stratum").agg(F.array(*each).alias("counts")), "stratum")
+        columns = [c for c in out.columns if c not in ("n_good", "n_bad")]
+
+        def run(batches: Iterator[pd.DataFrame], rule: str = rule) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                triples = [[tuple(map(int, c[i : i + 3])) for i in range(0, len(c), 3)] for c in batch["counts"]]
+                chosen = [choose(rule, c, int(g), int(b), tests, risk) for c, g, b in zip(triples, batch["n_good"], batch["n_bad"])]
+                yield batch.drop(columns="counts").assign(**{rule: pd.Series(chosen, index=batch.index, dtype="float64")})
+
+        kinds = ", ".join(["stratum string, n_good long, n_bad long", *[f"{c} double" for c in [*columns[1:], rule]]])
+        out = durable(counted.mapInPandas(run, kinds))
+        cutoff = out.select(F.col("stratum").alias("_s"), F.nanvl(F.col(rule), F.lit(None).cast("double")).alias("_c"))
+        cases = cases.join(checked_broadcast(cutoff, risk.strata), F.col("stratum") == F.col("_s")).withColumn("open", F.col("open") & ~F.coalesce(rejects(rule, F.col(rule), F.col("_c")), F.lit(False))).drop("_s", "_c")
+    return out.select("stratum", *RULES)
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
