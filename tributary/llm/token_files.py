@@ -180,7 +180,6 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             for key, t in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()):
                 out = out or Writer(f"{folder}/part-{number:06d}.tok", use.dtype)
                 out.add(None if key is pd.NA else int(key), use.encode(t) + end)
-        use.seen.clear()
         if out:
             out.close()
             yield pd.DataFrame({"number": [number], "file": [f"{folder}/part-{number:06d}.tok"], "docs": [len(out.ids)], "ids": [out.total]})
@@ -199,6 +198,7 @@ def read_token_files(spark, files: list[tuple[str, int, int]]) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder.cache_clear()  # writing is through
         for batch in batches:
             for file, base in zip(batch["file"].tolist(), batch["start"].tolist()):
                 r = Reader(file)

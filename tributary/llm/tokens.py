@@ -12,8 +12,8 @@ from functools import cache
 
 import numpy as np
 
-#: Pieces that are remembered within a task; then it starts afresh. Bounds memory, changes no result.
-PIECES = 800_000
+#: Pieces that a worker remembers; then it starts afresh. Bounds memory, changes no result.
+PIECES = 600_000
 #: A longer piece is encoded each time.
 LONGEST = 64
 #: Marks that end a word and are tokens of their own behind a letter.
@@ -108,5 +108,5 @@ class Encoder:
 
 @cache
 def encoder(file: str) -> Encoder:
-    """The worker's own. Its vocabulary is kept for later tasks; a task should clear what it has seen, as idle workers hold their memory."""
+    """The worker's own, kept for its later tasks. What it has seen should be cleared when a stage is through, as idle workers hold their memory."""
     return Encoder(file)
