@@ -201,11 +201,21 @@ def bucket(confidence: Column) -> Column:
 
 
 def initials(name: Column) -> Column:
-    return F.upper(F.array_join(F.slice(F.transform(F.split(collapse(name), " "), lambda w: F.substring(w, 1, 1)), 1, 2), ""))
+    """Of the first two words; a question mark where there is no name."""
+    return F.coalesce(F.upper(F.substring(F.array_join(F.transform(F.split(or_null(name), " "), lambda w: F.substring(w, 1, 1)), ""), 1, 2)), F.lit("?"))
 
 
-def education_label(degree: Column, field: Column) -> Column:
-    return F.when(degree.isNotNull() & field.isNotNull(), F.concat(degree, F.lit(" in "), field)).otherwise(F.coalesce(degree, field))
+def education_label(degree: Column, field: Column, description: Column | None = None) -> Column:
+    """'degree in field', or what there is of it, else the description."""
+    d, f = or_null(degree), or_null(field)
+    return F.coalesce(F.concat(d, F.lit(" in "), f), f, d, *([or_null(description)] if description is not None else []))
+
+
+def date_range(start: Column, end: Column, year: Column | None = None) -> Column:
+    """'start — end', open ends as ? and Present; else the year."""
+    a, b = or_null(start), or_null(end)
+    both = F.concat(F.coalesce(a, F.lit("?")), F.lit(" — "), F.coalesce(b, F.lit("Present")))
+    return F.when(a.isNotNull() | b.isNotNull(), both).otherwise(or_null(year) if year is not None else F.lit(None))
 
 
 def years(v: Column) -> Column:

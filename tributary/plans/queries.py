@@ -289,6 +289,16 @@ def format_hints(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", *[X.format_hint(phone if h in ("E164", "national") else F.col("c_mktsegment"), h).alias(h) for h in HINTS])
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || ' in ' || o_orderstatus ELSE o_orderstatus END AS label, strftime(o_orderdate, '%Y') || ' — ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Present' ELSE o_orderstatus END AS dates,
+upper(o_orderpriority[1]) || CASE WHEN o_orderpriority LIKE '% %' THEN upper(split_part(o_orderpriority, ' ', 2)[1]) ELSE '' END AS initials, CASE o_orderkey % 3 WHEN 0 THEN 'Structured' WHEN 1 THEN 'Semi-structured' ELSE 'Unstructured' END AS kind FROM orders""")
+def display_texts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    file = F.when(k % 3 == 0, "a/x.csv").when(k % 3 == 1, "x.JSON").otherwise("x.txt")
+    label = X.education_label(F.when(k % 2 == 0, F.col("o_orderpriority")), F.col("o_orderstatus"))
+    dates = X.date_range(F.date_format("o_orderdate", "yyyy"), F.when(k % 3 != 0, F.col("o_orderstatus")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"), dates.alias("dates"), X.initials(F.col("o_orderpriority")).alias("initials"), X.source_label(file).alias("kind"))
+
+
 @query(f"WITH {scores_sql()} SELECT base, k AS n, agreed, part AS partial, unknown FROM scores, (SELECT count(*) AS c FROM region) WHERE c > 0")
 def confidence_table(spark, sf_dir):
     k = table(spark, sf_dir, "region").agg(F.count("*").alias("c")).where("c > 0").select(F.explode(F.sequence(F.lit(1), F.lit(C.MOST))).alias("n"))
