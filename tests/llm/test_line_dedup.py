@@ -101,3 +101,11 @@ def test_distance(spark):
     for k in (1, 2, 3):
         rows = df.where(F.length("b") - F.length("a") <= k).select("a", "b", within(F.col("a"), F.col("b"), k).alias("w")).collect()
         assert all(x.w == (distance(x.a.encode(), x.b.encode()) <= k) for x in rows)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ("line", "lines", "id", "pos", "row", "key", "class", "head", "size", "_gone", "_d", "_r", "n_links")
+    df = spark.createDataFrame(corpus()[:20], "doc_id long, text string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = without_repeats(df, LINES)
+    assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(names)))}
+    assert line_report(df, LINES).count() == 20

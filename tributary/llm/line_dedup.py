@@ -211,8 +211,8 @@ def line_report(docs: DataFrame, lines: Lines = Lines(), doc_id: str = "doc_id",
 def without_repeats(docs: DataFrame, lines: Lines = Lines(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the lines removed that repeat, or nearly repeat, an earlier line. Documents of which nothing is left go; those that had no line to remove stay as they are, null texts too."""
     found = line_classes(docs, lines, doc_id, text).where(F.struct("doc_id", "row", "pos") != F.col("head"))
-    gone = found.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set("pos").alias("_gone"))
-    rest = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_r")), "left")
-    kept = F.array_join(F.filter(split_lines(F.col(text)), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    rest = rest.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-    return rest.where(F.col("_gone").isNull() | (trimmed(F.col(text)) != "")).select(*docs.columns)
+    gone = found.groupBy(F.col("doc_id").alias("_line_doc"), F.col("row").alias("_line_row")).agg(F.collect_set("pos").alias("_line_gone"))
+    rest = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_line_doc")) & (F.xxhash64(text) == F.col("_line_row")), "left")
+    kept = F.array_join(F.filter(split_lines(F.col(text)), lambda x, i: ~F.array_contains("_line_gone", i)), "\n")
+    rest = rest.withColumn(text, F.when(F.col("_line_gone").isNull(), F.col(text)).otherwise(kept))
+    return rest.where(F.col("_line_gone").isNull() | (trimmed(F.col(text)) != "")).select(*docs.columns)

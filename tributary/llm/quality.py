@@ -178,5 +178,5 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """docs without those that judge() rejects. If rows share an id, it stays with all its rows if one of them is kept; null ids are judged by their own base rules."""
-    kept = judge(docs, labels, risk, doc_id, text, stratum).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[doc_id] == kept["_keep"], "left_semi")
+    kept = judge(docs, labels, risk, doc_id, text, stratum).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
+    return docs.join(kept, docs[doc_id] == kept["_keep_id"], "left_semi")

@@ -86,6 +86,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """docs without the rows that are near duplicates of a row with a smaller id. Of rows with equal ids one stays; null ids stay all."""
     found = near_duplicates(docs, doc_id, text, shingle)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    stay = docs.join(keep, docs[doc_id] == keep["_keep"], "left_semi").dropDuplicates([doc_id])
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
+    stay = docs.join(keep, docs[doc_id] == keep["_keep_id"], "left_semi").dropDuplicates([doc_id])
     return stay.unionByName(docs.where(F.col(doc_id).isNull())).select(*docs.columns)
