@@ -113,8 +113,8 @@ def _is_blank(found: Found, kind: T.DataType) -> Column:
     return found.column.isNull()
 
 
-def _kind(profiles: DataFrame, column: Column) -> T.DataType:
-    return profiles.select(column.alias("c")).schema["c"].dataType
+def _kind(shape: DataFrame, column: Column) -> T.DataType:
+    return shape.select(column.alias("c")).schema["c"].dataType
 
 
 def _type_errors(key: str, declared: str | None, kind: T.DataType, value: Column, there: Column) -> list[Column]:
@@ -135,6 +135,7 @@ def project(profiles: DataFrame, config: dict) -> DataFrame:
     """entity_id, a column for each field of the config, output_json, errors (of projection, then of validation), ok."""
     config = checked(config)
     policy = config.get("on_missing", "null")
+    shape = profiles.sparkSession.createDataFrame([], profiles.schema)  # columns, without the plan that makes them, to ask for types
     columns, cells, wrong, invalid, traced = [], [], [], [], []
     for field in config["fields"]:
         key, path, required = field["path"], field.get("from", field["path"]), bool(field.get("required"))
@@ -144,7 +145,7 @@ def project(profiles: DataFrame, config: dict) -> DataFrame:
             wrong.append(F.lit(str(e)))
             continue
         value, missing = found.column, found.missing
-        kind = _kind(profiles, value) if value is not None else T.StringType()
+        kind = _kind(shape, value) if value is not None else T.StringType()
         if value is not None and isinstance(kind, T.StringType):
             value = format_hint(value, field.get("normalize"))
         elif value is not None and isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType) and field.get("normalize"):
@@ -171,7 +172,7 @@ def project(profiles: DataFrame, config: dict) -> DataFrame:
             for name, v in zip(VIEWS[2:], both):
                 columns.append(v.alias(f"{key}_{name}"))
                 cells.append((f"{key}_{name}", _json(v), there))
-            if views["sources"] is not None and _kind(profiles, views["sources"]) == T.ArrayType(T.StringType()):
+            if views["sources"] is not None and _kind(shape, views["sources"]) == T.ArrayType(T.StringType()):
                 traced.append(F.coalesce(provenance(*both, F.lit(key)), F.array().cast("array<struct<field:string,source:string,method:string>>")))
     if config.get("include_provenance"):
         trace = F.array_distinct(F.concat(*traced)) if traced else F.array().cast("array<struct<field:string,source:string,method:string>>")
