@@ -30,6 +30,8 @@ CASES = {
     lambda v: X.education_label(v, F.lit(""), F.lit("told")): {"BSc": "BSc", "": "told"},
     lambda v: X.date_range(v, F.lit(None)): {"2019": "2019 — Present", None: None},
     lambda v: X.date_range(F.lit(""), v, F.lit("2001")): {"2020": "? — 2020", "": "2001"},
+    X.base_name: {"a/b.csv": "b.csv", "b.csv": "b.csv"},
+    X.extension: {"a.b/c.PDF": ".pdf", "none": ""},
     X.source_label: {"a/b.csv": "Structured", "x.JSON": "Semi-structured", "r.pdf": "Unstructured"},
     lambda v: X.format_hint(v, "national"): {"+919876543210": "9876543210", "+123": "123", "987": "987"},
     L.linkedin: {"linkedin.com/in/johndoe": "https://linkedin.com/in/johndoe", "linkedin.com / in / jane-doe-123": "https://linkedin.com/in/jane-doe-123", "https://linkedIn.com/tejaswibhavnaih": "https://linkedin.com/in/tejaswibhavnaih", "linkedin: joe.": "https://linkedin.com/in/joe", "linkedin.com/company": None, "linkedin: https://linkedin.com/abc": "https://linkedin.com/in/abc", "none": None},

@@ -71,3 +71,23 @@ def test_stream(spark, tmp_path):
     got = spark.table("counts").first()
     assert (got["key"], got["n"], got["confidence"]) == ("v", 2, 0.8)
     assert resolve(ev.drop("at")).output.count() == 1
+
+
+def test_touched_entities_are_resolved_again(spark, tmp_path):
+    from tributary.operators.evidence import evidence
+    from tributary.streaming.evidence import resolve_touched
+
+    def arrive(n, *facts):
+        rows = spark.createDataFrame(list(facts), "e string, v string, s string")
+        evidence(rows, F.col("e"), F.lit("current_company"), F.col("v"), F.col("s"), F.lit("structured"), F.lit("m"), ev_seq=F.lit(n)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    got = []
+    take = lambda result, number: got.append({r.entity_id: r.current_company for r in result.output.collect()})
+    arrive(0, ("a", "X", "s1"), ("b", "Y", "s1"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    q = resolve_touched(stream, str(tmp_path / "store"), take, str(tmp_path / "check"))
+    q.processAllAvailable()
+    arrive(1, ("a", "Z", "s2"))
+    q.processAllAvailable()
+    q.stop()
+    assert got == [{"a": "X", "b": "Y"}, {"a": None}]
