@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import line_dedup, mixing, packing, quality, simhash
+from tributary.llm import line_dedup, mixing, near_docs, packing, quality
 from tributary.llm.common import durable, table
 from tributary.llm.queries import vocabulary
 
@@ -25,8 +25,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates, by 5-word shingles of Jaccard similarity 0.8 or more, stays."""
+    return near_docs.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", repeated_lines), ("SimHash near-dedup", near_duplicates), ("source mix", source_mix), ("packing", packed)]
+STAGES = [("quality rules", quality_rules), ("line dedup", repeated_lines), ("near-dedup", near_duplicates), ("source mix", source_mix), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
