@@ -16,7 +16,7 @@ from tributary.llm.queries import vocabulary
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a certified threshold go."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,6 +148,19 @@ def test_verdicts(spark):
     assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == kept - {None}
 
 
+def test_rows_are_kept_by_their_own_verdict(spark):
+    """The pipeline's stage, where ids are null or shared."""
+    rows, labels = labelled(spark)
+    rows += [(None, f"{i} " + rows[0][1], "en") for i in range(50)] + [(None, "too short", "en"), (0, "too short too", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("row", F.lit("clash")).repartition(4)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    want = Counter(r.doc_id for r in quality.judge(docs, marks).collect() if r.kept)
+    good = quality.keep_rows(docs, marks)
+    got = good.collect()
+    assert good.columns == docs.columns and Counter(r.doc_id for r in got) == want and want[None] >= 51 and want[0] == 1
+    assert not [r for r in got if r.text.startswith("too short")]
+
+
 def test_no_labels_no_thresholds(spark):
     rows, labels = labelled(spark, 300)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -75,7 +75,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def with_base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, and the base counts of each row. A null text has no words; a null stratum is one of its own."""
+    """doc_id, stratum, row (the text's hash), and the base counts of each row. A null text has no words; a null stratum is one of its own."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,9 +83,14 @@ def with_base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", strat
             made = pd.DataFrame([base_counts(t) for t in batch["text"].tolist()], columns=[x.split()[0] for x in BASE.split(", ")], dtype="int64")
             made.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
             made.insert(1, "stratum", batch["stratum"])
+            made.insert(2, "row", batch["row"])
             yield made
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("text")).mapInPandas(run, f"doc_id long, stratum string, {BASE}")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), stratum_of(stratum).alias("stratum"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).mapInPandas(run, f"doc_id long, stratum string, row long, {BASE}")
+
+
+def stratum_of(stratum: str) -> Column:
+    return F.coalesce(F.col(stratum).cast("string"), F.lit(""))
 
 
 def base_failed() -> Column:
@@ -160,12 +165,8 @@ def thresholds(based: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id:
     return out.select("stratum", *RULES)
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, n_words, the base counts, base_failed and kept of each row of docs; then stratum.
-
-    A stratum without enough labels to certify anything rejects by the base rules alone. Equal rows get equal verdicts.
-    Null texts, empty ones and short ones fail the base rules. An empty table gives no rows. Other columns are not read.
-    """
+def verdicts(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """judge() with each row's text hash."""
     based = durable(with_base(docs, doc_id, text, stratum))
     cutoffs = durable(thresholds(based, labels, risk)).select(F.col("stratum").alias("_s"), *[F.col(r).alias(f"_{r}") for r in RULES])
     out = based.join(checked_broadcast(cutoffs, risk.strata), F.col("stratum") == F.col("_s"), "left")
@@ -173,10 +174,26 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str =
     for rule, measure in measures().items():
         cutoff = F.col(f"_{rule}")
         bad = bad | F.coalesce(~F.isnan(cutoff) & rejects(rule, measure, cutoff), F.lit(False))
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """doc_id, n_words, the base counts, base_failed and kept of each row of docs; then stratum.
+
+    A stratum without enough labels to certify anything rejects by the base rules alone. Equal rows get equal verdicts.
+    Null texts, empty ones and short ones fail the base rules. An empty table gives no rows. Other columns are not read.
+    """
+    return verdicts(docs, labels, risk, doc_id, text, stratum).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """docs without those that judge() rejects. If rows share an id, it stays with all its rows if one of them is kept; null ids are judged by their own base rules."""
+    """docs without those that judge() rejects. If rows share an id, it stays with all its rows if one of them is kept; rows of null id go: see keep_rows()."""
     kept = judge(docs, labels, risk, doc_id, text, stratum).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
     return docs.join(kept, docs[doc_id] == kept["_keep_id"], "left_semi")
+
+
+def keep_rows(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """docs without the rows that judge() rejects, each by its own verdict: a row is known by id, text and stratum, whether its id is null or shared by others."""
+    kept = verdicts(docs, labels, risk, doc_id, text, stratum).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("row").alias("_keep_row"), F.col("stratum").alias("_keep_stratum")).distinct()
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(text) == F.col("_keep_row")) & (stratum_of(stratum) == F.col("_keep_stratum"))
+    return docs.join(kept, same, "left_semi")
