@@ -58,3 +58,12 @@ def test_recall():
 
 def test_empty(spark):
     assert one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_one_id(spark):
+    """Rows that share an id, or have none, stay if their texts are unrelated; equal rows are one."""
+    texts = corpus()
+    rows = [(7, texts[0]), (7, texts[-1]), (7, texts[-1]), (9, texts[-1]), (None, texts[30]), (None, texts[30] + " x")]
+    want = [(7, texts[0]), (7, texts[-1])]
+    got = [(r.doc_id, r.text) for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for x in got if x[0]) == sorted(want) and sum(x[0] is None for x in got) == 1
