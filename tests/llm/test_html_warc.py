@@ -27,6 +27,11 @@ def test_text(html):
     assert main_text(html) == CASES[html]
 
 
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){f(i)} // don't stop</script>", "<script>var s = '<!--';</script>", "<style>a:after{content:\"<b 'x\"}</style>", '<script>if(a<b){t="</p>"}</script>'])
+def test_markup_after_raw_text(raw):
+    assert main_text(f"{raw}<nav><a href=x>site</a></nav><article><p>It's an article.</p><p>{LONG}</p></article>") == f"It's an article.\n{LONG}"
+
+
 def test_very_long_and_deep():
     assert main_text("<p>" + "word " * 200_000 + "</p>") == ("word " * 200_000).strip()
     assert main_text("<div>" * 5000 + f"<p>{LONG}</p>") == LONG

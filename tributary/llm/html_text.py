@@ -99,9 +99,7 @@ def parse(html: str) -> Node:
         if x is not root and x is not None:
             now = x.parent
 
-    for m in TOKEN.finditer(html):
-        if m.start() < at:  # in raw text
-            continue
+    while m := TOKEN.search(html, at):  # from at on: raw text has been left behind
         text(html[at : m.start()])
         at = m.end()
         if m[1]:
