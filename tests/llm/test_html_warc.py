@@ -65,6 +65,14 @@ def test_archives(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_revisits_of_repeated_ids(spark):
+    """Rows that share an id are told apart by their payloads."""
+    rows = [(1, "u", "one"), (2, "u", "two"), (5, "u", "one"), (5, "u", "other"), (6, "u", "one"), (6, "u", "two")]
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    first = {"one": 1, "two": 2, "other": 5}
+    assert got == sorted((i, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "revisit" if i > first[h] else "response", first[h] if i > first[h] else 0) for i, _, h in rows)
+
+
 def test_chunks(spark, tmp_path):
     rows, df = pages(spark)
     files = warc.write_archives(warc.chunk_table(df), f"file://{tmp_path}")

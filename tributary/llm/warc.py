@@ -44,13 +44,13 @@ def payload(html: str) -> Column:
 
 
 def originals(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
-    """(revisit, refers_to): each page whose payload, of at least so many bytes, a page of smaller id has as well.
+    """(revisit, same, refers_to): the id and the payload's digest of each page whose payload, of at least so many bytes, a page of smaller id has as well.
 
     The first page of each payload comes from an aggregation that combines before its shuffle.
     """
     each = durable(pages.select(F.col(page_id).cast("long").alias("page"), F.sha1(payload(html)).alias("digest"), F.octet_length(payload(html)).alias("size")))
     firsts = each.where(f"size >= {least}").groupBy("digest").agg(F.min("page").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return each.where(f"size >= {least}").join(firsts, "digest").where("page > refers_to").select(F.col("page").alias("revisit"), "refers_to").distinct()
+    return each.where(f"size >= {least}").join(firsts, "digest").where("page > refers_to").select(F.col("page").alias("revisit"), F.col("digest").alias("same"), "refers_to").distinct()
 
 
 def chunk_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
@@ -61,7 +61,8 @@ def chunk_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
     """
     first = originals(pages, page_id, html, least)
     rows = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).cast("string").alias("url"), payload(html).alias("body"))
-    rows = rows.join(first, rows["page"] == first["revisit"], "left").withColumns({"size": F.octet_length("body").cast("long"), "digest": F.sha1("body")})
+    rows = rows.withColumns({"size": F.octet_length("body").cast("long"), "digest": F.sha1("body")})
+    rows = rows.join(first, (rows["page"] == first["revisit"]) & (rows["digest"] == first["same"]), "left")
     n = F.when(F.col("refers_to").isNotNull(), F.lit(0)).otherwise(F.ceil(F.col("size") / CHUNK)).cast("int")
     cut = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("body"), i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array().cast("array<binary>"))
     rows = rows.select("page", "url", "refers_to", "size", "digest", cut.alias("cut"))  # so that no row of a chunk carries the body
