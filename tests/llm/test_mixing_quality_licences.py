@@ -200,3 +200,15 @@ def test_licences(spark):
     assert got == sorted(((d is not None, d or 0), *slow_scan(t)) for d, t in rows)
     assert licences.scan(df.limit(0)).count() == 0
     assert slow_scan(mit)[2] == "MIT" and slow_scan(texts[7])[2] == "MIT" and slow_scan(texts[5])[2] == "Apache-2.0"
+
+
+def test_licences_wrapped_in_longer_texts(spark):
+    """Each template as a comment of lines above other content."""
+    import textwrap
+
+    code = "\n".join(f"def f{i}(x):\n    return x + {i}\n" for i in range(60))
+    all_ = [(name, t) for name, texts in licences.TEMPLATES.items() for t in texts if len(t) > 70]
+    rows = [(i, "\n".join("# " + x for x in textwrap.wrap(t, 76 if len(t) > 200 else 40)) + "\n\n" + code) for i, (_, t) in enumerate(all_)]
+    rows += [(100, code), (101, "Licensed under CC BY-NC 4.0.\n" + code), (102, rows[0][1] + rows[1][1])]
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: n for i, (n, _) in enumerate(all_)} | {100: "", 101: "CC-BY-NC-4.0", 102: ",".join(sorted({all_[0][0], all_[1][0]}))}

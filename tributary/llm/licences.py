@@ -63,10 +63,48 @@ def bigrams(of: Column) -> Column:
     return F.when(F.size(of) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def runs(lines: Column, taken: Column, todo: Column, least: float) -> Column:
+    """(dice, name) of templates in todo that a run of two lines or more reaches, blank lines aside: each by its best run, unless a better one of another template overlaps it.
+
+    lines: arrays of words; taken: of the same lines, whether they match on their own, which no run holds. A run begins at a line that has a bigram of the template,
+    also with its neighbours: without its first line it would reach no less otherwise.
+    """
+    kept = F.filter(F.transform(lines, lambda w, i: F.struct(w.alias("w"), F.get(taken, i).alias("taken"))), lambda x: (F.size(x["w"]) > 1) | (F.get(x["w"], 0) != ""))
+
+    def of(rows: Column) -> Column:
+        def around(i: Column) -> Column:
+            before = F.when(i > 0, F.array(F.element_at(F.get(rows, i - 1)["w"], -1))).otherwise(F.array().cast("array<string>"))
+            after = F.when(i + 1 < F.size(rows), F.array(F.get(F.get(rows, i + 1)["w"], 0))).otherwise(F.array().cast("array<string>"))
+            return bigrams(F.concat(before, F.get(rows, i)["w"], after))
+
+        def best_run(t: Column) -> Column:
+            none = F.struct(F.lit(0.0).alias("dice"), F.lit(0).alias("j"))
+
+            def grown(state: Column, row: Column) -> Column:
+                new = F.array_union(state["grams"], bigrams(F.concat(state["last"], row["w"])))
+                over = state["over"] | row["taken"] | (F.size(new) * least > t["n"] * (2 - least))
+                now = F.struct((F.lit(2.0) * F.size(F.array_intersect(new, t["grams"])) / (F.size(new) + t["n"])).alias("dice"), (state["at"] + 1).alias("j"))
+                best = F.when(over | (state["at"] == 0), state["best"]).when(now["dice"] > state["best"]["dice"], now).otherwise(state["best"])
+                going = F.struct(new.alias("grams"), F.slice(row["w"], -1, 1).alias("last"), over.alias("over"), (state["at"] + 1).alias("at"), best.alias("best"))
+                return F.when(state["over"], state).otherwise(going)
+
+            first = F.struct(F.array().cast("array<string>").alias("grams"), F.array().cast("array<string>").alias("last"), F.lit(False).alias("over"), F.lit(0).alias("at"), none.alias("best"))
+            starts = F.filter(F.sequence(F.lit(0), F.size(rows) - 2), lambda i: ~F.get(rows, i)["taken"] & F.arrays_overlap(around(i), t["grams"]))
+            found = F.transform(starts, lambda i: F.aggregate(F.slice(rows, i + 1, F.size(rows) - i), first, grown, lambda s: F.struct(s["best"]["dice"].alias("dice"), t["name"].alias("name"), i.alias("i"), (i + s["best"]["j"]).alias("j"))))
+            return F.array_max(F.filter(found, lambda x: x["dice"] >= least))
+
+        each = F.reverse(F.array_sort(F.filter(F.transform(todo, best_run), lambda x: x.isNotNull())))
+        chosen = F.aggregate(each, F.array().cast("array<struct<dice:double,name:string,i:int,j:int>>"), lambda a, x: F.when(F.exists(a, lambda y: (x["i"] < y["j"]) & (y["i"] < x["j"])), a).otherwise(F.concat(a, F.array(x))))
+        return F.transform(chosen, lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name")))
+
+    none = F.array().cast("array<struct<dice:double,name:string>>")
+    return F.get(F.transform(F.array(kept), lambda rows: F.when(F.size(rows) > 1, of(rows)).otherwise(none)), 0)
+
+
 def scan(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row of docs: doc_id, n_notices (lines that match a template), licences (their names, sorted), best and dice (the name of the largest coefficient, the first by name among equals, and the coefficient; null and 0 if nothing reaches least).
 
-    The text as a whole can match too, so a licence over many lines is found where it is all there is. Null and empty texts match nothing.
+    The text as a whole can match too, and runs of lines, so a licence over many lines is found wherever it stands; n_notices counts single lines alone. Null and empty texts match nothing.
     Equal rows give equal rows; no rows, no result; other columns are not read. Nothing is shuffled: the templates are constants of the plan.
     """
     known = templates()
@@ -80,10 +118,19 @@ def scan(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: st
         scored = F.transform(fits, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (n + t["n"])).alias("dice"), t["name"].alias("name")))
         return F.array_max(F.transform(F.filter(scored, lambda x: x["dice"] >= least), lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name"))))
 
-    sets = units.select("doc_id", F.transform(F.transform("units", words), lambda w: F.when(F.size(w) > low, bigrams(w))).alias("sets"))
-    found = sets.select("doc_id", F.transform("sets", lambda s: F.when((F.size(s) >= low) & (F.size(s) <= high), best(s))).alias("found"))
+    every = sorted({g for _, grams in known for g in grams})
+    none = F.array().cast("array<struct<dice:double,name:string>>")
+    cut = units.select("doc_id", F.transform("units", words).alias("words"))
+    sets = cut.select("doc_id", "words", F.transform("words", lambda w: F.when(F.size(w) > low, bigrams(w))).alias("sets"))
+    found = sets.select("doc_id", "words", F.array_intersect(F.coalesce(F.get("sets", 0), F.array().cast("array<string>")), F.array(*map(F.lit, every))).alias("said"), F.transform("sets", lambda s: F.when((F.size(s) >= low) & (F.size(s) <= high), best(s))).alias("found"))
+    # A run that matches a template has so many of its bigrams, and so has the text.
+    todo = F.filter(names, lambda t: (F.size(F.array_intersect("said", t["grams"])) * (2 - least) >= t["n"] * least) & ~F.exists("found", lambda x: F.coalesce(x["name"] == t["name"], F.lit(False))))
+    some = F.get("found", 0).isNull() & (F.size("words") > 2) & (F.size("said") * (2 - least) >= min(len(g) for _, g in known) * least)
+    found = found.select("doc_id", "words", "found", F.when(some, todo).alias("todo"))
+    rest = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1)))
+    found = found.select("doc_id", "found", F.when(F.size("todo") > 0, runs(rest("words"), F.transform(rest("found"), lambda x: x.isNotNull()), F.col("todo"), least)).otherwise(none).alias("runs"))
     lines = F.filter(F.slice("found", 2, F.greatest(F.size("found") - 1, F.lit(1))), lambda x: x.isNotNull())
-    hits = F.filter("found", lambda x: x.isNotNull())
+    hits = F.concat(F.filter("found", lambda x: x.isNotNull()), "runs")
     top = F.array_max(F.transform(hits, lambda x: x["dice"]))
     name = F.array_min(F.transform(F.filter(hits, lambda x: x["dice"] == top), lambda x: x["name"]))
     return found.select("doc_id", F.size(lines).cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["name"]))), ",").alias("licences"), name.alias("best"), F.coalesce(top, F.lit(0.0)).alias("dice"))
