@@ -1,14 +1,16 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm.packing import pack, pack_documents
+from tributary.llm.packing import LINEAR, QUADRATIC, pack, pack_documents
 from tributary.llm.queries import vocabulary
 from tributary.llm.token_files import EliasFano, Reader, token_round_trip, write_token_files
+from tributary.llm import tokens
 from tributary.llm.tokens import Encoder
 
 pytest.importorskip("public_tokenizers")
@@ -17,23 +19,37 @@ NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 
 def odd_texts(n=400, seed=3):
     r = random.Random(seed)
-    bits = ["a", "b ", " ", "\n", "  ", " ", "'s", "1", "é", "\t", "Σ", "İ", ". ", "　", "<|endoftext|>", "word", ", ", "don't ", "naïve. ", "x" * 70]
+    bits = ["a", "b ", " ", "\n", "  ", " ", "'s", "1", "é", "\t", "Σ", "İ", ". ", "　", "<|endoftext|>", "word", ", ", "don't ", "naïve. ", "x" * 70, "\x1e", "*&* ", "1st, "]
     return ["".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(n)] + ["", " ", "\n", "a", "a\n", "\na", "a \n b", "Hello world. Hello, world\nHello world."]
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_pieces_give_the_whole_texts_ids(name):
-    e = Encoder(vocabulary(name))
-    texts = odd_texts()
-    for _ in range(2):  # afresh and from memory
-        assert all(e.encode(t) == e.whole(t) for t in texts)
+def plain(name):
+    """The library's own ids, by a tokenizer that nothing has touched."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary(name))
+    return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("gaps", [[0], [0, 0, 0, 5], [1] * 300, [1000, 0, 3, 99999, 1] * 50])
+@pytest.mark.parametrize("name", NAMES)
+def test_pieces_give_the_whole_texts_ids(name, monkeypatch):
+    ids, texts = plain(name), odd_texts() + ["x<|endoftext|>", "a <|startoftext|> b", "<|endoftext|>", "word " * 300 + "<|endoftext|> " + "end. " * 300]
+    want = [ids(t) for t in texts]
+    for stretch in (tokens.STRETCH, 7):  # as wholes, and cut wherever a text may be
+        monkeypatch.setattr(tokens, "STRETCH", stretch)
+        e = Encoder(vocabulary(name), words=100)  # so few that words are forgotten on the way
+        for _ in range(2):  # afresh and from memory
+            assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode_all(texts)] == want
+        assert [np.frombuffer(e.encode(t), e.dtype).tolist() for t in texts] == want
+
+
+@pytest.mark.parametrize("gaps", [[0], [0, 0, 0, 5], [1] * 300, [1000, 0, 3, 99999, 1] * 50, [7] * 70_000, [1 << 40, 1 << 62]])
 def test_elias_fano(gaps):
     values = np.cumsum(gaps)
     code = EliasFano.of(values, int(values[-1]))
-    assert code.values().tolist() == values.tolist() == [code.select(i) for i in range(len(values))]
+    assert code.values().tolist() == values.tolist()
+    some = range(0, len(values), 1 + len(values) // 500)
+    assert [code.select(i) for i in some] == values[:: some.step].tolist()
     assert len(code.tobytes()) <= sum(EliasFano.sizes(len(values), int(values[-1])))
 
 
@@ -46,13 +62,14 @@ def documents(spark):
 
 def test_round_trip(spark):
     rows, df = documents(spark)
-    e, start, want = Encoder(vocabulary(NAMES[0])), 0, []
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = np.array([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
-        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
-        start += len(ids)
-    got = [tuple(r) for r in token_round_trip(df, vocabulary(NAMES[0])).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
-    assert sorted(got, key=lambda r: r[1]) == want
+    ids, want = plain(NAMES[0]), []
+    for d, t in rows:
+        own = np.array([*ids(t or ""), 0], dtype="<u4")
+        want.append((d is not None, d or 0, len(own), zlib.crc32(own.tobytes())))
+    got = sorted(token_round_trip(df, vocabulary(NAMES[0])).collect(), key=lambda r: r.start)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in got] == [0, *accumulate(r.n_tokens for r in got)][:-1]
     assert token_round_trip(df.limit(0), vocabulary(NAMES[0])).count() == 0
 
 
@@ -85,10 +102,28 @@ def test_pack(lengths):
     assert len(by_seq) == -(-sum(x % 4096 for x in lengths) // 4096) + sum(x // 4096 for x in lengths)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pieces_go_to_the_sequence_of_least_cost(seed):
+    r, cost = random.Random(seed), lambda n: LINEAR * n + QUADRATIC * n * n
+    lengths = [r.choice([r.randrange(1, 60), r.randrange(1, 300)]) for _ in range(120)]
+    got, place = pack(lengths, 100), {}
+    for d, start, n, seq, offset in got:
+        place.setdefault(d, []).append((start, n, seq))
+    full = sum(x // 100 for x in lengths)
+    bins = [[0.0, 0] for _ in range(-(-sum(x % 100 for x in lengths) // 100))]
+    for n, d in sorted(((x % 100, i) for i, x in enumerate(lengths) if x % 100), key=lambda x: (-x[0], x[1])):
+        room = [(b[0], i) for i, b in enumerate(bins) if b[1] + n <= 100]
+        if room:  # what fits nowhere is cut later
+            b = min(room)[1]
+            assert place[d][-1] == (lengths[d] - n, n, full + b)
+            bins[b][0] += cost(n)
+            bins[b][1] += n
+
+
 def test_packed_documents(spark):
     rows, df = documents(spark)
-    e, name = Encoder(vocabulary(NAMES[1])), vocabulary(NAMES[1])
-    want = sorted(((d is not None, d or 0), tuple([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2])) for d, t in rows if d != 7)
+    encode, name = plain(NAMES[1]), vocabulary(NAMES[1])
+    want = sorted(((d is not None, d or 0), tuple([*encode(t or ""), 2])) for d, t in rows if d != 7)
     got = pack_documents(df, name, window=5000).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
     ids = dict(want)
@@ -97,5 +132,5 @@ def test_packed_documents(spark):
             own = ids[(r.doc_id is not None, r.doc_id or 0)]
             part = np.array(own[r.start : r.start + r.length], dtype="<u4")
             assert r.doc_tokens == len(own) and r.ids_crc32 == zlib.crc32(part.tobytes())
-    assert sum(r.length for r in got if r.doc_id == 7) == sum(len(e.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in rows if d == 7)
+    assert sum(r.length for r in got if r.doc_id == 7) == sum(len(encode(t)) + 1 for d, t in rows if d == 7)
     assert pack_documents(df.limit(0), name).count() == 0

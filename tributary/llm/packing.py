@@ -76,8 +76,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each partition packs its own documents, a window of tokens at a time, so nothing is shuffled and a
-    task holds no more than a window and one document. Equal rows are packed each for itself; null
-    texts are empty, and an empty text is its end id; a null id stays null. No rows, no pieces.
+    task holds no more than a window, a batch of texts and their ids. Which documents share a sequence therefore follows from how
+    the input is split. Among pieces of one length the earlier document's comes first, among sequences of one cost the earlier.
+    A text of any length is encoded in stretches and cut into full sequences and a rest. Equal rows are packed each for itself; null
+    texts are empty, and an empty text is its end id; a null id stays null. No rows, no pieces. Other columns are not read, whatever their names.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -101,12 +103,11 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
             return frame.astype({"doc_id": "Int64"})
 
         for batch in batches:
-            for key, t in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()):
-                held.append((key, use.encode(t) + end))
+            for key, ids in zip(batch["doc_id"].astype("Int64").tolist(), use.encode_all(batch["text"].tolist())):
+                held.append((key, ids + end))
                 size += len(held[-1][1]) // width
                 if size >= window:
                     yield packed()
-        use.seen.clear()
         if held:
             yield packed()
 

@@ -3,15 +3,17 @@
 File format, little endian, read from its end:
 
     ids         unsigned 16 or 32 bit integers, all documents in turn, each with its end id
-    doc ids     int64 each, 0 where null
-    nulls       a bit for each doc id, 1 where null
-    low bits    of the boundaries, ``low`` bits each
-    high bits   of the boundaries in unary: boundary i sets bit (value >> low) + i
+    boundaries  an Elias-Fano code of the starts and the end
+    doc ids     an Elias-Fano code of doc id minus the least one; documents of null id come first and have none
+    trailer     magic, bytes of an id, number of documents, of those with an id, the least and the largest doc id, number of ids
+
+An Elias-Fano code of n numbers up to ``top``:
+
+    low bits    ``low`` bits of each number
+    high bits   in unary: number i sets bit (number >> low) + i
     samples     uint64 each: the place of every 64th bit that is set in the high bits
-    trailer     magic, bytes of an id, low, number of documents, number of ids
 
-There are one more boundaries than documents: the starts and the end. A boundary takes about
-2 + log2(ids / documents) bits, where a table would take 64.
+A number takes about 2 + log2(top / n) bits, where a table would take 64.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 from tributary.llm.common import new_folder, small_batches
 from tributary.llm.tokens import encoder
 
-MAGIC = b"TRIBTOK1"
-TRAILER = struct.Struct("<8sBBQQ")
+MAGIC = b"TRIBTOK2"
+TRAILER = struct.Struct("<8sBQQqqQ")
 SAMPLE = 64
+#: Numbers that are coded at once; a multiple of eight.
+PART = 1 << 16
 #: Ids that are read at once.
 BLOCK = 1 << 21
 
@@ -57,11 +61,14 @@ class EliasFano:
     def of(cls, values: np.ndarray, top: int) -> EliasFano:
         values = np.asarray(values, dtype=np.uint64)
         n, low = len(values), cls.low_width(len(values), top)
-        bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
+        parts = [np.zeros(0, dtype=np.uint8)]
+        for i in range(0, n if low else 0, PART):
+            bits = np.unpackbits(values[i : i + PART].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            parts.append(np.packbits(bits[:, :low].ravel(), bitorder="little"))
         places = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
-        high = np.zeros(8 * cls.sizes(n, top)[1], dtype=np.uint8)
-        high[places] = 1
-        return cls(n, low, np.packbits(bits, bitorder="little"), np.packbits(high, bitorder="little"), places[::SAMPLE].astype("<u8"))
+        high = np.zeros(cls.sizes(n, top)[1], dtype=np.uint8)
+        np.bitwise_or.at(high, places // 8, (1 << (places % 8)).astype(np.uint8))
+        return cls(n, low, np.concatenate(parts), high, places[::SAMPLE].astype("<u8"))
 
     def select(self, i: int) -> int:
         """Value i, from the nearest sample on."""
@@ -84,11 +91,24 @@ class EliasFano:
         return part >> (first % 8) & ((1 << self.low) - 1)
 
     def values(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high_bits, bitorder="little"))[: self.n]
-        high = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
-        bits = np.unpackbits(self.low_bits, count=self.n * self.low, bitorder="little").reshape(self.n, self.low)
-        low = (bits.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if self.low else np.uint64(0)
-        return (high | low).astype(np.int64)
+        """All of them, unsigned."""
+        places = np.concatenate([np.flatnonzero(np.unpackbits(self.high_bits[i : i + PART], bitorder="little")) + 8 * i for i in range(0, len(self.high_bits), PART)])[: self.n]
+        out = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
+        for i in range(0, self.n if self.low else 0, PART):
+            k = min(PART, self.n - i)
+            bits = np.zeros((k, 64), dtype=np.uint8)
+            bits[:, : self.low] = np.unpackbits(self.low_bits[i * self.low // 8 :], count=k * self.low, bitorder="little").reshape(k, self.low)
+            out[i : i + k] |= np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+        return out
+
+    @classmethod
+    def read(cls, file, at: int, n: int, top: int) -> tuple[EliasFano, int]:
+        """The code that begins at a place of a file, and where it ends."""
+        parts = []
+        for size in cls.sizes(n, top):
+            parts.append(np.frombuffer(file.read_at(size, at), dtype=np.uint8))
+            at += size
+        return cls(n, cls.low_width(n, top), parts[0], parts[1], parts[2].view("<u8")), at
 
     def tobytes(self) -> bytes:
         return self.low_bits.tobytes() + self.high_bits.tobytes() + self.samples.tobytes()
@@ -117,34 +137,32 @@ class Writer:
         self.starts.append(self.total)
 
     def close(self) -> None:
-        null = np.array([x is None for x in self.ids], dtype=np.uint8)
-        code = EliasFano.of(np.array(self.starts), self.total)
-        self.out.write(np.array([x or 0 for x in self.ids], dtype="<i8").tobytes() + np.packbits(null, bitorder="little").tobytes() + code.tobytes())
-        self.out.write(TRAILER.pack(MAGIC, self.dtype.itemsize, code.low, len(self.ids), self.total))
+        known = np.array([x for x in self.ids if x is not None], dtype=np.int64)
+        least, most = (int(known[0]), int(known[-1])) if len(known) else (0, 0)
+        self.out.write(EliasFano.of(np.array(self.starts), self.total).tobytes())
+        self.out.write(EliasFano.of(known.view(np.uint64) - np.uint64(least % (1 << 64)), most - least).tobytes())
+        self.out.write(TRAILER.pack(MAGIC, self.dtype.itemsize, len(self.ids), len(known), least, most, self.total))
         self.out.close()
         self.fs.move(self.draft, self.path)
 
 
 class Reader:
-    """A file of Writer's: doc_ids (None for null), bounds, and the ids of any document."""
+    """A file of Writer's: bounds, doc_ids (None for null), and the ids of any document."""
 
     def __init__(self, uri: str) -> None:
         self.fs, path = filesystem(uri)
         self.file = self.fs.open_input_file(path)
         size = self.file.size()
-        magic, width, low, n, total = TRAILER.unpack(self.file.read_at(TRAILER.size, size - TRAILER.size))
+        magic, width, self.n, known, self.least, most, self.total = TRAILER.unpack(self.file.read_at(TRAILER.size, size - TRAILER.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token file")
-        self.dtype, self.n, self.total = np.dtype(f"<u{width}"), n, total
-        at = total * width
-        ids = np.frombuffer(self.file.read_at(8 * n, at), dtype="<i8")
-        null = np.unpackbits(np.frombuffer(self.file.read_at((n + 7) // 8, at := at + 8 * n), dtype=np.uint8), count=n, bitorder="little")
-        self.doc_ids = [None if x else y for x, y in zip(null.tolist(), ids.tolist())]
-        at, parts = at + (n + 7) // 8, []
-        for size in EliasFano.sizes(n + 1, total):
-            parts.append(np.frombuffer(self.file.read_at(size, at), dtype=np.uint8))
-            at += size
-        self.bounds = EliasFano(n + 1, low, parts[0], parts[1], parts[2].view("<u8"))
+        self.dtype, self.nulls = np.dtype(f"<u{width}"), self.n - known
+        self.bounds, at = EliasFano.read(self.file, self.total * width, self.n + 1, self.total)
+        self.names, _ = EliasFano.read(self.file, at, known, most - self.least)
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return [None] * self.nulls + [x + self.least for x in self.names.values().tolist()]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(self.bounds.select(i), self.bounds.select(i + 1))
@@ -165,21 +183,23 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     """Writes all documents to files below folder, in ascending doc_id order from file to file and within each.
 
     Returns (file, documents, ids) of each file in that order, a row for each partition. A null text is
-    an empty one and has the end id alone; null ids come first; documents of equal ids go by their text.
-    A task that runs again writes the same file again. An empty table gives no files. Other columns are not read.
+    an empty one and has the end id alone; null ids come first; documents of equal ids go by their text's hash.
+    Rows of one id, or of none, may be cut into several files by the hash of their text; equal rows each have their own place.
+    A task that runs again writes the same file again. An empty table gives no files. Other columns are not read, whatever their names.
+    A long text is encoded in stretches, so a task holds a batch of texts, their ids and a number a document.
     folder is a URI that the executors can open, as one in the shared folder.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use, number, out = encoder(vocabulary), TaskContext.get().partitionId(), None
         end = np.array([end_id], dtype=use.dtype).tobytes()
         for batch in batches:
-            for key, t in zip(batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()):
+            for key, ids in zip(batch["doc_id"].astype("Int64").tolist(), use.encode_all(batch["text"].tolist())):
                 out = out or Writer(f"{folder}/part-{number:06d}.tok", use.dtype)
-                out.add(None if key is pd.NA else int(key), use.encode(t) + end)
+                out.add(None if key is pd.NA else int(key), ids + end)
         if out:
             out.close()
             yield pd.DataFrame({"number": [number], "file": [f"{folder}/part-{number:06d}.tok"], "docs": [len(out.ids)], "ids": [out.total]})
@@ -202,13 +222,13 @@ def read_token_files(spark, files: list[tuple[str, int, int]]) -> DataFrame:
         for batch in batches:
             for file, base in zip(batch["file"].tolist(), batch["start"].tolist()):
                 r = Reader(file)
-                bounds, i = r.bounds.values(), 0
+                bounds, names, i = r.bounds.values().astype(np.int64), r.doc_ids, 0
                 while i < r.n:  # as many documents as a block holds, one at least
                     j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK, side="right")) - 1)
                     ids, crcs = r.ids(int(bounds[i]), int(bounds[j])), []
                     for a, b in zip(bounds[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i]):
                         crcs.append(crc32(ids[a:b]))
-                    yield pd.DataFrame({"doc_id": pd.array(r.doc_ids[i:j], dtype="Int64"), "start": bounds[i:j] + base, "n_tokens": np.diff(bounds[i : j + 1]), "ids_crc32": crcs})
+                    yield pd.DataFrame({"doc_id": pd.array(names[i:j], dtype="Int64"), "start": bounds[i:j] + base, "n_tokens": np.diff(bounds[i : j + 1]), "ids_crc32": crcs})
                     i = j
                 r.close()
 

@@ -1,112 +1,170 @@
-"""Token ids of whole texts by the tokenizers library, with a memory of pieces seen before.
+"""Token ids of whole texts by the tokenizers library, with a memory of words seen before.
 
-A text is cut where its tokenizer cuts it anyway, before a single space or line feed between two
-characters that aren't white space. The library encodes every distinct piece; most pieces repeat, so
-most ids come from memory. A text in which white space meets white space is encoded as a whole.
+A text is cut where its tokenizer cuts it anyway: before a single space or line feed between two characters
+that aren't white space. All pieces of many texts are cut and numbered at once by Arrow, every different one is looked up or encoded once,
+and the texts' ids are gathered from those of the pieces. A stretch in which white space meets white space, or a special token
+stands, is encoded by the library as it is. Ids are always those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; then it starts afresh. Bounds memory, changes no result.
-PIECES = 600_000
+#: Words of a generation. A worker remembers two: when one is full, the one before it is forgotten. Bounds memory, changes no result.
+WORDS = 600_000
 #: A longer piece is encoded each time.
 LONGEST = 64
-#: Marks that end a word and are tokens of their own behind a letter.
-MARKS = (".", ",")
-NONE: tuple[str, ...] = ()
+#: Characters of the texts that are worked on at once, and of a stretch of a longer text.
+GROUP, STRETCH = 1 << 22, 1 << 18
+#: Behind a letter these begin a token of their own, whatever follows.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Stands before the first piece of a text, which has no space before it.
+FIRST = "\x1e"
+LEADS = ("\n", FIRST)
+#: A place where a text may be cut.
+CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
-    """encode(text) gives the ids as little-endian bytes of ``dtype``."""
+    """encode_all(texts) gives each text's ids as little-endian bytes of ``dtype``."""
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, words: int = WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.seen: dict[str, bytes | bool] = {}
         size, last = self.tokenizer.get_vocab_size(), self.tokenizer.model.end_of_word_suffix
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        #: Which tokens end a word, or else begin one with its space.
+        #: Which tokens end a word; else which begin one with its space, and which are a line feed.
         self.ends = np.array([t.endswith(last) for t in tokens]) if last else None
-        self.begins = None if last else np.array([t.startswith("\u0120") for t in tokens])
-        self.marks = {x: self.whole(x) for x in MARKS}
+        self.begins = {} if last else {" ": np.array([t.startswith("Ġ") for t in tokens]), "\n": np.array([t == "Ċ" for t in tokens])}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.limit, self.new, self.old = words, {}, {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if len(text) > LONGEST and text.count(" ") * LONGEST < len(text):
-            return self.whole(text)
-        if len(self.seen) > PIECES:
-            self.seen.clear()
-        first, *rest = text.replace("\n", " \n").split(" ")
-        known = list(map(self.seen.get, rest))
-        if None in known:
-            novel = [i for i, y in enumerate(known) if y is None]
-            self.learn({rest[i] for i in novel})
-            for i in novel:
-                known[i] = self.seen[rest[i]]
-        if not first or first[-1].isspace():
-            return self.whole(text)
-        try:
-            return self.whole(first) + b"".join(known)
-        except TypeError:  # a False among them
-            return self.whole(text)
-
-    def learn(self, pieces: set[str]) -> None:
-        """A word and the mark that ends it are tokens of their own, so the word alone is encoded; False: a piece that ends no token."""
-        words: dict[str, tuple[str, ...]] = {}
-        others: dict[str, tuple[str, ...]] = {}
-        seen = self.seen
-        for x in pieces:
-            if x.isalpha():
-                words.setdefault(x, NONE)
-            elif x[-1:] in MARKS and x[-2:-1].isalpha() and len(x) > 2:
-                if ids := seen.get(core := x[:-1]):
-                    seen[x] = ids + self.marks[x[-1]]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """A long text is worked on in stretches, so only one without any place to cut is held by the library as a whole."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, str, bool]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                m = CUT.search(text, at + STRETCH) if len(text) > at + STRETCH else None
+                end = m.start() if m else len(text)
+                group.append((i, text[at:end], at == 0))
+                size += end - at
+                at = m.end() if m else end
+                if size >= GROUP:
+                    self._run(group, out)
+                    group, size = [], 0
+        self._run(group, out)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _run(self, group: list[tuple[int, str, bool]], out: list[list[bytes]]) -> None:
+        if not group:
+            return
+        asis = [FIRST in t or any(s in t for s in self.special) for _, t, _ in group]
+        if self.ends is None:
+            cut = [FIRST + t if first else t for _, t, first in group]
+            lists = pc.split_pattern(pc.replace_substring(pa.array(cut, pa.string()), "\n", " \n"), " ")
+        else:  # white space is no part of any token
+            lists = pc.split_pattern(pc.replace_substring(pa.array([t for _, t, _ in group], pa.string()), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        known = self.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        taken = pa.array(known, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], dtype=np.int32)[lists.offsets.to_numpy()].tolist()
+        data = memoryview(taken.buffers()[2])
+        if taken.null_count:
+            for i in np.flatnonzero(np.add.reduceat(taken.is_null().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1])).tolist():
+                asis[i] = True
+        for (i, text, first), a, b, whole in zip(group, ends, ends[1:], asis):
+            out[i].append(self.whole(text if first else " " + text) if whole else bytes(data[a:b]))
+
+    def of(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of each piece, None for one that can't stand for itself."""
+        new, old = self.new, self.old
+        got = list(map(new.get, pieces))
+        todo = [i for i, x in enumerate(got) if x is None]
+        at: list[int] = []
+        cores: list[str] = []
+        novel: dict[str, None] = {}
+        for i in todo:
+            x = core = pieces[i]
+            if not x.isalpha():
+                core = x.rstrip(MARKS)
+                word = core[1:] if core[:1] in LEADS else core
+                if not word or not (word.isalpha() and word[-1] < "ɐ" and word[-1] != "İ"):  # that one ends in a mark when in lower case
+                    core, word = x, x[1:] if x[:1] in LEADS else x
+                    if not word or word.split() != [word]:
+                        continue
+            at.append(i)
+            cores.append(core)
+            if core not in new:
+                if (ids := old.get(core)) is not None:
+                    new[core] = ids
                 else:
-                    group = words if core.isalpha() else others
-                    group[core] = (*group.get(core, NONE), x)
-            elif not x or x == "\n" or x[-1].isspace() or x[x[0] == "\n"].isspace():
-                seen[x] = False
-            else:
-                others.setdefault(x, NONE)
-        if words and not self.learn_words(words):
-            others |= words
-        texts = [x if x[0] == "\n" else " " + x for x in others]
-        for (core, ends), e in zip(others.items(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.keep(core, ends, np.array(e.ids, dtype=self.dtype).tobytes())
-
-    def learn_words(self, words: dict[str, tuple[str, ...]]) -> bool:
+                    novel[core] = None
+        long = self.learn(list(novel)) if novel else {}
+        for i, core in zip(at, cores):
+            ids = new.get(core)
+            if ids is None:
+                ids = long[core]
+            if marks := pieces[i][len(core) :]:
+                if marks not in self.marks:
+                    self.marks[marks] = self.whole(marks)
+                ids += self.marks[marks]
+            got[i] = ids
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+        return got
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Encodes new words; returns those that are too long to be remembered."""
+        kinds: dict[str, list[str]] = {" ": [], "\n": [], "": []}
+        for x in words:
+            kinds["\n" if x[0] == "\n" and x[1:].isalpha() else " " if x.isalpha() else ""].append(x)
+        for sep in (" ", "\n"):
+            if kinds[sep] and not self._learn_words(kinds[sep], sep):
+                kinds[""] += kinds[sep]
+        rest = kinds[""]
+        texts = [x[1:] if x[0] == FIRST else x if x[0] == "\n" else " " + x for x in rest]
+        long = {}
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            (long if len(x) > LONGEST else self.new)[x] = self.packed(e.ids)
+        return long
+
+    def _learn_words(self, words: list[str], sep: str) -> bool:
         """Words of letters alone, encoded as one text; False if the tokenizer cuts it into other words, then nothing is learnt."""
-        e = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(e.ids, dtype=self.dtype)
-        first = np.flatnonzero(self.begins[ids]) if self.begins is not None else np.concatenate([[0], np.flatnonzero(self.ends[ids])[:-1] + 1])
+        text = "".join(words) if sep == "\n" else " " + " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        first = np.flatnonzero(self.begins[sep][ids]) if self.ends is None else np.concatenate([[0], np.flatnonzero(self.ends[ids])[:-1] + 1])
         if len(first) != len(words) or first[0] != 0:
             return False
-        data, width = ids.tobytes(), self.dtype.itemsize
-        bounds = (first * width).tolist()
-        for (core, pieces), a, b in zip(words.items(), bounds, [*bounds[1:], len(data)]):
-            self.keep(core, pieces, data[a:b])
+        data, bounds = ids.tobytes(), (first * self.dtype.itemsize).tolist()
+        self.new.update(zip(words, map(lambda a, b: data[a:b], bounds, [*bounds[1:], len(data)])))
         return True
 
-    def keep(self, core: str, pieces: tuple[str, ...], ids: bytes) -> None:
-        self.seen[core] = ids
-        for x in pieces:
-            self.seen[x] = ids + self.marks[x[-1]]
-
 
 @cache
 def encoder(file: str) -> Encoder:
-    """The worker's own, kept for its later tasks. What it has seen should be cleared when a stage is through, as idle workers hold their memory."""
+    """The worker's own, kept for its later tasks."""
     return Encoder(file)
