@@ -8,8 +8,8 @@ from tributary.plans import config as C
 from tributary.plans.engine import run
 from tributary.plans.validate import json_errors
 
-RECRUITER = 'name,email,phone,current_company,title,skills\nTejaswi Bhavani,tejaswi@gmail.com,9876543210,Google,Software Engineer,"Java,Python,React,SQL"\n'
-PROFILE = {"full_name": "Tejaswi Bhavani Hari", "email": "tejaswi.bhavani@gmail.com", "phone": "+91 98765 43210", "company": "Google", "position": "Software Engineer II", "skills": ["Java", "Python", "ReactJS", "SQL"]}
+RECRUITER = 'name,email,phone,current_company,title,skills\nMira Castell,mira@example.org,9876543210,Google,Software Engineer,"Java,Python,React,SQL"\n'
+PROFILE = {"full_name": "Mira Castell Ono", "email": "mira.castell@example.org", "phone": "+91 98765 43210", "company": "Google", "position": "Software Engineer II", "skills": ["Java", "Python", "ReactJS", "SQL"]}
 
 
 @pytest.fixture
@@ -33,8 +33,8 @@ def output(result):
 
 def test_two_sources(spark, files):
     out, errors = output(r := run(spark, files(recruiter__csv=RECRUITER, linkedin__json=json.dumps(PROFILE))))
-    assert errors == [] and out["candidate_id"] == "cand_35daddd011" and out["full_name"] == "Tejaswi Bhavani Hari"
-    assert out["emails"] == ["tejaswi@gmail.com", "tejaswi.bhavani@gmail.com"] and out["phones"] == ["+919876543210"]
+    assert errors == [] and out["candidate_id"] == "cand_3398677689" and out["full_name"] == "Mira Castell Ono"
+    assert out["emails"] == ["mira@example.org", "mira.castell@example.org"] and out["phones"] == ["+919876543210"]
     assert out["current_title"] is None and out["overall_confidence"] == 0.3
     assert [s["name"] for s in out["skills"]] == ["Java", "Python", "React", "SQL"] and {s["confidence"] for s in out["skills"]} == {0.8}
     assert sorted(w["message"].split(":")[0] for w in r.warnings.collect()) == ["conflict on 'current_title'", "conflict on 'full_name'"]
@@ -58,9 +58,9 @@ def test_bad_sources(spark, files):
     assert told["broken.json"].startswith("invalid JSON") and told["x.docx"] == "unsupported file type '.docx'" and told["none.csv"] == "file not found" and told["r.pdf"].startswith("could not read PDF")
 
 
-RESUME = """TEJASWI BHAVANI HARI
+RESUME = """MIRA CASTELL ONO
 Hyderabad, Telangana
-t@x.org | +91 98765 43210 | linkedin.com/in/tej
+t@x.org | +91 98765 43210 | linkedin.com/in/mira
 Ski lls:
 Languages: Python, SQL
 Exp erience
@@ -77,21 +77,21 @@ Bachelor of Science, X University
 
 def test_document(spark, files):
     out, errors = output(run(spark, files(resume__pdf=RESUME), extract=lambda b: b.decode()))
-    assert errors == [] and out["full_name"] == "TEJASWI BHAVANI HARI" and out["emails"] == ["t@x.org"] and out["phones"] == ["+919876543210"]
+    assert errors == [] and out["full_name"] == "MIRA CASTELL ONO" and out["emails"] == ["t@x.org"] and out["phones"] == ["+919876543210"]
     assert out["current_company"] == "Stefanini India Pvt. Ltd." and out["current_title"] == "AI Intern"
     assert out["experience"] == [{"company": "Stefanini India Pvt. Ltd.", "title": "AI Intern", "start": None, "end": "June 2026", "summary": "remote Architected things Developed more"}]
-    assert out["links"] == {"linkedin": "https://linkedin.com/in/tej"} and [e["description"] for e in out["education"]] == ["Bachelor of Science, X University"]
+    assert out["links"] == {"linkedin": "https://linkedin.com/in/mira"} and [e["description"] for e in out["education"]] == ["Bachelor of Science, X University"]
 
 
 def test_enrichment(spark, files):
-    found = spark.createDataFrame([("https://linkedin.com/in/tej", json.dumps({"headline": "Builder", "skills": ["sql", {"name": "x" * 50}], "education": [{"degree": "BSc", "school": "X", "start": "2019"}]}))], "url string, payload string")
+    found = spark.createDataFrame([("https://linkedin.com/in/mira", json.dumps({"headline": "Builder", "skills": ["sql", {"name": "x" * 50}], "education": [{"degree": "BSc", "school": "X", "start": "2019"}]}))], "url string, payload string")
     out, _ = output(run(spark, files(resume__pdf=RESUME), extract=lambda b: b.decode(), profiles=found))
     assert out["headline"] == "Builder" and {s["name"]: s["confidence"] for s in out["skills"]} == {"SQL": 0.75, "Python": 0.5}
     assert out["education"][0]["description"] == "Bachelor of Science, X University"
 
 
 CONFIGS = [
-    ({"fields": [{"path": "full_name"}, {"path": "primary_email", "from": "emails[0]"}]}, {"full_name": "Tejaswi Bhavani", "primary_email": "tejaswi@gmail.com"}, []),
+    ({"fields": [{"path": "full_name"}, {"path": "primary_email", "from": "emails[0]"}]}, {"full_name": "Mira Castell", "primary_email": "mira@example.org"}, []),
     ({"fields": [{"path": "x"}, {"path": "emails[3]"}], "on_missing": "omit"}, {}, []),
     ({"fields": [{"path": "x"}, {"path": "headline"}]}, {"x": None, "headline": None}, []),
     ({"fields": [{"path": "headline", "required": True}]}, {"headline": None}, ["validation: $: missing required field 'headline'"]),

@@ -16,7 +16,7 @@ def test_command(spark, files, tmp_path, capsys):  # noqa: F811
     paths = files(recruiter__csv=RECRUITER, linkedin__json=json.dumps(PROFILE))
     assert main(["--sources", *paths, "--show-canonical"], spark) == 0
     out, err = capsys.readouterr()
-    assert json.loads(out)["full_name"] == "Tejaswi Bhavani Hari" and "[warn] conflict on 'full_name'" in err and "canonical profile" in err
+    assert json.loads(out)["full_name"] == "Mira Castell Ono" and "[warn] conflict on 'full_name'" in err and "canonical profile" in err
     config = tmp_path / "c.json"
     config.write_text('{"fields": [{"path": "years_of_experience"}], "on_missing": "error"}')
     assert main(["--sources", *paths, "--config", str(config)], spark) == 1
@@ -25,7 +25,7 @@ def test_command(spark, files, tmp_path, capsys):  # noqa: F811
 
 def test_answer(spark, files):  # noqa: F811
     got = answer(spark, files(resume__txt="x", r__pdf=RESUME), config_json='{"fields": [{"path": "full_name"}]}', extract=lambda b: b.decode())
-    assert got["ok"] and got["output"] == {"full_name": "TEJASWI BHAVANI HARI"} and got["discovered_urls"]["linkedin"] == "https://linkedin.com/in/tej"
+    assert got["ok"] and got["output"] == {"full_name": "MIRA CASTELL ONO"} and got["discovered_urls"]["linkedin"] == "https://linkedin.com/in/mira"
     assert {"LinkedIn enrichment unavailable", "Profile incomplete: missing email, phone, skills", "source 'resume.txt' skipped: CSV has no data rows"} <= set(got["warnings"])
     rows = answer(spark, files(b__csv="name,email\nA,a@x.com\nB,b@x.com\n"))
     assert [c["output"]["full_name"] for c in rows["candidate_outputs"]] == ["A", "B"] and rows["output"]["full_name"] == "A"

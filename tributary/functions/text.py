@@ -225,8 +225,3 @@ def years(v: Column) -> Column:
 def unfenced(text: Column) -> Column:
     """JSON text of a model's answer, without the code fence around it."""
     return strip(F.regexp_replace(F.regexp_replace(strip(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
-
-
-def service_error(message: Column) -> Column:
-    m = F.lower(message)
-    return F.when(F.contains(m, F.lit("429")) | F.contains(m, F.lit("quota")), "quota").when(F.contains(m, F.lit("api_key")) | F.contains(m, F.lit("401")), "key").when(F.contains(m, F.lit("503")), "unavailable").otherwise("other")

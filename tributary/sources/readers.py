@@ -18,7 +18,7 @@ from tributary.functions import dicts as D
 from tributary.operators.evidence import evidence, union
 from tributary.session import ship
 
-ALIASES = {a: field for field, aliases in D.COLUMN_ALIASES.items() for a in aliases.split()}
+ALIASES = {a: field for field, aliases in D.COLUMN_ALIASES.items() for a in aliases}
 SOURCES = "entity_id string, source_seq int, source_id string, source_type string, ok boolean, error string, warnings array<string>"
 FACT = "source_seq int, ev_seq int, row int, field_name string, raw_value string, key string, source_id string, source_type string, method string, ok boolean, error string, warnings array<string>"
 
@@ -84,7 +84,7 @@ def json_facts(name: str, data: bytes) -> Iterator[tuple]:
     if not isinstance(top, dict):
         raise ValueError("expected a JSON object at the top level")
     for field, keys in D.KEY_ALIASES.items():
-        for key in keys.split():
+        for key in keys:
             values = [x for x in (top[key] if isinstance(top.get(key), list) else [top.get(key)]) if x is not None and str(x).strip()]
             if values:
                 for x in values if field in D.MULTI_FIELDS else values[:1]:
@@ -202,7 +202,7 @@ def json_column(df: DataFrame, entity_id: Column, source_id: Column, payload: Co
     cells = []
     for i, (field, keys) in enumerate(D.KEY_ALIASES.items()):
         value, method = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for key in reversed(keys.split()):
+        for key in reversed(keys):
             there = F.coalesce(get(key) != "", F.lit(False))
             value, method = F.when(there, get(key)).otherwise(value), F.when(there, F.lit(f"json_key:{key}")).otherwise(method)
         cells.append(F.struct(F.lit(i).alias("i"), F.lit(field).alias("field"), value.alias("v"), method.alias("m")))
