@@ -1,8 +1,12 @@
 """Main text of web pages by composite text density.
 
 Every node of the page's tree has a density: its characters by its tags, weighed by how many of both belong to
-links. The node whose children's densities add up to most is the core of the text. Around it, up to the body,
-what is dense enough for the least dense node of the path to the body belongs to it as well.
+links. The node whose children's densities add up to most is the core of the text. The least density on its path below the body is the
+threshold: at each level of that path, what stands beside the path and reaches it belongs to the text as well, and so do headings, and
+what lies between two parts that belong. Beside the path within an ``article`` or ``main``, everything belongs that isn't mostly links.
+
+Word lists only take out beforehand what can't be an article wherever it stands. All steps take time in proportion to the page's length,
+whatever its markup: tags that don't end, quotes that don't close, and any depth.
 """
 
 from __future__ import annotations
@@ -40,16 +44,19 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Elements that are never dropped for their marks.
 KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6 p b i em strong span a".split()) - {"span", "a", "p"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "article", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        #: Whether it is, or is within, an article.
+        self.article: bool = tag in ("article", "main") or (parent is not None and parent.article)
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -58,9 +65,7 @@ class Node:
 def _drops(tag: str, attributes: str, parent: Node) -> bool:
     if tag in DROPPED:
         return True
-    at: Node | None = parent
-    while at and at.tag not in ("article", "main"):
-        at = at.parent
+    at = parent.article
     if tag == "header" and not at:  # of the page; an article has its own
         return True
     if not attributes or attributes.isspace():
@@ -80,59 +85,125 @@ def _drops(tag: str, attributes: str, parent: Node) -> bool:
     return not MARKS.isdisjoint(words)
 
 
+class Open:
+    """The elements that are open. Where each kind was opened last is known, so none is looked for in vain."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places = [root], {}
+
+    @property
+    def now(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def close(self, tags, stops=frozenset()) -> None:
+        """Closes the innermost element of these kinds and all within it, unless one of the stops lies between."""
+        at = self.last(tags)
+        if at and at >= self.last(stops):
+            for node in self.stack[at:]:
+                self.places[node.tag].pop()
+            del self.stack[at:]
+
+
+class Source:
+    """The markup from left to right. What isn't found from a place on isn't looked for again."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.none = html, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        if (i := self.html.find(what, at)) < 0:
+            self.none.add(what)
+        return i
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag; quotes count behind = only. -1 if none does."""
+        html, end = self.html, self.find(">", at)
+        i = at
+        while end >= 0:
+            i = html.find("=", i, end)
+            if i < 0:
+                break
+            i += 1
+            while i < end and html[i].isspace():
+                i += 1
+            if i < end and html[i] in "\"'":
+                if (close := self.find(html[i], i + 1)) < 0:
+                    break
+                i = close + 1
+                if i > end:
+                    end = self.find(">", i)
+        return end
+
+
 def parse(html: str) -> Node:
-    """The tree of a page; elements that are no article are marked dropped, and their text is left out."""
-    root = now = Node("html", None, False)
-    at, end = 0, len(html)
+    """The tree of a page; elements that are no article are marked dropped, and their text is left out. A tag that never ends is text."""
+    source, root, body = Source(html), Node("html", None, False), False
+    opened = Open(root)
 
     def text(s: str) -> None:
-        if s and not now.dropped:
-            now.children.append(unescape(s) if "&" in s else s)
-
-    def close(tags, stops=frozenset()) -> None:
-        nonlocal now
-        x: Node | None = now
-        while x is not root and x is not None and x.tag not in tags:
-            if x.tag in stops:
-                return
-            x = x.parent
-        if x is not root and x is not None:
-            now = x.parent
-
-    while m := TOKEN.search(html, at):  # from at on: raw text has been left behind
-        text(html[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
+        if s and not opened.now.dropped:
+            opened.now.children.append(unescape(s) if "&" in s else s)
+
+    at, begun = 0, 0  # what is read, and what of it is text from where on
+    while (i := source.find("<", at)) >= 0:
+        mark = html[i + 1 : i + 2]
+        name = NAME.match(html, i + 2 if mark == "/" else i + 1)
+        if html.startswith("<!--", i):
+            end = source.find("-->", i + 4)
+            end = len(html) if end < 0 else end + 3
+        elif name:
+            end = source.tag_end(name.end()) + 1
+        elif mark in ("!", "?", "/") and mark:
+            end = source.find(">", i) + 1
+        else:
+            at = i + 1
+            continue
+        if not end:  # no tag, as it never ends
+            at = i + 1
+            continue
+        text(html[begun:i])
+        at = begun = end
+        tag = name[0].lower() if name else ""
+        if mark == "/":
             if tag == "br":
                 text(" ")
-            elif tag not in ("body", "html"):
-                close({tag}, frozenset(("td", "th", "table", "article", "body")) - {tag} if tag not in BLOCK else frozenset(("body",)))
-        elif m[2]:
-            tag, attributes = m[2].lower(), m[3]
-            if tag in ("html", "body"):
-                if tag == "body" and not any(isinstance(x, Node) and x.tag == "body" for x in root.children):
-                    now = Node("body", root, False)
-                    root.children.append(now)
-                continue
+            elif tag and tag not in ("body", "html"):
+                opened.close({tag}, ("body",) if tag in BLOCK else [t for t in ("td", "th", "table", "article", "body") if t != tag])
+        elif name and tag in ("html", "body"):
+            if tag == "body" and not body:
+                del opened.stack[1:]
+                opened.places.clear()
+                node, body = Node("body", root, False), True
+                root.children.append(node)
+                opened.push(node)
+        elif name:
+            attributes = html[name.end() : end - 1]
             if tag in P_ENDERS:
-                close({"p"}, frozenset(("table", "td", "th", "button", "body", "article", "section", "div", "blockquote", "li")))
+                opened.close({"p"}, ("table", "td", "th", "button", "body", "article", "section", "div", "blockquote", "li"))
             if tag in ENDS:
-                close(*ENDS[tag])
+                opened.close(*ENDS[tag])
+            now = opened.now
             node = Node(tag, now, now.dropped or _drops(tag, attributes, now))
             now.children.append(node)
-            if tag in VOID or (attributes.endswith("/") and tag not in BLOCK and tag not in RAW):
-                if tag == "br":
-                    text(" ")
-                continue
-            if tag in RAW:
+            if tag == "br":
+                text(" ")
+            elif tag in RAW:
                 found = re.compile(rf"</{tag}(?=[\s/>]|$)[^>]*>?", re.I).search(html, at)
                 if tag == "textarea" and not node.dropped:
-                    node.children.append(unescape(html[at : found.start() if found else end]))
-                at = found.end() if found else end
-                continue
-            now = node
-    text(html[at:])
+                    node.children.append(unescape(html[at : found.start() if found else len(html)]))
+                at = begun = found.end() if found else len(html)
+            elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK):
+                opened.push(node)
+    text(html[begun:])
     return root
 
 
@@ -172,7 +243,7 @@ def measure(root: Node) -> list[Node]:
 
 
 def content(root: Node) -> list[Node | str]:
-    """What belongs to the article, in page order: the subtree of the largest sum, and what is as dense as its path to the body."""
+    """What belongs to the article, in page order: the subtree of the largest sum, and what reaches the threshold of its path to the body."""
     body = next((x for x in root.children if isinstance(x, Node) and x.tag == "body"), root)
     nodes = [x for x in measure(body) if x.chars]
     if not nodes:
@@ -182,21 +253,29 @@ def content(root: Node) -> list[Node | str]:
     while x is not None:
         path.append(x)
         x = None if x is body else x.parent
-    least = min(x.density for x in path)
-    kept: list[Node | str] = [core]
-    for inner, outer in zip(path, path[1:]):
-        # Below the body, all text that isn't links stands beside the core in its article; the body's own children must be as dense.
-        i = next(k for k, c in enumerate(outer.children) if c is inner)
+    least = min(x.density for x in path if x is not body or x is core)  # the body's own counts menus, too
 
-        def belongs(c: Node | str) -> bool:
-            if isinstance(c, str):
-                return bool(c.strip())
-            if c.dropped or not c.chars or 2 * c.link_chars > c.chars:
-                return False
-            return outer is not body or c.density >= least or c.tag in ("h1", "h2")
+    def text_alone(c: Node | str) -> bool:
+        return bool(c.strip()) if isinstance(c, str) else not c.dropped and 0 < c.chars > 2 * c.link_chars
+
+    def dense(c: Node | str) -> bool:
+        if isinstance(c, str):
+            n = len("".join(c.split()))
+            return n > 0 and n * math.log(n) >= least
+        return text_alone(c) and (c.density >= least or c.tag in HEADINGS)
 
-        kept = [c for c in outer.children[:i] if belongs(c)] + kept + [c for c in outer.children[i + 1 :] if belongs(c)]
-    return kept
+    def beside(side: list[Node | str], whole: bool) -> list[Node | str]:
+        """Of what stands on one side of the path, nearest first."""
+        last = len(side) if whole else max((k + 1 for k, c in enumerate(side) if dense(c)), default=0)
+        return [c for c in side[:last] if text_alone(c)]
+
+    before: list[Node | str] = []
+    after: list[Node | str] = []
+    for inner, outer in zip(path, path[1:]):
+        i = next(k for k, c in enumerate(outer.children) if c is inner)
+        before += beside(outer.children[:i][::-1], outer.article)
+        after += beside(outer.children[i + 1 :], outer.article)
+    return [*reversed(before), core, *after]
 
 
 def blocks(parts: list[Node | str]) -> list[str]:
@@ -234,6 +313,8 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     """page_id, url, text, n_chars of each page. Null or empty html, and pages of nothing but markup, give an empty text.
 
     No page is dropped, none is cut; equal pages give equal rows; an empty table gives none. Nothing is shuffled.
+    Time and memory are in proportion to a page's length, however deep or broken its markup; of equal sums of densities the first node's counts.
+    Null ids and addresses stay null. Other columns are not read, whatever their names.
     """
     small_batches(pages.sparkSession, 500)
 
