@@ -5,7 +5,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import licences, quality
+from tributary.llm import licences, mixing, quality
 from tributary.llm.mixing import Mix, mix_sources, mixed_rows, targets
 
 
@@ -34,7 +34,7 @@ def water(sizes, weights, budget):
 
 def test_mix(spark):
     rows = sources()
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit("clash")).withColumn("_mix_s", F.lit(1)).withColumn("lang", F.lit("en")).repartition(4)
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("size", F.lit("clash")).withColumns({c: F.lit(1) for c in ("_mix_s", "_k", "_q", "_off", "_cum", "range", "v", "sum", "n")}).withColumn("lang", F.lit("en")).repartition(4)
     out = mix_sources(df).collect()
     sizes = defaultdict(int)
     for _, s, t in rows:
@@ -56,6 +56,14 @@ def test_mix(spark):
     assert mix_sources(df.limit(0)).count() == 0 and mix_sources(df.where("text is null")).count() == 1
 
 
+def test_mix_in_many_ranges(spark, monkeypatch):
+    rows = sources() + [(5000 + i, "blank", " ") for i in range(300)] + [(9000, "b", "w " * 30_000), (None, "a", "another"), (None, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = sorted(map(str, mix_sources(df).collect()))
+    monkeypatch.setattr(mixing, "RANGE", 40)
+    assert sorted(map(str, mix_sources(df).collect())) == want and "_cum" not in mix_sources(df).columns
+
+
 def test_order_is_by_virtual_time(spark):
     rows = [r for r in sources(7) if r[0] is not None and r[2]][:200]
     out = {r.doc_id: r for r in mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}

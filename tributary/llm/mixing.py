@@ -2,7 +2,7 @@
 
 Each source is a queue of its documents in a shuffled order, served again from the front when it
 is through. A copy of a document finishes at the virtual time ``words of its source so far / target``;
-all copies are taken in the order of these times until the budget's words are reached.
+all copies are range-sorted by these times and taken until the budget's words are reached. The cut lies in one range, found by the ranges' sums.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from tributary.llm.common import WORD, durable
 
 #: Parts that a source's queue is cut into for the running sums, by the first three digits of the hash.
 DIGITS = 3
-#: Bins of one unit of virtual time for the global running sum.
-BINS = 16384
+#: Copies of a range of the global order; one range is summed row by row.
+RANGE = 1_000_000
 #: Columns that the operator adds; working columns of clashing names would not survive.
 ADDED = ("size", "source_size", "target", "taken", "copies")
 
@@ -60,66 +60,68 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text:
 
     A null text has size 0; documents without words never fill the mix, they are used once if their turn
     comes. A null source is a source of its own, the last. Equal rows are told apart by nothing and
-    may stand for one another. A null id is hashed as an empty string. An empty table gives no rows.
+    may stand for one another. A null id is hashed by its text. An empty table gives no rows. A text of any length is one document, taken or not.
     Columns of docs stay, but those named like the added ones or beginning with ``_mix`` are replaced.
-    A source's hot queue is cut into parts by hash, so no task holds more than a part of it.
+    A source's hot queue is cut into parts by hash and the global order into ranges, so no task holds more than a part of either.
     """
     drop = [c for c in docs.columns if (c in ADDED or c.startswith("_mix")) and c not in (doc_id, text, source)]
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit("")))
     base = docs.drop(*drop).withColumns({"size": n_words(F.col(text)), "_mix_s": F.col(source).cast("string"), "_mix_h": key})
     base = base.withColumn("_mix_p", F.substring("_mix_h", 1, DIGITS))
 
-    light = durable(base.select(F.col("_mix_s").alias("_s"), F.col("_mix_p").alias("_p"), F.col("_mix_h").alias("_h"), F.col(doc_id).alias("_id"), "size"))
-    goal = durable(targets(light.select("_s", "size"), mix))
-    parts = light.groupBy("_s", "_p").agg(F.sum("size").alias("_sum"))
-    offset = F.coalesce(F.sum("_sum").over(W.partitionBy("_s").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("_off", offset).join(goal, parts["_s"].eqNullSafe(goal["_s"])).drop(goal["_s"])
-    parts = durable(parts.select(F.col("_s").alias("_k"), F.col("_p").alias("_q"), "_off", "source_size", "target"))
+    light = durable(base.select("_mix_s", "_mix_p", "_mix_h", F.col(doc_id).alias("_mix_id"), "size"))
+    goal = durable(targets(light.select(F.col("_mix_s").alias("_s"), "size"), mix))
+    sums = light.groupBy("_mix_s", "_mix_p").agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
+    offset = F.coalesce(F.sum("sum").over(W.partitionBy("_mix_s").orderBy("_mix_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.withColumn("_mix_off", offset).join(goal, F.col("_mix_s").eqNullSafe(F.col("_s")))
+    parts = durable(parts.select(F.col("_mix_s").alias("_mix_k"), F.col("_mix_p").alias("_mix_q"), "_mix_off", "source_size", "target", "sum", "n"))
+    total = parts.agg(F.sum("sum").alias("t"), F.sum("n").alias("n")).first()
+    budget, parts = float(mix.budget) * (total["t"] or 0), parts.drop("sum", "n")
 
-    def queued(rows: DataFrame, s: str, p: str, h: str, i: str) -> DataFrame:
-        joined = rows.join(parts, F.col(s).eqNullSafe(F.col("_k")) & (F.col(p) == F.col("_q")))
-        inside = W.partitionBy(s, p).orderBy(h, i, "size").rowsBetween(W.unboundedPreceding, 0)
-        return joined.withColumn("_cum", F.col("_off") + F.sum("size").over(inside))
+    def queued(rows: DataFrame, i: str) -> DataFrame:
+        joined = rows.join(parts, F.col("_mix_s").eqNullSafe(F.col("_mix_k")) & (F.col("_mix_p") == F.col("_mix_q")))
+        inside = W.partitionBy("_mix_s", "_mix_p").orderBy("_mix_h", i, "size").rowsBetween(W.unboundedPreceding, 0)
+        return joined.withColumn("_mix_cum", F.col("_mix_off") + F.sum("size").over(inside))
 
     def finish(epoch: int) -> Column:
-        at = (F.col("_cum") + F.lit(epoch) * F.col("source_size")).cast("double") / F.col("target")
+        at = (F.col("_mix_cum") + F.lit(epoch) * F.col("source_size")).cast("double") / F.col("target")
         return F.when(F.col("target") > 0, at).otherwise(F.lit(float(epoch)))
 
-    light = queued(light, "_s", "_p", "_h", "_id")
-    def at(epoch: int, s: str, h: str, i: str) -> Column:
+    def at(epoch: int, i: str) -> Column:
         """The place of a copy in the global order."""
-        return F.struct(finish(epoch).alias("v"), F.col(s).isNull().alias("n"), F.coalesce(s, F.lit("")).alias("s"), F.col(h).alias("h"), F.coalesce(F.col(i).cast("string"), F.lit("")).alias("i"), F.col("size").alias("z"))
-
-    each = F.array(*[at(e, "_s", "_h", "_id") for e in range(mix.passes)])
-    copies = light.select("size", F.explode(each).alias("at"))
-    # Beyond the last cap nothing can be taken before the budget is reached but by way of large documents: one bin for all of that.
-    copies = durable(copies.withColumn("bin", F.least(F.floor(F.col("at.v") * BINS), F.lit(4 * BINS)).cast("long")))
-    bins = copies.groupBy("bin").agg(F.sum("size").alias("size"))
-    total = light.agg(F.sum("size").alias("t")).first()["t"] or 0
-    bins = bins.withColumn("end", F.sum("size").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
-    first = bins.where(F.col("end") > float(mix.budget) * total).orderBy("bin").select("bin", (F.col("end") - F.col("size")).alias("before")).first()
+        return F.struct(finish(epoch).alias("v"), F.col("_mix_s").isNull().alias("n"), F.coalesce("_mix_s", F.lit("")).alias("s"), F.col("_mix_h").alias("h"), F.coalesce(F.col(i).cast("string"), F.lit("")).alias("i"), F.col("size").alias("z"))
+
+    copies = queued(light, "_mix_id").select(F.explode(F.array(*[at(e, "_mix_id") for e in range(mix.passes)])).alias("at")).select("at.*")
+    order = ["v", "n", "s", "h", "i", "z"]
+    ranges = max(1, -(-(total["n"] or 0) * mix.passes // RANGE))
+    copies = durable(copies.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    ends = copies.groupBy("range").agg(F.sum("z").alias("z")).withColumn("end", F.sum("z").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)))
+    first = ends.where(F.col("end") > budget).orderBy("range").select("range", (F.col("end") - F.col("z")).alias("before")).first()
     if first is None:  # the budget holds all copies
         takes = [F.lit(True)] * mix.passes
     else:
-        run = F.lit(first["before"]) + F.sum("size").over(W.orderBy("at").rowsBetween(W.unboundedPreceding, 0))
-        inside = copies.where(F.col("bin") == first["bin"]).withColumn("run", run)
-        cut = inside.where(F.col("run") <= float(mix.budget) * total).agg(F.max("at").alias("at")).first()["at"]
-        edge = first["bin"] / BINS
+        run = F.lit(first["before"]) + F.sum("z").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+        inside = copies.where(F.col("range") == first["range"]).withColumn("run", run).where(F.col("run") <= budget)
+        # What lies in earlier ranges is taken: where the first copy of this one is too large, the last of those is the cut.
+        cut = inside.unionByName(copies.where(F.col("range") < first["range"]).withColumn("run", F.lit(0).cast("long"))).agg(F.max(F.struct(*order)).alias("at")).first()["at"]
         if cut is None:
-            takes = [F.least(F.floor(finish(e) * BINS), F.lit(4 * BINS)) < first["bin"] for e in range(mix.passes)]
+            takes = [F.lit(False)] * mix.passes
         else:
-            upto = F.struct(*[F.lit(cut[k]).cast(kind).alias(k) for k, kind in (("v", "double"), ("n", "boolean"), ("s", "string"), ("h", "string"), ("i", "string"), ("z", "long"))])
-            takes = [at(e, "_mix_s", "_mix_h", doc_id) <= upto for e in range(mix.passes)]
+            upto = F.struct(*[F.lit(cut[k]).cast(kind).alias(k) for k, kind in zip(order, ("double", "boolean", "string", "string", "string", "long"))])
+            takes = [at(e, doc_id) <= upto for e in range(mix.passes)]
     count = takes[0].cast("long")
     for t in takes[1:]:
         count = count + F.when(F.col("size") > 0, t.cast("long")).otherwise(F.lit(0))
-    out = queued(base, "_mix_s", "_mix_p", "_mix_h", doc_id).withColumn("copies", count)
+    out = queued(base, doc_id).withColumn("copies", count)
     out = out.withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("_mix_s", "_mix_h", "_mix_p", "_k", "_q", "_off", "_cum")
+    return out.drop(*[c for c in out.columns if c.startswith("_mix") and c not in (doc_id, text, source)])
 
 
 def mixed_rows(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as the mix takes it, with docs' own columns, whatever their names."""
+    """The mix itself: each row of docs as often as the mix takes it, with docs' own columns, whatever their names.
+
+    Null texts, null sources and null ids, ties, repeated rows, very long texts and empty tables: as mix_sources() has them. Of equal rows each is taken for itself.
+    """
     own = [doc_id, text, source]
     rest = [c for c in docs.columns if c not in own]
     packed = docs.select(*own, F.struct(*(docs[c] for c in rest)).alias("rest")) if rest else docs

@@ -57,7 +57,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_main_text, op4_quality_rules, op5_warc, op6_pack, op7_simhash, op8_near_vectors, op9_line_dedup, op10_licences)}
 
 MIX_SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, text, '')) AS h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(n % 3 + 1)::BIGINT] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
