@@ -23,6 +23,8 @@ from tributary.llm.token_files import filesystem
 
 #: Bytes of a chunk.
 CHUNK = 1 << 18
+#: Parts of the pages of one payload.
+SALTS = 32
 #: Rows of a batch of chunks.
 CHUNKS = 100
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -46,11 +48,14 @@ def payload(html: str) -> Column:
 def originals(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
     """(revisit, same, refers_to): the id and the payload's digest of each page whose payload, of at least so many bytes, a page of smaller id has as well.
 
-    The first page of each payload comes from an aggregation that combines before its shuffle.
+    The first page of each payload comes from an aggregation that combines before its shuffle. Pages of one payload, all
+    empty ones for instance, are dealt to several tasks by salt.
     """
     each = durable(pages.select(F.col(page_id).cast("long").alias("page"), F.sha1(payload(html)).alias("digest"), F.octet_length(payload(html)).alias("size")))
     firsts = each.where(f"size >= {least}").groupBy("digest").agg(F.min("page").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return each.where(f"size >= {least}").join(firsts, "digest").where("page > refers_to").select(F.col("page").alias("revisit"), F.col("digest").alias("same"), "refers_to").distinct()
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = each.where(f"size >= {least}").withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
+    return salted.join(firsts, ["digest", "salt"]).where("page > refers_to").select(F.col("page").alias("revisit"), F.col("digest").alias("same"), "refers_to").distinct()
 
 
 def chunk_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
@@ -64,10 +69,9 @@ def chunk_table(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
     rows = rows.withColumns({"size": F.octet_length("body").cast("long"), "digest": F.sha1("body")})
     rows = rows.join(first, (rows["page"] == first["revisit"]) & (rows["digest"] == first["same"]), "left")
     n = F.when(F.col("refers_to").isNotNull(), F.lit(0)).otherwise(F.ceil(F.col("size") / CHUNK)).cast("int")
-    cut = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("body"), i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array().cast("array<binary>"))
-    rows = rows.select("page", "url", "refers_to", "size", "digest", cut.alias("cut"))  # so that no row of a chunk carries the body
-    rows = rows.select("page", "url", "refers_to", "size", "digest", F.posexplode_outer("cut").alias("chunk", "data"))
-    return rows.withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))))
+    data = F.when(n > 0, F.substring(F.col("body"), F.col("chunk") * CHUNK + 1, F.lit(CHUNK)))  # cut as the rows are made: no array of chunks is held
+    return rows.select("page", "url", "refers_to", "size", "digest", "chunk", data.alias("data"))
 
 
 class Archive:
@@ -98,12 +102,21 @@ class Archive:
 
 
 def write_archives(chunks: DataFrame, folder: str) -> list[tuple[str, int]]:
-    """Writes a chunk table to archives below folder, one a partition; returns (file, records) of each. The chunks of a record come one after another."""
+    """Writes a chunk table to archives below folder, one a partition; returns (file, records) of each. The chunks of a record come one after another.
+
+    The digest of a payload grows with its chunks and must come to what the record's head says. White space in an address is made single spaces, a null one is empty.
+    """
     small_batches(chunks.sparkSession, CHUNKS)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         file, out, n = f"{folder}/part-{part:06d}.warc.gz", None, 0
+        said, sha = None, hashlib.sha1()
+
+        def check(said: str | None, sha) -> None:
+            if said is not None and sha.hexdigest() != said:
+                raise ValueError(f"the chunks of a record don't make its payload: {said}")
+
         for batch in batches:
             ids, refers = batch["page"].astype("Int64").tolist(), batch["refers_to"].astype("Int64").tolist()
             for page, to, url, size, digest, chunk, data in zip(ids, refers, batch["url"].tolist(), batch["size"].tolist(), batch["digest"].tolist(), batch["chunk"].tolist(), batch["data"].tolist()):
@@ -113,6 +126,8 @@ def write_archives(chunks: DataFrame, folder: str) -> list[tuple[str, int]]:
                 if chunk == 0:
                     if n:
                         out.end()
+                        check(said, sha)
+                    said, sha = digest if to is None else None, hashlib.sha1()
                     http = HTTP % size
                     clean = "" if url is None else " ".join(url.split())
                     headers = [("WARC-Type", "response" if to is None else "revisit"), ("WARC-Record-ID", record_id(page, f"{part}-{n}")), ("WARC-Date", DATE), ("WARC-Target-URI", clean), ("WARC-Payload-Digest", f"sha1:{base32_of_hex(digest)}"), ("Content-Type", "application/http; msgtype=response")]
@@ -122,8 +137,10 @@ def write_archives(chunks: DataFrame, folder: str) -> list[tuple[str, int]]:
                     n += 1
                 if data is not None:
                     out.write(bytes(data))
+                    sha.update(data)
         if out:
             out.end()
+            check(said, sha)
             out.close()
             yield pd.DataFrame({"file": [file], "records": [n]})
 
@@ -183,11 +200,11 @@ def headers_of(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
 
 
-CHUNK_ROW = "record_id string, url string, record_type string, refers_to string, payload_bytes long, header_digest string, chunk long, start long, data binary, digest_so_far string, last boolean"
+CHUNK_ROW = "record_id string, url string, record_type string, refers_to string, payload_bytes long, header_digest string, chunk long, start long, read long, data binary, digest_so_far string, last boolean"
 
 
 def records(uri: str, with_data: bool = True) -> Iterator[tuple]:
-    """The chunk rows of an archive. digest_so_far is that of the payload up to the chunk's end; the last row of a revisit or of an empty payload has no data."""
+    """The chunk rows of an archive. start, read: where a chunk begins, and its bytes. digest_so_far is that of the payload up to the chunk's end; the last row of a revisit or of an empty payload has no data."""
     s = Stream(uri)
     while (head := s.until(b"\r\n\r\n")) is not None:
         h = headers_of(head)
@@ -200,10 +217,10 @@ def records(uri: str, with_data: bool = True) -> Iterator[tuple]:
             data = s.take(min(left, CHUNK))
             sha.update(data)
             left -= len(data)
-            yield (*same, k, start, data if with_data else None, base64.b32encode(sha.copy().digest()).decode(), not left)
+            yield (*same, k, start, len(data), data if with_data else None, base64.b32encode(sha.copy().digest()).decode(), not left)
             k, start = k + 1, start + len(data)
         if not k:
-            yield (*same, 0, 0, None, base64.b32encode(sha.digest()).decode(), True)
+            yield (*same, 0, 0, 0, None, base64.b32encode(sha.digest()).decode(), True)
         s.until(b"\r\n\r\n")
     s.close()
 
@@ -237,10 +254,12 @@ def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "u
     """Writes pages to new archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to of each.
 
     A response's size and digest are those of the payload that was read, a revisit's those of its headers. Null html is an empty
-    payload; an empty table gives no archive and no rows. Columns other than the three are not read.
+    payload; equal rows of one id are all responses or all revisits; null ids are responses. A payload of any length travels in chunks.
+    An empty table gives no archive and no rows. Columns other than the three are not read, whatever their names.
     """
     spark = pages.sparkSession
     files = write_archives(chunk_table(pages, page_id, url, html), new_folder(spark, "warc"))
     rows = read_archives(spark, files, with_data=False).where("last")
     digest = F.when(F.col("record_type") == "revisit", F.col("header_digest")).otherwise(F.col("digest_so_far"))
-    return rows.select(page_of("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", page_of("refers_to").alias("refers_to"))
+    size = F.when(F.col("record_type") == "revisit", F.col("payload_bytes")).otherwise(F.col("start") + F.col("read"))
+    return rows.select(page_of("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page_of("refers_to").alias("refers_to"))
