@@ -1,6 +1,8 @@
-"""One document of each group of near duplicates: MinHash bands for candidates, exact Jaccard of word shingles for verdicts.
+"""One document of each group of near duplicates: SimHash balls and MinHash bands for candidates, exact Jaccard of word shingles for verdicts.
 
-Texts of equal words are one class. In each band's bucket, classes are first tied to the bucket's least one; what isn't in one component
+Texts of equal words are one class. Classes whose fingerprints meet in a SimHash ball are candidates, as in simhash. A ball of radius 2 reaches
+few pairs at a similarity of 0.8, where some ten of 64 bits differ, and one of radius 10 would be millions of words a text; so classes that share a MinHash band
+are candidates as well. In each bucket, classes are first compared with one of it, another in each bucket; what isn't in one component
 after that is compared pair by pair, so large groups cost no squares unless they fall apart, and no pair within a bucket is left out.
 """
 
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import components, durable, small_batches
+from tributary.llm.simhash import BLOCK, links, majority
 
 
 @dataclass(frozen=True)
@@ -67,17 +70,18 @@ def band_keys(found: np.ndarray, near: Near) -> list[int]:
 
 
 def buckets(docs: DataFrame, near: Near, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, row, name, keys) of each row: row is the text's hash, name that of its words; a text without words is in no bucket."""
+    """(doc_id, row, name, fp, keys) of each row: row is the text's hash, name that of its words, fp its fingerprint; a text without words is in no bucket."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             each = [shingles(t, near) for t in batch["text"].tolist()]
             keys = [band_keys(x, near) if len(x) else [] for _, x in each]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "name": [n for n, _ in each], "keys": keys})
+            fps = np.array([majority((x[i : i + BLOCK] for i in range(0, len(x), BLOCK)), len(x)) for _, x in each], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "name": [n for n, _ in each], "fp": fps, "keys": keys})
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    return read.mapInPandas(run, "doc_id long, row long, name long, keys array<long>")
+    return read.mapInPandas(run, "doc_id long, row long, name long, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, near: Near, text: str) -> DataFrame:
@@ -112,33 +116,47 @@ def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
 
 def shared(met: DataFrame, what: str) -> DataFrame:
-    """The rows of met whose key has different values of a column, with the least one: from an aggregation that combines before its shuffle, so a key's rows need not be in one task."""
-    ends = met.groupBy(F.col("key").alias("_key")).agg(F.min(what).alias("low"), F.max(what).alias("high")).where("low <> high")
-    return met.join(ends, F.col("key") == F.col("_key"))
+    """The rows of met whose key has different values of a column, with one name of the key, another for each key: from an aggregation that combines before its shuffle, so a key's rows need not be in one task."""
+    pivot = F.min_by("name", F.xxhash64("name", "key")).alias("pivot")
+    ends = met.groupBy(F.col("key").alias("_key")).agg(F.min(what).alias("low"), F.max(what).alias("high"), pivot).where("low <> high")
+    return met.join(ends, F.col("key") == F.col("_key")).drop("_key", "low", "high")
+
+
+def in_balls(classes: DataFrame) -> DataFrame:
+    """(a, b): names that share a fingerprint with, or whose fingerprint is in a SimHash ball with that of, another."""
+    one = durable(classes.groupBy("fp").agg(F.min("name").alias("first")))
+    same = classes.join(one, "fp").where("name <> first").select(F.col("first").alias("a"), F.col("name").alias("b"))
+    near = links(one.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    side = lambda c, fp: one.select(F.col("fp").alias(fp), F.col("first").alias(c))
+    return same.unionByName(near.join(side("a", "x"), "x").join(side("b", "y"), "y").select("a", "b"))
 
 
 def near_links(docs: DataFrame, found: DataFrame, near: Near, text: str) -> DataFrame:
     """(node, root) of the names that near duplicates tie together."""
-    classes = found.groupBy("name").agg(F.first(F.struct("row", "keys")).alias("c"))
-    met = classes.select("name", F.col("c.row").alias("row"), F.explode("c.keys").alias("key"))
-    met = durable(shared(met, "name").select("name", "row", "key", "low"))
-    sets = durable(shingle_sets(docs, met.select("row").distinct(), near, text))
-    first = durable(verified(met.where("name <> low").select(F.col("low").alias("a"), F.col("name").alias("b")).distinct(), sets, near))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    classes = durable(found.where(F.size("keys") > 0).groupBy("name").agg(F.first(F.struct("row", "fp", "keys")).alias("c")).select("name", "c.*"))
+    met = durable(shared(classes.select("name", F.explode("keys").alias("key")), "name"))
+    balls = in_balls(classes.select("name", "fp"))
+    some = durable(balls.unionByName(met.where("name <> pivot").select(F.col("pivot").alias("a"), F.col("name").alias("b"))).select(*pair).distinct())
+    names = some.select(F.col("a").alias("name")).union(some.select("b")).distinct()
+    sets = durable(shingle_sets(docs, classes.join(names, "name", "left_semi").select("row"), near, text))
+    first = durable(verified(some, sets, near))
     roots = durable(components(first))
     # Pairs of a bucket that are in different components still: all of them are compared.
     rooted = met.select("name", "key").join(roots, F.col("name") == F.col("node"), "left").select("name", "key", F.coalesce("root", "name").alias("root"))
     open_ = durable(shared(durable(rooted), "root").select("name", "key", "root"))
     side = lambda c: open_.select("key", F.col("name").alias(c), F.col("root").alias(f"{c}_root"))
     rest = side("a").join(side("b"), "key").where("a < b and a_root <> b_root").select("a", "b").distinct()
-    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = rest.join(some, ["a", "b"], "left_anti")
     return components(first.unionByName(durable(verified(rest, sets, near))))
 
 
 def one_of_each(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: the first by id, nulls last, and hash of the text.
 
-    Groups are components of links among texts, so rows that share an id, or have none, are told apart by what they say. Texts without words,
-    nulls among them, are one group. Other columns stay as they are.
+    Groups are components of links among texts, so rows that share an id, or have none, are told apart by what they say; of equal rows one stays.
+    Texts without words, nulls among them, are one group. A text of any length is read whole, a block of its shingles at a time. No rows, no result.
+    Other columns stay as they are, but for those named _near_d and _near_r.
     """
     found = durable(buckets(docs, near, doc_id, text))
     roots = near_links(docs, found, near, text)

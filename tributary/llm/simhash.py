@@ -19,6 +19,16 @@ from tributary.llm.common import components, durable, small_batches
 
 #: Bits by which linked fingerprints differ at most. Half of it is emitted.
 RADIUS = 2
+#: Hashes that are counted at once.
+BLOCK = 1 << 16
+
+
+def majority(blocks, n: int) -> int:
+    """The fingerprint of n hashes, which come in blocks: a bit is set if it is in over half of them."""
+    bits = np.zeros(64, dtype=np.int64)
+    for hashes in blocks:
+        bits += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(bits * 2 > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -33,12 +43,9 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     starts = [0, *[e + 1 for e in ends[:-1]]]
     k = min(shingle, len(words))
     h = xxhash.xxh64_intdigest
-    bits = np.zeros(64, dtype=np.int64)
     n = len(words) - k + 1
-    for i in range(0, n, 1 << 16):  # a block at a time, whatever the length
-        hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts[i : min(n, i + (1 << 16))], ends[i + k - 1 :])], dtype="<u8")
-        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(bits * 2 > n, bitorder="little").tobytes(), "little")
+    # A block at a time, whatever the length.
+    return majority((np.array([h(joined[a:b], seed) for a, b in zip(starts[i : min(n, i + BLOCK)], ends[i + k - 1 :])], dtype="<u8") for i in range(0, n, BLOCK)), n)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -53,39 +60,31 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) among the classes (fp, rep), fp distinct, that hold all classes within the radius together.
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints (fp) that hold all of those within the radius together.
 
     At most 65 fingerprints meet at one word, and any two of those differ in two bits at most; so each is tied to
-    the first of them alone, and no pairs within a meeting are lost.
+    the least of them alone, and no pairs within a meeting are lost.
     """
     masks = F.array(F.lit(0).cast("long"), *[F.lit(x).cast("long") for x in (1 << np.arange(64, dtype=np.uint64)).astype(np.uint64).view(np.int64).tolist()])
-    met = classes.select("fp", "rep", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("word"), "fp", "rep")
-    first = F.first(F.struct("rep", "fp")).over(W.partitionBy("word").orderBy("rep"))
-    pairs = met.select("rep", "fp", first.alias("first")).where(F.col("rep") != F.col("first.rep"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= RADIUS
-    return pairs.where(near).select(F.col("rep").alias("a"), F.col("first.rep").alias("b"))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = fps.repartition(parts, "fp").select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("word"), "fp")
+    met = met.withColumn("first", F.min("fp").over(W.partitionBy("word"))).where(F.col("fp") != F.col("first"))
+    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first"))) <= radius).select(F.col("fp").alias("a"), F.col("first").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links, for each row of docs.
 
     Null, empty and blank texts have fingerprint zero, which links as any other. Repeated rows are in one component.
-    A null id has its component all the same; it is never a component's name unless the class holds no other id, when
-    the component is that of its own class alone and null. No rows, no result. Other columns are not read.
+    Fingerprints are what is linked, so rows of null id tie others together, too, and have their component; it is null only
+    where no row of the component has an id. A text of any length is hashed whole, a block of shingles at a time. No rows, no result. Other columns are not read.
     """
     fps = durable(fingerprints(docs, doc_id, text, shingle))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    named = durable(classes.where("rep is not null"))
-    roots = components(links(named))
-    of = named.join(roots, named["rep"] == roots["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
+    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = components(links(classes.select("fp")))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("component_id"))
+    of = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     out = fps.join(of, fps["fp"] == of["_fp"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """docs without the rows that are near duplicates of a row with a smaller id. Of rows with equal ids one stays; null ids stay all."""
-    found = near_duplicates(docs, doc_id, text, shingle)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
-    stay = docs.join(keep, docs[doc_id] == keep["_keep_id"], "left_semi").dropDuplicates([doc_id])
-    return stay.unionByName(docs.where(F.col(doc_id).isNull())).select(*docs.columns)
