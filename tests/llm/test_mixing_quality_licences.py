@@ -152,8 +152,66 @@ def test_verdicts(spark):
     clean = {d for d, t, _ in rows if t and "%" not in t and not slow_counts(t)[4]}
     kept = {x.doc_id for x in out if x.kept}
     assert clean <= kept and not junk & kept
-    good = quality.keep_good(docs, marks)
-    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == kept - {None}
+    good = quality.keep_rows(docs, marks)
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == kept and None in kept
+
+
+def slow_cutoffs(cases, risk):
+    """(stratum, good, testing half, measures) of each case -> the cutoffs of each stratum, by going through all cases again and again."""
+    from math import comb
+
+    out, strata = {}, {c[0] for c in cases}
+    hit = lambda c, r, x: c[3][r] >= x if quality.RULES[r][0] == ">=" else c[3][r] <= x
+    for s in strata:
+        own = [c for c in cases if c[0] == s]
+        first, second = [c for c in own if not c[2]], [c for c in own if c[2]]
+        bad, chain = sum(not c[1] for c in first), []
+        while True:
+            left = [c for c in first if not any(hit(c, r, x) for r, x in chain)]
+            best = None
+            for r, (_, cutoffs) in quality.RULES.items():
+                for x in cutoffs:
+                    gain = sum(not c[1] for c in left if hit(c, r, x)) - risk.price * sum(c[1] for c in left if hit(c, r, x))
+                    if r not in dict(chain) and gain > (best[0] if best else risk.worth * bad):
+                        best = gain, r, x
+            if best is None:
+                break
+            chain.append(best[1:])
+        good, kept = [c for c in second if c[1]], {}
+
+        def fine(rules):
+            k = sum(any(hit(c, r, x) for r, x in rules) for c in good)
+            return sum(comb(len(good), i) * risk.alpha**i * (1 - risk.alpha) ** (len(good) - i) for i in range(k + 1)) <= risk.delta / len(strata)
+
+        done = False
+        for j, (r, last) in enumerate(chain):
+            cutoffs = quality.RULES[r][1]
+            for x in cutoffs[: cutoffs.index(last) + 1]:
+                done = done or not fine([*chain[:j], (r, x)])
+                if not done:
+                    kept[r] = x
+        out[s] = kept
+    return out
+
+
+def test_cutoffs_against_brute_force(spark):
+    r, docs, labels = random.Random(21), [], []
+    for i in range(8000):
+        bad, kind, lang = r.random() < 0.4, r.randrange(3), r.choice(["en", "en", "en", "de", None, ""])
+        share = (0.0 if r.random() < 0.985 else 0.8) if not bad else r.choice([0.2, 0.6, 1.0]) if kind == 0 else 0.0
+        words = ["".join(r.choice("abcdef") for _ in range(r.randrange(3, 8) + 9 * (bad and kind == 1))) + "%" * (r.random() < share) for _ in range(r.randrange(30, 50))]
+        text = " ".join(words) + ("\nab" * 20 if bad and kind == 2 else "")
+        docs.append((i, text, lang))
+        labels.append((i, int(not bad)))
+    risk = quality.Risk(alpha=0.05, price=3)
+    based = quality.with_base(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)).cache()
+    good = dict(labels)
+    rows = based.select("doc_id", "stratum", "n_words", "n_repeat_words", (F.pmod(F.xxhash64(F.lit(risk.seed), "doc_id"), F.lit(2)) == 1).alias("test"), *[m.alias(k) for k, m in quality.measures().items()]).collect()
+    cases = [(x.stratum, bool(good[x.doc_id]), x.test, {k: x[k] for k in quality.RULES}) for x in rows if x.n_words >= 20 and 100 * x.n_repeat_words <= 30 * x.n_words]
+    want = slow_cutoffs(cases, risk)
+    got = {x.stratum: {k: x[k] for k in quality.RULES if x[k] is not None} for x in quality.thresholds(based, spark.createDataFrame(labels, "doc_id long, quality int"), risk).collect()}
+    assert got == want and set(got) == {"en", "de", None, ""} and len(want["en"]) >= 2
+    based.unpersist()
 
 
 def test_rows_are_kept_by_their_own_verdict(spark):

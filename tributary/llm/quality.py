@@ -1,9 +1,10 @@
 """Quality rules whose thresholds are controlled for risk.
 
-Labelled documents are split in two by a hash. On one half, each rule proposes cutoffs in each stratum; on the
-other, an exact binomial test must show for a cutoff, and for all more lenient ones before it, that at most ``alpha`` of the
-stratum's good documents are rejected. Testing from the lenient end on and stopping at the first that fails
-needs no correction within a rule; across strata and rules the level is divided (Bonferroni).
+Labelled documents are split in two by a hash. On one half, a stratum proposes rules and cutoffs, one rule after another. That makes a chain of ever
+stricter sets of rules: each rule's cutoffs from the lenient end to the proposed one, beside all rules before it. On the other half, exact binomial
+tests go along the chain: each must show that the whole set, not a rule alone, rejects at most ``alpha`` of the stratum's good documents. The last set
+before the first that fails is the stratum's. A chain that is fixed beforehand and left at its first failure needs no correction within; across strata the level is
+divided (Bonferroni). So the chance that any stratum loses more than ``alpha`` of its good documents is at most ``delta``.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 
 @dataclass(frozen=True)
 class Risk:
-    """alpha: part of a stratum's good documents that a rule may reject. delta: chance that any cutoff breaks that. price: bad
+    """alpha: part of a stratum's good documents that its rules together may reject. delta: chance that any stratum breaks that. price: bad
     documents that rejecting a good one must bring. worth: part of the stratum's bad documents that a rule must bring. seed: of the hash that splits the labels. strata: so many strata may be broadcast."""
 
     alpha: float = 0.02
@@ -75,7 +76,7 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def with_base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, row (the text's hash), and the base counts of each row. A null text has no words; a null stratum is one of its own."""
+    """doc_id, stratum, row (the text's hash), and the base counts of each row. A null text has no words; a null stratum is one of its own, apart from the empty one."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +91,7 @@ def with_base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", strat
 
 
 def stratum_of(stratum: str) -> Column:
-    return F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    return F.col(stratum).cast("string")
 
 
 def base_failed() -> Column:
@@ -109,91 +110,139 @@ def rejects(rule: str, measure: Column, cutoff: Column | float) -> Column:
 
 def certified(rejected: int, good: int, alpha: float, delta: float) -> bool:
     """Whether rejected of good documents show, at level delta, that at most alpha of all are: the exact one-sided binomial test,
-    that is, whether the upper Clopper-Pearson bound is at most alpha."""
-    if good <= 0 or rejected >= good:
+    that is, whether the upper Clopper-Pearson bound is at most alpha. Terms are added from the largest down until they no longer matter."""
+    if good <= 0 or rejected >= alpha * good:
         return False
-    log_p, log_q = math.log(alpha), math.log1p(-alpha)
-    logs = [math.lgamma(good + 1) - math.lgamma(k + 1) - math.lgamma(good - k + 1) + k * log_p + (good - k) * log_q for k in range(rejected + 1)]
-    top = max(logs)
-    return top + math.log(sum(math.exp(x - top) for x in logs)) <= math.log(delta)
+    log_first = math.lgamma(good + 1) - math.lgamma(rejected + 1) - math.lgamma(good - rejected + 1) + rejected * math.log(alpha) + (good - rejected) * math.log1p(-alpha)
+    term = total = 1.0
+    for k in range(rejected, 0, -1):
+        term *= k * (1 - alpha) / ((good - k + 1) * alpha)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return log_first + math.log(total) <= math.log(delta)
+
+
+#: A step of a chain: a rule and the places of its cutoffs that are in it.
+PLACES = [(rule, i) for rule, (_, cutoffs) in RULES.items() for i in range(len(cutoffs))]
 
 
-def choose(rule: str, counts: list[tuple[int, int, int]], good: int, bad: int, tests: int, risk: Risk) -> float | None:
-    """The cutoff of a rule in a stratum, or None. counts: for each cutoff, the bad that no earlier rule rejects and the good on the proposing half, and the good on the testing half.
+def propose(counts: list[tuple[int, int]], chosen: dict[str, int], bad: int, risk: Risk) -> tuple[str, int] | None:
+    """The rule, of those not chosen yet, and the place of the cutoff that gains most on the proposing half; None if none is worth it.
 
-    Of cutoffs that gain alike, the more lenient.
+    counts: of each of PLACES, the bad and the good documents that it rejects and no chosen rule does. Of what gains alike, the first.
     """
-    best, chosen = risk.worth * bad, None
-    for cutoff, (caught, wrong, tested) in zip(RULES[rule][1], counts):
-        if not certified(tested, good, risk.alpha, risk.delta / tests):
-            break
-        if (gain := caught - risk.price * (wrong + tested)) > best:
-            best, chosen = gain, cutoff
-    return chosen
+    best, found = risk.worth * bad, None
+    for (rule, i), (caught, wrong) in zip(PLACES, counts):
+        if rule not in chosen and (gain := caught - risk.price * wrong) > best:
+            best, found = gain, (rule, i)
+    return found
+
+
+def walk(chain: list[tuple[str, int]], rejected: dict[tuple[str, int], int], good: int, risk: Risk, strata: int) -> dict[str, int]:
+    """What is left of a chain of (rule, place of its last cutoff): rules and places up to the first test that fails. rejected: of each of PLACES, good documents of the testing half that it or a rule earlier in the chain rejects."""
+    kept: dict[str, int] = {}
+    for rule, last in chain:
+        for i in range(last + 1):
+            if not certified(rejected[rule, i], good, risk.alpha, risk.delta / strata):
+                return kept
+            kept[rule] = i
+    return kept
+
+
+def _state(rows: DataFrame) -> DataFrame:
+    """Of a table of strata, the columns that a join with cases brings: stratum, each rule's cutoff and its place in the chain."""
+    return rows.select(F.col("stratum").alias("_s"), *[F.nanvl(F.col(f"c_{r}"), F.lit(None).cast("double")).alias(f"c_{r}") for r in RULES], *[F.col(f"o_{r}").alias(f"o_{r}") for r in RULES])
+
+
+def _hit(rule: str, cutoff: Column | float) -> Column:
+    return F.coalesce(rejects(rule, F.col(rule), cutoff), F.lit(False))
 
 
 def thresholds(based: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
-    """A row for each stratum that has labels: stratum and each rule's cutoff, null where none could be certified or none is worth it.
+    """A row for each stratum that has labels: stratum and each rule's cutoff, null where it has none.
 
-    Rules are chosen one after another, so none is there for documents that another rejects anyway. What is certified counts all good
-    documents that a rule alone rejects. Labels of null quality or id don't count; a document that is labelled twice counts twice.
-    Documents that fail the base rules are no cases.
+    Rules are proposed one after another, so none is there for documents that another rejects anyway. Labels of null quality or id don't count;
+    a document that is labelled twice counts twice. Documents that fail the base rules are no cases. All counts are taken over all cases.
     """
     test = F.pmod(F.xxhash64(F.lit(risk.seed), "doc_id"), F.lit(2)) == 1
     cases = based.where(~base_failed()).join(labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).alias("_q")).where("_q is not null"), "doc_id")
-    cases = durable(cases.select("stratum", (F.col("_q") == 1).alias("good"), test.alias("test"), F.lit(True).alias("open"), *[m.alias(r) for r, m in measures().items()]))
-    out = durable(cases.groupBy("stratum").agg(F.sum((F.col("good") & F.col("test")).cast("long")).alias("n_good"), F.sum((~F.col("good") & ~F.col("test")).cast("long")).alias("n_bad")))
-    tests = max(1, out.count()) * len(RULES)
-    for rule, (_, cutoffs) in RULES.items():
-        each = []
-        for cutoff in cutoffs:
-            hit = rejects(rule, F.col(rule), F.lit(cutoff))
-            each += [F.sum((hit & cond).cast("long")) for cond in (~F.col("good") & ~F.col("test") & F.col("open"), F.col("good") & ~F.col("test"), F.col("good") & F.col("test"))]
-        counted = out.join(cases.groupBy("stratum").agg(F.array(*each).alias("counts")), "stratum")
-        columns = [c for c in out.columns if c not in ("n_good", "n_bad")]
-
-        def run(batches: Iterator[pd.DataFrame], rule: str = rule) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                triples = [[tuple(map(int, c[i : i + 3])) for i in range(0, len(c), 3)] for c in batch["counts"]]
-                chosen = [choose(rule, c, int(g), int(b), tests, risk) for c, g, b in zip(triples, batch["n_good"], batch["n_bad"])]
-                yield batch.drop(columns="counts").assign(**{rule: pd.Series(chosen, index=batch.index, dtype="float64")})
-
-        kinds = ", ".join(["stratum string, n_good long, n_bad long", *[f"{c} double" for c in [*columns[1:], rule]]])
-        out = durable(counted.mapInPandas(run, kinds))
-        cutoff = out.select(F.col("stratum").alias("_s"), F.nanvl(F.col(rule), F.lit(None).cast("double")).alias("_c"))
-        cases = cases.join(checked_broadcast(cutoff, risk.strata), F.col("stratum") == F.col("_s")).withColumn("open", F.col("open") & ~F.coalesce(rejects(rule, F.col(rule), F.col("_c")), F.lit(False))).drop("_s", "_c")
-    return out.select("stratum", *RULES)
+    cases = durable(cases.select("stratum", (F.col("_q") == 1).alias("good"), test.alias("test"), *[m.alias(r) for r, m in measures().items()]))
+    n_of = lambda cond: F.sum(cond.cast("long"))
+    out = cases.groupBy("stratum").agg(n_of(F.col("good") & F.col("test")).alias("n_good"), n_of(~F.col("good") & ~F.col("test")).alias("n_bad"))
+    out = durable(out.select("stratum", "n_good", "n_bad", *[F.lit(None).cast("double").alias(f"c_{r}") for r in RULES], *[F.lit(0).alias(f"o_{r}") for r in RULES]))
+    strata = max(1, out.count())
+    kinds = "stratum string, n_good long, n_bad long, " + ", ".join([f"c_{r} double" for r in RULES] + [f"o_{r} int" for r in RULES])
+
+    def counted(cases: DataFrame, each: list[Column]) -> DataFrame:
+        return out.join(cases.groupBy(F.col("stratum").alias("_s")).agg(F.array(*each).alias("counts")), F.col("stratum").eqNullSafe(F.col("_s"))).drop("_s")
+
+    def joined(half: Column) -> DataFrame:
+        return cases.where(half).join(checked_broadcast(_state(out), risk.strata), F.col("stratum").eqNullSafe(F.col("_s"))).drop("_s")
+
+    def proposed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, row in batch.iterrows():
+                chosen = {r: 0 for r in RULES if row[f"o_{r}"]}
+                counts = list(map(int, row["counts"]))
+                if found := propose(list(zip(counts[::2], counts[1::2])), chosen, int(row["n_bad"]), risk):
+                    batch.at[i, f"c_{found[0]}"] = RULES[found[0]][1][found[1]]
+                    batch.at[i, f"o_{found[0]}"] = len(chosen) + 1
+            yield batch.drop(columns="counts")
+
+    for step in range(len(RULES)):
+        open_ = ~F.lit(False)
+        for r in RULES:
+            open_ = open_ & ~_hit(r, F.col(f"c_{r}"))
+        each = [n_of(_hit(r, F.lit(RULES[r][1][i])) & kind) for r, i in PLACES for kind in (~F.col("good"), F.col("good"))]
+        out = durable(counted(joined(~F.col("test")).where(open_), each).mapInPandas(proposed, kinds))
+        if not out.where(" or ".join(f"o_{r} = {step + 1}" for r in RULES)).limit(1).count():
+            break
+
+    def tested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, row in batch.iterrows():
+                rejected = dict(zip(PLACES, map(int, row["counts"])))
+                order = sorted((r for r in RULES if row[f"o_{r}"]), key=lambda r: row[f"o_{r}"])
+                kept = walk([(r, RULES[r][1].index(row[f"c_{r}"])) for r in order], rejected, int(row["n_good"]), risk, strata)
+                for r in RULES:
+                    batch.at[i, f"c_{r}"] = RULES[r][1][kept[r]] if r in kept else None
+            yield batch.drop(columns="counts")
+
+    each = []
+    for r, i in PLACES:
+        hit = _hit(r, F.lit(RULES[r][1][i]))
+        for q in RULES:
+            hit = hit | ((F.col(f"o_{q}") > 0) & (F.col(f"o_{q}") < F.col(f"o_{r}")) & _hit(q, F.col(f"c_{q}")))
+        each.append(n_of(hit & F.col("good")))
+    out = durable(counted(joined(F.col("test")), each).mapInPandas(tested, kinds))
+    return out.select("stratum", *[F.nanvl(F.col(f"c_{r}"), F.lit(None).cast("double")).alias(r) for r in RULES])
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """judge() with each row's text hash."""
     based = durable(with_base(docs, doc_id, text, stratum))
     cutoffs = durable(thresholds(based, labels, risk)).select(F.col("stratum").alias("_s"), *[F.col(r).alias(f"_{r}") for r in RULES])
-    out = based.join(checked_broadcast(cutoffs, risk.strata), F.col("stratum") == F.col("_s"), "left")
+    out = based.join(checked_broadcast(cutoffs, risk.strata), F.col("stratum").eqNullSafe(F.col("_s")), "left")
     bad = F.lit(False)
     for rule, measure in measures().items():
         cutoff = F.col(f"_{rule}")
-        bad = bad | F.coalesce(~F.isnan(cutoff) & rejects(rule, measure, cutoff), F.lit(False))
+        bad = bad | F.coalesce(rejects(rule, measure, cutoff), F.lit(False))
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """doc_id, n_words, the base counts, base_failed and kept of each row of docs; then stratum.
 
-    A stratum without enough labels to certify anything rejects by the base rules alone. Equal rows get equal verdicts.
-    Null texts, empty ones and short ones fail the base rules. An empty table gives no rows. Other columns are not read.
+    A stratum without enough labels to certify anything rejects by the base rules alone. Equal rows get equal verdicts, measures that tie with a cutoff are rejected.
+    Null texts, empty ones and short ones fail the base rules; a text of any length is read whole. Rows of null id are judged as any other. An empty table
+    gives no rows. Other columns are not read, whatever their names.
     """
     return verdicts(docs, labels, risk, doc_id, text, stratum).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """docs without those that judge() rejects. If rows share an id, it stays with all its rows if one of them is kept; rows of null id go: see keep_rows()."""
-    kept = judge(docs, labels, risk, doc_id, text, stratum).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, docs[doc_id] == kept["_keep_id"], "left_semi")
-
-
 def keep_rows(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """docs without the rows that judge() rejects, each by its own verdict: a row is known by id, text and stratum, whether its id is null or shared by others."""
+    """docs without the rows that judge() rejects, each by its own verdict: a row is known by id, text and stratum, whether its id is null or shared by others. Other columns stay, but none may begin with _keep."""
     kept = verdicts(docs, labels, risk, doc_id, text, stratum).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("row").alias("_keep_row"), F.col("stratum").alias("_keep_stratum")).distinct()
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(text) == F.col("_keep_row")) & (stratum_of(stratum) == F.col("_keep_stratum"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(text) == F.col("_keep_row")) & stratum_of(stratum).eqNullSafe(F.col("_keep_stratum"))
     return docs.join(kept, same, "left_semi")
