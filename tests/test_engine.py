@@ -1,4 +1,5 @@
 import json
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from tributary.operators import sections as S
 from tributary.plans import config as C
 from tributary.plans.engine import run
 from tributary.plans.validate import json_errors
+from tributary.sources.pdf import pdf_text
 
 RECRUITER = 'name,email,phone,current_company,title,skills\nMira Castell,mira@example.org,9876543210,Google,Software Engineer,"Java,Python,React,SQL"\n'
 PROFILE = {"full_name": "Mira Castell Ono", "email": "mira.castell@example.org", "phone": "+91 98765 43210", "company": "Google", "position": "Software Engineer II", "skills": ["Java", "Python", "ReactJS", "SQL"]}
@@ -75,6 +77,61 @@ Bachelor of Science, X University
 """
 
 
+def pdf(text, deflate=True):
+    """A PDF of one page whose lines are these, as simple as they come."""
+    show = " T*\n".join("(" + x.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)") + ") Tj" if i % 2 else "[" + f"({x[:2]}) -20 ({x[2:]})" + "] TJ" for i, x in enumerate(text.split("\n")))
+    body = f"BT /F1 12 Tf 14 TL 72 700 Td\n{show}\nET".encode("cp1252", "replace")
+    body = zlib.compress(body) if deflate else body
+    head = f"<< /Length {len(body)}{' /Filter /FlateDecode' if deflate else ''} >>".encode()
+    return b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog >>\nendobj\n4 0 obj\n" + head + b"\nstream\n" + body + b"\nendstream\nendobj\n%%EOF"
+
+
+@pytest.mark.parametrize("deflate", [True, False])
+def test_pdf_text(deflate):
+    lines = "One line\nTwo (with signs) \\ é\nThree"
+    assert pdf_text(pdf(lines, deflate)) == lines
+    with pytest.raises(ValueError):
+        pdf_text(b"junk")
+    assert pdf_text(b"%PDF-1.4\nnothing") == ""
+
+
+def test_pdf_file(spark, files):
+    out, errors = output(run(spark, files(resume__pdf=pdf(RESUME.replace("•", "\x95")))))
+    assert errors == [] and out["full_name"] == "MIRA CASTELL ONO" and out["current_title"] == "AI Intern" and out["emails"] == ["t@x.org"]
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    from tributary.sources.readers import files as listed
+
+    paths = [str(tmp_path / f"f{i} {{a}},b[{i}].csv") for i in range(450)]
+    for p in paths[::3]:
+        open(p, "w").write("name\n" + p[-8:] if p != paths[3] else "")
+    got = {r.source_seq: (r.source_id, r.error, r.content) for r in listed(spark, paths).collect()}
+    assert len(got) == 450 and all((e is None) == (i % 3 == 0) and (c is None) == (i % 3 > 0) for i, (_, e, c) in got.items()) and bytes(got[3][2]) == b""
+    plan = listed(spark, paths)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_escaped_addresses_are_found(spark, files):
+    r = run(spark, files(a__json='{"name": "A B", "page": "https:\\/\\/linkedin.com\\/in\\/ab"}', b__json='{"page": "linkedin: other"}'))
+    assert {(x.kind, x.url) for x in r.links.collect()} == {("linkedin", "https://linkedin.com/in/ab")}
+
+
+def test_country_and_policies(spark, files):
+    out, _ = output(run(spark, files(a__csv="name,phone\nA B,2025550123\n"), country="1"))
+    assert out["phones"] == ["+12025550123"]
+    from tributary.functions import dicts as D
+    from tributary.operators import evidence as E
+    from tributary.operators.profile import canonical
+
+    rows = spark.createDataFrame([("e", "team", "x", "a"), ("e", "team", "x", "b"), ("e", "team", "y", "b")], "e string, f string, v string, s string")
+    ev = E.normalized(E.evidence(rows, F.col("e"), F.col("f"), F.col("v"), F.col("s"), F.lit("structured"), F.lit("m")))
+    assert canonical(ev, policies=D.POLICIES | {"team": "single"}).first()["team"]["value"] == "x"
+    assert [x["value"] for x in canonical(ev, policies=D.POLICIES | {"team": "multi"}).first()["team"]] == ["x", "y"]
+    with pytest.raises(ValueError):
+        canonical(ev, policies=D.POLICIES | {"team": "best"})
+
+
 def test_document(spark, files):
     out, errors = output(run(spark, files(resume__pdf=RESUME), extract=lambda b: b.decode()))
     assert errors == [] and out["full_name"] == "MIRA CASTELL ONO" and out["emails"] == ["t@x.org"] and out["phones"] == ["+919876543210"]

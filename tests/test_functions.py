@@ -13,7 +13,7 @@ def values(spark, cases, f):
 
 CASES = {
     X.normalize_phone: {"9876543210": "+919876543210", "+91 98765 43210": "+919876543210", "09876543210": "+919876543210", "919876543210": "+919876543210", "91987654321": "+91987654321", "call me maybe": None, "": None, None: None, "+1234567": None, "+12345678": "+12345678", "12345": None},
-    X.normalize_date: {"Jan 2023": "2023-01", "January 2023": "2023-01", "Present": "present", "current": "present", "sometime, idk": None, "": None, None: None, "2023-02": "2023-02", "12/2020": "2020-12", "3 Mar 2021": "2021-03", "2019": "2019-01"},
+    X.normalize_date: {"Jan 2023": "2023-01", "January 2023": "2023-01", "Present": "present", "current": "present", "sometime, idk": None, "": None, None: None, "2023-02": "2023-02", "12/2020": "2020-12", "3 Mar 2021": "2021-03", "2019": "2019-01", "Sept 2021": "2021-09", "2021-3": "2021-03", "March, 2020": "2020-03", "2020-05-01T10:00:00": "2020-05", "May 3rd, 2020": "2020-05", "Mon, 4 May 2020 10:00": "2020-05", "13/02/2020": "2020-02", "02/13/2020": "2020-02", "20200501": "2020-05", "2020 June": "2020-06", "Feb 30 2020": None, "Foo 2020": None, "14/2020": None, "2020-13": None},
     X.normalize_email: {"  Mira@Example.org ": "mira@example.org", "not-an-email": None, None: None},
     X.normalize_skill: {" REACTJS ": "React", "  some niche framework  ": "Some Niche Framework", "GraphQL": "GraphQL", "• k8s.": "Kubernetes", "-": None, None: None, "3d": "3D", "rest-api": "Rest-Api", "ETL": "ETL"},
     X.normalize_text: {"  Google   LLC ": "Google LLC", "  ": None, "a  b": "a b", None: None},

@@ -12,7 +12,11 @@ def rows(spark, field, *facts):
 
 
 def single(spark, field, *facts, **options):
-    found = M.merge_single(rows(spark, field, *facts), **options).collect()
+    ev = rows(spark, field, *facts)
+    found = M.merge_single(ev, **options).collect()
+    if not options.get("distinct_sources"):  # the same without sources
+        columns = ("value", "confidence", "conflict", "n_values")
+        assert [[r[c] for c in columns] for r in M.single_counts(ev).collect()] == [[r[c] for c in columns] for r in found]
     return found[0].asDict() if found else None
 
 

@@ -39,7 +39,7 @@ def test_text_as_document(spark, files):  # noqa: F811
 
 def test_presets(tmp_path):
     (tmp_path / "b.json").write_text('{"fields": []}')
-    assert C.presets(tmp_path) == ["default", "b"] and C.load("b", folder=tmp_path) == {"fields": []} and C.load("default") is None
+    assert C.presets(tmp_path) == ["default", "b", "minimal", "public_profile", "strict_required"] and all(C.load(n) == C.PRESETS[n] for n in C.PRESETS) and C.load("b", folder=tmp_path) == {"fields": []} and C.load("default") is None
     assert C.output_schema({"fields": [{"path": "a", "type": "string[]", "required": True}, {"path": "b"}]}) == {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "string"}}, "b": {}}, "required": ["a"]}
     assert C.key_difference({"a": 1, "b": 2}, {"b": 1, "c": 1}) == (["a"], ["c"])
 

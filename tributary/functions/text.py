@@ -11,6 +11,11 @@ from tributary.functions import dicts as D
 SPACE = r"(?U)\s+"
 
 
+def let(v: Column, body) -> Column:
+    """body(v), with v computed once."""
+    return F.get(F.transform(F.array(v), body), F.lit(0))
+
+
 def or_null(v: Column) -> Column:
     """An empty string is no value."""
     return F.when(v != "", v)
@@ -49,14 +54,40 @@ def normalize_phone(v: Column, country: str = D.COUNTRY_CODE) -> Column:
     )
 
 
-MONTH_FORMATS = ("MMM yyyy", "MMMM yyyy", "yyyy-MM", "yyyy-MM-dd", "MM/yyyy", "MM/dd/yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM", "yyyy/MM/dd", "yyyy")
+#: Forms of a date in lower case, with the places of year, month and day; a month by name or number. The first that fits counts.
+_DAY, _SEP = r"\d{1,2}(?:st|nd|rd|th)?", r"[\s,./-]+"
+_WEEKDAY, _TIME = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+)?", r"(?:(?:t|,?\s+)\d{1,2}:\d{2}.*)?"
+DATE_FORMS = (
+    (rf"^{_WEEKDAY}([a-z]+)\.?{_SEP}(?:({_DAY}){_SEP})?(\d{{4}}){_TIME}$", 3, 1, 2),
+    (rf"^{_WEEKDAY}({_DAY})(?:{_SEP}|\s+of\s+)([a-z]+)\.?{_SEP}(\d{{4}}){_TIME}$", 3, 2, 1),
+    (rf"^(\d{{4}}){_SEP}([a-z]+)\.?(?:{_SEP}({_DAY}))?{_TIME}$", 1, 2, 3),
+    (rf"^(\d{{4}})[-/.](\d{{1,2}})(?:[-/.](\d{{1,2}}))?{_TIME}$", 1, 2, 3),
+    (rf"^(\d{{1,2}})[-/.](?:(\d{{1,2}})[-/.])?(\d{{4}}){_TIME}$", 3, 1, 2),
+    (r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3),
+)
 
 
 def normalize_date(v: Column) -> Column:
-    """'yyyy-MM', or 'present'; null if no known format fits. A year alone is its January."""
-    s = F.initcap(collapse(v))
-    parsed = F.coalesce(*[F.date_format(F.try_to_timestamp(s, F.lit(f)), "yyyy-MM") for f in MONTH_FORMATS])
-    return F.when(F.lower(s).isin("present", "current", "ongoing", "now"), F.lit("present")).otherwise(parsed)
+    """'yyyy-MM', or 'present'; null if it is no date. A year alone is its January; of two numbers that may be the month, the first is, unless it is beyond 12."""
+    months = F.create_map(*[F.lit(x) for pair in D.MONTHS.items() for x in pair])
+
+    def date(x: Column) -> Column:
+        """Of a struct of year, month and day as they stand there."""
+        month = F.coalesce(F.try_element_at(months, x["m"]), x["m"].try_cast("int"))
+        day = F.coalesce(F.regexp_extract(x["d"], r"^\d+", 0).try_cast("int"), F.lit(1))
+
+        def ordered(y: Column) -> Column:
+            swap = (x["d"] != "") & (y["m"] > 12) & (y["d"] <= 12) & x["m"].try_cast("int").isNotNull()
+            return F.try_make_timestamp(x["y"].try_cast("int"), F.when(swap, y["d"]).otherwise(y["m"]), F.when(swap, y["m"]).otherwise(y["d"]), F.lit(0), F.lit(0), F.lit(0))
+
+        return let(F.struct(month.alias("m"), day.alias("d")), ordered)
+
+    def first_form(s: Column) -> Column:
+        forms = [F.when(F.rlike(s, F.lit(form)), F.struct(*[F.regexp_extract(s, form, k).alias(n) for n, k in (("y", y), ("m", m), ("d", d))])) for form, y, m, d in DATE_FORMS]
+        year = F.when(F.rlike(s, F.lit(r"^\d{4}$")), F.concat(s, F.lit("-01")))
+        return F.when(s.isin("present", "current", "ongoing", "now"), F.lit("present")).otherwise(F.coalesce(year, F.date_format(let(F.coalesce(*forms), date), "yyyy-MM")))
+
+    return let(F.lower(collapse(v)), first_form)
 
 
 def title_case(v: Column) -> Column:
@@ -94,6 +125,11 @@ def key_of(v: Column) -> Column:
 NORMALIZERS = {"emails": normalize_email, "phones": normalize_phone, "skills": normalize_skill, "experience_start_date": normalize_date, "experience_end_date": normalize_date}
 
 
+def normalizers(country: str = D.COUNTRY_CODE) -> dict:
+    """NORMALIZERS where national phone numbers are of another country, by its calling code."""
+    return NORMALIZERS | {"phones": lambda v: normalize_phone(v, country)}
+
+
 def normalize(field: Column, value: Column, normalizers: dict = NORMALIZERS) -> Column:
     """The value by its field's normalizer, plain text by default."""
     out = None

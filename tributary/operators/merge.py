@@ -33,8 +33,8 @@ def is_token_subsequence(short: Column, long: Column) -> Column:
     return (F.size(a) < F.size(b)) & (met == F.size(a))
 
 
-def value_groups(ev: DataFrame, by: list[str] = ["entity_id", "field_name"]) -> DataFrame:
-    """A row for each distinct key of a field: n, first, weight, longest value, rows in order."""
+def value_groups(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], rows: bool = True) -> DataFrame:
+    """A row for each distinct key of a field: n, first, weight, longest value, rows in order. Without rows nothing of it grows with n, and all of it is combined before the shuffle."""
     at = place()
     row = F.struct(at.alias("at"), F.col("source_id").alias("source"), "method", F.col("raw_value").alias("raw"))
     keyed = ranked(ev.where((F.col("value") != "") & F.col("value").isNotNull())).withColumn("key", key_of(F.col("value")))
@@ -43,10 +43,25 @@ def value_groups(ev: DataFrame, by: list[str] = ["entity_id", "field_name"]) ->
         F.min(at).alias("first"),
         F.max("weight").alias("weight"),
         F.min(F.struct((-F.length("value")).alias("l"), at.alias("at"))).alias("longest"),
-        F.array_sort(F.collect_list(row)).alias("rows"),
+        (F.array_sort(F.collect_list(row)) if rows else F.lit(None).cast("array<int>")).alias("rows"),
     ).withColumn("longest", F.col("longest.at.value"))
 
 
+def single_counts(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], containment: tuple[str, ...] = CONTAINMENT) -> DataFrame:
+    """value, confidence, conflict, n_values as merge_single has them, without sources: a field of very many rows costs one row for each distinct value."""
+    one = value_groups(ev, by, rows=False).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "first", "key", "n", "weight", "longest"))).alias("g"))
+    g = F.col("g")
+    top, second = F.get(g, 0), F.get(g, 1)
+    full = F.filter(g, lambda x: F.forall(g, lambda y: (x["key"] == y["key"]) | is_token_subsequence(y["key"], x["key"])))
+    fields = F.col("field_name").isin(*containment) if "field_name" in by and containment else F.lit(False)
+    one = one.withColumn("whole", F.when(fields & (F.size(g) > 1), F.get(full, 0)))
+    alone, whole, plural = F.size(g) == 1, F.col("whole").isNotNull(), top["n"] > second["n"]
+    best, total = F.array_max(_each(g, "weight")), F.aggregate(_each(g, "n"), F.lit(0).cast("long"), lambda a, x: a + x)
+    value = F.when(alone, top["longest"]).when(whole, F.col("whole.longest")).when(plural, top["longest"])
+    conf = F.when(alone, confidence(top["weight"], top["n"])).when(whole, confidence(best, total, "partial")).when(plural, confidence(top["weight"], top["n"], "partial")).otherwise(F.lit(0.0))
+    return one.select(*by, value.alias("value"), conf.alias("confidence"), (~alone).alias("conflict"), F.size(g).alias("n_values"))
+
+
 def single_of(one: DataFrame, g: str, contained: Column | None, distinct_sources: bool = False) -> tuple[DataFrame, dict[str, Column]]:
     """What a field's groups (n, first, key, weight, longest, rows) come to, as columns over the DataFrame that is returned with them.
 
@@ -94,13 +109,13 @@ def merge_single(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], con
     return one.select(*by, *[v.alias(k) for k, v in columns.items()])
 
 
-def merge_values(ev: DataFrame, singles: list[str], multis: list[str], distinct_sources: bool = False) -> DataFrame:
+def merge_values(ev: DataFrame, singles: list[str], multis: list[str], distinct_sources: bool = False, skills: tuple[str, ...] = ("skills",)) -> DataFrame:
     """(entity_id, field_name, single, items, skills) of all fields of these kinds at once: what merge_single, merge_multi and merge_skills give, in two shuffles of one reading."""
     field = F.col("field_name")
-    is_single, is_multi = field.isin(singles), field.isin(multis)
-    rows = ranked(ev.where(is_single | is_multi | (field == "skills"))).withColumn("_s", F.when(field == "skills", canonical_skill(F.col("raw_value"))))
+    is_single, is_multi, is_skill = field.isin(singles), field.isin(multis), field.isin(*skills)
+    rows = ranked(ev.where(is_single | is_multi | is_skill)).withColumn("_s", F.when(is_skill, canonical_skill(F.col("raw_value"))))
     key = F.when(is_single, key_of(F.col("value"))).when(is_multi, F.col("value")).otherwise(F.col("_s.name"))
-    rows = rows.withColumn("key", key).where((F.col("key") != "") & ((field == "skills") | (F.col("value") != "")))
+    rows = rows.withColumn("key", key).where((F.col("key") != "") & (is_skill | (F.col("value") != "")))
     at = place()
     row = F.struct(at.alias("at"), F.col("source_id").alias("source"), "method", F.col("raw_value").alias("raw"), "rank")
     by = ["entity_id", "field_name"]
@@ -125,7 +140,7 @@ def merge_values(ev: DataFrame, singles: list[str], multis: list[str], distinct_
         *by,
         F.when(is_single, F.struct(*[v.alias(k) for k, v in single.items()])).alias("single"),
         F.when(is_multi, ranked_list(agreed, lambda x: x["rank"], "value", lambda x: _each(x["rows"], "source"))).alias("items"),
-        F.when(field == "skills", ranked_list(by_name, lambda x: F.lit(0), "name", best_first)).alias("skills"),
+        F.when(is_skill, ranked_list(by_name, lambda x: F.lit(0), "name", best_first)).alias("skills"),
     )
 
 
@@ -197,9 +212,9 @@ def merge_attributes(ev: DataFrame, by: list[str] = ["entity_id", "field_name"])
     return _entries(ev, _first_order(), by)
 
 
-def merge_maps(ev: DataFrame, links: str = "links") -> DataFrame:
-    """entries of all map fields at once, that of links as merge_links has them, others as merge_attributes."""
-    return _entries(ev, F.when(F.col("field_name") == links, _link_order()).otherwise(_first_order()), ["entity_id", "field_name"])
+def merge_maps(ev: DataFrame, priority: list[str] = ["links"]) -> DataFrame:
+    """entries of all map fields at once, those of priority as merge_links has them, others as merge_attributes."""
+    return _entries(ev, F.when(F.col("field_name").isin(*priority), _link_order()).otherwise(_first_order()), ["entity_id", "field_name"])
 
 
 def ordered_text(df: DataFrame, by: list[str], order: Column, text: Column, sep: str = "\n") -> DataFrame:

@@ -29,12 +29,21 @@ def _list(payload: Column, schema: T.ArrayType) -> Column:
     return F.flatten(each)
 
 
-def canonical(ev: DataFrame, entities: DataFrame | None = None, distinct_sources: bool = False) -> DataFrame:
+#: The slot of a policy's result.
+SLOTS = {"single": "f", "multi": "i", "skills": "s", "first_source": "p", "map_priority": "m", "map_first": "m"}
+
+
+def canonical(ev: DataFrame, entities: DataFrame | None = None, distinct_sources: bool = False, policies: dict[str, str] = D.POLICIES) -> DataFrame:
     """A profile for each entity of normalized evidence; entities (entity_id): those that must have one even without.
 
+    policies: what each field is merged by, a word of SLOTS; those of D.POLICIES may be changed only within their slot, others may be added.
+
     The evidence is read for values, for payloads and for maps; each reading groups by (entity, field, key) and by (entity, field).
     All results are then grouped by entity once.
     """
+    if wrong := {f: p for f, p in policies.items() if p not in SLOTS} or {f: p for f, p in D.POLICIES.items() if SLOTS.get(policies.get(f)) != SLOTS[p]}:
+        raise ValueError(f"no such policies: {wrong}")
+    of = lambda policy: [f for f, p in policies.items() if p == policy]
     ev = accepted(ev)
     field = F.col("field_name")
     shape = {"f": FIELD, "i": ITEMS, "s": SKILLS, "p": "array<string>", "m": "map<string,string>"}
@@ -43,9 +52,9 @@ def canonical(ev: DataFrame, entities: DataFrame | None = None, distinct_sources
         return df.select("entity_id", name.alias("name"), *[(F.col(slots[k]) if k in slots else F.lit(None)).cast(kind).alias(k) for k, kind in shape.items()])
 
     parts = [
-        part(M.merge_values(ev, D.SINGLE_FIELDS, D.MULTI_FIELDS, distinct_sources), field, f="single", i="items", s="skills"),
-        part(M.first_source(ev.where(field.isin("experience", "education")), keep_all=True), field, p="payload"),
-        part(M.merge_maps(ev.where(field.isin("links", "extra_attributes"))), field, m="entries"),
+        part(M.merge_values(ev, of("single"), of("multi"), distinct_sources, tuple(of("skills"))), field, f="single", i="items", s="skills"),
+        part(M.first_source(ev.where(field.isin(*of("first_source"))), keep_all=True), field, p="payload"),
+        part(M.merge_maps(ev.where(field.isin(*of("map_priority"), *of("map_first"))), of("map_priority")), field, m="entries"),
     ]
     if entities is not None:
         parts.append(part(entities.select("entity_id").distinct(), F.lit("")))
@@ -53,7 +62,7 @@ def canonical(ev: DataFrame, entities: DataFrame | None = None, distinct_sources
     for p in parts[1:]:
         long = long.unionByName(p)
     pick = lambda name, slot: F.max_by(slot, F.when(F.col("name") == name, F.lit(1))).alias(name)
-    slots = {**dict.fromkeys(D.SINGLE_FIELDS, "f"), **dict.fromkeys(D.MULTI_FIELDS, "i"), "skills": "s", "experience": "p", "education": "p", "links": "m", "extra_attributes": "m"}
+    slots = {f: SLOTS[p] for f, p in policies.items()}
     wide = long.groupBy("entity_id").agg(*[pick(name, slot) for name, slot in slots.items()])
     empty_map = F.create_map().cast("map<string,string>")
     blank = {"f": _none(), "i": F.array().cast(ITEMS), "s": F.array().cast(SKILLS), "p": F.array().cast("array<string>"), "m": empty_map}

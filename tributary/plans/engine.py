@@ -8,13 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tributary.functions import dicts as D
 from tributary.functions import links as L
+from tributary.functions.text import normalizers
 from tributary.operators import evidence as E
 from tributary.operators import profile
 from tributary.operators.enrich import enrich
-from tributary.operators.merge import ordered_text
 from tributary.operators.sections import resume_evidence
 from tributary.plans.projection import project, project_default
+from tributary.session import kept
 from tributary.sources import readers as R
 
 
@@ -31,13 +33,16 @@ class RunResult:
     links: DataFrame
 
 
-def resolve(ev: DataFrame, config: dict | None = None, sources: DataFrame | None = None, links: DataFrame | None = None, distinct_sources: bool = False) -> RunResult:
-    """From evidence on. The normalized evidence has two readers, the accepted and the rejected; it is a narrow step of its source and isn't kept."""
+def resolve(ev: DataFrame, config: dict | None = None, sources: DataFrame | None = None, links: DataFrame | None = None, distinct_sources: bool = False, country: str = D.COUNTRY_CODE, policies: dict[str, str] = D.POLICIES) -> RunResult:
+    """From evidence on. country: the calling code of national phone numbers. policies: how fields are merged.
+
+    Normalized evidence and profiles have several readers; they are kept in the folder of spark.checkpoint.dir, where one is set.
+    """
     spark = ev.sparkSession
     if sources is None:
         sources = ev.select("entity_id", "source_seq", "source_id", "source_type", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.array().cast("array<string>").alias("warnings")).distinct()
-    good = E.normalized(ev)
-    profiles = profile.canonical(good, sources.select("entity_id"), distinct_sources)
+    good = kept(E.normalized(ev, normalizers(country)))
+    profiles = kept(profile.canonical(good, sources.select("entity_id"), distinct_sources, policies))
     output = project(profiles, config) if config else project_default(profiles)
     skipped = E.rejected(good)
     dropped = skipped.select("entity_id", F.lit("dropped").alias("kind"), F.concat(F.lit("dropped unparseable "), "field", F.lit(" value '"), "raw_value", F.lit("' from "), "source_id").alias("message"))
@@ -52,9 +57,9 @@ def resolve(ev: DataFrame, config: dict | None = None, sources: DataFrame | None
 
 
 def discover(texts: DataFrame) -> DataFrame:
-    """(entity_id, kind, url) of texts (entity_id, source_seq, text): an entity's texts are read as one, in the order of sources."""
-    whole = ordered_text(texts, ["entity_id"], F.col("source_seq"), F.col("text"))
-    return whole.select("entity_id", F.explode(L.all_links(F.col("text"))).alias("kind", "url"))
+    """(entity_id, kind, url) of texts (entity_id, source_seq, text): of each kind the surest form's first, by the order of sources. Each text is searched for itself, so none of them meet in one task."""
+    each = texts.select("entity_id", "source_seq", F.explode(L.found_links(F.col("text"))).alias("x")).select("entity_id", "source_seq", "x.*")
+    return each.groupBy("entity_id", "kind").agg(F.min_by("url", F.struct("form", "source_seq", "url")).alias("url"))
 
 
 def link_evidence(links: DataFrame, source_seq: int = 999) -> DataFrame:
@@ -62,10 +67,10 @@ def link_evidence(links: DataFrame, source_seq: int = 999) -> DataFrame:
     return E.evidence(per, F.col("entity_id"), F.lit("links"), F.lit(None), F.lit("url_discovery"), F.lit("unstructured"), F.lit("regex:url_discovery"), F.lit(source_seq), F.lit(0), value_map=F.col("m"))
 
 
-def run(spark: SparkSession, paths: list[str], config: dict | None = None, extract: Callable[[bytes], str] | None = None, profiles: DataFrame | None = None, entity: str = "entity", text_as_document: bool = False) -> RunResult:
+def run(spark: SparkSession, paths: list[str], config: dict | None = None, extract: Callable[[bytes], str] | None = None, profiles: DataFrame | None = None, entity: str = "entity", text_as_document: bool = False, country: str = D.COUNTRY_CODE) -> RunResult:
     """All files are about one entity, unless there is one table alone with several rows: then each row is an entity.
 
-    extract: text of a document's bytes. profiles: (url, payload) to enrich from. text_as_document: .txt files are read as documents, not as tables.
+    extract: text of a PDF's bytes, for those that pdf_text() can't read. country: the calling code of national phone numbers. profiles: (url, payload) to enrich from. text_as_document: .txt files are read as documents, not as tables.
     """
     found = R.files(spark, paths)
     if text_as_document:
@@ -78,7 +83,7 @@ def run(spark: SparkSession, paths: list[str], config: dict | None = None, extra
         ev = R.to_evidence(rows, F.when(F.col("n") > 1, F.col("source_id")).otherwise(one))
         cases = ev.select(F.col("entity_id").alias("case"), F.regexp_replace("source_id", r"#row\d+$", "").alias("file")).distinct()
         states = R.to_sources(rows, one).join(cases, F.col("source_id") == F.col("file"), "left").withColumn("entity_id", F.coalesce("case", "entity_id")).drop("case", "file")
-        return resolve(ev, config, states)
+        return resolve(ev, config, states, country=country)
     rows = rows.where(F.col("field_name").isNull() | (F.col("row") <= 1))
     ev = R.to_evidence(rows, one)
     documents = R.document_texts(found, extract)
@@ -88,7 +93,7 @@ def run(spark: SparkSession, paths: list[str], config: dict | None = None, extra
     ev = E.union(ev, link_evidence(links))
     if profiles is not None:
         ev = E.union(ev, enrich(links, profiles))
-    out = resolve(ev, config, states, links)
+    out = resolve(ev, config, states, links, country=country)
     known = links if profiles is None else links.join(profiles.select("url"), "url", "left_anti")
     names = F.when(F.col("kind") == "linkedin", "LinkedIn").when(F.col("kind") == "github", "GitHub")
     missed = known.where(names.isNotNull()).select("entity_id", F.lit("enrichment").alias("kind"), F.concat(names, F.lit(" enrichment unavailable")).alias("message"))

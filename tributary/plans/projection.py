@@ -92,7 +92,8 @@ def resolve(path: str, view: str = "value") -> Found:
 
 def _json(value: Column) -> Column:
     """Any value as JSON text; null is 'null'."""
-    return F.coalesce(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}).substr(F.lit(6), F.length(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})) - 6), F.lit("null"))
+    whole = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    return F.coalesce(F.get(F.transform(F.array(whole), lambda t: t.substr(F.lit(6), F.length(t) - 6)), 0), F.lit("null"))
 
 
 def _object(pairs: list[tuple[str, Column, Column]]) -> Column:

@@ -13,6 +13,8 @@ from tributary.plans import config as C
 from tributary.plans.engine import run
 
 ALLOWED = (".csv", ".json", ".pdf", ".txt")
+#: Entities that an answer may hold; larger runs are written by writers.envelope().
+MOST = 10_000
 
 
 def health() -> dict:
@@ -28,9 +30,11 @@ def refused(names: list[str]) -> str | None:
 
 
 def answer(spark: SparkSession, paths: list[str], config_name: str | None = None, config_json: str | None = None, folder: str | None = None, extract: Callable[[bytes], str] | None = None, profiles: DataFrame | None = None) -> dict:
-    """ok, warnings, validation_errors, canonical, output, discovered_urls, enrichment_status, candidate_outputs of one run. One entity, or one table's rows: few enough for the driver."""
+    """ok, warnings, validation_errors, canonical, output, discovered_urls, enrichment_status, candidate_outputs of one run. One entity, or one table's rows: MOST at most, as all of it goes to the driver."""
     config = C.load(config_name, config_json, folder)
     result = run(spark, paths, config, extract, profiles)
+    if result.output.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} entities: write the run's envelope instead")
     warnings: dict[str, list[str]] = {}
     for r in result.warnings.collect():
         warnings.setdefault(r["entity_id"], []).append(r["message"])

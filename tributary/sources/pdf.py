@@ -1,0 +1,69 @@
+"""Text of simple PDF files: content streams, plain or deflated, whose fonts have one byte a character. Others need a library, given as ``extract``."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+
+STREAM = re.compile(rb"<<((?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n")
+#: A string, a hexadecimal one, the bounds of an array, a number, or an operator.
+PART = re.compile(rb"\(((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\)|<([0-9A-Fa-f\s]*)>|(-?\d*\.?\d+)|([A-Za-z'\"*]+)", re.S)
+ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
+SIGNS = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b"", b"\n": b"", b"\r": b"", b"\r\n": b""}
+#: A move to the left of so many thousandths of the font's size between two strings is a space.
+GAP = 180
+
+
+def _string(raw: bytes) -> str:
+    plain = ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else SIGNS.get(m[1], m[1]), raw)
+    return plain.decode("utf-16", "replace") if plain[:2] == b"\xfe\xff" else plain.decode("cp1252", "replace")
+
+
+def streams(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while m := STREAM.search(data, at):
+        end = data.find(b"endstream", m.end())
+        body, at = data[m.end() : end], max(end, m.end())
+        if b"FlateDecode" in m[1]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m[1]:
+            continue
+        yield body
+        if end < 0:
+            break
+
+
+def content_text(content: bytes) -> str:
+    """The strings that a content stream shows; a move to another line is a line feed."""
+    out: list[str] = []
+    held: list[str] = []
+    numbers: list[float] = []
+    for m in PART.finditer(content):
+        if m[1] is not None:
+            held.append(_string(m[1]))
+        elif m[2] is not None:
+            digits = re.sub(rb"\s", b"", m[2])
+            held.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace"))
+        elif m[3] is not None:
+            numbers.append(float(m[3]))
+            if held and numbers[-1] <= -GAP:
+                held.append(" ")
+        else:
+            op = m[4]
+            if op in (b"T*", b"'", b'"', b"ET") or (op in (b"Td", b"TD") and len(numbers) > 1 and numbers[-1]) or op == b"Tm":
+                out.append("\n")
+            if op in (b"Tj", b"TJ", b"'", b'"'):
+                out += held
+            held, numbers = [], []
+    return "".join(out)
+
+
+def pdf_text(data: bytes) -> str:
+    if not data.lstrip().startswith(b"%PDF"):
+        raise ValueError("no PDF header")
+    pages = [content_text(s) for s in streams(data) if b"BT" in s and b"ET" in s]
+    return re.sub(r"\n{2,}", "\n", "\n".join(pages)).strip()

@@ -9,13 +9,18 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import dicts as D
-from tributary.operators.evidence import evidence, union
+from tributary.operators.evidence import evidence
+from tributary.sources.pdf import pdf_text
 from tributary.session import ship
 
 ALIASES = {a: field for field, aliases in D.COLUMN_ALIASES.items() for a in aliases}
@@ -101,21 +106,60 @@ READERS: dict[str, tuple[str, Callable[[str, bytes], Iterator[tuple]]]] = {".csv
 DOCUMENTS = (".pdf", ".text")
 
 
+#: Names in one pattern of a scan.
+NAMES = 200
+
+
+def plain_path(path: str) -> str:
+    """How a path is known in a scan's rows: no scheme for local files, else as it is."""
+    path = path if "://" in path or path.startswith(("/", "file:")) else os.path.abspath(path)
+    return re.sub("^file:/+", "/", path)
+
+
+def _patterns(paths: list[str]) -> list[str]:
+    """The paths as patterns of names in a folder, so that a file that isn't there is no error while others are."""
+    folders: dict[str, list[str]] = {}
+    for path in dict.fromkeys(paths):
+        folder, _, name = plain_path(path).rpartition("/")
+        folders.setdefault(folder, []).append(re.sub(r"([\\{}\[\]*?,^])", r"\\\1", name))
+    return [f"{folder}/{{{','.join(names[i : i + NAMES])}}}" for folder, names in folders.items() for i in range(0, len(names), NAMES)]
+
+
 def files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source_seq, source_id, ext, content, error) of each path, in their order; a file that isn't there is a row with an error."""
-    parts = []
+    """(source_seq, source_id, ext, content, error) of each path, in their order; a file that isn't there is a row with an error.
+
+    All files are one scan, joined with the list of paths by name; the list is the caller's, the contents stay where they are read.
+    """
+    kind = "source_seq int, source_id string, ext string, content binary, error string"
+    scan, known = None, _patterns(paths)
+    try:
+        scan = spark.read.format("binaryFile").load(known) if known else None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = []
+        for pattern in known:  # folders of which nothing is there
+            try:
+                there.append(spark.read.format("binaryFile").load(pattern) and pattern)
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        scan = spark.read.format("binaryFile").load(there) if there else None
+    found = {plain_path(unquote(f)) for f in scan.inputFiles()} if scan is not None else set()
+    rows = []
     for i, path in enumerate(paths):
         name = path.rstrip("/").rsplit("/", 1)[-1]
         ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
-        base = [F.lit(i).alias("source_seq"), F.lit(name).alias("source_id"), F.lit(ext).alias("ext")]
-        try:
-            content = spark.read.format("binaryFile").load(path).select("content")  # an empty file has no row there
-            parts.append(spark.range(1).join(content, F.lit(True), "left").select(*base, F.coalesce("content", F.lit(b"")).alias("content"), F.lit(None).cast("string").alias("error")))
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            parts.append(spark.range(1).select(*base, F.lit(None).cast("binary").alias("content"), F.lit("file not found").alias("error")))
-    return union(*parts) if parts else spark.createDataFrame([], "source_seq int, source_id string, ext string, content binary, error string")
+        rows.append((i, name, ext, plain_path(path), None if plain_path(path) in found else "file not found"))
+    listed = spark.createDataFrame(rows, "source_seq int, source_id string, ext string, key string, error string")
+    none = listed.where("error is not null").select("source_seq", "source_id", "ext", F.lit(None).cast("binary").alias("content"), "error")
+    if scan is None:
+        return none.to(spark.createDataFrame([], kind).schema)
+    listed, at = listed.where("error is null"), F.regexp_replace("path", "^file:/+", "/")
+    full = scan.select(at.alias("at"), "content").join(F.broadcast(listed), F.col("at") == F.col("key")).select("source_seq", "source_id", "ext", "content", "error")
+    empty = listed.join(scan.select(at.alias("at")), F.col("at") == F.col("key"), "left_anti")  # an empty file has no row in a scan
+    empty = empty.select("source_seq", "source_id", "ext", F.lit(b"").alias("content"), "error")
+    return full.union(empty).union(none)
 
 
 def facts(found: DataFrame) -> DataFrame:
@@ -161,7 +205,8 @@ def to_sources(rows: DataFrame, entity_id: Column) -> DataFrame:
 
 
 def document_texts(found: DataFrame, extract: Callable[[bytes], str] | None = None) -> DataFrame:
-    """(source_seq, source_id, text, error) of documents; extract makes text of a file's bytes, as a PDF library would."""
+    """(source_seq, source_id, text, error) of documents; extract makes text of a PDF's bytes, pdf_text() unless another is given."""
+    extract = extract or pdf_text
 
     def run(batches):
         import pandas as pd
@@ -173,8 +218,8 @@ def document_texts(found: DataFrame, extract: Callable[[bytes], str] | None = No
                 read = extract if ext == ".pdf" else lambda b: b.decode("utf-8", "replace")
                 if error is None:
                     try:
-                        text = read(data) if read else None
-                        error = "could not read PDF: no text extractor is configured" if read is None else None if text and text.strip() else "PDF produced no extractable text (likely scanned/image-only)"
+                        text = read(data)
+                        error = None if text and text.strip() else "PDF produced no extractable text (likely scanned/image-only)"
                     except Exception as e:  # noqa: BLE001
                         error = f"could not read PDF: {e}"
                 out.append((seq, name, text if error is None else None, error))
@@ -212,6 +257,7 @@ def json_column(df: DataFrame, entity_id: Column, source_id: Column, payload: Co
 
 
 def raw_texts(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """(source_seq, text) of every readable file, for the discovery of addresses."""
-    plain = found.where(~F.col("ext").isin(*DOCUMENTS) & F.col("error").isNull()).select("source_seq", F.decode("content", "UTF-8").alias("text"))
-    return plain.union(documents.where("text is not null").select("source_seq", "text"))
+    """(source_seq, text) of every readable file, for the discovery of addresses. JSON is written anew, so that nothing in it is escaped that need not be."""
+    text = F.decode("content", "UTF-8")
+    plain = found.where(~F.col("ext").isin(*DOCUMENTS) & F.col("error").isNull()).select("source_seq", F.when(F.col("ext") == ".json", F.to_json(F.try_parse_json(text))).otherwise(text).alias("text"))
+    return plain.where("text is not null").union(documents.where("text is not null").select("source_seq", "text"))
