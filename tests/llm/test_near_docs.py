@@ -52,6 +52,24 @@ def test_against_all_pairs(spark):
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(groups(texts)))
 
 
+def test_large_groups_that_fall_apart(spark):
+    """Hundreds of variants of a text, most of them not near each other, in buckets that are cut into many blocks."""
+    r = random.Random(2)
+    vocab = [f"w{i}" for i in range(900)]
+    base = [r.choice(vocab) for _ in range(150)]
+    texts = []
+    for _ in range(260):
+        own = list(base)
+        for _ in range(r.randrange(1, 9)):
+            own[r.randrange(len(own))] = r.choice(vocab)
+        texts.append(" ".join(own))
+    want = sorted(set(groups(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 20 < len(want) < 250
+    for near in (Near(), Near(block=16), Near(block_bytes=20_000)):
+        assert sorted(r.doc_id for r in one_of_each(df, near).collect()) == want
+
+
 def test_recall():
     assert Near().recall(0.8) > 0.99999 and Near().recall(0.9) > 0.9999999
 

@@ -2,8 +2,9 @@
 
 Texts of equal words are one class. Classes whose fingerprints meet in a SimHash ball are candidates, as in simhash. A ball of radius 2 reaches
 few pairs at a similarity of 0.8, where some ten of 64 bits differ, and one of radius 10 would be millions of words a text; so classes that share a MinHash band
-are candidates as well. In each bucket, classes are first compared with one of it, another in each bucket; what isn't in one component
-after that is compared pair by pair, so large groups cost no squares unless they fall apart, and no pair within a bucket is left out.
+are candidates as well. In each bucket, classes are first compared with its least one; buckets that hold several components after that are
+compared whole, in blocks: a bucket of many classes is cut into parts, and each pair of parts is one task's, which gives the links that tie components
+together and no pairs. So no pair within a bucket is left out, and no bucket needs to be in one task.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ from tributary.llm.simhash import BLOCK, links, majority
 
 @dataclass(frozen=True)
 class Near:
-    """least: Jaccard similarity from which texts are near duplicates. shingle: words of a shingle. bands, rows: buckets of a text, and minima that make one."""
+    """least: Jaccard similarity from which texts are near duplicates. shingle: words of a shingle. bands, rows: buckets of a text, and minima that make one.
+    block, block_bytes: classes of a bucket, and bytes of their shingles, that are compared with as many others at once."""
 
     least: float = 0.8
     shingle: int = 5
     bands: int = 24
     rows: int = 4
     seed: int = 42
+    block: int = 512
+    block_bytes: int = 8 << 20
 
     def recall(self, similarity: float) -> float:
         """The chance that a pair of that similarity meets in a bucket."""
@@ -116,10 +120,59 @@ def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
 
 def shared(met: DataFrame, what: str) -> DataFrame:
-    """The rows of met whose key has different values of a column, with one name of the key, another for each key: from an aggregation that combines before its shuffle, so a key's rows need not be in one task."""
-    pivot = F.min_by("name", F.xxhash64("name", "key")).alias("pivot")
-    ends = met.groupBy(F.col("key").alias("_key")).agg(F.min(what).alias("low"), F.max(what).alias("high"), pivot).where("low <> high")
-    return met.join(ends, F.col("key") == F.col("_key")).drop("_key", "low", "high")
+    """The rows of met whose key has different values of a column, with the key's least value, rows and bytes: from an aggregation that combines before its shuffle, so a key's rows need not be in one task."""
+    ends = met.groupBy(F.col("key").alias("_key")).agg(F.min(what).alias("low"), F.max(what).alias("high"), F.count("*").alias("n"), F.sum("bytes").alias("sum")).where("low <> high")
+    return met.join(ends, F.col("key") == F.col("_key")).drop("_key", "high")
+
+
+def ties(cell: list[tuple], band: int, near: Near) -> list[tuple[int, int]]:
+    """Links (a, b) of the classes (side, name, root, shingles, keys) of a block of a band's bucket that tie its components together. Classes of side 0 are compared with those of side 1, or
+    all with each other if there is one side alone. Pairs that meet in an earlier band are compared there."""
+    names, roots = [x[1] for x in cell], np.array([x[2] for x in cell])
+    sets = [np.frombuffer(x[3], dtype=np.uint64) for x in cell]
+    sizes, keys = np.array([len(x) for x in sets]), np.stack([x[4] for x in cell])
+    left = sum(x[0] == 0 for x in cell)
+    out = []
+    for i in range(left):
+        begin = left if left < len(cell) else i + 1
+        fine = roots[begin:] != roots[i]
+        fine &= np.minimum(sizes[begin:], sizes[i]) >= near.least * np.maximum(sizes[begin:], sizes[i]) - 1e-9
+        for k in range(band):
+            fine &= keys[begin:, k] != keys[i, k]
+        others = np.flatnonzero(fine) + begin
+        if not len(others):
+            continue
+        ends = np.cumsum(sizes[others])
+        found = np.concatenate([sets[j] for j in others])
+        at = np.minimum(np.searchsorted(sets[i], found), sizes[i] - 1)
+        both = np.add.reduceat((sets[i][at] == found).astype(np.int64), ends - sizes[others])
+        for j in others[both >= near.least * (sizes[i] + sizes[others] - both) - 1e-9].tolist():
+            if roots[i] != roots[j]:
+                out.append((names[i], names[j]))
+                roots[roots == roots[j]] = roots[i]
+    return out
+
+
+def compared(rows: DataFrame, near: Near) -> DataFrame:
+    """(a, b) that tie components together, of rows (cell, band, side, name, root, found, keys)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, now = [], None
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame(ties(cell, now[1], near), columns=["a", "b"], dtype="int64")
+
+        for batch in batches:
+            for x in zip(batch["cell"].tolist(), batch["band"].tolist(), batch["side"].tolist(), batch["name"].tolist(), batch["root"].tolist(), batch["found"].tolist(), batch["keys"].tolist()):
+                if x[:2] != now:
+                    if len(cell) > 1:
+                        yield done()
+                    cell, now = [], x[:2]
+                cell.append(x[2:])
+        if len(cell) > 1:
+            yield done()
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "band", "side", "name").mapInPandas(run, "a long, b long")
 
 
 def in_balls(classes: DataFrame) -> DataFrame:
@@ -135,20 +188,23 @@ def near_links(docs: DataFrame, found: DataFrame, near: Near, text: str) -> Data
     """(node, root) of the names that near duplicates tie together."""
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     classes = durable(found.where(F.size("keys") > 0).groupBy("name").agg(F.first(F.struct("row", "fp", "keys")).alias("c")).select("name", "c.*"))
-    met = durable(shared(classes.select("name", F.explode("keys").alias("key")), "name"))
+    met = durable(shared(classes.select("name", F.posexplode("keys").alias("band", "key")).withColumn("bytes", F.lit(0).cast("long")), "name").select("name", "band", "key", "low"))
     balls = in_balls(classes.select("name", "fp"))
-    some = durable(balls.unionByName(met.where("name <> pivot").select(F.col("pivot").alias("a"), F.col("name").alias("b"))).select(*pair).distinct())
+    some = durable(balls.unionByName(met.where("name <> low").select(F.col("low").alias("a"), F.col("name").alias("b"))).select(*pair).distinct())
     names = some.select(F.col("a").alias("name")).union(some.select("b")).distinct()
     sets = durable(shingle_sets(docs, classes.join(names, "name", "left_semi").select("row"), near, text))
     first = durable(verified(some, sets, near))
     roots = durable(components(first))
-    # Pairs of a bucket that are in different components still: all of them are compared.
-    rooted = met.select("name", "key").join(roots, F.col("name") == F.col("node"), "left").select("name", "key", F.coalesce("root", "name").alias("root"))
-    open_ = durable(shared(durable(rooted), "root").select("name", "key", "root"))
-    side = lambda c: open_.select("key", F.col("name").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = side("a").join(side("b"), "key").where("a < b and a_root <> b_root").select("a", "b").distinct()
-    rest = rest.join(some, ["a", "b"], "left_anti")
-    return components(first.unionByName(durable(verified(rest, sets, near))))
+    # Buckets that hold several components still are compared whole.
+    sizes = sets.select(F.col("name").alias("_name"), F.octet_length("found").cast("long").alias("bytes"))
+    rooted = met.drop("low").join(roots, F.col("name") == F.col("node"), "left").join(sizes, F.col("name") == F.col("_name"))
+    open_ = shared(durable(rooted.select("name", "band", "key", "bytes", F.coalesce("root", "name").alias("root"))), "root")
+    open_ = open_.withColumn("cuts", F.greatest(F.ceil(F.col("n") / near.block), F.ceil(F.col("sum") / near.block_bytes)).cast("int"))
+    open_ = open_.withColumn("mine", F.pmod(F.xxhash64("name"), F.col("cuts").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    cells = open_.select(cell.alias("cell"), "band", F.when(F.col("mine") <= F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"), "name", "root")
+    cells = cells.join(sets, "name").join(classes.select("name", "keys"), "name")
+    return components(first.unionByName(durable(compared(cells, near))))
 
 
 def one_of_each(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
