@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +17,11 @@ from tributary.operators import evidence as E
 from tributary.operators import merge as M
 from tributary.operators import profile, sections
 from tributary.operators.enrich import enrich
+from tributary.plans import config
+from tributary.plans.engine import discover, link_evidence, run
 from tributary.plans.projection import project, project_default
 from tributary.plans.validate import has_keys, json_errors
-from tributary.sources.readers import alias_column, header_key_column, wide_table
+from tributary.sources.readers import alias_column, facts, files, header_key_column, json_column, wide_table
 
 QUERIES, SQL = {}, {}
 
@@ -39,8 +45,29 @@ def flat(items: Column, *fields: str) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ";")
 
 
+#: Base weight, rows of evidence, and what they are worth agreed on, as a part of what was said, and of an unknown name: min(0.98, base + 0.15 (n - 1)), times 0.85 and 0.9, each
+#: rounded to two digits by hand, halves as their binary values fall.
+SCORES = """
+0.50 1 0.50 0.42 0.45
+0.50 2 0.65 0.55 0.59
+0.50 3 0.80 0.68 0.72
+0.50 4 0.95 0.81 0.85
+0.50 5 0.98 0.83 0.88
+0.60 1 0.60 0.51 0.54
+0.60 2 0.75 0.64 0.68
+0.60 3 0.90 0.77 0.81
+0.60 4 0.98 0.83 0.88
+0.60 5 0.98 0.83 0.88
+0.65 1 0.65 0.55 0.59
+0.65 2 0.80 0.68 0.72
+0.65 3 0.95 0.81 0.85
+0.65 4 0.98 0.83 0.88
+0.65 5 0.98 0.83 0.88
+"""
+
+
 def scores_sql() -> str:
-    rows = [f"({w}::DOUBLE, {n}, {C.score(w, n)}::DOUBLE, {C.score(w, n, 'partial')}::DOUBLE, {C.score(w, n, 'unknown')}::DOUBLE)" for w in sorted(D.BASE_WEIGHTS.values()) for n in range(1, C.MOST + 1)]
+    rows = ["({}::DOUBLE, {}, {}::DOUBLE, {}::DOUBLE, {}::DOUBLE)".format(*x.split()) for x in SCORES.strip().splitlines()]
     return f"scores(base, k, agreed, part, unknown) AS (VALUES {', '.join(rows)})"
 
 
@@ -68,7 +95,7 @@ m AS (SELECT entity_id, groups, n, key, CASE WHEN groups = 1 OR n > second THEN
 
 @query(f"WITH {ORDERS_SQL} SELECT entity_id, value, confidence, groups > 1 AS conflict, groups::BIGINT AS n_values FROM m")
 def merge_single_plurality(spark, sf_dir):
-    out = M.merge_single(order_evidence(spark, sf_dir))
+    out = M.single_counts(order_evidence(spark, sf_dir))
     return out.select("entity_id", "value", "confidence", "conflict", F.col("n_values").cast("long").alias("n_values"))
 
 
@@ -89,19 +116,21 @@ def merge_single_sources(spark, sf_dir):
 
 @query(f"WITH {ORDERS_SQL} SELECT confidence, CASE WHEN confidence >= 0.8 THEN 'green' WHEN confidence >= 0.5 THEN 'amber' ELSE 'red' END AS bucket, count(*)::BIGINT AS n FROM m GROUP BY ALL")
 def merge_single_confidence(spark, sf_dir):
-    return M.merge_single(order_evidence(spark, sf_dir)).groupBy("confidence", X.bucket(F.col("confidence")).alias("bucket")).agg(F.count("*").alias("n"))
+    return M.single_counts(order_evidence(spark, sf_dir)).groupBy("confidence", X.bucket(F.col("confidence")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents), {scores_sql()}
-SELECT doc_id::VARCHAR AS entity_id, array_to_string(w[1:3], ' ') AS value, CASE WHEN len(w) < 3 THEN agreed ELSE part END AS confidence, len(w) >= 3 AS conflict
-FROM w JOIN scores ON base = 0.65::DOUBLE AND k = 2 WHERE len(w) > 0""")
+@query(f"""WITH w AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE regexp_matches(text, '[^\\x20\\x09-\\x0D]')), {scores_sql()}
+SELECT doc_id::VARCHAR AS entity_id, CASE WHEN doc_id % 3 = 0 THEN t WHEN doc_id % 3 = 1 THEN 'Dr ' || t || ' zz' END AS value, CASE doc_id % 3 WHEN 0 THEN agreed WHEN 1 THEN part ELSE 0 END::DOUBLE AS confidence, doc_id % 3 > 0 AS conflict
+FROM w JOIN scores ON base = 0.65::DOUBLE AND k = 2""")
 def name_containment(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0).alias("w"))
-    said = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", 1, n), " ").alias("name")) for n in (2, 3)]))
-    rows = d.select("doc_id", said.alias("s"))
-    kind = F.when(F.col("s.n") == 2, "structured").otherwise("semistructured")
-    ev = E.normalized(E.evidence(rows, F.col("doc_id"), F.lit("full_name"), F.col("s.name"), F.concat(F.lit("names#"), F.col("s.n")), kind, F.lit("words"), ev_seq=F.col("s.n")))
-    return M.merge_single(ev).select("entity_id", "value", "confidence", "conflict")
+    """Whole texts as names: said twice, within a fuller one, and beside one that ends otherwise."""
+    d = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    k = F.col("doc_id") % 3
+    names = F.when(k == 0, F.array("text", "text")).when(k == 1, F.array("text", F.concat(F.lit("Dr "), "text", F.lit(" zz")))).otherwise(F.array(F.concat("text", F.lit(" yy")), F.concat("text", F.lit(" zz"))))
+    rows = d.select("doc_id", F.posexplode(names).alias("n", "name"))
+    kind = F.when(F.col("n") == 0, "structured").otherwise("semistructured")
+    ev = E.normalized(E.evidence(rows, F.col("doc_id"), F.lit("full_name"), F.col("name"), F.concat(F.lit("names#"), F.col("n")), kind, F.lit("words"), ev_seq=F.col("n")))
+    return M.single_counts(ev).select("entity_id", "value", "confidence", "conflict")
 
 
 def event_evidence(spark, sf_dir):
@@ -194,7 +223,7 @@ def candidate_id(spark, sf_dir):
 
 @query(f"""WITH {ORDERS_SQL} SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0.1 WHEN m.value IS NULL THEN 0.3 WHEN c_custkey % 2 = 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS tier FROM customer LEFT JOIN m ON entity_id = c_custkey::VARCHAR""")
 def overall_tier(spark, sf_dir):
-    m = M.merge_single(order_evidence(spark, sf_dir)).select("entity_id", "value")
+    m = M.single_counts(order_evidence(spark, sf_dir)).select("entity_id", "value")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("name"))
     return c.join(m, F.col("c_custkey").cast("string") == F.col("entity_id"), "left").select("c_custkey", C.tier(F.col("name"), F.col("value"), F.col("c_custkey") % 2 == 0).alias("tier"))
 
@@ -275,7 +304,8 @@ SELECT page_id, regexp_replace(u[1], '/+$', '') AS portfolio, CASE WHEN page_id
 def discovered_links(spark, sf_dir):
     k = F.col("page_id")
     name = F.concat(F.lit("p"), k.cast("string"), F.lit("."))
-    text = F.concat(F.when(k % 4 == 0, F.concat(F.lit("see LinkedIn.com / in / "), name)).when(k % 4 == 2, F.concat(F.lit("linkedin: "), name)).otherwise(""), F.lit("\n"), F.when(k % 6 == 0, F.concat(F.lit("www.github.com/"), name)).when(k % 6 == 3, F.concat(F.lit("GitHub: @"), name)).otherwise(""), F.lit("\n"), "url", F.lit(" "), "url")
+    denied = F.when(k % 5 == 0, "http://mail.gmail.com/a https://www.twitter.com/b, www.youtube.com/c ").otherwise("")
+    text = F.concat(denied, F.when(k % 4 == 0, F.concat(F.lit("see LinkedIn.com / in / "), name)).when(k % 4 == 2, F.concat(F.lit("linkedin: "), name)).otherwise(""), F.lit("\n"), F.when(k % 6 == 0, F.concat(F.lit("www.github.com/"), name)).when(k % 6 == 3, F.concat(F.lit("GitHub: @"), name)).otherwise(""), F.lit("\n"), "url", F.lit(" "), "url")
     m = L.all_links(F.col("t"))
     return table(spark, sf_dir, "pages").select("page_id", text.alias("t")).select("page_id", *[F.try_element_at(m, F.lit(n)).alias(n) for n in ("portfolio", "linkedin", "github")])
 
@@ -327,8 +357,6 @@ def header_alias(spark, sf_dir):
 
 @query("""SELECT event_id::VARCHAR AS entity_id, field, value FROM (SELECT event_id, unnest(['full_name', 'current_title', 'skills', 'skills']) AS field, unnest([event_type, CASE WHEN event_id % 2 = 0 THEN 'k' || event_id ELSE 'h' END, 'sql', 'k' || event_id]) AS value FROM events)""")
 def json_props(spark, sf_dir):
-    from tributary.sources.readers import json_column
-
     k = F.concat(F.lit("k"), F.col("event_id").cast("string"))
     payload = F.concat(F.lit('{"fullName": " '), "event_type", F.lit('", "name": " ", "title": "'), F.when(F.col("event_id") % 2 == 0, k).otherwise(""), F.lit('", "headline": "h", "skills": ["sql", " ", "'), k, F.lit('"], "other": 1}'))
     ev = json_column(table(spark, sf_dir, "events"), F.col("event_id"), F.lit("events.json"), payload)
@@ -342,12 +370,108 @@ def evidence_union(spark, sf_dir):
     return both.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("names"), F.count("*").alias("n"))
 
 
-@query("""SELECT o_custkey, 'orders.csv#row' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS entity_id, o_orderpriority AS value FROM orders""")
+def one_file(df: DataFrame, kind: str) -> str:
+    """The path of one file of that kind that Spark writes of df."""
+    spark = df.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/") + f"/made-{uuid.uuid4().hex}"
+    getattr(df.coalesce(1).write.option("header", True) if kind == "csv" else df.coalesce(1).write, kind)(folder)
+    return spark.read.format("binaryFile").load(folder).inputFiles()[0]
+
+
+@query("""SELECT row_number() OVER (ORDER BY s_suppkey) AS row, s_name AS name, 'm' || s_suppkey || '@x.org' AS email, 'SQL:0.65' AS skills, s_nationkey::VARCHAR AS region FROM supplier""")
 def batch_rows(spark, sf_dir):
-    from pyspark.sql import Window as W
+    """A CSV file of several rows: each row is an entity."""
+    t = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_name").alias("Candidate Name"), F.concat(F.lit("M"), "s_suppkey", F.lit("@X.org")).alias("e-mail"), F.lit("sql").alias("Tech Stack"), F.col("s_nationkey").alias("region"))
+    out = run(spark, [one_file(t, "csv")]).canonical
+    row = F.regexp_extract("entity_id", r"#row(\d+)$", 1).cast("long").alias("row")
+    return out.select(row, F.col("full_name.value").alias("name"), F.get("emails", 0)["value"].alias("email"), flat(F.col("skills"), "name", "confidence").alias("skills"), F.try_element_at("extra_attributes", F.lit("region")).alias("region"))
+
+
+@query("""SELECT r_name AS full_name, 'T' AS title, 'a@x.org,r0@x.org' AS emails, 'SQL:0.8;Python:0.6' AS skills, 0.9::DOUBLE AS overall, 'https://linkedin.com/in/r0' AS linkedin, true AS ok FROM region WHERE r_regionkey = 0""")
+def files_of_one_entity(spark, sf_dir):
+    """A CSV file of one row, a JSON file and a text file are about one entity."""
+    r = table(spark, sf_dir, "region").where("r_regionkey = 0")
+    c = one_file(r.select(F.col("r_name").alias("name"), F.concat(F.lit("R"), "r_regionkey", F.lit("@x.org")).alias("email"), F.lit("sql").alias("skills")), "csv")
+    j = one_file(r.select(F.lower("r_name").alias("fullName"), F.lit("a@x.org").alias("email"), F.lit("T").alias("position"), F.array(F.lit("SQL"), F.lit("py")).alias("skills"), F.concat(F.lit("https://linkedin.com/in/r"), "r_regionkey").alias("page")), "json")
+    out = run(spark, [c, j]).output
+    return out.select("full_name", F.col("current_title").alias("title"), F.array_join(F.array_sort("emails"), ",").alias("emails"), flat(F.col("skills"), "name", "confidence").alias("skills"), F.col("overall_confidence").alias("overall"), F.try_element_at("links", F.lit("linkedin")).alias("linkedin"), "ok")
+
+
+@query("""SELECT 'broken' AS file, false AS ok, 'invalid JSON' AS error FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'head', false, 'CSV has no data rows' FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'list', false, 'expected a JSON object at the top level' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT 'none', false, 'file not found' FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'good', true, '' FROM region WHERE r_regionkey = 0""")
+def failed_sources(spark, sf_dir):
+    """What becomes of sources that can't be read; the others count."""
+    r = table(spark, sf_dir, "region").where("r_regionkey = 0")
+    text = lambda t: r.select(F.lit(t).alias("value"))
+    made = {"broken": one_file(text("{"), "text"), "head": one_file(text("a,b"), "text"), "list": one_file(text("[1]"), "text"), "good": one_file(r.select(F.col("r_name").alias("name")), "csv")}
+    found = files(spark, [*made.values(), "/nowhere/none.json"])
+    names = F.get(F.array(*map(F.lit, [*made, "none"])), F.col("source_seq"))
+    told = facts(found.withColumn("ext", F.when(F.col("source_seq").isin(0, 2), ".json").otherwise(F.col("ext")))).where("field_name is null")
+    return told.select(names.alias("file"), "ok", F.regexp_replace(F.coalesce("error", F.lit("")), "^(invalid JSON).*", "$1").alias("error"))
+
+
+@query("""SELECT n_nationkey, 'https://linkedin.com/in/n' || n_nationkey AS linkedin, CASE WHEN n_nationkey % 2 = 0 THEN 'T' END AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'University of ' || n_name ELSE '' END AS education, 'n' || n_nationkey || '@x.org' AS email FROM nation""")
+def resume_texts(spark, sf_dir):
+    """All that is read from extracted text, of many documents at once: sections, education lines, contacts and addresses."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey").cast("string")
+    more = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("\nExperience\nAcme Labs\nT\n- did things\nEducation\nClass of 1\nUniversity of "), "n_name")).otherwise("")
+    docs = n.select("n_nationkey", F.concat(F.lit("cv\nn"), k, F.lit("@x.org LinkedIn: n"), k, more).alias("text"), F.lit(0).alias("seq"))
+    ev = E.normalized(sections.resume_evidence(docs, F.col("n_nationkey"), F.lit("r.pdf"), F.col("seq"), "n_nationkey", "text"))
+    links = discover(docs.select(F.col("n_nationkey").cast("string").alias("entity_id"), F.col("seq").alias("source_seq"), "text"))
+    p = profile.canonical(E.union(ev, link_evidence(links)))
+    return p.select(F.col("entity_id").cast("int").alias("n_nationkey"), F.try_element_at("links", F.lit("linkedin")).alias("linkedin"), F.col("current_title.value").alias("title"), F.array_join(F.transform("education", lambda e: e["description"]), ";").alias("education"), F.get("emails", 0)["value"].alias("email"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS full_name, 'B' || s_suppkey AS headline, s_suppkey::VARCHAR AS followers FROM supplier""")
+def enrich_github(spark, sf_dir):
+    """Names that are addresses are no names."""
+    t = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    url = F.concat(F.lit("https://github.com/s"), k)
+    links = t.select(k.alias("entity_id"), F.lit("github").alias("kind"), url.alias("url"))
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("https://github.com/s"), k)).otherwise(F.col("s_name"))
+    profiles = t.select(url.alias("url"), F.to_json(F.struct(name.alias("name"), F.concat(F.lit("B"), k).alias("bio"), F.col("s_suppkey").alias("followers"))).alias("payload"))
+    p = profile.canonical(E.normalized(enrich(links, profiles)))
+    return p.select(F.col("entity_id").cast("long").alias("s_suppkey"), F.col("full_name.value").alias("full_name"), F.col("headline.value").alias("headline"), F.try_element_at("extra_attributes", F.lit("github_followers")).alias("followers"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://linkedin.com/in/c' || c_custkey WHEN 3 THEN 'https://linkedin.com/in/d' || c_custkey END AS linkedin, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 0.5 END::DOUBLE AS years FROM customer""")
+def path_segments(spark, sf_dir):
+    """Addresses without /in/ whose first segment may be the network's own; numbers of years, or what isn't one."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("x linkedin.com/"), F.when(k % 4 == 0, "c").when(k % 4 == 1, "Jobs/").when(k % 4 == 2, "company/").otherwise("d"), k.cast("string"), F.lit("."))
+    text = F.when((k % 4).isin(1, 2), F.regexp_replace(text, r"\d+", "")).otherwise(text)
+    said = F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(".5"))).otherwise("some")
+    return table(spark, sf_dir, "customer").select("c_custkey", L.linkedin(text).alias("linkedin"), X.years(said).alias("years"))
 
-    o = table(spark, sf_dir, "orders").withColumn("row", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")))
-    return o.select("o_custkey", F.concat(F.lit("orders.csv#row"), F.col("row").cast("string")).alias("entity_id"), X.normalize_text(F.col("o_orderpriority")).alias("value"))
+
+@query("""SELECT o_custkey::VARCHAR AS entity_id, max(o_orderpriority) AS best, count(DISTINCT o_orderstatus)::BIGINT AS n FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey) GROUP BY o_custkey""")
+def merge_policies(spark, sf_dir):
+    """Fields that a profile has by policies of its own."""
+    o = table(spark, sf_dir, "orders")
+    first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    o = o.join(first, ["o_custkey", "o_orderkey"])
+    made = lambda field, column: E.evidence(o, F.col("o_custkey"), F.lit(field), F.col(column), F.lit("o.csv"), F.lit("structured"), F.lit("m"), ev_seq=F.col("o_orderkey"))
+    p = profile.canonical(E.normalized(E.union(made("priority", "o_orderpriority"), made("state", "o_orderstatus"))), policies=D.POLICIES | {"priority": "single", "state": "multi"})
+    return p.select("entity_id", F.col("priority.value").alias("best"), F.size("state").cast("long").alias("n"))
+
+
+@query("""SELECT c_custkey, '+1' || lpad(c_custkey::VARCHAR, 10, '2') AS phone FROM customer""")
+def norm_phone_country(spark, sf_dir):
+    phone = X.normalize(F.lit("phones"), F.lpad(F.col("c_custkey").cast("string"), 10, "2"), X.normalizers("1"))
+    return table(spark, sf_dir, "customer").select("c_custkey", phone.alias("phone"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'config must be a JSON object' WHEN 2 THEN 'config.fields must be an array;config.on_missing must be one of [''error'', ''null'', ''omit'']'
+ELSE 'config.include_confidence must be a boolean;config.fields[0].path must be a non-empty string;config.fields[0].type must be one of [''boolean'', ''number'', ''string'', ''string[]''];config.fields[1] must be an object' END AS errors,
+CASE event_id % 4 WHEN 0 THEN '{"type": "object", "properties": {"a": {"type": "array", "items": {"type": "string"}}, "b": {}}, "required": ["a"]}' ELSE '' END AS shape FROM events""")
+def config_faults(spark, sf_dir):
+    """The check of configs, and the schema of a good one's output."""
+    good = {"fields": [{"path": "a", "type": "string[]", "required": True}, {"path": "b"}]}
+    cases = [good, [], {"on_missing": "none"}, {"fields": [{"path": " ", "type": "text"}, 1], "include_confidence": 1}]
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("event_id") % 4).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", pick([";".join(config.config_errors(c)) for c in cases]).alias("errors"), pick([json.dumps(config.output_schema(good)), "", "", ""]).alias("shape"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
@@ -358,16 +482,18 @@ def text_concat(spark, sf_dir):
 @query("""WITH k AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['b', 'c', 'd'] ELSE ['d'] END AS x, CASE event_id % 2 WHEN 0 THEN ['b'] ELSE ['d', 'e'] END AS y FROM events)
 SELECT event_id, array_to_string(list_filter(x, lambda e: NOT list_contains(y, e)), ',') AS only_a, array_to_string(list_filter(y, lambda e: NOT list_contains(x, e)), ',') AS only_b, len(list_filter(y, lambda e: NOT list_contains(x, e))) = 0 AS subset FROM k""")
 def config_key_diff(spark, sf_dir):
-    keys = lambda *k: F.map_from_entries(F.array(*[F.struct(F.lit(x).alias("k"), F.lit(1).alias("v")) for x in k]))
-    i = F.col("event_id")
-    a = F.map_keys(F.when(i % 3 == 0, keys("a", "b")).when(i % 3 == 1, keys("b", "c", "d")).otherwise(keys("d")))
-    b = F.map_keys(F.when(i % 2 == 0, keys("b")).otherwise(keys("d", "e")))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_except(a, b), ",").alias("only_a"), F.array_join(F.array_except(b, a), ",").alias("only_b"), (F.size(F.array_except(b, a)) == 0).alias("subset"))
+    xs, ys = [dict.fromkeys(k, 1) for k in ("ab", "bcd", "d")], [dict.fromkeys(k, 1) for k in ("b", "de")]
+    found = [[config.key_difference(x, y) for y in ys] for x in xs]
+    cell = lambda f: F.get(F.get(F.array(*[F.array(*[F.lit(f(d)) for d in row]) for row in found]), (F.col("event_id") % 3).cast("int")), (F.col("event_id") % 2).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", cell(lambda d: ",".join(d[0])).alias("only_a"), cell(lambda d: ",".join(d[1])).alias("only_b"), cell(lambda d: not d[1]).alias("subset"))
 
 
-@query("SELECT event_id, true AS has_k, false AS has_all, (regexp_extract(props, '(\\d+)', 1)::INTEGER > 0 OR true) AS parsed FROM events")
+@query("SELECT event_id, event_id % 4 < 2 AS has_k, event_id % 4 = 1 AS has_all, event_id % 4 < 3 AS parsed FROM events")
 def subset_test(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", has_keys(F.col("props"), ["k"]).alias("has_k"), has_keys(F.col("props"), ["k", "summary"]).alias("has_all"), F.try_parse_json(X.unfenced(F.concat(F.lit("```json\n"), "props", F.lit("\n```")))).isNotNull().alias("parsed"))
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.col("props")).when(k == 1, F.lit('{"summary": null, "k": [1]}')).when(k == 2, F.lit('{"K": 1, "sum": 2}')).otherwise(F.regexp_replace("props", r"\}$", ""))
+    fenced = F.concat(F.when(k % 2 == 0, "```json\n").otherwise("  ``` "), text, F.lit("\n```"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(has_keys(text, ["k"]), F.lit(False)).alias("has_k"), F.coalesce(has_keys(text, ["k", "summary"]), F.lit(False)).alias("has_all"), F.try_parse_json(X.unfenced(fenced)).isNotNull().alias("parsed"))
 
 
 # -- sections ------------------------------------------------------------------------------------
@@ -391,19 +517,27 @@ def section_skills(spark, sf_dir):
     return sections.skills(body.where("section = 'skills'")).select("doc", "skill")
 
 
-@query("""SELECT conv_id AS doc, 'Acme Labs' AS company, 'Data Engineer ' || conv_id AS title, 'Jan 2020 – Present' AS "end", string_agg('turn ' || turn, ' ' ORDER BY turn) || ' Pune' AS summary FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY conv_id""")
+@query("""SELECT conv_id AS doc, CASE WHEN conv_id % 3 < 2 THEN 'Acme Labs' END AS company, CASE WHEN conv_id % 3 = 0 THEN 'Data Engineer ' || conv_id END AS title, CASE conv_id % 3 WHEN 0 THEN 'Jan 2020 – Present' WHEN 1 THEN 'May 2021' END AS "end",
+string_agg('turn ' || turn, ' ' ORDER BY turn) || CASE WHEN conv_id % 3 = 0 THEN ' Pune' ELSE '' END AS summary FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY conv_id""")
 def experience_latch(spark, sf_dir):
+    """Company and title; a company alone; bullets alone."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
     bullets = F.array_join(F.transform("t", lambda x: F.concat(F.lit("• turn "), x.cast("string"))), "\n")
-    text = F.concat(F.lit("Work Experience\nremote, near pune\nAcme Labs\nData Engineer "), F.col("conv_id").cast("string"), F.lit("\nJan 2020 – Present\n"), bullets, F.lit("\nPune"))
+    k = F.col("conv_id") % 3
+    head = F.when(k == 0, F.concat(F.lit("remote, near pune\nAcme Labs\nData Engineer "), F.col("conv_id").cast("string"), F.lit("\nJan 2020 – Present\n"))).when(k == 1, "Acme Labs\nApr 2020 - May 2021\n").otherwise("")
+    text = F.concat(F.lit("Work Experience\n"), head, bullets, F.when(k == 0, "\nPune").otherwise(""))
     body = sections.sections(sections.lines(t.select("conv_id", text.alias("text")), "conv_id"))
     return sections.experience(body.where("section = 'experience'")).select("doc", "company", "title", "end", "summary")
 
 
-@query("SELECT c_custkey AS doc, 'JANE DOE ' || chr((65 + c_custkey % 26)::INTEGER) AS name, 10::BIGINT AS score FROM customer")
+@query("""SELECT c_custkey AS doc, CASE c_custkey % 4 WHEN 0 THEN 'JANE DOE ' WHEN 1 THEN 'Jane Doe ' ELSE 'Mary Major ' END || chr((65 + c_custkey % 26)::INTEGER) AS name, CASE c_custkey % 4 WHEN 0 THEN 10 WHEN 1 THEN 12 ELSE 8 END::BIGINT AS score FROM customer WHERE c_custkey % 4 < 3""")
 def name_line(spark, sf_dir):
+    """A name in capitals, one in title case, one below a header only, none."""
     c = table(spark, sf_dir, "customer")
-    text = F.concat(F.lit("Curriculum Vitae\njane@x.com\n\nJANE DOE "), F.char(65 + F.col("c_custkey") % 26), F.lit("\nPune, India\nSkills\nMary Major"))
+    k, end = F.col("c_custkey") % 4, F.char(65 + F.col("c_custkey") % 26)
+    above = F.when(k == 0, F.concat(F.lit("jane@x.com\n\nJANE DOE "), end)).when(k == 1, F.concat(F.lit("jane@x.com\nJane Doe "), end)).otherwise("12 Main St")
+    below = F.when(k < 3, F.concat(F.lit("Mary Major "), end)).otherwise("sql, 2020")
+    text = F.concat(F.lit("Curriculum Vitae\n"), above, F.when(k < 2, "\nPune, India").otherwise(""), F.lit("\nSkills\n"), below)
     return sections.names(sections.lines(c.select("c_custkey", text.alias("text")), "c_custkey")).select("doc", "name", F.col("score").cast("long").alias("score"))
 
 
@@ -420,11 +554,17 @@ def customer_profiles(spark, sf_dir) -> DataFrame:
 PROFILE_SQL = """p AS (SELECT c_custkey::VARCHAR AS entity_id, c_custkey % 2 = 0 AS m, c_custkey % 3 = 0 AS f, c_custkey % 4 = 0 AS s, c_name AS name, lower(c_name) || '@x.com' AS email, '+91' || lpad(c_custkey::VARCHAR, 10, '9') AS phone, c_mktsegment AS title FROM customer)"""
 
 
-@query(f"""WITH {PROFILE_SQL} SELECT entity_id, 'cand_' || substr(sha1(CASE WHEN m THEN 'email:' || email WHEN f THEN 'phone:' || phone ELSE 'name:' || lower(name) END), 1, 10) AS candidate_id, name AS full_name, title AS current_title,
-CASE WHEN m THEN email ELSE '' END AS emails, CASE WHEN f THEN phone ELSE '' END AS phones, CASE WHEN s THEN 'Python:0.65;SQL:0.65' ELSE '' END AS skills, CASE WHEN m OR f THEN 0.9 ELSE 0.6 END::DOUBLE AS overall_confidence, true AS ok FROM p""")
+def _traced_sql(field: str, column: str) -> str:
+    return f"""'{{"field":"{field}","source":"c.csv","method":"csv_column:{column}"}}'"""
+
+
+@query(f"""WITH {PROFILE_SQL} SELECT entity_id, '{{"candidate_id":"cand_' || substr(sha1(CASE WHEN m THEN 'email:' || email WHEN f THEN 'phone:' || phone ELSE 'name:' || lower(name) END), 1, 10) || '","full_name":"' || name || '","emails":[' || CASE WHEN m THEN '"' || email || '"' ELSE '' END
+|| '],"phones":[' || CASE WHEN f THEN '"' || phone || '"' ELSE '' END || '],"current_company":null,"current_title":"' || title || '","location":null,"headline":null,"years_experience":null,"links":{{}},"education":[],"skills":['
+|| CASE WHEN s THEN '{{"name":"Python","confidence":0.65,"sources":["c.csv"]}},{{"name":"SQL","confidence":0.65,"sources":["c.csv"]}}' ELSE '' END || '],"experience":[{{"company":null,"title":"' || title || '","start":null,"end":null,"summary":null}}],"overall_confidence":'
+|| CASE WHEN m OR f THEN '0.9' ELSE '0.6' END || ',"provenance":[' || concat_ws(',', {_traced_sql("full_name", "name")}, {_traced_sql("current_title", "role")}, CASE WHEN m THEN {_traced_sql("emails", "email")} END, CASE WHEN f THEN {_traced_sql("phones", "phone")} END,
+CASE WHEN s THEN {_traced_sql("skills", "skills")} END) || ']}}' AS output_json, '' AS errors, true AS ok FROM p""")
 def project_default_output(spark, sf_dir):
-    out = project_default(customer_profiles(spark, sf_dir))
-    return out.select("entity_id", "candidate_id", "full_name", "current_title", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), flat(F.col("skills"), "name", "confidence").alias("skills"), "overall_confidence", "ok")
+    return project_default(customer_profiles(spark, sf_dir)).select("entity_id", "output_json", F.array_join("errors", ";").alias("errors"), "ok")
 
 
 PUBLIC = {"fields": [{"path": "full_name", "required": True, "type": "string"}, {"path": "mail", "from": "emails[0]"}, {"path": "phone", "from": "phones[0]", "normalize": "national"}, {"path": "skills", "from": "skills[].name", "normalize": "lower"}, {"path": "nothing"}], "include_confidence": True, "on_missing": "omit"}
@@ -463,9 +603,11 @@ def provenance_zip(spark, sf_dir):
 SCHEMA = {"type": "object", "required": ["k", "name"], "properties": {"k": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}, "on": {"type": "number"}}}
 
 
-@query("""SELECT event_id, '$: missing required field ''name'';$.k: expected string, got int;$.tags[1]: expected string, got int;$.on: expected number, got boolean' AS errors FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '$: missing required field ''name'';$.k: expected string, got int;$.tags[1]: expected string, got int;$.on: expected number, got boolean' WHEN 1 THEN '' WHEN 2 THEN '$: expected object, got list' ELSE '$: missing required field ''k'';$.tags: expected array, got dict' END AS errors FROM events""")
 def validate_errors(spark, sf_dir):
-    text = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "tags": ["a", 1], "on": true}'))
+    k = F.col("event_id") % 4
+    bad = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "tags": ["a", 1], "on": true}'))
+    text = F.when(k == 0, bad).when(k == 1, F.lit('{"k": "s", "name": 1, "tags": [], "on": 2.5}')).when(k == 2, F.lit("[1]")).otherwise(F.lit('{"name": {}, "k": null, "tags": {"a": "b"}, "on": null}'))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(json_errors(text, SCHEMA), ";").alias("errors"))
 
 
@@ -480,10 +622,11 @@ def enrich_left_join(spark, sf_dir):
     return enrich(links, profiles).select("entity_id", F.col("field_name").alias("field"), F.col("raw_value").alias("value"))
 
 
-@query(f"""WITH {ORDERS_SQL} SELECT entity_id, 'conflict on ''current_title'': resolved to ' || coalesce('''' || value || '''', 'None') AS message FROM m WHERE groups > 1""")
+@query(f"""WITH {ORDERS_SQL} SELECT m.entity_id, 'conflict on ''current_title'': resolved to ' || coalesce('''' || any_value(m.value) || '''', 'None') || ' (other values seen: ' || string_agg(g.key, ', ' ORDER BY g.key) || ')' AS message
+FROM m JOIN g ON g.entity_id = m.entity_id AND (m.value IS NULL OR g.key <> m.key) WHERE groups > 1 GROUP BY m.entity_id""")
 def conflict_warnings(spark, sf_dir):
     profiles = profile.canonical(order_evidence(spark, sf_dir))
-    return profile.conflicts(profiles).select("entity_id", F.regexp_extract("message", r"^(.*) \(other", 1).alias("message"))
+    return profile.conflicts(profiles).select("entity_id", "message")
 
 
 #: The one that stands for all.
