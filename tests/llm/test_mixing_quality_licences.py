@@ -259,7 +259,7 @@ def slow_scan(text):
 
 def test_licences(spark):
     mit = licences.TEMPLATES["MIT"][-1]
-    texts = [None, "", " ", "no licence", "Released under the MIT License.", "words\nLICENSED under the apache license -- version 2.0\nmore", mit, mit.replace(". ", ".\n"), mit + " " + "and much more text " * 60, "released under the MIT license\nLicensed under CC BY-NC 4.0.", "Released under the BSD License.", "x " * 30_000, licences.TEMPLATES["GPL-3.0"][-1].replace("WARRANTY", "guarantee")]
+    texts = [None, "", " ", "no licence", "Released under the MIT License.", "words\nLICENSED under the apache license -- version 2.0\nmore", mit, mit.replace(". ", ".\n"), mit + " " + "and much more text " * 60, "released under the MIT license\nLicensed under CC BY-NC 4.0.", "Released under the BSD License.", "Released under the BSD 3-Clause License.", "code\n// SPDX-License-Identifier: MIT\n\n/* SPDX-License-Identifier: GPL-3.0 */", "x " * 30_000, licences.TEMPLATES["GPL-3.0"][-1].replace("WARRANTY", "guarantee")]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (None, texts[4])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)).withColumn("units", F.lit(1))
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_notices, r.licences, r.best, r.dice) for r in licences.scan(df).collect())

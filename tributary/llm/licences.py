@@ -1,7 +1,8 @@
 """Licence scans: the Dice coefficient of word bigrams against licence templates, in DataFrame operations alone.
 
 Each line of a text, and the text as a whole, is normalised and made a set of word bigrams. Two sets can reach a
-coefficient t only if the larger is at most (2 - t) / t times the smaller, so only templates of such a size are compared.
+coefficient t only if the larger is at most (2 - t) / t times the smaller, so only templates of such a size are compared. Bigrams meet templates
+by a join with the list of all templates' bigrams, so the work is that of the bigrams that a text shares with a template of fitting size, however many templates there are.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.common import durable
+
 #: Licence notices and texts in the words of their licences: fixed values.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -37,8 +40,31 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+    "BSD-3-Clause": (
+        "Released under the BSD 3-Clause License.",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.',
+    ),
+    "GPL-2.0": (
+        "Licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    "LGPL-2.1": (
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0 Universal.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: The tag that names a licence, for each of them.
+TAG = "SPDX-License-Identifier: {}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST = 0.8
 
@@ -50,7 +76,7 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def templates() -> list[tuple[str, list[str]]]:
-    return [(name, bigrams_of(t)) for name, texts in TEMPLATES.items() for t in texts]
+    return [(name, bigrams_of(t)) for name, texts in TEMPLATES.items() for t in (*texts, TAG.format(name))]
 
 
 def words(text: Column) -> Column:
@@ -101,39 +127,63 @@ def runs(lines: Column, taken: Column, todo: Column, least: float) -> Column:
     return F.get(F.transform(F.array(kept), lambda rows: F.when(F.size(rows) > 1, of(rows)).otherwise(none)), 0)
 
 
+def hits(docs: DataFrame, known: list[tuple[str, list[str]]], least: float) -> DataFrame:
+    """(doc_id, row, k, dice, name) of each line, k from 1, and of the text as a whole, k 0, that reaches a template: the best one, of equals the last by name.
+
+    docs: (doc_id, row, text), row the text's hash. Counts combine before the shuffle; of rows that are equal in both they are divided by their number.
+    """
+    listed = [(name, t, len(grams), g) for t, (name, grams) in enumerate(known) for g in grams]
+    template = F.broadcast(docs.sparkSession.createDataFrame(listed, "name string, t int, size int, gram string"))  # as long as the list of templates above
+    low, high = min(len(g) for _, g in known) * least / (2 - least), max(len(g) for _, g in known) * (2 - least) / least
+    text = F.coalesce("text", F.lit(""))
+    units = docs.select("doc_id", "row", F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("k", "unit"))
+    sets = units.select("doc_id", "row", "k", F.get(F.transform(F.array(words(F.col("unit"))), lambda w: F.when(F.size(w) > low, bigrams(w))), 0).alias("grams")).where("grams is not null")
+    n = F.size("grams")
+    said = sets.where((n >= low) & (n <= high)).select("doc_id", "row", "k", n.alias("n"), F.explode("grams").alias("gram"))
+    fits = (F.col("n") * (2 - least) >= F.col("size") * least) & (F.col("size") * (2 - least) >= F.col("n") * least)
+    met = said.join(template, "gram").where(fits).groupBy("doc_id", "row", "k", "n", "t", "name", "size").agg(F.count("*").alias("c"))
+    met = met.where(F.lit(2.0) * F.col("c") / (F.col("n") + F.col("size")) >= least)
+    times = docs.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.count("*").alias("m"))
+    met = met.join(times, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")))
+    met = met.withColumn("dice", F.lit(2.0) * (F.col("c") / F.col("m")) / (F.col("n") + F.col("size"))).where(F.col("dice") >= least)
+    return met.groupBy("doc_id", "row", "k").agg(F.max(F.struct("dice", "name")).alias("x")).select("doc_id", "row", "k", "x.*")
+
+
+def wrapped(docs: DataFrame, found: DataFrame, known: list[tuple[str, list[str]]], least: float) -> DataFrame:
+    """(doc_id, row, runs) of texts whose lines reach a template only together. Most texts have too few bigrams of any template to be looked at."""
+    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in known])
+    every = F.array(*map(F.lit, sorted({g for _, grams in known for g in grams})))
+    own = docs.select("doc_id", "row", F.coalesce("text", F.lit("")).alias("text")).where(F.contains("text", F.lit("\n")))
+    grams = F.get(F.transform(F.array(words(F.col("text"))), bigrams), 0)  # so that the words are cut once
+    own = own.withColumn("said", F.array_intersect(grams, every)).where(F.size("said") * (2 - least) >= min(len(g) for _, g in known) * least)
+    todo = F.filter(names, lambda t: F.size(F.array_intersect("said", t["grams"])) * (2 - least) >= t["n"] * least)
+    own = own.withColumn("todo", todo).where(F.size("todo") > 0).dropDuplicates(["doc_id", "row"])
+    per = found.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set("k").alias("ks"), F.collect_set("name").alias("seen"))
+    own = own.join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left").where(~F.coalesce(F.array_contains("ks", 0), F.lit(False)))
+    own = own.withColumn("todo", F.filter("todo", lambda t: ~F.coalesce(F.array_contains("seen", t["name"]), F.lit(False)))).where(F.size("todo") > 0)
+    lines = F.transform(F.split("text", "\n"), words)
+    taken = F.transform(lines, lambda _, i: F.coalesce(F.array_contains("ks", i + 1), F.lit(False)))
+    return own.select("doc_id", "row", runs(lines, taken, F.col("todo"), least).alias("runs"))
+
+
 def scan(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row of docs: doc_id, n_notices (lines that match a template), licences (their names, sorted), best and dice (the name of the largest coefficient, the first by name among equals, and the coefficient; null and 0 if nothing reaches least).
 
     The text as a whole can match too, and runs of lines, so a licence over many lines is found wherever it stands; n_notices counts single lines alone. Null and empty texts match nothing.
-    Equal rows give equal rows; no rows, no result; other columns are not read. Nothing is shuffled: the templates are constants of the plan.
+    A text of any length is read whole. Equal rows give equal rows; no rows, no result; other columns are not read, whatever their names. Counts of shared bigrams are shuffled, and texts
+    only that hold most of a template in several lines.
     """
     known = templates()
-    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in known])
-    units = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat(F.array(F.coalesce(text, F.lit(""))), F.split(F.coalesce(text, F.lit("")), "\n")).alias("units"))
-    low, high = min(len(g) for _, g in known) * least / (2 - least), max(len(g) for _, g in known) * (2 - least) / least
-
-    def best(grams: Column) -> Column:
-        n = F.size(grams)
-        fits = F.filter(names, lambda t: (n * (2 - least) >= t["n"] * least) & (t["n"] * (2 - least) >= n * least))
-        scored = F.transform(fits, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (n + t["n"])).alias("dice"), t["name"].alias("name")))
-        return F.array_max(F.transform(F.filter(scored, lambda x: x["dice"] >= least), lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name"))))
-
-    every = sorted({g for _, grams in known for g in grams})
-    none = F.array().cast("array<struct<dice:double,name:string>>")
-    cut = units.select("doc_id", F.transform("units", words).alias("words"))
-    sets = cut.select("doc_id", "words", F.transform("words", lambda w: F.when(F.size(w) > low, bigrams(w))).alias("sets"))
-    found = sets.select("doc_id", "words", F.array_intersect(F.coalesce(F.get("sets", 0), F.array().cast("array<string>")), F.array(*map(F.lit, every))).alias("said"), F.transform("sets", lambda s: F.when((F.size(s) >= low) & (F.size(s) <= high), best(s))).alias("found"))
-    # A run that matches a template has so many of its bigrams, and so has the text.
-    todo = F.filter(names, lambda t: (F.size(F.array_intersect("said", t["grams"])) * (2 - least) >= t["n"] * least) & ~F.exists("found", lambda x: F.coalesce(x["name"] == t["name"], F.lit(False))))
-    some = F.get("found", 0).isNull() & (F.size("words") > 2) & (F.size("said") * (2 - least) >= min(len(g) for _, g in known) * least)
-    found = found.select("doc_id", "words", "found", F.when(some, todo).alias("todo"))
-    rest = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1)))
-    found = found.select("doc_id", "found", F.when(F.size("todo") > 0, runs(rest("words"), F.transform(rest("found"), lambda x: x.isNotNull()), F.col("todo"), least)).otherwise(none).alias("runs"))
-    lines = F.filter(F.slice("found", 2, F.greatest(F.size("found") - 1, F.lit(1))), lambda x: x.isNotNull())
-    hits = F.concat(F.filter("found", lambda x: x.isNotNull()), "runs")
-    top = F.array_max(F.transform(hits, lambda x: x["dice"]))
-    name = F.array_min(F.transform(F.filter(hits, lambda x: x["dice"] == top), lambda x: x["name"]))
-    return found.select("doc_id", F.size(lines).cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda x: x["name"]))), ",").alias("licences"), name.alias("best"), F.coalesce(top, F.lit(0.0)).alias("dice"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    found = durable(hits(own, known, least))
+    longer = durable(wrapped(own, found, known, least).select("doc_id", "row", F.explode("runs").alias("x")).select("doc_id", "row", F.lit(-1).alias("k"), "x.dice", "x.name"))
+    every = found.unionByName(longer)
+    best = F.struct((-F.col("dice")).alias("minus"), "name")
+    per = every.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(
+        F.sum((F.col("k") > 0).cast("long")).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("licences"), F.min(best).alias("best")
+    )
+    out = own.select("doc_id", "row").join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left")
+    return out.select("doc_id", F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"), F.coalesce("licences", F.lit("")).alias("licences"), F.col("best.name").alias("best"), F.coalesce(-F.col("best.minus"), F.lit(0.0)).alias("dice"))
 
 
 def oracle(least: float = LEAST) -> str:
