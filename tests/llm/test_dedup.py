@@ -132,6 +132,14 @@ def test_vectors_against_all_pairs(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_shared_and_null_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.95, 0.3122, 0.0], [0.8, 0.6, 0.0]  # a with b, b with c
+    rows = [(1, a, 1), (1, [0.0, 0.0, 1.0], 1), (None, b, 1), (7, c, 1), (9, [0.0, 0.0, 2.0], 2), (3, [0.0, 0.1, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in near_vectors(df, hashing=Hashing(tables=60)).collect())
+    assert got == [(0, 2, 1), (1, 1, 1), (1, 1, 1), (3, 1, 1), (7, 1, 1), (9, 0, 9)]
+
+
 def test_recall():
     h = Hashing()
     assert h.recall(0.93) > 0.95 and h.recall(0.985) > 0.999

@@ -90,13 +90,13 @@ def spanning(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 
 
 def classes(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """All rows as (vec_id, h1, h2), the hashes null where a vector links with nothing; and a row for each distinct vector of a label: (h1, h2, rep, copies, label, v)."""
+    """All rows as (vec_id, h1, h2), the hashes null where a vector links with nothing; and a row for each distinct vector of a label: (h1, h2, rep, least, copies, label, v). rep is its first hash, by which it is known, least its least id."""
     e = F.col("e")
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("e"))
     fine = e.isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists(e, lambda x: x != 0), F.lit(False))
     key = lambda seed: F.when(fine, F.xxhash64(F.lit(seed), F.col("label").cast("string"), F.size(e), e))
     v = v.select("vec_id", "label", "e", key(1).alias("h1"), key(2).alias("h2"))
-    one = v.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").cast("string").alias("label"), F.first("e").alias("v"))
+    one = v.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").cast("string").alias("label"), F.first("e").alias("v")).withColumn("rep", F.col("h1"))
     return v.select("vec_id", "h1", "h2"), one
 
 
@@ -107,12 +107,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, hashing: Hashing = Has
     their number as weight. A bucket of many vectors is cut into blocks, and each pair of blocks is a task's; a pair of vectors counts in the
     first table in which they meet. No pairs are sent on: a task gives each vector's links and a spanning forest.
     Vectors that are null, empty, zero, or hold null or non-finite components, and those of null label, have no links and stay
-    alone in a component of their own id. A null vec_id takes part as a vector, is no component's name and is not kept. No rows, no result.
+    alone in a component of their own id. A null vec_id takes part as a vector, ties others together, is no component's name and is not kept. Rows that share an id
+    but not a vector are each told by their own vector; a vector of any length is compared whole. No rows, no result. Other columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2000)
     each, one = classes(vectors, vec_id, embedding, label)
-    one = durable(one.where("rep is not null"))
+    one = durable(one)
     each = durable(each)
     raw = np.dtype("<f4" if isinstance(vectors.schema[embedding].dataType.elementType, T.FloatType) else "<f8")
 
@@ -177,8 +178,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, hashing: Hashing = Has
     made = durable(main.mapInPandas(compared, "rep long, links long, root long"))
     links = made.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "_l")
     roots = components(made.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    of = one.select("h1", "h2", "rep", "copies").join(links, F.col("rep") == F.col("_l"), "left").join(roots, F.col("rep") == F.col("node"), "left")
-    of = of.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    of = one.select("h1", "h2", "rep", "least", "copies").join(links, F.col("rep") == F.col("_l"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+    of = of.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    names = of.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
+    of = of.join(names, F.col("root") == F.col("_root")).select("_1", "_2", "n_links", "component_id")
     out = each.join(of, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
