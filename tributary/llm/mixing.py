@@ -17,8 +17,8 @@ from tributary.llm.common import WORD, durable
 
 #: Parts that a source's queue is cut into for the running sums, by the first three digits of the hash.
 DIGITS = 3
-#: Copies of a range of the global order; one range is summed row by row.
-RANGE = 1_000_000
+#: Copies of a range of the global order, and most ranges; one range is summed row by row.
+RANGE, RANGES = 100_000, 20_000
 #: Columns that the operator adds; working columns of clashing names would not survive.
 ADDED = ("size", "source_size", "target", "taken", "copies")
 
@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text:
 
     copies = queued(light, "_mix_id").select(F.explode(F.array(*[at(e, "_mix_id") for e in range(mix.passes)])).alias("at")).select("at.*")
     order = ["v", "n", "s", "h", "i", "z"]
-    ranges = max(1, -(-(total["n"] or 0) * mix.passes // RANGE))
+    ranges = min(RANGES, max(1, -(-(total["n"] or 0) * mix.passes // RANGE)))
     copies = durable(copies.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
     ends = copies.groupBy("range").agg(F.sum("z").alias("z")).withColumn("end", F.sum("z").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)))
     first = ends.where(F.col("end") > budget).orderBy("range").select("range", (F.col("end") - F.col("z")).alias("before")).first()
