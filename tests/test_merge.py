@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from tributary.operators import evidence as E
@@ -64,3 +67,36 @@ def test_order_of_rows_and_partitions_does_not_matter(spark):
     want = M.merge_single(ev).collect()
     for n in (1, 7):
         assert M.merge_single(ev.repartition(n).orderBy(F.rand(n))).collect() == want
+
+
+def slow_fuller(keys):
+    def within(a, b):
+        words = iter(b)
+        return len(a) < len(b) and all(w in words for w in a)
+
+    cut = [k.split(" ") for k in keys]
+    return next((k for k, b in zip(keys, cut) if all(a == b or within(a, b) for a in cut)), None)
+
+
+def test_fuller_names_against_all_pairs(spark):
+    r = random.Random(1)
+    groups = []
+    for _ in range(400):
+        full = [r.choice("abcde") for _ in range(r.choice((3, 8, 40)))]
+        keys = {" ".join(w for w in full if r.random() < 0.5) or "a" for _ in range(r.randrange(1, 4))} | {" ".join(full)}
+        groups.append(sorted(keys | ({r.choice("abcdef")} if r.random() < 0.7 else set())))
+    df = spark.createDataFrame([(i, [(k,) for k in g]) for i, g in enumerate(groups)], "i int, g array<struct<key:string>>")
+    got = {x.i: x.key for x in df.select("i", M.fuller(F.col("g"))["key"].alias("key")).collect()}
+    want = {i: slow_fuller(g) for i, g in enumerate(groups)}
+    assert got == want and 50 < sum(v is not None for v in want.values()) < 350
+
+
+def test_fuller_names_of_many_words(spark):
+    """16,000 words, beside parts that are nearly as long and hundreds that are short."""
+    words = [f"w{i}" for i in range(16_000)]
+    keys = [" ".join(words), " ".join(words[1:]), *(f"w{i} w{i + 5000} w{i + 9000}" for i in range(500))]
+    df = spark.createDataFrame([([(k,) for k in g],) for g in (keys, [*keys, "w7 w3"])], "g array<struct<key:string>>").repartition(1)
+    df.select(M.fuller(F.col("g"))["key"]).collect()
+    began = time.time()
+    assert [x[0] and len(x[0]) for x in df.select(M.fuller(F.col("g"))["key"]).collect()].count(None) == 1
+    assert time.time() - began < 5

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tributary.functions import dicts as D
 
-#: White space as Unicode has it, not ASCII's alone.
-SPACE = r"(?U)\s+"
+#: White space as Unicode has it, not ASCII's alone; and what of it isn't a single space already.
+SPACE, UNEVEN = r"(?U)\s+", r"(?U)[\s&&[^ ]]\s*| \s+"
 
 
 def let(v: Column, body) -> Column:
@@ -18,11 +18,11 @@ def let(v: Column, body) -> Column:
 
 def or_null(v: Column) -> Column:
     """An empty string is no value."""
-    return F.when(v != "", v)
+    return F.nullif(v, F.lit(""))
 
 
 def collapse(v: Column) -> Column:
-    return F.trim(F.regexp_replace(v, SPACE, " "))
+    return F.trim(F.regexp_replace(v, UNEVEN, " "))
 
 
 def normalize_text(v: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.confidence import confidence
-from tributary.functions.text import canonical_skill, key_of
+from tributary.functions.text import canonical_skill, key_of, let
 from tributary.operators.evidence import ranked
 
 #: Fields in which a longer value that holds all the others word by word is no conflict but the fuller name.
@@ -26,25 +26,65 @@ def _each(rows: Column, name: str) -> Column:
     return F.transform(rows, lambda r: r[name])
 
 
+#: Steps of a binary search in an array of any size.
+HALVES = [1 << i for i in range(30, -1, -1)]
+#: A name so many times as long as another is searched for its words, and else read through.
+FAR = 16
+
+
+def _read_through(a: Column, b: Column) -> Column:
+    """Whether the words a are found in b in their order, in one pass over b."""
+    return F.aggregate(b, F.lit(0), lambda i, t: F.when(F.get(a, i) == t, i + 1).otherwise(i)) == F.size(a)
+
+
+def _searched(a: Column, places: Column, halves: Column) -> Column:
+    """The same by the sorted (word, place) of b: each word of a is searched for behind the place of the one before."""
+
+    def behind(last: Column, t: Column) -> Column:
+        least = F.struct(t.alias("w"), (last + 1).alias("i"))
+        at = F.aggregate(halves, F.lit(0), lambda lo, k: F.when(F.get(places, lo + k - 1) < least, lo + k).otherwise(lo))
+        return let(F.get(places, at), lambda hit: F.when(hit["w"] == t, hit["i"]).otherwise(-2))
+
+    return F.aggregate(a, F.lit(-1), lambda last, t: F.when(last == -2, last).otherwise(behind(last, t))) > -2
+
+
 def is_token_subsequence(short: Column, long: Column) -> Column:
     """Whether the words of short, fewer, are found in long in their order."""
-    a, b = F.split(short, " "), F.split(long, " ")
-    met = F.aggregate(b, F.lit(0), lambda i, t: F.when((i < F.size(a)) & (F.get(a, i) == t), i + 1).otherwise(i))
-    return (F.size(a) < F.size(b)) & (met == F.size(a))
+    return let(F.split(short, " "), lambda a: let(F.split(long, " "), lambda b: (F.size(a) < F.size(b)) & _read_through(a, b)))
+
+
+def fuller(groups: Column) -> Column:
+    """Of an array of structs with a key the one whose words hold those of all other keys, or null.
+
+    Only the key of most words can, and only alone. Each other key costs its own words, or FAR times that, however long the fullest is.
+    """
+
+    def held(every: Column, b: Column) -> Column:
+        far = lambda y: F.size(y["w"]) * FAR < F.size(b)
+        places = F.when(F.exists(every, far), F.array_sort(F.transform(b, lambda t, i: F.struct(t.alias("w"), i.alias("i")))))
+        inside = lambda p, h: F.forall(every, lambda y: (F.size(y["w"]) == F.size(b)) | F.when(far(y), _searched(y["w"], p, h)).otherwise(_read_through(y["w"], b)))
+        return let(places, lambda p: let(F.filter(F.array(*map(F.lit, HALVES)), lambda k: k <= F.size(b)), lambda h: inside(p, h)))
+
+    def of(every: Column) -> Column:
+        most = F.array_max(F.transform(every, lambda x: F.size(x["w"])))
+        return let(let(most, lambda n: F.filter(every, lambda x: F.size(x["w"]) == n)), lambda top: F.when(F.size(top) == 1, let(F.get(top, 0), lambda x: F.when(held(every, x["w"]), x["g"]))))
+
+    return let(F.transform(groups, lambda x: F.struct(x.alias("g"), F.split(x["key"], " ").alias("w"))), of)
 
 
 def value_groups(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], rows: bool = True) -> DataFrame:
     """A row for each distinct key of a field: n, first, weight, longest value, rows in order. Without rows nothing of it grows with n, and all of it is combined before the shuffle."""
     at = place()
     row = F.struct(at.alias("at"), F.col("source_id").alias("source"), "method", F.col("raw_value").alias("raw"))
-    keyed = ranked(ev.where((F.col("value") != "") & F.col("value").isNotNull())).withColumn("key", key_of(F.col("value")))
-    return keyed.groupBy(*by, "key").agg(
+    keyed = ranked(ev.where(F.col("value") != "") if rows else ev).withColumn("key", key_of(F.col("value")))
+    groups = keyed.groupBy(*by, "key").agg(
         F.count("*").alias("n"),
         F.min(at).alias("first"),
         F.max("weight").alias("weight"),
         F.min(F.struct((-F.length("value")).alias("l"), at.alias("at"))).alias("longest"),
         (F.array_sort(F.collect_list(row)) if rows else F.lit(None).cast("array<int>")).alias("rows"),
     ).withColumn("longest", F.col("longest.at.value"))
+    return groups.where(F.col("longest") != "")  # here, as a filter of the rows would compute their values another time
 
 
 def single_counts(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], containment: tuple[str, ...] = CONTAINMENT) -> DataFrame:
@@ -52,9 +92,8 @@ def single_counts(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], co
     one = value_groups(ev, by, rows=False).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "first", "key", "n", "weight", "longest"))).alias("g"))
     g = F.col("g")
     top, second = F.get(g, 0), F.get(g, 1)
-    full = F.filter(g, lambda x: F.forall(g, lambda y: (x["key"] == y["key"]) | is_token_subsequence(y["key"], x["key"])))
     fields = F.col("field_name").isin(*containment) if "field_name" in by and containment else F.lit(False)
-    one = one.withColumn("whole", F.when(fields & (F.size(g) > 1), F.get(full, 0)))
+    one = one.withColumn("whole", F.when(fields & (F.size(g) > 1), fuller(g)))
     alone, whole, plural = F.size(g) == 1, F.col("whole").isNotNull(), top["n"] > second["n"]
     best, total = F.array_max(_each(g, "weight")), F.aggregate(_each(g, "n"), F.lit(0).cast("long"), lambda a, x: a + x)
     value = F.when(alone, top["longest"]).when(whole, F.col("whole.longest")).when(plural, top["longest"])
@@ -72,8 +111,7 @@ def single_of(one: DataFrame, g: str, contained: Column | None, distinct_sources
     g_ = F.col("_g")
     top, second = F.get(g_, 0), F.get(g_, 1)
     if contained is not None:
-        full = F.filter(g_, lambda x: F.forall(g_, lambda y: (x["key"] == y["key"]) | is_token_subsequence(y["key"], x["key"])))
-        whole = F.when(contained & (F.size(g_) > 1), F.get(full, 0))
+        whole = F.when(contained & (F.size(g_) > 1), fuller(g_))
     else:
         whole = F.lit(None).cast(one.schema["_g"].dataType.elementType)
     one = one.withColumn("_whole", whole)
@@ -147,7 +185,7 @@ def merge_values(ev: DataFrame, singles: list[str], multis: list[str], distinct_
 def multi_values(ev: DataFrame, by: list[str] = ["entity_id", "field_name"]) -> DataFrame:
     """A row for each distinct value: confidence, rank (of its best source), sources, methods, n."""
     row = F.struct(place().alias("at"), F.col("source_id").alias("source"), "method")
-    rows = ranked(ev.where(F.col("value").isNotNull() & (F.col("value") != "")))
+    rows = ranked(ev.where(F.col("value") != ""))
     out = rows.groupBy(*by, "value").agg(F.count("*").alias("n"), F.max("weight").alias("weight"), F.min("rank").alias("rank"), F.array_sort(F.collect_list(row)).alias("rows"))
     return out.select(*by, "value", confidence(F.col("weight"), F.col("n")).alias("confidence"), "rank", _each(F.col("rows"), "source").alias("sources"), _each(F.col("rows"), "method").alias("methods"), "n")
 
