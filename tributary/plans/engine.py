@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import dicts as D
@@ -18,6 +18,7 @@ from tributary.operators.sections import resume_evidence
 from tributary.plans.projection import project, project_default
 from tributary.session import kept
 from tributary.sources import readers as R
+from tributary.sources.csv_splits import csv_facts_of
 
 
 @dataclass
@@ -72,18 +73,18 @@ def run(spark: SparkSession, paths: list[str], config: dict | None = None, extra
 
     extract: text of a PDF's bytes, for those that pdf_text() can't read. country: the calling code of national phone numbers. profiles: (url, payload) to enrich from. text_as_document: .txt files are read as documents, not as tables.
     """
-    found = R.files(spark, paths)
-    if text_as_document:
-        found = found.withColumn("ext", F.when(F.col("ext") == ".txt", ".text").otherwise(F.col("ext")))
-    rows = R.facts(found)
     one = F.lit(entity)
     if len(paths) == 1 and paths[0].lower().endswith(".csv"):
-        n = F.max(F.when(F.col("field_name").isNull(), F.col("row"))).over(Window.partitionBy("source_seq"))
-        rows = rows.withColumn("n", n)
-        ev = R.to_evidence(rows, F.when(F.col("n") > 1, F.col("source_id")).otherwise(one))
+        rows = csv_facts_of(spark, paths)
+        n = rows.where("field_name is null").select("source_seq", F.col("row").alias("n"))
+        ev = R.to_evidence(rows.join(n, "source_seq"), F.when(F.col("n") > 1, F.col("source_id")).otherwise(one))
         cases = ev.select(F.col("entity_id").alias("case"), F.regexp_replace("source_id", r"#row\d+$", "").alias("file")).distinct()
         states = R.to_sources(rows, one).join(cases, F.col("source_id") == F.col("file"), "left").withColumn("entity_id", F.coalesce("case", "entity_id")).drop("case", "file")
         return resolve(ev, config, states, country=country)
+    found = R.files(spark, paths)
+    if text_as_document:
+        found = found.withColumn("ext", F.when(F.col("ext") == ".txt", ".text").otherwise(F.col("ext")))
+    rows = R.facts(found)
     rows = rows.where(F.col("field_name").isNull() | (F.col("row") <= 1))
     ev = R.to_evidence(rows, one)
     documents = R.document_texts(found, extract)

@@ -21,6 +21,7 @@ from tributary.plans import config
 from tributary.plans.engine import discover, link_evidence, run
 from tributary.plans.projection import project, project_default
 from tributary.plans.validate import has_keys, json_errors
+from tributary.sources.csv_splits import csv_facts_of
 from tributary.sources.readers import alias_column, facts, files, header_key_column, json_column, wide_table
 
 QUERIES, SQL = {}, {}
@@ -370,10 +371,17 @@ def evidence_union(spark, sf_dir):
     return both.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("names"), F.count("*").alias("n"))
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one; a local one only where none is set and all runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or f'file://{tempfile.mkdtemp()}').rstrip('/')}/made-{uuid.uuid4().hex}"
+
+
 def one_file(df: DataFrame, kind: str) -> str:
     """The path of one file of that kind that Spark writes of df."""
-    spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/") + f"/made-{uuid.uuid4().hex}"
+    spark, folder = df.sparkSession, new_folder(df.sparkSession)
     getattr(df.coalesce(1).write.option("header", True) if kind == "csv" else df.coalesce(1).write, kind)(folder)
     return spark.read.format("binaryFile").load(folder).inputFiles()[0]
 
@@ -387,6 +395,19 @@ def batch_rows(spark, sf_dir):
     return out.select(row, F.col("full_name.value").alias("name"), F.get("emails", 0)["value"].alias("email"), flat(F.col("skills"), "name", "confidence").alias("skills"), F.try_element_at("extra_attributes", F.lit("region")).alias("region"))
 
 
+@query(r"""SELECT 'k' || doc_id % 16 AS file, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id)::INTEGER AS row, doc_id::VARCHAR AS doc_id, md5(nullif(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '')) AS said, lang || ' "' || source || '"' AS label FROM documents""")
+def csv_splits(spark, sf_dir):
+    """Files of whole texts with line feeds and quotes, written by Spark and read in splits: every row has its number in its file."""
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("k"), "doc_id", "text", F.concat("lang", F.lit(' "'), "source", F.lit('"')).alias("label"))
+    folder = new_folder(spark)
+    d.repartition(16, "k").sortWithinPartitions("k", "doc_id").write.partitionBy("k").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    paths = spark.read.format("binaryFile").load(folder).inputFiles()
+    cells = csv_facts_of(spark, paths).where("field_name is not null")
+    names = F.get(F.array(*[F.lit("k" + p.split("/k=")[1].split("/")[0]) for p in paths]), F.col("source_seq"))
+    one = lambda key: F.max(F.when(F.col("key") == key, F.col("raw_value")))
+    return cells.groupBy(names.alias("file"), "row").agg(one("doc_id").alias("doc_id"), F.md5(one("text")).alias("said"), one("label").alias("label"))
+
+
 @query("""SELECT r_name AS full_name, 'T' AS title, 'a@x.org,r0@x.org' AS emails, 'SQL:0.8;Python:0.6' AS skills, 0.9::DOUBLE AS overall, 'https://linkedin.com/in/r0' AS linkedin, true AS ok FROM region WHERE r_regionkey = 0""")
 def files_of_one_entity(spark, sf_dir):
     """A CSV file of one row, a JSON file and a text file are about one entity."""

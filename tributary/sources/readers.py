@@ -11,6 +11,7 @@ import io
 import json
 import os
 import re
+import sys
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
@@ -49,12 +50,30 @@ def separator(sample: str) -> str:
         return ","
 
 
+def row_facts(head: list[str], cells: list[str]) -> Iterator[tuple]:
+    """(field, value, key, method) of each cell of a row that isn't blank."""
+    for column, value in zip(head, cells):  # missing cells are missing, those beyond the header have no name
+        value = value.strip()
+        if not value:
+            continue
+        field, method = ALIASES.get(header_key(column)), f"csv_column:{column}"
+        if field == "skills":
+            for skill in value.replace("|", ",").replace(";", ",").split(","):
+                if skill.strip():
+                    yield field, skill.strip(), None, method
+        elif field:
+            yield field, value, None, method
+        else:
+            yield "extra_attributes", value, column, method
+
+
 def csv_facts(name: str, data: bytes) -> Iterator[tuple]:
     """(row, field, value, key, method) of each cell that isn't blank; raises ValueError with what is wrong with the file."""
     try:
         text = data.decode("utf-8-sig")
     except UnicodeDecodeError as e:
         raise ValueError(f"unreadable CSV: {e}") from e
+    csv.field_size_limit(sys.maxsize)
     rows = csv.reader(io.StringIO(text, newline=""), delimiter=separator(text[:2048]))
     head = next(rows, None)
     if not head or not any(h.strip() for h in head):
@@ -64,19 +83,8 @@ def csv_facts(name: str, data: bytes) -> Iterator[tuple]:
         if not cells:
             continue
         n += 1
-        for column, value in zip(head, cells):  # missing cells are missing, those beyond the header have no name
-            value = value.strip()
-            if not value:
-                continue
-            field, method = ALIASES.get(header_key(column)), f"csv_column:{column}"
-            if field == "skills":
-                for skill in value.replace("|", ",").replace(";", ",").split(","):
-                    if skill.strip():
-                        yield n, field, skill.strip(), None, method
-            elif field:
-                yield n, field, value, None, method
-            else:
-                yield n, "extra_attributes", value, column, method
+        for fact in row_facts(head, cells):
+            yield n, *fact
     if not n:
         raise ValueError("CSV has no data rows")
 
@@ -125,38 +133,52 @@ def _patterns(paths: list[str]) -> list[str]:
     return [f"{folder}/{{{','.join(names[i : i + NAMES])}}}" for folder, names in folders.items() for i in range(0, len(names), NAMES)]
 
 
-def files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source_seq, source_id, ext, content, error) of each path, in their order; a file that isn't there is a row with an error.
-
-    All files are one scan, joined with the list of paths by name; the list is the caller's, the contents stay where they are read.
-    """
-    kind = "source_seq int, source_id string, ext string, content binary, error string"
-    scan, known = None, _patterns(paths)
+def _scan(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """One scan of all these files that are there, or None."""
+    known = _patterns(paths)
     try:
-        scan = spark.read.format("binaryFile").load(known) if known else None
+        return spark.read.format("binaryFile").load(known) if known else None
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        there = []
-        for pattern in known:  # folders of which nothing is there
-            try:
-                there.append(spark.read.format("binaryFile").load(pattern) and pattern)
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":
-                    raise
-        scan = spark.read.format("binaryFile").load(there) if there else None
+    there = []
+    for pattern in known:  # folders of which nothing is there
+        try:
+            there.append(spark.read.format("binaryFile").load(pattern) and pattern)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return spark.read.format("binaryFile").load(there) if there else None
+
+
+def _listed(spark: SparkSession, paths: list[str], scan: DataFrame | None) -> tuple[DataFrame, set[str]]:
     found = {plain_path(unquote(f)) for f in scan.inputFiles()} if scan is not None else set()
     rows = []
     for i, path in enumerate(paths):
         name = path.rstrip("/").rsplit("/", 1)[-1]
         ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
         rows.append((i, name, ext, plain_path(path), None if plain_path(path) in found else "file not found"))
-    listed = spark.createDataFrame(rows, "source_seq int, source_id string, ext string, key string, error string")
+    return spark.createDataFrame(rows, "source_seq int, source_id string, ext string, key string, error string"), found
+
+
+def listed_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """(source_seq, source_id, ext, key, error) of each path, and the paths of files that are there; key is the path as scans know it. Nothing is read."""
+    listed, found = _listed(spark, paths, _scan(spark, paths))
+    return listed, [p for p in dict.fromkeys(paths) if plain_path(p) in found]
+
+
+def files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source_seq, source_id, ext, content, error) of each path, in their order; a file that isn't there is a row with an error.
+
+    All files are one scan, joined with the list of paths by name; the list is the caller's, the contents stay where they are read.
+    """
+    kind, scan = "source_seq int, source_id string, ext string, content binary, error string", _scan(spark, paths)
+    listed, _ = _listed(spark, paths, scan)
     none = listed.where("error is not null").select("source_seq", "source_id", "ext", F.lit(None).cast("binary").alias("content"), "error")
     if scan is None:
         return none.to(spark.createDataFrame([], kind).schema)
     listed, at = listed.where("error is null"), F.regexp_replace("path", "^file:/+", "/")
-    full = scan.select(at.alias("at"), "content").join(F.broadcast(listed), F.col("at") == F.col("key")).select("source_seq", "source_id", "ext", "content", "error")
+    full = scan.select(at.alias("at"), "content").join(listed, F.col("at") == F.col("key")).select("source_seq", "source_id", "ext", "content", "error")
     empty = listed.join(scan.select(at.alias("at")), F.col("at") == F.col("key"), "left_anti")  # an empty file has no row in a scan
     empty = empty.select("source_seq", "source_id", "ext", F.lit(b"").alias("content"), "error")
     return full.union(empty).union(none)
