@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.test_engine import PROFILE, RECRUITER, RESUME, files  # noqa: F401
 from tributary.__main__ import main
 from tributary.plans import config as C
+from tributary.plans.compare import compare, key_difference
 from tributary.plans.engine import resolve, run
 from tributary.plans.insights import with_insights
 from tributary.plans.service import answer, refused
@@ -41,7 +42,27 @@ def test_presets(tmp_path):
     (tmp_path / "b.json").write_text('{"fields": []}')
     assert C.presets(tmp_path) == ["default", "b", "minimal", "public_profile", "strict_required"] and all(C.load(n) == C.PRESETS[n] for n in C.PRESETS) and C.load("b", folder=tmp_path) == {"fields": []} and C.load("default") is None
     assert C.output_schema({"fields": [{"path": "a", "type": "string[]", "required": True}, {"path": "b"}]}) == {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "string"}}, "b": {}}, "required": ["a"]}
-    assert C.key_difference({"a": 1, "b": 2}, {"b": 1, "c": 1}) == (["a"], ["c"])
+
+
+def test_configs_in_a_column(spark):
+    cases = [{"fields": [{"path": "a", "type": "string[]", "required": True}, {"path": "b"}]}, [], {"on_missing": "none"}, {"fields": [{"path": " ", "type": "text"}, 1], "include_confidence": 1}, {"fields": [], "on_missing": None}, 5, "x", None, {}]
+    cases += [{"fields": [{"path": "a", "from": 3, "required": "x", "normalize": "lower"}, {"path": None}], "include_provenance": True, "on_missing": "omit"}, {"fields": {"a": 1}}, {"fields": [{"path": "a", "type": "number", "required": True}, {"path": "a"}], "on_missing": "omit"}]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)] + [(98, "{"), (99, None)], "i int, c string")
+    for r in df.select("i", C.column_errors(F.col("c")).alias("errors"), C.column_schema(F.col("c")).alias("shape")).collect():
+        want = C.config_errors(cases[r.i]) if r.i < len(cases) else ["config must be a JSON object"]
+        assert r.errors == want
+        assert (json.loads(r.shape) if r.shape else None) == (None if want else C.output_schema(cases[r.i]))
+
+
+def test_two_runs_compared(spark):
+    a = spark.createDataFrame([(1, '{"a":1,"b":{"c":[1,{"d":"x"}],"e":{}},"n":null,"l":[]}'), (2, '{"a":1}'), (3, None), (4, "[1]"), (None, '{"q":1}'), (6, '{"a":{"b":{"c":1}}}')], "entity_id int, output_json string")
+    b = spark.createDataFrame([(1, '{"a":2,"b":{"c":[1]},"n":null}'), (2, '{"a":1}'), (3, '{"z":1}'), (None, '{"q":2}'), (6, '{"a":{"b":{"c":2}}}')], "entity_id int, output_json string")
+    want = {(1, "$.a", "differs", "1", "2"), (1, "$.b.c[1].d", "only_left", '"x"', None), (1, "$.b.e", "only_left", "{}", None), (1, "$.l", "only_left", "[]", None), (3, "$.z", "only_right", None, "1"), (4, "$[0]", "only_left", "1", None), (None, "$.q", "differs", "1", "2"), (6, "$.a.b.c", "differs", "1", "2")}
+    assert set(map(tuple, compare(a, b).collect())) == want and compare(a, a).count() == 0
+    shallow = {tuple(r) for r in compare(a, b, depth=1).collect() if r.entity_id == 6}
+    assert shallow == {(6, "$.a", "differs", '{"b":{"c":1}}', '{"b":{"c":2}}')}
+    keys = spark.createDataFrame([('{"a":1,"b":2}', '{"b":1,"c":1}'), ("[1]", '{"c":1}'), (None, None)], "a string, b string")
+    assert [(r.x, r.y) for r in keys.select(*[k.alias(n) for k, n in zip(key_difference(F.col("a"), F.col("b")), "xy")]).collect()] == [(["a"], ["c"]), ([], ["c"]), ([], [])]
 
 
 def test_sinks_and_insights(spark, files, tmp_path):  # noqa: F811

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
@@ -17,7 +16,7 @@ from tributary.operators import evidence as E
 from tributary.operators import merge as M
 from tributary.operators import profile, sections
 from tributary.operators.enrich import enrich
-from tributary.plans import config
+from tributary.plans import compare, config
 from tributary.plans.engine import discover, link_evidence, run
 from tributary.plans.projection import project, project_default
 from tributary.plans.validate import has_keys, json_errors
@@ -484,15 +483,18 @@ def norm_phone_country(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", phone.alias("phone"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'config must be a JSON object' WHEN 2 THEN 'config.fields must be an array;config.on_missing must be one of [''error'', ''null'', ''omit'']'
-ELSE 'config.include_confidence must be a boolean;config.fields[0].path must be a non-empty string;config.fields[0].type must be one of [''boolean'', ''number'', ''string'', ''string[]''];config.fields[1] must be an object' END AS errors,
-CASE event_id % 4 WHEN 0 THEN '{"type": "object", "properties": {"a": {"type": "array", "items": {"type": "string"}}, "b": {}}, "required": ["a"]}' ELSE '' END AS shape FROM events""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'config must be a JSON object' WHEN 2 THEN 'config.fields must be an array;config.on_missing must be one of [''error'', ''null'', ''omit'']'
+WHEN 3 THEN 'config.include_confidence must be a boolean;config.fields[0].path must be a non-empty string;config.fields[0].type must be one of [''boolean'', ''number'', ''string'', ''string[]''];config.fields[1] must be an object'
+ELSE CASE WHEN event_type IN ('lower', 'upper') THEN '' ELSE 'config.fields[0].normalize must be one of [''E164'', ''canonical'', ''lower'', ''national'', ''title'', ''upper'']' END END AS errors,
+CASE WHEN event_id % 5 = 0 THEN '{"type":"object","properties":{"' || event_type || '":{"type":"array","items":{"type":"string"}},"u' || user_id || '":{},"n":{"type":"number"}},"required":[' || CASE WHEN event_id % 10 = 0 THEN '"' || event_type || '"' ELSE '' END || ']}' END AS shape FROM events""")
 def config_faults(spark, sf_dir):
-    """The check of configs, and the schema of a good one's output."""
-    good = {"fields": [{"path": "a", "type": "string[]", "required": True}, {"path": "b"}]}
-    cases = [good, [], {"on_missing": "none"}, {"fields": [{"path": " ", "type": "text"}, 1], "include_confidence": 1}]
-    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("event_id") % 4).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", pick([";".join(config.config_errors(c)) for c in cases]).alias("errors"), pick([json.dumps(config.output_schema(good)), "", "", ""]).alias("shape"))
+    """The check of a column of configs, and the schemas of the good ones' outputs."""
+    k, quoted = F.col("event_id") % 5, F.to_json(F.array("event_type"))
+    name = F.regexp_replace(quoted, r"^\[|\]$", "")
+    good = F.concat(F.lit('{"on_missing": "'), F.when(F.col("event_id") % 10 == 0, "null").otherwise("omit"), F.lit('", "fields": [{"path": '), name, F.lit(', "type": "string[]", "required": true}, {"path": "u'), "user_id", F.lit('"}, {"path": "n", "type": "number", "required": false}]}'))
+    text = F.when(k == 0, good).when(k == 1, F.concat(F.lit("["), name, F.lit("]"))).when(k == 2, F.concat(F.lit('{"on_missing": "none", '), name, F.lit(": 1}")))
+    text = text.when(k == 3, '{"fields": [{"path": " ", "type": "text"}, 1], "include_confidence": 1}').otherwise(F.concat(F.lit('{"fields": [{"path": "a", "normalize": '), name, F.lit("}]}")))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(config.column_errors(text), ";").alias("errors"), config.column_schema(text).alias("shape"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
@@ -500,15 +502,6 @@ def text_concat(spark, sf_dir):
     return M.ordered_text(table(spark, sf_dir, "conversations"), ["conv_id"], F.col("turn"), F.col("text"))
 
 
-@query("""WITH k AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['b', 'c', 'd'] ELSE ['d'] END AS x, CASE event_id % 2 WHEN 0 THEN ['b'] ELSE ['d', 'e'] END AS y FROM events)
-SELECT event_id, array_to_string(list_filter(x, lambda e: NOT list_contains(y, e)), ',') AS only_a, array_to_string(list_filter(y, lambda e: NOT list_contains(x, e)), ',') AS only_b, len(list_filter(y, lambda e: NOT list_contains(x, e))) = 0 AS subset FROM k""")
-def config_key_diff(spark, sf_dir):
-    xs, ys = [dict.fromkeys(k, 1) for k in ("ab", "bcd", "d")], [dict.fromkeys(k, 1) for k in ("b", "de")]
-    found = [[config.key_difference(x, y) for y in ys] for x in xs]
-    cell = lambda f: F.get(F.get(F.array(*[F.array(*[F.lit(f(d)) for d in row]) for row in found]), (F.col("event_id") % 3).cast("int")), (F.col("event_id") % 2).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", cell(lambda d: ",".join(d[0])).alias("only_a"), cell(lambda d: ",".join(d[1])).alias("only_b"), cell(lambda d: not d[1]).alias("subset"))
-
-
 @query("SELECT event_id, event_id % 4 < 2 AS has_k, event_id % 4 = 1 AS has_all, event_id % 4 < 3 AS parsed FROM events")
 def subset_test(spark, sf_dir):
     k = F.col("event_id") % 4
@@ -565,10 +558,12 @@ def name_line(spark, sf_dir):
 # -- profiles, projections -----------------------------------------------------------------------
 
 
-def customer_profiles(spark, sf_dir) -> DataFrame:
+def customer_profiles(spark, sf_dir, name: Column | None = None, mailed: Column | None = None, skills: Column | None = None) -> DataFrame:
     c = table(spark, sf_dir, "customer")
+    name, mailed = F.col("c_name") if name is None else name, F.lit(True) if mailed is None else mailed
+    skills = F.when(F.col("c_custkey") % 4 == 0, "sql, py") if skills is None else skills
     digits = F.lpad(F.col("c_custkey").cast("string"), 10, "9")
-    wide = c.select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("@x.com"))).alias("email"), F.when(F.col("c_custkey") % 3 == 0, digits).alias("phone"), F.col("c_mktsegment").alias("role"), F.when(F.col("c_custkey") % 4 == 0, "sql, py").alias("skills"))
+    wide = c.select(F.col("c_custkey").cast("string").alias("key"), name.alias("name"), F.when((F.col("c_custkey") % 2 == 0) & mailed, F.concat("c_name", F.lit("@x.com"))).alias("email"), F.when(F.col("c_custkey") % 3 == 0, digits).alias("phone"), F.col("c_mktsegment").alias("role"), skills.alias("skills"))
     return profile.canonical(E.normalized(wide_table(wide, F.col("key"), F.lit("c.csv"))))
 
 
@@ -650,5 +645,35 @@ def conflict_warnings(spark, sf_dir):
     return profile.conflicts(profiles).select("entity_id", "message")
 
 
+BRIEF = {"fields": [{"path": "full_name"}, {"path": "phone", "from": "phones[0]"}, {"path": "title", "from": "current_title"}], "on_missing": "null"}
+
+
+@query(f"""WITH {PROFILE_SQL} SELECT entity_id, concat_ws(',', 'full_name_confidence', CASE WHEN m THEN 'mail,mail_confidence' END, CASE WHEN f THEN 'phone_confidence' END, 'skills,skills_confidence') AS only_a, CASE WHEN f THEN 'title' ELSE 'phone,title' END AS only_b, false AS subset FROM p""")
+def config_key_diff(spark, sf_dir):
+    """The keys that one of two configs' outputs has and the other hasn't."""
+    profiles = customer_profiles(spark, sf_dir)
+    a, b = (project(profiles, c).select("entity_id", F.col("output_json").alias(name)) for c, name in ((PUBLIC, "a"), (BRIEF, "b")))
+    left, right = compare.key_difference(F.col("a"), F.col("b"))
+    return a.join(b, "entity_id").select("entity_id", F.array_join(left, ",").alias("only_a"), F.array_join(right, ",").alias("only_b"), (F.size(right) == 0).alias("subset"))
+
+
+@query(f"""WITH {PROFILE_SQL}, c AS (SELECT p.*, c_custkey AS k FROM p JOIN customer ON entity_id = c_custkey::VARCHAR), rows AS (
+SELECT entity_id, '$.mail' AS path, 'only_left' AS change, '"' || email || '"' AS "left", NULL AS "right" FROM c WHERE m AND k % 5 = 0
+UNION ALL SELECT entity_id, '$.mail_confidence', 'only_left', '0.65', NULL FROM c WHERE m AND k % 5 = 0
+UNION ALL SELECT entity_id, '$.full_name', 'differs', '"' || name || '"', '"' || name || ' Jr"' FROM c WHERE k % 7 = 0
+UNION ALL SELECT entity_id, '$.skills[1]', 'only_left', '"sql"', NULL FROM c WHERE s AND k % 3 = 0
+UNION ALL SELECT entity_id, '$.skills_confidence[1]', 'only_left', '0.65', NULL FROM c WHERE s AND k % 3 = 0
+UNION ALL SELECT entity_id, unnest(['$.skills', '$.skills[0]']), unnest(['only_left', 'only_right']), unnest(['[]', NULL]), unnest([NULL, '"zither"']) FROM c WHERE NOT s AND k % 11 = 0
+UNION ALL SELECT entity_id, unnest(['$.skills_confidence', '$.skills_confidence[0]']), unnest(['only_left', 'only_right']), unnest(['[]', NULL]), unnest([NULL, '0.59']) FROM c WHERE NOT s AND k % 11 = 0)
+SELECT * FROM rows""")
+def run_difference(spark, sf_dir):
+    """Two runs over customers of whom some were told anew in between."""
+    k = F.col("c_custkey")
+    name = F.when(k % 7 == 0, F.concat("c_name", F.lit(" Jr"))).otherwise(F.col("c_name"))
+    skills = F.when((k % 4 == 0) & (k % 3 == 0), "py").when(k % 4 == 0, "sql, py").when(k % 11 == 0, "zither")
+    old, new = customer_profiles(spark, sf_dir), customer_profiles(spark, sf_dir, name, k % 5 != 0, skills)
+    return compare.compare(project(old, PUBLIC), project(new, PUBLIC))
+
+
 #: The one that stands for all.
 FLAGSHIP = merge_single_plurality

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 KINDS = {"string": "str", "number": "float", "integer": "int", "boolean": "bool", "array": "list", "object": "dict", "null": "NoneType"}
 
 
-def _kind(v: Column) -> Column:
+def kind_of(v: Column) -> Column:
     """The JSON kind of a variant."""
     s = F.schema_of_variant(v)
     return F.when(v.isNull() | (s == "VOID"), "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer").when(F.startswith(s, F.lit("ARRAY")), "array").when(F.startswith(s, F.lit("OBJECT")), "object").otherwise("number")
@@ -22,7 +22,7 @@ def errors(v: Column, schema: dict, path: str | Column = "$") -> Column:
     """array of messages for a variant."""
     at = F.lit(path) if isinstance(path, str) else path
     found: list[Column] = []
-    want, kind = schema.get("type"), _kind(v)
+    want, kind = schema.get("type"), kind_of(v)
     none = F.array().cast("array<string>")
     if want == "null":
         found.append(F.when(kind != "null", F.array(F.concat(at, F.lit(": expected null, got "), _name(kind)))))
@@ -33,7 +33,7 @@ def errors(v: Column, schema: dict, path: str | Column = "$") -> Column:
     if want == "object":
         for key in schema.get("required", []):
             part = F.try_variant_get(v, f"$['{key}']", "variant")
-            found.append(F.when((kind == "object") & (_kind(part) == "null"), F.array(F.concat(at, F.lit(f": missing required field '{key}'")))))
+            found.append(F.when((kind == "object") & (kind_of(part) == "null"), F.array(F.concat(at, F.lit(f": missing required field '{key}'")))))
         for key, sub in schema.get("properties", {}).items():
             if sub:
                 part = F.try_variant_get(v, f"$['{key}']", "variant")
