@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import evidence as E
 from tributary.operators import merge as M
+from tributary.operators import provenance as P
 
 
 def rows(spark, field, *facts):
@@ -100,3 +101,32 @@ def test_fuller_names_of_many_words(spark):
     began = time.time()
     assert [x[0] and len(x[0]) for x in df.select(M.fuller(F.col("g"))["key"]).collect()].count(None) == 1
     assert time.time() - began < 5
+
+
+def test_long_provenance_says_what_the_arrays_say(spark):
+    r = random.Random(7)
+    names = ["Ann", "Ann Bo", "ann  bo", "Ann Cy Bo", "Dee", None, " "]
+    data = [(r.choice("abcdefgh") if r.random() < 0.9 else None, r.randrange(4), i % 97, r.choice(["full_name", "current_title"]), r.choice(names), f"s{r.randrange(3)}", f"m{r.randrange(2)}") for i in range(160)]
+    df = spark.createDataFrame(data + data[:5], "e string, s int, n int, f string, v string, source string, m string").repartition(5)
+    ev = E.normalized(E.evidence(df, F.col("e"), F.col("f"), F.col("v"), F.col("source"), F.lit("structured"), F.col("m"), F.col("s"), F.col("n")))
+    want = {(x.entity_id, x.field_name): x for x in M.merge_single(ev).withColumn("p", M.provenance(F.col("sources"), F.col("methods"), F.col("field_name"))).collect()}
+    told = P.facts(ev)
+    got, keys, said = {}, {}, {}
+    for x in sorted(P.provenance_rows(told).collect(), key=lambda x: x.at):
+        got.setdefault((x.entity_id, x.field_name), []).append((x.source, x.method))
+    assert got == {k: [(y.source, y.method) for y in v.p] for k, v in want.items()}
+    for x in sorted(P.conflicting(told).collect(), key=lambda x: (x.source_seq, x.ev_seq, x.source_id, x.value)):
+        keys.setdefault((x.entity_id, x.field_name), {}).setdefault(x.key, []).append(x.raw_value)
+    assert keys == {k: v.conflicting_values for k, v in want.items() if v.conflicting_values}
+    for x in P.conflict_counts(ev).collect():
+        said.setdefault((x.entity_id, x.field_name), {})[x.key] = x.n
+    assert said == {k: {a: len(b) for a, b in v.conflicting_values.items()} for k, v in want.items() if v.conflicting_values}
+    for x in P.sources(told).groupBy("entity_id", "field_name").count().collect():
+        assert x["count"] == len(want[x.entity_id, x.field_name].sources)
+    assert {v.conflict for v in want.values()} == {True, False} and any(v.value is None for v in want.values()) and any(len(v.sources) > len(v.methods) for v in want.values())
+
+
+def test_numbers_of_a_hot_group(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") < 15_000, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.xxhash64("id").alias("x"))
+    rows = P.numbered(df, ["k"], ["x"])
+    assert [r.number for r in rows.where("k = 'hot'").orderBy("x").collect()] == list(range(15_000)) and rows.where("k <> 'hot' and number > 0").count() == 0

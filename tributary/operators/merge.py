@@ -89,6 +89,11 @@ def value_groups(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], row
 
 def single_counts(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], containment: tuple[str, ...] = CONTAINMENT) -> DataFrame:
     """value, confidence, conflict, n_values as merge_single has them, without sources: a field of very many rows costs one row for each distinct value."""
+    return decisions(ev, by, containment).select(*by, "value", "confidence", "conflict", "n_values")
+
+
+def decisions(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], containment: tuple[str, ...] = CONTAINMENT) -> DataFrame:
+    """What single_counts() has, the case (agreed, contained, plurality, tie), and the key that wins; a tie's is null."""
     one = value_groups(ev, by, rows=False).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "first", "key", "n", "weight", "longest"))).alias("g"))
     g = F.col("g")
     top, second = F.get(g, 0), F.get(g, 1)
@@ -98,7 +103,9 @@ def single_counts(ev: DataFrame, by: list[str] = ["entity_id", "field_name"], co
     best, total = F.array_max(_each(g, "weight")), F.aggregate(_each(g, "n"), F.lit(0).cast("long"), lambda a, x: a + x)
     value = F.when(alone, top["longest"]).when(whole, F.col("whole.longest")).when(plural, top["longest"])
     conf = F.when(alone, confidence(top["weight"], top["n"])).when(whole, confidence(best, total, "partial")).when(plural, confidence(top["weight"], top["n"], "partial")).otherwise(F.lit(0.0))
-    return one.select(*by, value.alias("value"), conf.alias("confidence"), (~alone).alias("conflict"), F.size(g).alias("n_values"))
+    case = F.when(alone, "agreed").when(whole, "contained").when(plural, "plurality").otherwise("tie")
+    key = F.when(whole & ~alone, F.col("whole.key")).when(alone | plural, top["key"])
+    return one.select(*by, value.alias("value"), conf.alias("confidence"), (~alone).alias("conflict"), F.size(g).alias("n_values"), case.alias("case"), key.alias("key"))
 
 
 def single_of(one: DataFrame, g: str, contained: Column | None, distinct_sources: bool = False) -> tuple[DataFrame, dict[str, Column]]:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +11,13 @@ from tributary.functions import links as L
 from tributary.functions import text as X
 from tributary.operators import evidence as E
 from tributary.operators import merge as M
-from tributary.operators import profile, sections
+from tributary.operators import profile, provenance, sections
 from tributary.operators.enrich import enrich
 from tributary.plans import compare, config
 from tributary.plans.engine import discover, link_evidence, run
 from tributary.plans.projection import project, project_default
 from tributary.plans.validate import has_keys, json_errors
+from tributary.session import new_folder
 from tributary.sources.csv_splits import csv_facts_of
 from tributary.sources.readers import alias_column, facts, files, header_key_column, json_column, wide_table
 
@@ -102,9 +100,8 @@ def merge_single_plurality(spark, sf_dir):
 @query(f"""WITH {ORDERS_SQL}, won AS (SELECT entity_id, CASE WHEN value IS NULL THEN '' ELSE key END AS key FROM m WHERE groups > 1)
 SELECT g.entity_id, string_agg(g.key || '=' || g.n, ';' ORDER BY g.key) AS others FROM g JOIN won ON g.entity_id = won.entity_id AND g.key <> won.key GROUP BY g.entity_id""")
 def merge_single_conflicts(spark, sf_dir):
-    out = M.merge_single(order_evidence(spark, sf_dir)).where("conflict")
-    entries = F.array_sort(F.transform(F.map_entries("conflicting_values"), lambda e: F.concat(e["key"], F.lit("="), F.size(e["value"]).cast("string"))))
-    return out.select("entity_id", F.array_join(entries, ";").alias("others"))
+    others = provenance.conflict_counts(order_evidence(spark, sf_dir))
+    return others.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit("="), F.col("n").cast("string")))), ";").alias("others"))
 
 
 @query(f"""WITH {ORDERS_SQL}, s AS (SELECT ev.entity_id, string_agg(ev.source, ',' ORDER BY seq) AS sources, count(*) AS n FROM ev JOIN m ON ev.entity_id = m.entity_id AND (m.value IS NULL OR ev.key = m.key) GROUP BY ALL)
@@ -370,17 +367,9 @@ def evidence_union(spark, sf_dir):
     return both.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("names"), F.count("*").alias("n"))
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A folder of its own below the shared one; a local one only where none is set and all runs on one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(shared or f'file://{tempfile.mkdtemp()}').rstrip('/')}/made-{uuid.uuid4().hex}"
-
-
 def one_file(df: DataFrame, kind: str) -> str:
     """The path of one file of that kind that Spark writes of df."""
-    spark, folder = df.sparkSession, new_folder(df.sparkSession)
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "made")
     getattr(df.coalesce(1).write.option("header", True) if kind == "csv" else df.coalesce(1).write, kind)(folder)
     return spark.read.format("binaryFile").load(folder).inputFiles()[0]
 
@@ -398,7 +387,7 @@ def batch_rows(spark, sf_dir):
 def csv_splits(spark, sf_dir):
     """Files of whole texts with line feeds and quotes, written by Spark and read in splits: every row has its number in its file."""
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 16).alias("k"), "doc_id", "text", F.concat("lang", F.lit(' "'), "source", F.lit('"')).alias("label"))
-    folder = new_folder(spark)
+    folder = new_folder(spark, "made")
     d.repartition(16, "k").sortWithinPartitions("k", "doc_id").write.partitionBy("k").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
     paths = spark.read.format("binaryFile").load(folder).inputFiles()
     cells = csv_facts_of(spark, paths).where("field_name is not null")
@@ -612,8 +601,9 @@ def project_provenance(spark, sf_dir):
 
 @query(f"""WITH {ORDERS_SQL} SELECT ev.entity_id, string_agg('current_title:' || ev.source || ':column:o_orderpriority', ';' ORDER BY seq) AS provenance FROM ev JOIN m ON ev.entity_id = m.entity_id AND (m.value IS NULL OR ev.key = m.key) GROUP BY ev.entity_id""")
 def provenance_zip(spark, sf_dir):
-    m = M.merge_single(order_evidence(spark, sf_dir))
-    return m.select("entity_id", flat(M.provenance(F.col("sources"), F.col("methods"), F.lit("current_title")), "field", "source", "method").alias("provenance"))
+    rows = provenance.provenance_rows(provenance.facts(order_evidence(spark, sf_dir)))
+    pair = F.struct("at", F.concat_ws(":", "field_name", "source", "method").alias("text"))
+    return rows.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["text"]), ";").alias("provenance"))
 
 
 SCHEMA = {"type": "object", "required": ["k", "name"], "properties": {"k": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}, "on": {"type": "number"}}}

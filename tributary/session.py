@@ -26,11 +26,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, written once to the folder of spark.checkpoint.dir and read from there by all that follows; as it is where none is set."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/fusion-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own, not yet made, below the one of spark.checkpoint.dir; below a local one only where none is set and all runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(shared or f'file://{tempfile.mkdtemp()}').rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once and read from there by all that follows."""
+    path = new_folder(df.sparkSession, "fusion")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the folder of spark.checkpoint.dir and read from there by all that follows; as it is where none is set."""
+    return stored(df) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
