@@ -1,15 +1,17 @@
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_engine import PROFILE, RECRUITER, RESUME, files  # noqa: F401
 from tributary.__main__ import main
 from tributary.plans import config as C
 from tributary.plans.compare import compare, key_difference
-from tributary.plans.engine import resolve, run
+from tributary.plans.engine import RunResult, resolve, run
 from tributary.plans.insights import with_insights
 from tributary.plans.service import answer, refused
-from tributary.sources.writers import envelope, write_json
+from tributary.sources.writers import envelope, read_run, write_json, write_run
 from tributary.streaming.evidence import value_counts
 
 
@@ -112,3 +114,44 @@ def test_touched_entities_are_resolved_again(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert got == [{"a": "X", "b": "Y"}, {"a": None}]
+
+
+def test_a_run_is_there_entirely_or_not_at_all(spark, tmp_path):
+    from tributary.operators.evidence import evidence
+
+    facts = spark.createDataFrame([("a", "full_name", "Ann\nBo"), ("a", "emails", "A@x.org"), ("b", "current_company", "X")], "e string, f string, v string")
+    result = resolve(evidence(facts, F.col("e"), F.col("f"), F.col("v"), F.lit("s"), F.lit("structured"), F.lit("m")))
+    folder = f"file://{tmp_path}/runs"
+    with pytest.raises(KeyError):
+        read_run(spark, folder, "one")
+    broken = RunResult(result.output, result.canonical, result.warnings.select("entity_id", "kind", F.raise_error(F.lit("killed")).cast("string").alias("message")), None, None, None)
+    with pytest.raises(Exception, match="killed"):
+        write_run(broken, folder, "one")
+    with pytest.raises(KeyError):  # what was written of it isn't seen
+        read_run(spark, folder, "one")
+    assert write_run(result, folder, "one") == "one"
+    before = sorted(p.name for p in (tmp_path / "runs").iterdir())
+    assert write_run(result, folder, "one") == "one" and sorted(p.name for p in (tmp_path / "runs").iterdir()) == before
+    back = read_run(spark, folder, "one")
+    for name in ("output", "warnings"):
+        got, want = getattr(back, name), getattr(result, name)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert {json.loads(r.profile)["entity_id"] for r in back.canonical.collect()} == {"a", "b"}
+
+
+def test_nothing_is_asked_twice(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def ask(text):
+        (asked / f"{text[1:4]}-{time.time_ns()}").write_text(text)
+        if "bad" in text:
+            raise RuntimeError("503")
+        return '{"summary": "s"}'
+
+    outputs = spark.createDataFrame([(i, t) for i, t in enumerate(['"x1"', '"x1"', '"x2"', '"bad"', None])], "entity_id long, output_json string").repartition(3)
+    memo = f"file://{tmp_path}/memo"
+    for n in (2 + 2, 2 + 2 + 2):  # two texts and two attempts; later only those that had no answer
+        got = {r.entity_id: (r.insights and r.insights.summary, r.insights_error) for r in with_insights(outputs, ask, memo, attempts=2).collect()}
+        assert got == {0: ("s", None), 1: ("s", None), 2: ("s", None), 3: (None, "All models are currently overloaded. Please try again later."), 4: (None, None)}
+        assert len(list(asked.iterdir())) == n

@@ -12,14 +12,16 @@ from tributary.functions import text as X
 from tributary.operators import evidence as E
 from tributary.operators import merge as M
 from tributary.operators import profile, provenance, sections
-from tributary.operators.enrich import enrich
+from tributary.operators.enrich import enrich, parse_education
 from tributary.plans import compare, config
-from tributary.plans.engine import discover, link_evidence, run
+from tributary.plans.engine import discover, link_evidence, resolve, run
+from tributary.plans.insights import with_insights
 from tributary.plans.projection import project, project_default
 from tributary.plans.validate import has_keys, json_errors
 from tributary.session import new_folder
 from tributary.sources.csv_splits import csv_facts_of
 from tributary.sources.readers import alias_column, facts, files, header_key_column, json_column, wide_table
+from tributary.sources.writers import envelope, read_run, write_run
 
 QUERIES, SQL = {}, {}
 
@@ -547,13 +549,17 @@ def name_line(spark, sf_dir):
 # -- profiles, projections -----------------------------------------------------------------------
 
 
-def customer_profiles(spark, sf_dir, name: Column | None = None, mailed: Column | None = None, skills: Column | None = None) -> DataFrame:
+def customer_evidence(spark, sf_dir, name: Column | None = None, mailed: Column | None = None, skills: Column | None = None) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     name, mailed = F.col("c_name") if name is None else name, F.lit(True) if mailed is None else mailed
     skills = F.when(F.col("c_custkey") % 4 == 0, "sql, py") if skills is None else skills
     digits = F.lpad(F.col("c_custkey").cast("string"), 10, "9")
     wide = c.select(F.col("c_custkey").cast("string").alias("key"), name.alias("name"), F.when((F.col("c_custkey") % 2 == 0) & mailed, F.concat("c_name", F.lit("@x.com"))).alias("email"), F.when(F.col("c_custkey") % 3 == 0, digits).alias("phone"), F.col("c_mktsegment").alias("role"), skills.alias("skills"))
-    return profile.canonical(E.normalized(wide_table(wide, F.col("key"), F.lit("c.csv"))))
+    return wide_table(wide, F.col("key"), F.lit("c.csv"))
+
+
+def customer_profiles(spark, sf_dir, **told: Column) -> DataFrame:
+    return profile.canonical(E.normalized(customer_evidence(spark, sf_dir, **told)))
 
 
 PROFILE_SQL = """p AS (SELECT c_custkey::VARCHAR AS entity_id, c_custkey % 2 = 0 AS m, c_custkey % 3 = 0 AS f, c_custkey % 4 = 0 AS s, c_name AS name, lower(c_name) || '@x.com' AS email, '+91' || lpad(c_custkey::VARCHAR, 10, '9') AS phone, c_mktsegment AS title FROM customer)"""
@@ -661,9 +667,58 @@ def run_difference(spark, sf_dir):
     k = F.col("c_custkey")
     name = F.when(k % 7 == 0, F.concat("c_name", F.lit(" Jr"))).otherwise(F.col("c_name"))
     skills = F.when((k % 4 == 0) & (k % 3 == 0), "py").when(k % 4 == 0, "sql, py").when(k % 11 == 0, "zither")
-    old, new = customer_profiles(spark, sf_dir), customer_profiles(spark, sf_dir, name, k % 5 != 0, skills)
+    old, new = customer_profiles(spark, sf_dir), customer_profiles(spark, sf_dir, name=name, mailed=k % 5 != 0, skills=skills)
     return compare.compare(project(old, PUBLIC), project(new, PUBLIC))
 
 
+LISTS = {"fields": [{"path": "full_name"}, {"path": "emails"}, {"path": "phones"}, {"path": "skills", "from": "skills[].name"}]}
+
+
+@query(f"""WITH {PROFILE_SQL} SELECT entity_id, '{{"full_name":"' || name || '","emails":[' || CASE WHEN m THEN '"' || email || '"' ELSE '' END || '],"phones":[' || CASE WHEN f THEN '"' || phone || '"' ELSE '' END || '],"skills":[' || CASE WHEN s THEN '"Python","SQL"' ELSE '' END || ']}}' AS output_json,
+'cand_' || substr(sha1(CASE WHEN m THEN 'email:' || email WHEN f THEN 'phone:' || phone ELSE 'name:' || lower(name) END), 1, 10) AS candidate_id, CASE WHEN m OR f OR s THEN '' ELSE 'incomplete' END AS warnings, 0::BIGINT AS n_errors FROM p""")
+def run_sinks(spark, sf_dir):
+    """A run of many entities, written whole, written again without effect, and read back."""
+    result, folder = resolve(customer_evidence(spark, sf_dir), LISTS), new_folder(spark, "runs")
+    for _ in range(2):
+        write_run(result, folder, "nightly")
+    back = read_run(spark, folder, "nightly")
+    warned = back.warnings.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("warnings"))
+    out = back.output.join(back.canonical, "entity_id").join(warned, "entity_id", "left")
+    return out.select("entity_id", "output_json", F.get_json_object("profile", "$.candidate_id").alias("candidate_id"), F.coalesce("warnings", F.lit("")).alias("warnings"), F.size("errors").cast("long").alias("n_errors"))
+
+
+@query(f"""WITH {PROFILE_SQL} SELECT entity_id, NULL AS output, 'projection: field ''years_of_experience'' (from ''years_of_experience'') is missing' AS errors, name, '' AS warnings FROM p""")
+def run_envelopes(spark, sf_dir):
+    """The answers of a run by a preset that no profile can satisfy."""
+    rows = envelope(resolve(customer_evidence(spark, sf_dir), config.load("strict_required")))
+    return rows.select("entity_id", "output", F.array_join("errors", ";").alias("errors"), F.get_json_object("canonical", "$.full_name.value").alias("name"), F.array_join(F.coalesce("warnings", F.array().cast("array<string>")), ";").alias("warnings"))
+
+
+@query("""SELECT n_nationkey, 'BSc in F' || n_nationkey || ' at ' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN ' (2001 - )' ELSE '' END || ';MA' AS education FROM nation""")
+def enrich_education(spark, sf_dir):
+    """Education lists of profiles, under all the names that their keys have; entries that say nothing go."""
+    k = F.col("n_nationkey")
+    pick = lambda a, b: F.when(k % 2 == 0, a).otherwise(b)
+    payload = F.concat(F.lit('{"education": [{"'), pick("schoolName", "university"), F.lit('": "'), "n_name", F.lit('", "'), pick("degreeName", "qualification"), F.lit('": "BSc", "'), pick("fieldOfStudy", "field"), F.lit('": "F'), k.cast("string"), F.lit('"'), pick(', "startDate": "2001"', ""), F.lit('}, {"school": ""}, {"degree": "MA"}, {}]}'))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.transform(parse_education(F.parse_json(payload)), lambda e: e["description"]), ";").alias("education"))
+
+
+@query("""WITH o AS (SELECT o_orderpriority || '/' || o_orderstatus AS text, o_orderkey FROM orders)
+SELECT o_orderkey, CASE WHEN text LIKE '%F' THEN NULL WHEN text LIKE '%O' THEN 'S ' || text END AS summary, CASE WHEN text LIKE '%F' THEN '' ELSE 'r1,r2' END AS roles,
+CASE WHEN text LIKE '1%F' THEN 'API quota exceeded across all fallback models.' WHEN text LIKE '2%F' THEN 'Invalid API key provided.' WHEN text LIKE '3%F' THEN 'All models are currently overloaded. Please try again later.' WHEN text LIKE '%F' THEN 'Model error: ' || text END AS error FROM o WHERE text NOT LIKE '%P' UNION ALL
+SELECT o_orderkey, 'S ' || text, 'r1,r2', NULL FROM o WHERE text LIKE '%P'""")
+def insight_answers(spark, sf_dir):
+    """Remarks on outputs by a function that fails for some, asked once for equal outputs."""
+
+    def ask(text: str) -> str:
+        if text.endswith("F"):
+            raise RuntimeError({"1": "Error 429: Quota", "2": "bad API_KEY", "3": "503"}.get(text[0], text))
+        return '```json\n{"recruiter_summary": "S ' + text + '", "recommended_roles": ["r1", "r2"]}\n```'
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("output_json"))
+    told = with_insights(o, ask)
+    return told.select("o_orderkey", F.col("insights.summary").alias("summary"), F.array_join(F.coalesce("insights.recommended_roles", F.array().cast("array<string>")), ",").alias("roles"), F.col("insights_error").alias("error"))
+
+
 #: The one that stands for all.
 FLAGSHIP = merge_single_plurality
