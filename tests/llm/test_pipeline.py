@@ -2,6 +2,7 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tests.llm.test_mixing_quality_licences import slow_counts
@@ -43,6 +44,19 @@ def test_stages(spark):
     assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
 
 
+@pytest.mark.parametrize("number", [0, 2])
+def test_columns_of_any_name(spark, number):
+    """A column that is called as one of an operator's own stays as it is."""
+    docs = table(spark, DIR, "documents")
+    names = ["_keep_id", "_keep_row", "_near_d", "_near_r", "_near_doc", "_near_row", "mine", "my_id", "my_hash", "row", "id", "hash", "of", "root", "name", "kept", "stratum", "rest"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    stage = P.STAGES[number][1]
+    got = stage(spark, wide, DIR)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, DIR).collect()} and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names)
+
+
 def test_run(spark):
     got = P.run(spark, DIR)
     assert got.count() > 0 and "sequence_id" in got.columns

@@ -212,12 +212,12 @@ def one_of_each(docs: DataFrame, near: Near = Near(), doc_id: str = "doc_id", te
 
     Groups are components of links among texts, so rows that share an id, or have none, are told apart by what they say; of equal rows one stays.
     Texts without words, nulls among them, are one group. A text of any length is read whole, a block of its shingles at a time. No rows, no result.
-    Other columns stay as they are, but for those named _near_d and _near_r.
+    Other columns stay as they are, whatever their names.
     """
     found = durable(buckets(docs, near, doc_id, text))
     roots = near_links(docs, found, near, text)
     named = found.join(roots, F.col("name") == F.col("node"), "left").select("doc_id", "row", F.coalesce("root", "name").alias("root"))
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")).select(F.col("f.doc_id").alias("_near_doc"), F.col("f.row").alias("_near_row"))
-    mine = docs.withColumns({"_near_d": F.col(doc_id).cast("long"), "_near_r": F.xxhash64(text)})
-    stay = mine.join(first, F.col("_near_d").eqNullSafe(F.col("_near_doc")) & (F.col("_near_r") == F.col("_near_row")), "left_semi")
-    return stay.dropDuplicates(["_near_d", "_near_r"]).select(*docs.columns)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")).select("f.doc_id", "f.row")
+    mine = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("mine"), F.col(doc_id).cast("long").alias("my_id"), F.xxhash64(text).alias("my_hash"))
+    stay = mine.join(first, F.col("my_id").eqNullSafe(F.col("doc_id")) & (F.col("my_hash") == F.col("row")), "left_semi")
+    return stay.dropDuplicates(["my_id", "my_hash"]).select(*[F.col("mine")[c].alias(c) for c in docs.columns])

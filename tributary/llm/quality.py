@@ -242,7 +242,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str =
 
 
 def keep_rows(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """docs without the rows that judge() rejects, each by its own verdict: a row is known by id, text and stratum, whether its id is null or shared by others. Other columns stay, but none may begin with _keep."""
-    kept = verdicts(docs, labels, risk, doc_id, text, stratum).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("row").alias("_keep_row"), F.col("stratum").alias("_keep_stratum")).distinct()
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(text) == F.col("_keep_row")) & stratum_of(stratum).eqNullSafe(F.col("_keep_stratum"))
-    return docs.join(kept, same, "left_semi")
+    """docs without the rows that judge() rejects, each by its own verdict: a row is known by id, text and stratum, whether its id is null or shared by others. Other columns stay, whatever their names."""
+    kept = verdicts(docs, labels, risk, doc_id, text, stratum).where("kept").select(F.col("doc_id").alias("id"), F.col("row").alias("hash"), F.col("stratum").alias("of")).distinct()
+    mine = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("mine"), F.col(doc_id).cast("long").alias("my_id"), F.xxhash64(text).alias("my_hash"), stratum_of(stratum).alias("my_of"))
+    same = F.col("my_id").eqNullSafe(F.col("id")) & (F.col("my_hash") == F.col("hash")) & F.col("my_of").eqNullSafe(F.col("of"))
+    return mine.join(kept, same, "left_semi").select(*[F.col("mine")[c].alias(c) for c in docs.columns])
