@@ -20,6 +20,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
+        "Released under the MIT License, see LICENSE for details.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
     "ISC": (
@@ -37,10 +38,36 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+    "BSD-3-Clause": (
+        "Released under the BSD 3-Clause License.",
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.',
+    ),
+    "GPL-2.0": (
+        "Licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    "LGPL-2.1": (
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0 Universal.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: The tag that names a licence, for each of them.
+TAG = "SPDX-License-Identifier: {}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEAST = 0.8
+#: A bound on sizes gives way by so much, so that rounding shuts out nothing that reaches least.
+LEAST, TINY = 0.8, 1e-9
+#: Words before the number of a licence's version.
+NUMBERED = ("version", "v", "license", "gpl", "lgpl", "agpl", "mpl", "epl", "apache", "by", "nc", "sa", "attribution", "noncommercial", "sharealike", "cc0", "bsd")
 
 
 def bigrams_of(text: str) -> list[str]:
@@ -49,8 +76,36 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+#: Words that any text may have, so that they tell nothing.
+COMMON = frozenset("a all an and any are as at available be but by can express following for from has have if implied in include included including is it its made materials may must name names no nor not of on or other part program public see shall should that the their then these this to use used version was which will with within without work you your under".split())
+
+
 def templates() -> list[tuple[str, list[str]]]:
-    return [(name, bigrams_of(t)) for name, texts in TEMPLATES.items() for t in texts]
+    return [(name, bigrams_of(t)) for name, texts in TEMPLATES.items() for t in (*texts, TAG.format(name))]
+
+
+def versions_of(grams: list[str]) -> list[tuple[str, str]]:
+    """The bigrams of a template that state its version, each behind its first word and the space. A text that has the word with other numbers alone states another version."""
+    pairs = [g.split(" ") for g in grams]
+    return [(f"{a} ", f"{a} {b}") for a, b in pairs if b.isdigit() and (a in NUMBERED or a.isdigit())]
+
+
+def telling_words(known: list[tuple[str, list[str]]], least: float) -> list[str]:
+    """Words without which no text reaches a template: what is left of any template without their bigrams is less than the share of it that is needed."""
+    chosen: list[str] = []
+    for _, grams in known:
+        rest = [set(g.split(" ")) for g in grams if not set(g.split(" ")) & set(chosen)]
+        while rest and len(rest) * (2 - least) >= len(grams) * least - TINY:
+            words = sorted(set().union(*rest))
+            words = [w for w in words if w not in COMMON and not w.isdigit()] or words
+            chosen.append(max(words, key=lambda w: (sum(w in r for r in rest), len(w))))
+            rest = [r for r in rest if chosen[-1] not in r]
+    return chosen
+
+
+def contradicted(grams: Column, t: Column) -> Column:
+    """Whether bigrams state another version than a template, and not its own."""
+    return F.exists(t["versions"], lambda v: ~F.array_contains(grams, v["gram"]) & F.exists(grams, lambda g: F.startswith(g, v["word"]) & F.rlike(g, F.lit(" [0-9]+$"))))
 
 
 def words(text: Column) -> Column:
@@ -82,9 +137,9 @@ def runs(lines: Column, taken: Column, todo: Column, least: float) -> Column:
 
             def grown(state: Column, row: Column) -> Column:
                 new = F.array_union(state["grams"], bigrams(F.concat(state["last"], row["w"])))
-                over = state["over"] | row["taken"] | (F.size(new) * least > t["n"] * (2 - least))
+                over = state["over"] | row["taken"] | (F.size(new) * least > t["n"] * (2 - least) + TINY)
                 now = F.struct((F.lit(2.0) * F.size(F.array_intersect(new, t["grams"])) / (F.size(new) + t["n"])).alias("dice"), (state["at"] + 1).alias("j"))
-                best = F.when(over | (state["at"] == 0), state["best"]).when(now["dice"] > state["best"]["dice"], now).otherwise(state["best"])
+                best = F.when(over | (state["at"] == 0), state["best"]).when((now["dice"] >= least) & (now["dice"] > state["best"]["dice"]) & ~contradicted(new, t), now).otherwise(state["best"])
                 going = F.struct(new.alias("grams"), F.slice(row["w"], -1, 1).alias("last"), over.alias("over"), (state["at"] + 1).alias("at"), best.alias("best"))
                 return F.when(state["over"], state).otherwise(going)
 
@@ -104,28 +159,34 @@ def runs(lines: Column, taken: Column, todo: Column, least: float) -> Column:
 def scan(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row of docs: doc_id, n_notices (lines that match a template), licences (their names, sorted), best and dice (the name of the largest coefficient, the first by name among equals, and the coefficient; null and 0 if nothing reaches least).
 
-    The text as a whole can match too, and runs of lines, so a licence over many lines is found wherever it stands; n_notices counts single lines alone. Null and empty texts match nothing.
+    A template is no match for a text that states another version than it, and not its own. The text as a whole can match too, and runs of lines, so a licence over many lines is found wherever it stands; n_notices counts single lines alone. Null and empty texts match nothing.
     Equal rows give equal rows; no rows, no result; other columns are not read. Nothing is shuffled: the templates are constants of the plan.
     """
     known = templates()
-    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in known])
-    units = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat(F.array(F.coalesce(text, F.lit(""))), F.split(F.coalesce(text, F.lit("")), "\n")).alias("units"))
-    low, high = min(len(g) for _, g in known) * least / (2 - least), max(len(g) for _, g in known) * (2 - least) / least
+    version = lambda v: F.struct(F.lit(v[0]).alias("word"), F.lit(v[1]).alias("gram"))
+    versions = lambda grams: F.array(*map(version, versions_of(grams))).cast("array<struct<word:string,gram:string>>")
+    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams"), versions(grams).alias("versions")) for name, grams in known])
+    telling = telling_words(known, least)
+    starts = "|".join(f"{c}(?:{'|'.join(sorted(w[1:] for w in telling if w[0] == c))})" for c in sorted({w[0] for w in telling}))
+    tells = F.rlike(text, F.lit(rf"(?i)(?<![A-Za-z0-9])(?:{starts})(?![A-Za-z0-9])"))
+    said = F.when(tells, F.col(text)).otherwise("")  # others match nothing
+    units = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat(F.array(said), F.split(said, "\n")).alias("units"))
+    low, high = min(len(g) for _, g in known) * least / (2 - least) - TINY, max(len(g) for _, g in known) * (2 - least) / least + TINY
 
     def best(grams: Column) -> Column:
         n = F.size(grams)
-        fits = F.filter(names, lambda t: (n * (2 - least) >= t["n"] * least) & (t["n"] * (2 - least) >= n * least))
-        scored = F.transform(fits, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (n + t["n"])).alias("dice"), t["name"].alias("name")))
-        return F.array_max(F.transform(F.filter(scored, lambda x: x["dice"] >= least), lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name"))))
+        fits = F.filter(names, lambda t: (n * (2 - least) >= t["n"] * least - TINY) & (t["n"] * (2 - least) >= n * least - TINY))
+        scored = F.transform(fits, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (n + t["n"])).alias("dice"), t["name"].alias("name"), t.alias("t")))
+        return F.array_max(F.transform(F.filter(scored, lambda x: (x["dice"] >= least) & ~contradicted(grams, x["t"])), lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name"))))
 
     every = sorted({g for _, grams in known for g in grams})
     none = F.array().cast("array<struct<dice:double,name:string>>")
     cut = units.select("doc_id", F.transform("units", words).alias("words"))
-    sets = cut.select("doc_id", "words", F.transform("words", lambda w: F.when(F.size(w) > low, bigrams(w))).alias("sets"))
+    sets = cut.select("doc_id", "words", F.transform("words", lambda w: F.when((F.size(w) > low) & F.arrays_overlap(w, F.array(*map(F.lit, telling))), bigrams(w))).alias("sets"))
     found = sets.select("doc_id", "words", F.array_intersect(F.coalesce(F.get("sets", 0), F.array().cast("array<string>")), F.array(*map(F.lit, every))).alias("said"), F.transform("sets", lambda s: F.when((F.size(s) >= low) & (F.size(s) <= high), best(s))).alias("found"))
     # A run that matches a template has so many of its bigrams, and so has the text.
-    todo = F.filter(names, lambda t: (F.size(F.array_intersect("said", t["grams"])) * (2 - least) >= t["n"] * least) & ~F.exists("found", lambda x: F.coalesce(x["name"] == t["name"], F.lit(False))))
-    some = F.get("found", 0).isNull() & (F.size("words") > 2) & (F.size("said") * (2 - least) >= min(len(g) for _, g in known) * least)
+    todo = F.filter(names, lambda t: (F.size(F.array_intersect("said", t["grams"])) * (2 - least) >= t["n"] * least - TINY) & ~F.exists("found", lambda x: F.coalesce(x["name"] == t["name"], F.lit(False))))
+    some = F.get("found", 0).isNull() & (F.size("words") > 2) & (F.size("said") * (2 - least) >= min(len(g) for _, g in known) * least - TINY)
     found = found.select("doc_id", "words", "found", F.when(some, todo).alias("todo"))
     rest = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1)))
     found = found.select("doc_id", "found", F.when(F.size("todo") > 0, runs(rest("words"), F.transform(rest("found"), lambda x: x.isNotNull()), F.col("todo"), least)).otherwise(none).alias("runs"))
@@ -139,9 +200,10 @@ def scan(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: st
 def oracle(least: float = LEAST) -> str:
     """The same in DuckDB's SQL."""
     grams = lambda g: "[" + ", ".join(f"'{x}'" for x in g) + "]"
-    values = ",\n".join(f"('{name}', {len(g)}, {grams(g)})" for name, g in templates())
+    versions = lambda g: "[" + ", ".join(f"{{'word': '{w}', 'gram': '{x}'}}" for w, x in versions_of(g)) + "]" + ("" if versions_of(g) else "::STRUCT(word VARCHAR, gram VARCHAR)[]")
+    values = ",\n".join(f"('{name}', {len(g)}, {grams(g)}, {versions(g)})" for name, g in templates())
     return rf"""
-WITH template(name, n, grams) AS (VALUES {values}),
+WITH template(name, n, grams, versions) AS (VALUES {values}),
 units AS (
   SELECT doc_id, rowid AS r, unnest(list_concat([coalesce(text, '')], string_split(coalesce(text, ''), chr(10)))) AS unit,
          generate_subscripts(list_concat([coalesce(text, '')], string_split(coalesce(text, ''), chr(10))), 1) AS k
@@ -151,10 +213,11 @@ cut AS (
 sets AS (
   SELECT doc_id, r, k, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM cut),
 scored AS (
-  SELECT r, k, name, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + n) AS dice
-  FROM sets JOIN template ON len(g) * {2 - least} >= n * {least} AND n * {2 - least} >= len(g) * {least}),
+  SELECT r, k, name, g, versions, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + n) AS dice
+  FROM sets JOIN template ON len(g) * {2 - least} >= n * {least} - {TINY} AND n * {2 - least} >= len(g) * {least} - {TINY}),
 found AS (
-  SELECT r, k, max(dice) AS dice, arg_max(name, (dice, name)) AS name FROM scored WHERE dice >= {least} GROUP BY r, k),
+  SELECT r, k, max(dice) AS dice, arg_max(name, (dice, name)) AS name FROM scored WHERE dice >= {least}
+  AND len(list_filter(versions, lambda v: NOT list_contains(g, v.gram) AND len(list_filter(g, lambda x: starts_with(x, v.word) AND regexp_matches(x, ' [0-9]+$'))) > 0)) = 0 GROUP BY r, k),
 best AS (
   SELECT r, count(*) FILTER (k > 1) AS n_notices, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, max(dice) AS dice, min(name) FILTER (dice = top) AS best
   FROM (SELECT *, max(dice) OVER (PARTITION BY r) AS top FROM found) GROUP BY r)
