@@ -1,3 +1,6 @@
+import sys
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +61,15 @@ def test_source_rank(spark):
     ids = ["Resume.pdf", "my resume", "x_linkedin_apify", "github_apify", "a.json", "a.csv#row3", "a.txt", "other"]
     assert values(spark, ids, lambda v: C.source_rank(v, F.lit(2))) == [0, 0, 1, 2, 3, 4, 5, 12]
     assert values(spark, ["a.csv#row3"], lambda v: C.source_rank(v, F.lit(2), compat=True)) == [12]
+
+
+def test_case_folding_is_pythons(spark):
+    """On every code point that Python's Unicode data knows, alone, among letters and at a word's end; the JVM may know newer ones."""
+    known = [c for c in map(chr, range(1, sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cn", "Cs")]
+    df = spark.createDataFrame([(c,) for c in known], "c string")
+    made = df.select("c", X.casefold(F.col("c")).alias("a"), X.casefold(F.concat(F.lit("A"), "c", F.lit("Sß"))).alias("b"), X.casefold(F.concat(F.lit("Σ"), "c")).alias("d")).collect()
+    assert [r["c"] for r in made if (r["a"], r["b"], r["d"]) != (r["c"].casefold(), f"A{r['c']}Sß".casefold(), f"Σ{r['c']}".casefold())] == []
+
+
+def test_keys(spark):
+    assert values(spark, ["  Straße  ﬁn ", "STRASSE FIN", "ΟΔΟΣ", "οδος", "ŉ", "", None], X.key_of) == ["strasse fin", "strasse fin", "οδοσ", "οδοσ", "ʼn", "", None]

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from tributary.operators import evidence as E
 from tributary.operators import merge as M
+from tributary.operators import policies as Q
 from tributary.operators import provenance as P
+from tributary.operators.profile import canonical
+from tributary.functions import dicts as D
 
 
 def rows(spark, field, *facts):
@@ -130,3 +133,36 @@ def test_numbers_of_a_hot_group(spark):
     df = spark.range(20_000).select(F.when(F.col("id") < 15_000, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.xxhash64("id").alias("x"))
     rows = P.numbered(df, ["k"], ["x"])
     assert [r.number for r in rows.where("k = 'hot'").orderBy("x").collect()] == list(range(15_000)) and rows.where("k <> 'hot' and number > 0").count() == 0
+
+
+def by_policy(spark, policy, *facts):
+    found = Q.merge_by(rows(spark, "current_title", *facts), {"current_title": policy}).collect()
+    return [(r["value"], r["confidence"], r["n_values"]) for r in found]
+
+
+def test_weighted_plurality(spark):
+    weak, strong = "unstructured", "structured"
+    assert by_policy(spark, Q.weighted_plurality(), ("a", "x", weak), ("b", "y", strong)) == [("b", 0.65 / 1.15, 2)]
+    assert by_policy(spark, Q.weighted_plurality(), ("a", "x", weak), ("B", "y", strong), ("A ", "z", weak)) == [("a", 1.0 / 1.65, 2)]
+    assert by_policy(spark, Q.weighted_plurality(), ("b", "x"), ("a", "y")) == [("b", 0.5, 2)]  # said first
+    assert by_policy(spark, Q.weighted_plurality(F.lit(0)), ("b", "x")) == [("b", 0.0, 1)]
+    assert by_policy(spark, Q.weighted_plurality(), (None, "x"), (" ", "y")) == []
+
+
+def test_latest(spark):
+    assert by_policy(spark, Q.latest(), ("a", "x", "structured"), ("b", "y"), ("A", "z", "unstructured")) == [("A", 0.5, 2)]
+    assert by_policy(spark, Q.latest(-F.col("ev_seq")), ("a", "x", "structured"), ("b", "y")) == [("a", 0.65, 2)]
+    assert by_policy(spark, Q.latest(), ("a", "x"), ("a", "x")) == [("a", 0.65, 1)]
+
+
+def test_policy_without_partial(spark):
+    most = Q.Policy(lambda p: F.max(p["key"]), lambda p: F.max(p["weight"]), {}, key=lambda v: F.substring(v, 1, 1))
+    assert by_policy(spark, most, ("ab", "x"), ("ac", "y"), ("b", "z")) == [("b", 0.65, 2)]
+
+
+def test_profile_by_own_policies(spark):
+    ev = rows(spark, "current_title", ("a", "x", "unstructured"), ("b", "y"), ("c", "z", "unstructured")).unionByName(rows(spark, "team", ("u", "x"), ("v", "y")))
+    title = canonical(ev, policies=D.POLICIES | {"current_title": Q.weighted_plurality(), "team": Q.latest()}).first().asDict(True)
+    assert title["team"]["value"] == "v" and title["full_name"]["value"] is None
+    title = title["current_title"]
+    assert (title["value"], title["conflict"], title["sources"], title["conflicting_values"]) == ("b", True, ["x", "y", "z"], {"a": ["a"], "c": ["c"]})

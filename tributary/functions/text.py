@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,9 +118,34 @@ def normalize_skill(v: Column) -> Column:
     return canonical_skill(v)["name"]
 
 
+#: Lower case letters that case folding changes nevertheless, by Python's own Unicode data: final sigma, long s, ligatures, letters with iota below, Cherokee.
+#: ß isn't among them, as it is common and goes its own way.
+FOLDS = {c: c.casefold() for c in map(chr, range(128, sys.maxunicode + 1)) if c != "ß" and c.casefold() != c and c.lower() == c}
+
+
+def _ranges(letters) -> str:
+    """A pattern's class of these letters alone."""
+    out = []
+    for c in sorted(map(ord, letters)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+def casefold(v: Column) -> Column:
+    """Full case folding, as str.casefold has it: letters may become several. Texts without letters of FOLDS, nearly all, cost a look for these."""
+    one = {c: f for c, f in FOLDS.items() if len(f) == 1}
+    more = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in FOLDS.items() if len(f) > 1])
+    full = lambda s: F.aggregate(more, F.translate(s, "".join(one), "".join(one.values())), lambda t, x: F.replace(t, x["c"], x["f"]))
+    special = rf"[\x{{80}}-\x{{10ffff}}&&{_ranges(FOLDS)}]"
+    return let(F.replace(F.lower(v), F.lit("ß"), F.lit("ss")), lambda s: F.when(F.rlike(s, F.lit(special)), full(s)).otherwise(s))
+
+
 def key_of(v: Column) -> Column:
-    """What values are compared by: case folded as far as lower case and ss for sharp s go."""
-    return F.replace(F.lower(collapse(v)), F.lit("ß"), F.lit("ss"))
+    """What values are compared by: white space collapsed, case folded."""
+    return casefold(collapse(v))
 
 
 #: Of each field that isn't plain text; more can be added.

@@ -10,6 +10,7 @@ from tributary.functions import dicts as D
 from tributary.functions.confidence import entity_hash, tier
 from tributary.operators import merge as M
 from tributary.operators.evidence import accepted
+from tributary.operators.policies import Policy, merged_fields
 
 EXPERIENCE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("company", "title", "start", "end", "summary")]))
 EDUCATION = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("school", "degree", "field", "start", "end", "description")]))
@@ -30,17 +31,19 @@ def _list(payload: Column, schema: T.ArrayType) -> Column:
 
 
 #: The slot of a policy's result.
-SLOTS = {"single": "f", "multi": "i", "skills": "s", "first_source": "p", "map_priority": "m", "map_first": "m"}
+SLOTS = {"single": "f", "own": "f", "multi": "i", "skills": "s", "first_source": "p", "map_priority": "m", "map_first": "m"}
 
 
-def canonical(ev: DataFrame, entities: DataFrame | None = None, distinct_sources: bool = False, policies: dict[str, str] = D.POLICIES) -> DataFrame:
+def canonical(ev: DataFrame, entities: DataFrame | None = None, distinct_sources: bool = False, policies: dict[str, str | Policy] = D.POLICIES) -> DataFrame:
     """A profile for each entity of normalized evidence; entities (entity_id): those that must have one even without.
 
-    policies: what each field is merged by, a word of SLOTS; those of D.POLICIES may be changed only within their slot, others may be added.
+    policies: what each field is merged by, a word of SLOTS or a Policy, which stands where "single" does; those of D.POLICIES may be changed only within their slot, others may be added.
 
     The evidence is read for values, for payloads and for maps; each reading groups by (entity, field, key) and by (entity, field).
     All results are then grouped by entity once.
     """
+    own = {f: p for f, p in policies.items() if isinstance(p, Policy)}
+    policies = {f: "own" if f in own else p for f, p in policies.items()}
     if wrong := {f: p for f, p in policies.items() if p not in SLOTS} or {f: p for f, p in D.POLICIES.items() if SLOTS.get(policies.get(f)) != SLOTS[p]}:
         raise ValueError(f"no such policies: {wrong}")
     of = lambda policy: [f for f, p in policies.items() if p == policy]
@@ -56,6 +59,8 @@ def canonical(ev: DataFrame, entities: DataFrame | None = None, distinct_sources
         part(M.first_source(ev.where(field.isin(*of("first_source"))), keep_all=True), field, p="payload"),
         part(M.merge_maps(ev.where(field.isin(*of("map_priority"), *of("map_first"))), of("map_priority")), field, m="entries"),
     ]
+    if own:
+        parts.append(part(merged_fields(ev, own), field, f="single"))
     if entities is not None:
         parts.append(part(entities.select("entity_id").distinct(), F.lit("")))
     long = parts[0]

@@ -13,6 +13,7 @@ from tributary.operators import evidence as E
 from tributary.operators import merge as M
 from tributary.operators import profile, provenance, sections
 from tributary.operators.enrich import enrich, parse_education
+from tributary.operators.policies import latest, merge_by, weighted_plurality
 from tributary.plans import compare, config
 from tributary.plans.engine import discover, link_evidence, resolve, run
 from tributary.plans.insights import with_insights
@@ -468,6 +469,18 @@ def merge_policies(spark, sf_dir):
     return p.select("entity_id", F.col("priority.value").alias("best"), F.size("state").cast("long").alias("n"))
 
 
+@query(f"""WITH {ORDERS_SQL}, d AS (SELECT entity_id, key, sum(w::DECIMAL(18,6)) AS score, min(seq) AS first FROM ev GROUP BY ALL), t AS (SELECT o_custkey::VARCHAR AS entity_id, o_orderstatus, o_orderkey, {WEIGHT_SQL.format("CASE o_orderstatus WHEN 'F' THEN 'structured' WHEN 'O' THEN 'semistructured' ELSE 'unstructured' END")} AS w FROM orders)
+SELECT d.entity_id, 'current_title' AS field_name, upper(arg_min(d.key, (-d.score, d.first))) AS value, max(d.score)::DOUBLE / sum(d.score)::DOUBLE AS confidence, count(*)::BIGINT AS n_values FROM d GROUP BY d.entity_id UNION ALL
+SELECT entity_id, 'manager_name', arg_max(o_orderstatus, o_orderkey), arg_max(w, o_orderkey), count(DISTINCT o_orderstatus)::BIGINT FROM t GROUP BY entity_id""")
+def own_policies(spark, sf_dir):
+    """A customer's priority by weighted plurality and state by the latest order: two policies that a caller brings, in the groupings of one."""
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "structured").when(F.col("o_orderstatus") == "O", "semistructured").otherwise("unstructured")
+    states = E.normalized(E.evidence(o, F.col("o_custkey"), F.lit("manager_name"), F.col("o_orderstatus"), F.lit("orders"), kind, F.lit("column:o_orderstatus"), ev_seq=F.col("o_orderkey")))
+    out = merge_by(E.union(order_evidence(spark, sf_dir), states), {"current_title": weighted_plurality(), "manager_name": latest()})
+    return out.select("entity_id", "field_name", F.upper("value").alias("value"), "confidence", "n_values")
+
+
 @query("""SELECT c_custkey, '+1' || lpad(c_custkey::VARCHAR, 10, '2') AS phone FROM customer""")
 def norm_phone_country(spark, sf_dir):
     phone = X.normalize(F.lit("phones"), F.lpad(F.col("c_custkey").cast("string"), 10, "2"), X.normalizers("1"))
