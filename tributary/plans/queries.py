@@ -21,6 +21,7 @@ from tributary.plans.projection import project, project_default
 from tributary.plans.validate import has_keys, json_errors
 from tributary.session import new_folder
 from tributary.sources.csv_splits import csv_facts_of
+from tributary.sources.datasource import register
 from tributary.sources.readers import alias_column, facts, files, header_key_column, json_column, wide_table
 from tributary.sources.writers import envelope, read_run, write_run
 
@@ -399,6 +400,21 @@ def csv_splits(spark, sf_dir):
     return cells.groupBy(names.alias("file"), "row").agg(one("doc_id").alias("doc_id"), F.md5(one("text")).alias("said"), one("label").alias("label"))
 
 
+@query(r"""SELECT 'k' || doc_id % 64 AS file, row_number() OVER (PARTITION BY doc_id % 64 ORDER BY doc_id)::INTEGER AS row, doc_id::VARCHAR AS doc_id, md5(nullif(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '')) AS said, NULL AS error FROM documents
+UNION ALL SELECT 'none', 0, NULL, NULL, 'file not found'""")
+def source_scan(spark, sf_dir):
+    """Whole texts in CSV files, written by Spark and read back through the data source; a file that isn't there is a row that says so."""
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 64).alias("k"), "doc_id", "text")
+    folder = new_folder(spark, "made")
+    d.repartition(64, "k").sortWithinPartitions("k", "doc_id").write.partitionBy("k").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+    paths = spark.read.format("binaryFile").load(folder).inputFiles()
+    register(spark)
+    cells = spark.read.format("tributary").load([*paths, f"{folder}/none.json"])
+    names = F.get(F.array(*[F.lit("k" + p.split("/k=")[1].split("/")[0]) for p in paths], F.lit("none")), F.col("source_seq"))
+    one = lambda key: F.max(F.when(F.col("key") == key, F.col("raw_value")))
+    return cells.where("field_name is not null or not ok").groupBy(names.alias("file"), "row").agg(one("doc_id").alias("doc_id"), F.md5(one("text")).alias("said"), F.max("error").alias("error"))
+
+
 @query("""SELECT r_name AS full_name, 'T' AS title, 'a@x.org,r0@x.org' AS emails, 'SQL:0.8;Python:0.6' AS skills, 0.9::DOUBLE AS overall, 'https://linkedin.com/in/r0' AS linkedin, true AS ok FROM region WHERE r_regionkey = 0""")
 def files_of_one_entity(spark, sf_dir):
     """A CSV file of one row, a JSON file and a text file are about one entity."""

@@ -12,8 +12,8 @@ import json
 import os
 import re
 import sys
-from collections.abc import Callable, Iterator
-from urllib.parse import unquote
+from collections.abc import Callable, Iterator, Mapping
+from urllib.parse import quote, unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,8 +156,7 @@ def _listed(spark: SparkSession, paths: list[str], scan: DataFrame | None) -> tu
     rows = []
     for i, path in enumerate(paths):
         name = path.rstrip("/").rsplit("/", 1)[-1]
-        ext = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
-        rows.append((i, name, ext, plain_path(path), None if plain_path(path) in found else "file not found"))
+        rows.append((i, name, extension(name), plain_path(path), None if plain_path(path) in found else "file not found"))
     return spark.createDataFrame(rows, "source_seq int, source_id string, ext string, key string, error string"), found
 
 
@@ -184,6 +183,38 @@ def files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return full.union(empty).union(none)
 
 
+def extension(name: str) -> str:
+    return "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
+
+
+def filesystem(path: str):
+    """The file system of a path or URI, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else fs.FileSystem.from_uri(f"file://{quote(plain_path(path))}")
+
+
+def file_facts(readers: Mapping, seq: int, name: str, ext: str, data: bytes | None, error: str | None) -> list[tuple]:
+    """FACT rows of a file, and one without a field that says how it went."""
+    kind, read = readers.get(ext, ("unknown", None))
+    rows, warnings = [], []
+    if error is None and read is None:
+        error = f"unsupported file type '{ext}'"
+    if error is None:
+        try:
+            rows = list(read(name, data))
+        except ValueError as e:
+            error = str(e)
+        except Exception as e:  # noqa: BLE001  one bad file is no reason to fail
+            error, kind = f"unexpected error: {e}", "unknown"
+    n = max((r[0] for r in rows), default=0)
+    if n > 1:
+        warnings.append(f"CSV contains {n} rows; batch mode enabled.")
+    out = [(seq, i, r[0], r[1], r[2], r[3], f"{name}#row{r[0]}" if r[0] else name, kind, r[4], True, None, None) for i, r in enumerate(rows)]
+    out.append((seq, -1, n, None, None, None, name, kind, None, error is None, error, warnings))
+    return out
+
+
 def facts(found: DataFrame) -> DataFrame:
     """The facts of tabular and JSON files, and a row without a field for each file that says how it went."""
     readers = dict(READERS)
@@ -194,23 +225,7 @@ def facts(found: DataFrame) -> DataFrame:
         columns = [x.split()[0] for x in FACT.split(", ")]
         for batch in batches:
             for seq, name, ext, data, error in zip(batch["source_seq"], batch["source_id"], batch["ext"], batch["content"], batch["error"]):
-                kind, read = readers.get(ext, ("unknown", None))
-                rows, warnings = [], []
-                if error is None and read is None:
-                    error = f"unsupported file type '{ext}'"
-                if error is None:
-                    try:
-                        rows = list(read(name, data))
-                    except ValueError as e:
-                        error = str(e)
-                    except Exception as e:  # noqa: BLE001  one bad file is no reason to fail
-                        error, kind = f"unexpected error: {e}", "unknown"
-                n = max((r[0] for r in rows), default=0)
-                if n > 1:
-                    warnings.append(f"CSV contains {n} rows; batch mode enabled.")
-                out = [(seq, i, r[0], r[1], r[2], r[3], f"{name}#row{r[0]}" if r[0] else name, kind, r[4], True, None, None) for i, r in enumerate(rows)]
-                out.append((seq, -1, n, None, None, None, name, kind, None, error is None, error, warnings))
-                yield pd.DataFrame(out, columns=columns)
+                yield pd.DataFrame(file_facts(readers, seq, name, ext, data, error), columns=columns)
 
     ship(found.sparkSession)
     return found.where(~F.col("ext").isin(*DOCUMENTS)).mapInPandas(parse, FACT)
@@ -226,6 +241,17 @@ def to_sources(rows: DataFrame, entity_id: Column) -> DataFrame:
     return rows.where("field_name is null").select(entity_id.alias("entity_id"), "source_seq", "source_id", "source_type", "ok", "error", "warnings")
 
 
+def document_text(ext: str, data: bytes | None, error: str | None, extract: Callable[[bytes], str]) -> tuple[str | None, str | None]:
+    """(text, error) of a document."""
+    if error is not None:
+        return None, error
+    try:
+        text = extract(data) if ext == ".pdf" else data.decode("utf-8", "replace")
+    except Exception as e:  # noqa: BLE001
+        return None, f"could not read PDF: {e}"
+    return (text, None) if text and text.strip() else (None, "PDF produced no extractable text (likely scanned/image-only)")
+
+
 def document_texts(found: DataFrame, extract: Callable[[bytes], str] | None = None) -> DataFrame:
     """(source_seq, source_id, text, error) of documents; extract makes text of a PDF's bytes, pdf_text() unless another is given."""
     extract = extract or pdf_text
@@ -234,18 +260,8 @@ def document_texts(found: DataFrame, extract: Callable[[bytes], str] | None = No
         import pandas as pd
 
         for batch in batches:
-            out = []
-            for seq, name, ext, data, error in zip(batch["source_seq"], batch["source_id"], batch["ext"], batch["content"], batch["error"]):
-                text = None
-                read = extract if ext == ".pdf" else lambda b: b.decode("utf-8", "replace")
-                if error is None:
-                    try:
-                        text = read(data)
-                        error = None if text and text.strip() else "PDF produced no extractable text (likely scanned/image-only)"
-                    except Exception as e:  # noqa: BLE001
-                        error = f"could not read PDF: {e}"
-                out.append((seq, name, text if error is None else None, error))
-            yield pd.DataFrame(out, columns=["source_seq", "source_id", "text", "error"])
+            rows = zip(batch["source_seq"], batch["source_id"], batch["ext"], batch["content"], batch["error"])
+            yield pd.DataFrame([(seq, name, *document_text(ext, data, error, extract)) for seq, name, ext, data, error in rows], columns=["source_seq", "source_id", "text", "error"])
 
     ship(found.sparkSession)
     return found.where(F.col("ext").isin(*DOCUMENTS)).mapInPandas(run, "source_seq int, source_id string, text string, error string")
