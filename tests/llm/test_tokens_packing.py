@@ -47,7 +47,10 @@ def test_pieces_give_the_whole_texts_ids(name, monkeypatch):
 def test_elias_fano(gaps):
     values = np.cumsum(gaps)
     code = EliasFano.of(values, int(values[-1]))
-    assert code.values().tolist() == values.tolist()
+    assert code.some(0, len(values)).tolist() == code.some(0, 1 << 40).tolist() == values.tolist()
+    r = random.Random(5)
+    for i, k in [(0, 0), (0, 1), (len(values) - 1, 1), (len(values), 3), *((r.randrange(len(values)), r.choice((1, 2, 63, 64, 65, 700))) for _ in range(200))]:
+        assert code.some(i, k).tolist() == values[i : i + k].tolist()
     some = range(0, len(values), 1 + len(values) // 500)
     assert [code.select(i) for i in some] == values[:: some.step].tolist()
     assert len(code.tobytes()) <= sum(EliasFano.sizes(len(values), int(values[-1])))

@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ SAMPLE = 64
 PART = 1 << 16
 #: Ids that are read at once.
 BLOCK = 1 << 21
+#: Documents whose boundaries are decoded at once.
+RUN = 1 << 14
 
 
 class EliasFano:
@@ -90,15 +93,23 @@ class EliasFano:
         part = int.from_bytes(self.low_bits[first // 8 : (first + self.low + 7) // 8].tobytes(), "little")
         return part >> (first % 8) & ((1 << self.low) - 1)
 
-    def values(self) -> np.ndarray:
-        """All of them, unsigned."""
-        places = np.concatenate([np.flatnonzero(np.unpackbits(self.high_bits[i : i + PART], bitorder="little")) + 8 * i for i in range(0, len(self.high_bits), PART)])[: self.n]
-        out = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
-        for i in range(0, self.n if self.low else 0, PART):
-            k = min(PART, self.n - i)
+    def some(self, i: int, k: int) -> np.ndarray:
+        """Values i to i + k, unsigned: select for a run of them, from the nearest sample on. Memory is that of the run and of the high bits that it spans."""
+        k = max(0, min(k, self.n - i))
+        if not k:
+            return np.zeros(0, dtype=np.uint64)
+        byte, skip = int(self.samples[i // SAMPLE]) // 8, i % SAMPLE
+        after = (i + k - 1) // SAMPLE + 1  # the sample behind the run
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high_bits)
+        ones = np.flatnonzero(np.unpackbits(self.high_bits[byte:end], bitorder="little")) + 8 * byte
+        ones = ones[np.searchsorted(ones, int(self.samples[i // SAMPLE])) + skip :][:k]
+        out = (ones - np.arange(i, i + k)).astype(np.uint64) << np.uint64(self.low)
+        if self.low:
+            first = i * self.low
+            found = np.unpackbits(self.low_bits[first // 8 : (first + k * self.low + 7) // 8], bitorder="little")[first % 8 :][: k * self.low]
             bits = np.zeros((k, 64), dtype=np.uint8)
-            bits[:, : self.low] = np.unpackbits(self.low_bits[i * self.low // 8 :], count=k * self.low, bitorder="little").reshape(k, self.low)
-            out[i : i + k] |= np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+            bits[:, : self.low] = found.reshape(k, self.low)
+            out |= np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
         return out
 
     @classmethod
@@ -125,7 +136,7 @@ class Writer:
 
     def __init__(self, uri: str, dtype: np.dtype) -> None:
         self.fs, self.path = filesystem(uri)
-        self.dtype, self.ids, self.starts, self.total = dtype, [], [0], 0
+        self.dtype, self.ids, self.starts, self.total = dtype, array("q"), array("q", [0]), 0
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.draft = f"{self.path}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.draft, compression=None, buffer_size=1 << 20)
@@ -133,21 +144,26 @@ class Writer:
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.out.write(ids)
         self.total += len(ids) // self.dtype.itemsize
-        self.ids.append(doc_id)
+        if doc_id is not None:
+            self.ids.append(doc_id)
         self.starts.append(self.total)
 
+    @property
+    def docs(self) -> int:
+        return len(self.starts) - 1
+
     def close(self) -> None:
-        known = np.array([x for x in self.ids if x is not None], dtype=np.int64)
+        known = np.array(self.ids, dtype=np.int64)
         least, most = (int(known[0]), int(known[-1])) if len(known) else (0, 0)
-        self.out.write(EliasFano.of(np.array(self.starts), self.total).tobytes())
+        self.out.write(EliasFano.of(np.array(self.starts, dtype=np.int64), self.total).tobytes())
         self.out.write(EliasFano.of(known.view(np.uint64) - np.uint64(least % (1 << 64)), most - least).tobytes())
-        self.out.write(TRAILER.pack(MAGIC, self.dtype.itemsize, len(self.ids), len(known), least, most, self.total))
+        self.out.write(TRAILER.pack(MAGIC, self.dtype.itemsize, self.docs, len(known), least, most, self.total))
         self.out.close()
         self.fs.move(self.draft, self.path)
 
 
 class Reader:
-    """A file of Writer's: bounds, doc_ids (None for null), and the ids of any document."""
+    """A file of Writer's: starts and doc ids of any run of documents, and the ids of any document. The codes stay as they are, nothing is expanded for all documents."""
 
     def __init__(self, uri: str) -> None:
         self.fs, path = filesystem(uri)
@@ -160,9 +176,15 @@ class Reader:
         self.bounds, at = EliasFano.read(self.file, self.total * width, self.n + 1, self.total)
         self.names, _ = EliasFano.read(self.file, at, known, most - self.least)
 
-    @property
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + [x + self.least for x in self.names.values().tolist()]
+    def doc_ids(self, i: int, k: int) -> list[int | None]:
+        """Those of documents i to i + k, None for null."""
+        k = max(0, min(k, self.n - i))
+        nulls = max(0, min(k, self.nulls - i))
+        return [None] * nulls + [x + self.least for x in self.names.some(i + nulls - self.nulls, k - nulls).tolist()]
+
+    def starts(self, i: int, k: int) -> np.ndarray:
+        """Where documents i to i + k begin and the last of them ends, k + 1 numbers."""
+        return self.bounds.some(i, k + 1).astype(np.int64)
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(self.bounds.select(i), self.bounds.select(i + 1))
@@ -202,7 +224,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                 out.add(None if key is pd.NA else int(key), ids + end)
         if out:
             out.close()
-            yield pd.DataFrame({"number": [number], "file": [f"{folder}/part-{number:06d}.tok"], "docs": [len(out.ids)], "ids": [out.total]})
+            yield pd.DataFrame({"number": [number], "file": [f"{folder}/part-{number:06d}.tok"], "docs": [out.docs], "ids": [out.total]})
 
     made = rows.mapInPandas(write, "number long, file string, docs long, ids long").collect()
     return [(r["file"], r["docs"], r["ids"]) for r in sorted(made, key=lambda r: r["number"])]
@@ -222,14 +244,15 @@ def read_token_files(spark, files: list[tuple[str, int, int]]) -> DataFrame:
         for batch in batches:
             for file, base in zip(batch["file"].tolist(), batch["start"].tolist()):
                 r = Reader(file)
-                bounds, names, i = r.bounds.values().astype(np.int64), r.doc_ids, 0
-                while i < r.n:  # as many documents as a block holds, one at least
-                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK, side="right")) - 1)
-                    ids, crcs = r.ids(int(bounds[i]), int(bounds[j])), []
-                    for a, b in zip(bounds[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i]):
-                        crcs.append(crc32(ids[a:b]))
-                    yield pd.DataFrame({"doc_id": pd.array(names[i:j], dtype="Int64"), "start": bounds[i:j] + base, "n_tokens": np.diff(bounds[i : j + 1]), "ids_crc32": crcs})
-                    i = j
+                i = 0
+                while i < r.n:  # as many of the next documents as a block of ids holds, one at least
+                    bounds = r.starts(i, min(RUN, r.n - i))
+                    k = max(1, int(np.searchsorted(bounds, bounds[0] + BLOCK, side="right")) - 1)
+                    bounds = bounds[: k + 1]
+                    ids = r.ids(int(bounds[0]), int(bounds[-1]))
+                    crcs = [crc32(ids[a:b]) for a, b in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0])]
+                    yield pd.DataFrame({"doc_id": pd.array(r.doc_ids(i, k), dtype="Int64"), "start": bounds[:-1] + base, "n_tokens": np.diff(bounds), "ids_crc32": crcs})
+                    i += k
                 r.close()
 
     return spark.createDataFrame(rows, "file string, start long").repartition(min(len(rows), 20_000)).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
