@@ -1,3 +1,5 @@
+import datetime
+import random
 import sys
 import unicodedata
 
@@ -73,3 +75,32 @@ def test_case_folding_is_pythons(spark):
 
 def test_keys(spark):
     assert values(spark, ["  Straße  ﬁn ", "STRASSE FIN", "ΟΔΟΣ", "οδος", "ŉ", "", None], X.key_of) == ["strasse fin", "strasse fin", "οδοσ", "οδοσ", "ʼn", "", None]
+
+
+def test_dates_against_the_parser_of_the_box(spark):
+    """Random days in random spellings; ours, by the same rules for years, against dateutil."""
+    parser = pytest.importorskip("dateutil.parser")
+    r, first = random.Random(7), datetime.datetime(2000, 1, 1)
+    forms = ["%d %b %Y", "%b %d, %Y", "%B %Y", "%Y %B", "%m/%d/%Y", "%d/%m/%Y", "%m/%d/%y", "%y-%b-%d", "%d-%b-%y", "%Y-%m-%d", "%Y/%m/%d %H:%M", "%Y%m%d", "%y%m%d", "%Y%m%d%H%M%S", "%A, %d %B %Y at %I:%M %p",
+             "%a %b %d %H:%M:%S %Y", "%d.%m.%Y", "%b-%Y-%d", "%d %Y %b", "%b %d", "%b %y", "%d", "%Y", "%m-%Y", "%m/%d", "%b", "%Y-%m-%dT%H:%M:%S+02:00", "%d%b%Y", "%B %dth, %Y", "%d of %B %Y", "%b %B %Y", "%Y %Y", "%bx %Y", "(%Y)"]
+    said = []
+    for _ in range(40):
+        day = datetime.datetime(1980, 1, 1) + datetime.timedelta(days=r.randrange(20_000), minutes=r.randrange(1440))
+        said += [day.strftime(f) for f in forms] + [f"{r.randrange(40)}{c}{r.randrange(40)}{c}{r.choice([r.randrange(100), r.randrange(1950, 2050)])}" for c in "-/ "]
+
+    def theirs(s):
+        try:
+            return parser.parse(s, default=first).strftime("%Y-%m")
+        except (ValueError, OverflowError):
+            return None
+
+    df = spark.createDataFrame([(s,) for s in said], "s string")
+    got = {(x.s, x.m) for x in df.select("s", X.normalize_date(F.col("s"), default_year=2000).alias("m")).collect()}
+    want = {(s, theirs(s)) for s in said}
+    assert sorted(got - want) == sorted(want - got) == []
+    assert df.where(F.col("s").rlike("^[A-Z][a-z]{2}$")).where(X.normalize_date(F.col("s")).isNotNull()).count() == 0
+
+
+def test_long_texts_are_no_dates(spark):
+    df = spark.createDataFrame([("1 " * 500_000,), ("jan" * 300_000,), ("-" * 1_000_000,)], "s string")
+    assert [x.m for x in df.select(X.normalize_date(F.col("s")).alias("m")).collect()] == [None] * 3

@@ -57,39 +57,58 @@ def normalize_phone(v: Column, country: str = D.COUNTRY_CODE) -> Column:
 
 
 #: Forms of a date in lower case, with the places of year, month and day; a month by name or number. The first that fits counts.
-_DAY, _SEP = r"\d{1,2}(?:st|nd|rd|th)?", r"[\s,./-]+"
-_WEEKDAY, _TIME = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+)?", r"(?:(?:t|,?\s+)\d{1,2}:\d{2}.*)?"
-DATE_FORMS = (
-    (rf"^{_WEEKDAY}([a-z]+)\.?{_SEP}(?:({_DAY}){_SEP})?(\d{{4}}){_TIME}$", 3, 1, 2),
-    (rf"^{_WEEKDAY}({_DAY})(?:{_SEP}|\s+of\s+)([a-z]+)\.?{_SEP}(\d{{4}}){_TIME}$", 3, 2, 1),
-    (rf"^(\d{{4}}){_SEP}([a-z]+)\.?(?:{_SEP}({_DAY}))?{_TIME}$", 1, 2, 3),
-    (rf"^(\d{{4}})[-/.](\d{{1,2}})(?:[-/.](\d{{1,2}}))?{_TIME}$", 1, 2, 3),
-    (rf"^(\d{{1,2}})[-/.](?:(\d{{1,2}})[-/.])?(\d{{4}}){_TIME}$", 3, 1, 2),
-    (r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3),
+#: What says nothing of day, month and year: times with their zones, the T before a time, ordinal endings, weekdays, words between.
+NOISE = (
+    r"(?<![\d.])\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s*[ap]\.?m\b\.?)?(?:\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})\b)*|\b\d{1,2}\s*[ap]\.?m\b\.?|(?<=\d)t(?=\d)|(?<=\d)(?:st|nd|rd|th)\b"
+    r"|\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b|\b(?:at|on|of|and|ad)\b"
 )
+#: Digits in a row: years, months and days, and perhaps a time.
+PACKED = r"^\s*(\d{4}|\d{2}(?=\d{4}\s*$))(\d{2})(\d{2})(?:[t ]?\d{4}(?:\d{2})?z?)?\s*$"
+DATE_TOKENS, DATE_SHAPE = r"\d+|[a-z]+", r"^[\s,;./'-]*(?:(?:\d+|[a-z]+)[\s,;./'-]*)+$"
 
 
-def normalize_date(v: Column) -> Column:
-    """'yyyy-MM', or 'present'; null if it is no date. A year alone is its January; of two numbers that may be the month, the first is, unless it is beyond 12."""
-    months = F.create_map(*[F.lit(x) for pair in D.MONTHS.items() for x in pair])
-
-    def date(x: Column) -> Column:
-        """Of a struct of year, month and day as they stand there."""
-        month = F.coalesce(F.try_element_at(months, x["m"]), x["m"].try_cast("int"))
-        day = F.coalesce(F.regexp_extract(x["d"], r"^\d+", 0).try_cast("int"), F.lit(1))
-
-        def ordered(y: Column) -> Column:
-            swap = (x["d"] != "") & (y["m"] > 12) & (y["d"] <= 12) & x["m"].try_cast("int").isNotNull()
-            return F.try_make_timestamp(x["y"].try_cast("int"), F.when(swap, y["d"]).otherwise(y["m"]), F.when(swap, y["m"]).otherwise(y["d"]), F.lit(0), F.lit(0), F.lit(0))
+def normalize_date(v: Column, default_year: int | None = None, this_year: int | None = None) -> Column:
+    """'yyyy-MM', or 'present'; null if it is no date.
 
-        return let(F.struct(month.alias("m"), day.alias("d")), ordered)
-
-    def first_form(s: Column) -> Column:
-        forms = [F.when(F.rlike(s, F.lit(form)), F.struct(*[F.regexp_extract(s, form, k).alias(n) for n, k in (("y", y), ("m", m), ("d", d))])) for form, y, m, d in DATE_FORMS]
-        year = F.when(F.rlike(s, F.lit(r"^\d{4}$")), F.concat(s, F.lit("-01")))
-        return F.when(s.isin("present", "current", "ongoing", "now"), F.lit("present")).otherwise(F.coalesce(year, F.date_format(let(F.coalesce(*forms), date), "yyyy-MM")))
+    What says nothing of the date is taken out; up to three numbers, or two and a month's name, must be left. Which of them is the year is told by its digits or by being beyond 31, else by
+    the order: month, day, year; day, month, year if the first is beyond 12 or the name is second; year first if it is known to be. A year alone is its January. Years
+    of two digits are the nearest to this_year, by default the current one. A date without a year is null unless there is a default_year.
+    """
+    months = F.create_map(*[F.lit(x) for pair in D.MONTHS.items() for x in pair])
 
-    return let(F.lower(collapse(v)), first_form)
+    def parts(tokens: Column) -> Column:
+        """Of each token its value, whether it is a month's name, and whether it is a year by its digits."""
+        return F.transform(tokens, lambda x: F.struct(F.coalesce(F.try_element_at(months, x), x.try_cast("int")).alias("v"), F.rlike(x, F.lit("^[a-z]")).alias("name"), F.rlike(x, F.lit(r"^\d{3,}$")).alias("long")))
+
+    def assigned(t: Column) -> Column:
+        """(y, m, d) of one to three tokens."""
+        value, name = lambda i: F.get(t, i)["v"], lambda i: F.coalesce(F.get(t, i)["name"], F.lit(False))
+        year = lambda i: ~name(i) & (F.get(t, i)["long"] | (value(i) > 31))
+        said = lambda y, m, d: F.struct(*[(F.lit(None).cast("int") if i is None else value(i)).alias(n) for n, i in (("y", y), ("m", m), ("d", d))])
+        one = F.when(name(0), said(None, 0, None)).when(year(0), said(0, None, None)).otherwise(said(None, None, 0))
+        two = F.when(name(0), F.when(year(1), said(1, 0, None)).otherwise(said(None, 0, 1))).when(name(1), F.when(year(0), said(0, 1, None)).otherwise(said(None, 1, 0)))
+        two = two.when(year(0), said(0, 1, None)).when(year(1), said(1, 0, None)).otherwise(said(None, 0, 1))
+        three = F.when(name(0), F.when(year(1), said(1, 0, 2)).otherwise(said(2, 0, 1))).when(name(1), F.when(year(0), said(0, 1, 2)).otherwise(said(2, 1, 0)))
+        three = three.when(name(2), F.when(year(1), said(1, 2, 0)).otherwise(said(0, 2, 1))).when(year(0), said(0, 1, 2)).when(value(0) > 12, said(2, 1, 0)).otherwise(said(2, 0, 1))
+        return F.when(F.size(t) == 1, one).when(F.size(t) == 2, two).when(F.size(t) == 3, three)
+
+    def whole_year(y: Column, t: Column) -> Column:
+        now = F.year(F.current_date()) if this_year is None else F.lit(this_year)
+        near = let(now - now % 100 + y, lambda x: F.when(x >= now + 50, x - 100).when(x < now - 50, x + 100).otherwise(x))
+        return F.when(F.exists(t, lambda x: x["long"]), y).otherwise(near)
+
+    def month(t: Column) -> Column:
+        fine = (F.size(F.filter(t, lambda x: x["name"])) <= 1) & (F.size(F.filter(t, lambda x: x["long"])) <= 1) & F.forall(t, lambda x: x["v"].isNotNull())
+        stamp = lambda x: F.try_make_timestamp(F.coalesce(whole_year(x["y"], t), F.lit(default_year).cast("int")), F.coalesce(x["m"], F.lit(1)), F.coalesce(x["d"], F.lit(1)), F.lit(0), F.lit(0), F.lit(0))
+        return F.when(fine & (F.size(t) <= 3), F.date_format(let(assigned(t), stamp), "yyyy-MM"))
+
+    def read(s: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(s, PACKED, "$1-$2-$3"), NOISE, " ")
+        tokens = let(rest, lambda x: F.when(F.rlike(x, F.lit(DATE_SHAPE)), F.regexp_extract_all(x, F.lit(DATE_TOKENS), 0)))
+        return F.when(s.isin("present", "current", "ongoing", "now"), F.lit("present")).otherwise(let(tokens, lambda x: let(parts(x), month)))
+
+    # No date is longer, and no shorter text is searched for one at length.
+    return let(F.lower(collapse(v)), lambda s: F.when(F.length(s) <= 100, read(s)))
 
 
 def title_case(v: Column) -> Column:

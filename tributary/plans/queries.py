@@ -291,6 +291,21 @@ def norm_date(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.normalize_date(said).alias("month"))
 
 
+#: A day in the patterns of date_format, so that the month can be told; each is said in a way of its own.
+SPELLINGS = (
+    "yyyy-MM-dd", "yyyy/M/d", "yyyy.MM.dd", "yyyyMMdd", "yyyyMMdd'T'HHmmss", "M/d/yyyy", "MM-dd-yyyy", "M.d.yyyy", "MMM yyyy", "MMMM, yyyy", "MM/yyyy", "d MMM yyyy", "d-MMM-yyyy", "dMMMyyyy", "MMMM d, yyyy",
+    "EEEE, d MMMM yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy MMM d", "MMM-yyyy-d", "EEE MMM d HH:mm:ss yyyy", "d 'of' MMMM yyyy 'at' h:mm a", "M/d/yy",
+)
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS months FROM orders")
+def date_spellings(spark, sf_dir):
+    """Each order's date in all spellings; those of two digits a year are read from 1996."""
+    said = F.array(*[F.date_format(F.col("o_orderdate").cast("timestamp"), p) for p in SPELLINGS])
+    read = F.transform(said, lambda x: F.coalesce(X.normalize_date(x, this_year=1996), F.concat(F.lit("not read: "), x)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(F.array_distinct(read)), ";").alias("months"))
+
+
 SKILL_CASES = {"•  reactjs;": ("React", True), " K8S ": ("Kubernetes", True), "some niche  framework": ("Some Niche Framework", False), "GraphQL": ("GraphQL", False), "3d-rest api's": ("3D-Rest Api'S", False), " - ": (None, None), "ETL": ("ETL", False)}
 
 
