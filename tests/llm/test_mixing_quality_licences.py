@@ -62,6 +62,10 @@ def test_mix_in_many_ranges(spark, monkeypatch):
     want = sorted(map(str, mix_sources(df).collect()))
     monkeypatch.setattr(mixing, "RANGE", 40)
     assert sorted(map(str, mix_sources(df).collect())) == want and "_cum" not in mix_sources(df).columns
+    monkeypatch.setattr(mixing, "RANGES", 3)  # the range of the cut is sorted into ranges again
+    monkeypatch.setattr(mixing, "RANGE", 5)
+    assert sorted(map(str, mix_sources(df).collect())) == want
+    assert [mixing.digits(n) for n in (0, 10**8, 10**10, 10**12)] == [3, 3, 5, 6]
 
 
 def test_order_is_by_virtual_time(spark):

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import WORD, durable
 
-#: Parts that a source's queue is cut into for the running sums, by the first three digits of the hash.
-DIGITS = 3
-#: Copies of a range of the global order, and most ranges; one range is summed row by row.
-RANGE, RANGES = 100_000, 20_000
+#: Rows of a part of a source's queue, and of a range of the global order; both are summed row by row by one task.
+PART, RANGE = 100_000, 100_000
+#: Most ranges of one sort; where that makes them larger, the one that holds the cut is sorted into ranges again.
+RANGES = 20_000
 #: Columns that the operator adds; working columns of clashing names would not survive.
 ADDED = ("size", "source_size", "target", "taken", "copies")
 
@@ -33,6 +33,14 @@ class Mix:
     passes: int = 2
 
 
+def digits(rows: int) -> int:
+    """So many digits of the hash cut so many rows, even of one source, into parts; three at least."""
+    n = 3
+    while 16**n * PART < rows:
+        n += 1
+    return n
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -55,6 +63,34 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return per.select("_s", "source_size", F.least(F.col("_cap"), F.col("_top") * F.col("_w")).alias("target"))
 
 
+#: What copies are ordered by, and its types.
+ORDER = {"v": "double", "n": "boolean", "s": "string", "h": "string", "i": "string", "z": "long"}
+
+
+def cut(copies: DataFrame, rows: int, budget: float) -> dict | None:
+    """The last copy, in the global order, that the budget's words reach; an empty one if they reach none, None if they hold all.
+
+    The copies are sorted into ranges; the one that the budget ends in is sorted into ranges again until it has few rows, or only equal ones.
+    """
+    order, before, earlier = list(ORDER), 0, None
+    while True:
+        ranged = durable(copies.select(*order).repartitionByRange(min(RANGES, max(1, -(-rows // RANGE))), *order).withColumn("range", F.spark_partition_id()))
+        ends = ranged.groupBy("range").agg(F.sum("z").alias("z"), F.count("*").alias("n")).withColumn("end", F.lit(before) + F.sum("z").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)))
+        first = ends.where(F.col("end") > budget).orderBy("range").select("range", "n", (F.col("end") - F.col("z")).alias("before")).first()
+        if first is None:
+            return None
+        # What lies in earlier ranges is taken: where the first copy of this one is too large, the last of those is the cut.
+        last = ranged.where(F.col("range") < first["range"]).agg(F.max(F.struct(*order)).alias("at")).first()["at"]
+        earlier = last.asDict() if last else earlier
+        copies, before = ranged.where(F.col("range") == first["range"]), first["before"]
+        if first["n"] <= 4 * RANGE or first["n"] == rows:
+            break
+        rows = first["n"]
+    run = F.lit(before) + F.sum("z").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    last = copies.withColumn("run", run).where(F.col("run") <= budget).agg(F.max(F.struct(*order)).alias("at")).first()["at"]
+    return last.asDict() if last else earlier or {}
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with size, source_size, target, copies and taken (size times copies): how often the mix uses each row.
 
@@ -67,9 +103,10 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text:
     drop = [c for c in docs.columns if (c in ADDED or c.startswith("_mix")) and c not in (doc_id, text, source)]
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit("")))
     base = docs.drop(*drop).withColumns({"size": n_words(F.col(text)), "_mix_s": F.col(source).cast("string"), "_mix_h": key})
-    base = base.withColumn("_mix_p", F.substring("_mix_h", 1, DIGITS))
 
-    light = durable(base.select("_mix_s", "_mix_p", "_mix_h", F.col(doc_id).alias("_mix_id"), "size"))
+    light = durable(base.select("_mix_s", "_mix_h", F.col(doc_id).alias("_mix_id"), "size"))
+    part = F.substring("_mix_h", 1, digits(light.count()))
+    base, light = base.withColumn("_mix_p", part), light.withColumn("_mix_p", part)
     goal = durable(targets(light.select(F.col("_mix_s").alias("_s"), "size"), mix))
     sums = light.groupBy("_mix_s", "_mix_p").agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
     offset = F.coalesce(F.sum("sum").over(W.partitionBy("_mix_s").orderBy("_mix_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -92,23 +129,14 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text:
         return F.struct(finish(epoch).alias("v"), F.col("_mix_s").isNull().alias("n"), F.coalesce("_mix_s", F.lit("")).alias("s"), F.col("_mix_h").alias("h"), F.coalesce(F.col(i).cast("string"), F.lit("")).alias("i"), F.col("size").alias("z"))
 
     copies = queued(light, "_mix_id").select(F.explode(F.array(*[at(e, "_mix_id") for e in range(mix.passes)])).alias("at")).select("at.*")
-    order = ["v", "n", "s", "h", "i", "z"]
-    ranges = min(RANGES, max(1, -(-(total["n"] or 0) * mix.passes // RANGE)))
-    copies = durable(copies.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
-    ends = copies.groupBy("range").agg(F.sum("z").alias("z")).withColumn("end", F.sum("z").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0)))
-    first = ends.where(F.col("end") > budget).orderBy("range").select("range", (F.col("end") - F.col("z")).alias("before")).first()
-    if first is None:  # the budget holds all copies
+    upto = cut(copies, (total["n"] or 0) * mix.passes, budget)
+    if upto is None:
         takes = [F.lit(True)] * mix.passes
+    elif not upto:
+        takes = [F.lit(False)] * mix.passes
     else:
-        run = F.lit(first["before"]) + F.sum("z").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-        inside = copies.where(F.col("range") == first["range"]).withColumn("run", run).where(F.col("run") <= budget)
-        # What lies in earlier ranges is taken: where the first copy of this one is too large, the last of those is the cut.
-        cut = inside.unionByName(copies.where(F.col("range") < first["range"]).withColumn("run", F.lit(0).cast("long"))).agg(F.max(F.struct(*order)).alias("at")).first()["at"]
-        if cut is None:
-            takes = [F.lit(False)] * mix.passes
-        else:
-            upto = F.struct(*[F.lit(cut[k]).cast(kind).alias(k) for k, kind in zip(order, ("double", "boolean", "string", "string", "string", "long"))])
-            takes = [at(e, doc_id) <= upto for e in range(mix.passes)]
+        last = F.struct(*[F.lit(upto[k]).cast(kind).alias(k) for k, kind in ORDER.items()])
+        takes = [at(e, doc_id) <= last for e in range(mix.passes)]
     count = takes[0].cast("long")
     for t in takes[1:]:
         count = count + F.when(F.col("size") > 0, t.cast("long")).otherwise(F.lit(0))
