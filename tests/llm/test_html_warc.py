@@ -73,6 +73,17 @@ def test_revisits_of_repeated_ids(spark):
     assert got == sorted((i, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "revisit" if i > first[h] else "response", first[h] if i > first[h] else 0) for i, _, h in rows)
 
 
+def test_a_payload_of_many_pages(spark, monkeypatch):
+    """Dealt to several tasks, whose number is looked up or joined."""
+    rows = [(i, "u", "same" if i % 3 else f"own {i % 9}") for i in range(60)] + [(None, "u", "same"), (None, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, warc.archive_round_trip(df).collect()))
+    monkeypatch.setattr(warc, "PART", 7)
+    for lookups in (100, 0):
+        monkeypatch.setattr(warc, "LOOKUPS", lookups)
+        assert sorted(map(str, warc.archive_round_trip(df).collect())) == want
+
+
 def test_chunks(spark, tmp_path):
     rows, df = pages(spark)
     files = warc.write_archives(warc.chunk_table(df), f"file://{tmp_path}")

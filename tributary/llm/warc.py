@@ -18,13 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import durable, new_folder, small_batches
+from tributary.llm.common import checked_broadcast, durable, new_folder, small_batches
 from tributary.llm.token_files import filesystem
 
 #: Bytes of a chunk.
 CHUNK = 1 << 18
-#: Parts of the pages of one payload.
-SALTS = 32
+#: Pages of one payload that one task looks at; payloads of more, of which there are few, whose number is looked up by broadcast.
+PART, LOOKUPS = 20_000, 300_000
 #: Rows of a batch of chunks.
 CHUNKS = 100
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -49,12 +49,15 @@ def originals(pages: DataFrame, page_id: str = "page_id", html: str = "html", le
     """(revisit, same, refers_to): the id and the payload's digest of each page whose payload, of at least so many bytes, a page of smaller id has as well.
 
     The first page of each payload comes from an aggregation that combines before its shuffle. Pages of one payload, all
-    empty ones for instance, are dealt to several tasks by salt.
+    empty ones for instance, are dealt to as many tasks as their number asks for.
     """
     each = durable(pages.select(F.col(page_id).cast("long").alias("page"), F.sha1(payload(html)).alias("digest"), F.octet_length(payload(html)).alias("size")))
     firsts = each.where(f"size >= {least}").groupBy("digest").agg(F.min("page").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = each.where(f"size >= {least}").withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
+    firsts = durable(firsts.withColumn("cuts", F.ceil(F.col("n") / PART).cast("int")))
+    hot = firsts.where("cuts > 1").select(F.col("digest").alias("hot"), F.col("cuts").alias("many"))
+    salted = each.where(f"size >= {least}").join(checked_broadcast(hot, LOOKUPS), F.col("digest") == F.col("hot"), "left")
+    salted = salted.select("page", "digest", F.pmod(F.xxhash64("page"), F.coalesce("many", F.lit(1)).cast("long")).cast("int").alias("salt"))
+    firsts = firsts.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("salt"))
     return salted.join(firsts, ["digest", "salt"]).where("page > refers_to").select(F.col("page").alias("revisit"), F.col("digest").alias("same"), "refers_to").distinct()
 
 
