@@ -15,7 +15,7 @@ from tributary.operators import evidence as E
 from tributary.operators import profile
 from tributary.operators.enrich import enrich
 from tributary.operators.sections import resume_evidence
-from tributary.plans.projection import project, project_default
+from tributary.plans.projection import outputs, project, project_default
 from tributary.session import kept
 from tributary.sources import readers as R
 from tributary.sources.csv_splits import csv_facts_of
@@ -24,7 +24,7 @@ from tributary.sources.csv_splits import csv_facts_of
 @dataclass
 class RunResult:
     """output: typed columns, output_json, errors, ok by entity. canonical: the profiles. warnings: (entity_id, kind, message).
-    skipped: what was rejected. sources: how each source went. links: (entity_id, kind, url)."""
+    skipped: what was rejected. sources: how each source went. links: (entity_id, kind, url). told: output_json, errors and the profile as JSON, by entity."""
 
     output: DataFrame
     canonical: DataFrame
@@ -32,6 +32,7 @@ class RunResult:
     skipped: DataFrame
     sources: DataFrame
     links: DataFrame
+    told: DataFrame | None = None
 
 
 def resolve(ev: DataFrame, config: dict | None = None, sources: DataFrame | None = None, links: DataFrame | None = None, distinct_sources: bool = False, country: str = D.COUNTRY_CODE, policies: dict[str, str] = D.POLICIES) -> RunResult:
@@ -48,13 +49,15 @@ def resolve(ev: DataFrame, config: dict | None = None, sources: DataFrame | None
     skipped = E.rejected(good)
     dropped = skipped.select("entity_id", F.lit("dropped").alias("kind"), F.concat(F.lit("dropped unparseable "), "field", F.lit(" value '"), "raw_value", F.lit("' from "), "source_id").alias("message"))
     failed = sources.where("not ok").select("entity_id", F.lit("skipped").alias("kind"), F.concat(F.lit("source '"), "source_id", F.lit("' skipped: "), "error").alias("message"))
-    told = sources.select("entity_id", F.lit("source").alias("kind"), F.explode("warnings").alias("message"))
+    said = sources.select("entity_id", F.lit("source").alias("kind"), F.explode("warnings").alias("message"))
     shown = F.try_parse_json("output_json")
     has = [F.coalesce(~F.try_variant_get(shown, f"$.{k}", "string").isin("", "[]"), F.lit(False)) for k in ("emails", "phones", "skills")]
     bare = output.where(F.col("output_json").isNotNull() & ~(has[0] | has[1] | has[2])).select("entity_id", F.lit("incomplete").alias("kind"), F.lit("Profile incomplete: missing email, phone, skills").alias("message"))
-    warnings = failed.union(dropped).union(told).union(profile.conflicts(profiles)).union(bare)
+    warnings = failed.union(dropped).union(said).union(profile.conflicts(profiles)).union(bare)
     none = spark.createDataFrame([], "entity_id string, kind string, url string")
-    return RunResult(output, profiles, warnings, skipped, sources, none if links is None else links)
+    profile_json = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("profile")
+    told = outputs(profiles, {"out": config}, profile_json).select("entity_id", "out.output_json", "out.errors", "profile")
+    return RunResult(output, profiles, warnings, skipped, sources, none if links is None else links, told)
 
 
 def discover(texts: DataFrame) -> DataFrame:

@@ -26,10 +26,10 @@ def write_json(df: DataFrame, path: str, column: str | None = None) -> None:
 
 def envelope(result) -> DataFrame:
     """A row for each entity of a run: its output, canonical profile, warnings and errors, as JSON."""
-    own = lambda df, name: df.groupBy("entity_id").agg(F.array_sort(F.collect_list("message")).alias(name))
-    out = result.output.select("entity_id", F.col("output_json").alias("output"), "errors")
-    profile = result.canonical.select("entity_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("canonical"))
-    return out.join(profile, "entity_id").join(own(result.warnings, "warnings"), "entity_id", "left")
+    own = result.warnings.groupBy("entity_id").agg(F.array_sort(F.collect_list("message")).alias("warnings"))
+    rows = result.told.select("entity_id", F.col("output_json").alias("output"), "errors", F.col("profile").alias("canonical"))
+    # Never broadcast: by the size of the files that profiles are kept in, packed, Spark takes the warnings of any number of entities for few.
+    return rows.join(own.hint("merge"), "entity_id", "left")
 
 
 @dataclass
