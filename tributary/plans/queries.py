@@ -19,7 +19,7 @@ from tributary.plans.engine import discover, link_evidence, resolve, run
 from tributary.plans.insights import with_insights
 from tributary.plans.projection import project, project_default
 from tributary.plans.validate import has_keys, json_errors
-from tributary.session import new_folder
+from tributary.session import dealt, new_folder
 from tributary.sources.csv_splits import csv_facts_of
 from tributary.sources.datasource import register
 from tributary.sources.readers import alias_column, facts, files, header_key_column, json_column, wide_table
@@ -599,7 +599,7 @@ def customer_evidence(spark, sf_dir, name: Column | None = None, mailed: Column
     skills = F.when(F.col("c_custkey") % 4 == 0, "sql, py") if skills is None else skills
     digits = F.lpad(F.col("c_custkey").cast("string"), 10, "9")
     wide = c.select(F.col("c_custkey").cast("string").alias("key"), name.alias("name"), F.when((F.col("c_custkey") % 2 == 0) & mailed, F.concat("c_name", F.lit("@x.com"))).alias("email"), F.when(F.col("c_custkey") % 3 == 0, digits).alias("phone"), F.col("c_mktsegment").alias("role"), skills.alias("skills"))
-    return wide_table(wide, F.col("key"), F.lit("c.csv"))
+    return wide_table(dealt(wide, "key"), F.col("key"), F.lit("c.csv"))
 
 
 def customer_profiles(spark, sf_dir, **told: Column) -> DataFrame:
