@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.session import kept
+
 #: Levels of objects and lists that are taken apart; what lies deeper is compared as text.
 DEPTH = 6
 
@@ -30,9 +32,13 @@ def leaves(outputs: DataFrame, by: str = "entity_id", output: str = "output_json
 def compare(left: DataFrame, right: DataFrame, by: str = "entity_id", output: str = "output_json", depth: int = DEPTH) -> DataFrame:
     """(by, path, change, left, right) wherever two runs' outputs differ: change is only_left, only_right or differs. Outputs without a difference have no row.
 
-    One shuffle of both by (entity, path), so an entity with a very large output is spread as well. An entity is in a run once; a null id is compared as any other.
+    Outputs are brought together by entity, and only those whose texts aren't the same are taken apart and compared by (entity, path): what that costs grows with the entities that changed. The pairs are
+    kept in the folder of spark.checkpoint.dir, where one is set. An entity is in a run once; a null id is compared as any other.
     """
-    of = lambda df, side: leaves(df, by, output, depth).select(F.col(by).alias(f"{side}_by"), F.col("path").alias(f"{side}_path"), F.col("value").alias(side))
-    both = of(left, "left").join(of(right, "right"), F.col("left_by").eqNullSafe(F.col("right_by")) & (F.col("left_path") == F.col("right_path")), "full")
+    of = lambda df, side: df.select(F.col(by).alias(f"{side}_by"), F.col(output).alias(side))
+    both = of(left, "left").join(of(right, "right"), F.col("left_by").eqNullSafe(F.col("right_by")), "full")
+    pairs = kept(both.where(~F.col("left").eqNullSafe(F.col("right"))).select(F.coalesce("left_by", "right_by").alias("by"), "left", "right"))
+    said = lambda side: leaves(pairs, "by", side, depth).select(F.col("by").alias(f"{side}_by"), F.col("path").alias(f"{side}_path"), F.col("value").alias(side))
+    both = said("left").join(said("right"), F.col("left_by").eqNullSafe(F.col("right_by")) & (F.col("left_path") == F.col("right_path")), "full")
     change = F.when(F.col("right_path").isNull(), "only_left").when(F.col("left_path").isNull(), "only_right").when(F.col("left") != F.col("right"), "differs")
     return both.select(F.coalesce("left_by", "right_by").alias(by), F.coalesce("left_path", "right_path").alias("path"), change.alias("change"), "left", "right").where("change is not null")
