@@ -19,7 +19,7 @@ from tributary.plans.engine import discover, link_evidence, resolve, run
 from tributary.plans.insights import with_insights
 from tributary.plans.projection import project, project_default
 from tributary.plans.validate import has_keys, json_errors
-from tributary.session import dealt, new_folder
+from tributary.session import dealt, new_folder, once_each
 from tributary.sources.csv_splits import csv_facts_of
 from tributary.sources.datasource import register
 from tributary.sources.readers import alias_column, facts, files, header_key_column, json_column, wide_table
@@ -303,7 +303,7 @@ def date_spellings(spark, sf_dir):
     """Each order's date in all spellings; those of two digits a year are read from 1996."""
     said = F.array(*[F.date_format(F.col("o_orderdate").cast("timestamp"), p) for p in SPELLINGS])
     read = F.transform(said, lambda x: F.coalesce(X.normalize_date(x, this_year=1996), F.concat(F.lit("not read: "), x)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_sort(F.array_distinct(read)), ";").alias("months"))
+    return once_each(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", F.array_join(F.array_sort(F.array_distinct(read)), ";").alias("months")).select("o_orderkey", "months")
 
 
 SKILL_CASES = {"•  reactjs;": ("React", True), " K8S ": ("Kubernetes", True), "some niche  framework": ("Some Niche Framework", False), "GraphQL": ("GraphQL", False), "3d-rest api's": ("3D-Rest Api'S", False), " - ": (None, None), "ETL": ("ETL", False)}
