@@ -727,8 +727,9 @@ def run_sinks(spark, sf_dir):
         write_run(result, folder, "nightly")
     back = read_run(spark, folder, "nightly")
     warned = back.warnings.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("warnings"))
-    out = back.output.join(back.canonical, "entity_id").join(warned, "entity_id", "left")
-    return out.select("entity_id", "output_json", F.get_json_object("profile", "$.candidate_id").alias("candidate_id"), F.coalesce("warnings", F.lit("")).alias("warnings"), F.size("errors").cast("long").alias("n_errors"))
+    ids = back.canonical.select("entity_id", F.get_json_object("profile", "$.candidate_id").alias("candidate_id"))
+    out = back.output.join(ids.hint("merge"), "entity_id").join(warned.hint("merge"), "entity_id", "left")  # never broadcast, of however many entities
+    return out.select("entity_id", "output_json", "candidate_id", F.coalesce("warnings", F.lit("")).alias("warnings"), F.size("errors").cast("long").alias("n_errors"))
 
 
 @query(f"""WITH {PROFILE_SQL} SELECT entity_id, NULL AS output, 'projection: field ''years_of_experience'' (from ''years_of_experience'') is missing' AS errors, name, '' AS warnings FROM p""")
