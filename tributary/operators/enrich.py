@@ -40,16 +40,14 @@ def parse_education(v: Column) -> Column:
 
 
 def enrich(links: DataFrame, profiles: DataFrame, source_seq: int = 1000) -> DataFrame:
-    """Evidence for the entities of links (entity_id, kind, url) from profiles (url, payload: JSON text). Entities without a profile give none."""
-    v = F.try_parse_json("payload")
-    rows = links.join(profiles, "url").withColumn("v", v).where("v is not null")
+    """Evidence for the entities of links (entity_id, kind, url) from profiles (url, payload: JSON text). Entities without a profile give none. A payload is read once, however many links lead to it."""
     v = F.col("v")
-    found: list[Column] = []
+    found: dict[str, list[Column]] = {"linkedin": [], "github": []}
 
     def fact(kind: str, field: str, value: Column, method: str, payload: Column | None = None, entries: Column | None = None) -> None:
-        there = (F.col("kind") == kind) & (payload if payload is not None else entries if entries is not None else value).isNotNull()
-        none = F.lit(None)
-        found.append(F.when(there, F.struct(F.lit(len(found)).alias("at"), F.lit(field).alias("field"), value.cast("string").alias("value"), (payload if payload is not None else none).cast("string").alias("payload"), (entries if entries is not None else none).cast("map<string,string>").alias("entries"), F.lit(method).alias("method"))))
+        there = (payload if payload is not None else entries if entries is not None else value).isNotNull()
+        none, at = F.lit(None), sum(map(len, found.values()))
+        found[kind].append(F.when(there, F.struct(F.lit(at).alias("at"), F.lit(field).alias("field"), value.cast("string").alias("value"), (payload if payload is not None else none).cast("string").alias("payload"), (entries if entries is not None else none).cast("map<string,string>").alias("entries"), F.lit(method).alias("method"))))
 
     no = F.lit(None).cast("string")
     exp, edu = parse_experience(v), parse_education(v)
@@ -73,6 +71,8 @@ def enrich(links: DataFrame, profiles: DataFrame, source_seq: int = 1000) -> Dat
         fact("github", "extra_attributes", no, f"apify:github_{key}", entries=attribute(key, f"github_{key}"))
     skills = F.transform(_items(v, "skills"), lambda s: F.trim(F.coalesce(F.try_variant_get(s, "$.name", "string"), F.try_variant_get(s, "$", "string"))))
     skills = F.transform(F.filter(skills, lambda s: (s != "") & (F.length(s) <= 45)), lambda s, k: F.struct((k + 1000).alias("at"), F.lit("skills").alias("field"), s.alias("value"), no.alias("payload"), F.lit(None).cast("map<string,string>").alias("entries"), F.lit("apify:linkedin_skills").alias("method")))
-    all_facts = F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), F.when(F.col("kind") == "linkedin", skills).otherwise(F.slice(skills, 1, 0)))
-    out = rows.select("entity_id", "kind", F.explode(all_facts).alias("x"))
+    said = {kind: F.filter(F.array(*xs), lambda x: x.isNotNull()) for kind, xs in found.items()}
+    told = profiles.select("url", F.try_parse_json("payload").alias("v")).where("v is not null").select("url", F.concat(said["linkedin"], skills).alias("_linkedin"), said["github"].alias("_github"))
+    of_kind = F.when(F.col("kind") == "linkedin", F.col("_linkedin")).when(F.col("kind") == "github", F.col("_github"))
+    out = links.join(told, "url").select("entity_id", "kind", F.explode(of_kind).alias("x"))
     return evidence(out, F.col("entity_id"), F.col("x.field"), F.col("x.value"), F.concat("kind", F.lit("_apify")), F.lit("semistructured"), F.col("x.method"), F.lit(source_seq), F.col("x.at"), value_map=F.col("x.entries"), value_json=F.col("x.payload"))

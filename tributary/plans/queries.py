@@ -671,7 +671,7 @@ def validate_errors(spark, sf_dir):
 unnest([n_name, 'Nation ' || n_nationkey, 'R' || n_regionkey, 'sql', NULL, 'Co' || n_nationkey, 'T']) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def enrich_left_join(spark, sf_dir):
     url = lambda key: F.concat(F.lit("https://linkedin.com/in/"), F.col(key).cast("string"))
-    links = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("entity_id"), F.lit("linkedin").alias("kind"), url("c_nationkey").alias("url"))
+    links = dealt(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("entity_id"), F.lit("linkedin").alias("kind"), url("c_nationkey").alias("url")), "entity_id")
     k = F.col("n_nationkey").cast("string")
     payload = F.concat(F.lit('{"fullName": "'), "n_name", F.lit('", "headline": "Nation '), k, F.lit('", "location": "R'), F.col("n_regionkey").cast("string"), F.lit('", "skills": [{"name": " sql "}], "experience": [{"companyName": "Co'), k, F.lit('", "title": "T"}, {"summary": "none"}], "about": ""}'))
     profiles = table(spark, sf_dir, "nation").select(url("n_nationkey").alias("url"), payload.alias("payload"))
