@@ -17,7 +17,7 @@ from tributary.operators.policies import latest, merge_by, weighted_plurality
 from tributary.plans import compare, config
 from tributary.plans.engine import discover, link_evidence, resolve, run
 from tributary.plans.insights import with_insights
-from tributary.plans.projection import project, project_default
+from tributary.plans.projection import outputs, project, project_default
 from tributary.plans.validate import has_keys, json_errors
 from tributary.session import dealt, new_folder, once_each
 from tributary.sources.csv_splits import csv_facts_of
@@ -691,10 +691,9 @@ BRIEF = {"fields": [{"path": "full_name"}, {"path": "phone", "from": "phones[0]"
 @query(f"""WITH {PROFILE_SQL} SELECT entity_id, concat_ws(',', 'full_name_confidence', CASE WHEN m THEN 'mail,mail_confidence' END, CASE WHEN f THEN 'phone_confidence' END, 'skills,skills_confidence') AS only_a, CASE WHEN f THEN 'title' ELSE 'phone,title' END AS only_b, false AS subset FROM p""")
 def config_key_diff(spark, sf_dir):
     """The keys that one of two configs' outputs has and the other hasn't."""
-    profiles = customer_profiles(spark, sf_dir)
-    a, b = (project(profiles, c).select("entity_id", F.col("output_json").alias(name)) for c, name in ((PUBLIC, "a"), (BRIEF, "b")))
-    left, right = compare.key_difference(F.col("a"), F.col("b"))
-    return a.join(b, "entity_id").select("entity_id", F.array_join(left, ",").alias("only_a"), F.array_join(right, ",").alias("only_b"), (F.size(right) == 0).alias("subset"))
+    both = outputs(customer_profiles(spark, sf_dir), {"a": PUBLIC, "b": BRIEF})
+    left, right = compare.key_difference(F.col("a.output_json"), F.col("b.output_json"))
+    return both.select("entity_id", F.array_join(left, ",").alias("only_a"), F.array_join(right, ",").alias("only_b"), (F.size(right) == 0).alias("subset"))
 
 
 @query(f"""WITH {PROFILE_SQL}, c AS (SELECT p.*, c_custkey AS k FROM p JOIN customer ON entity_id = c_custkey::VARCHAR), rows AS (
