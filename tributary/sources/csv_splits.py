@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.session import ship
-from tributary.sources.readers import FACT, listed_files, row_facts, separator
+from tributary.sources.readers import listed_files, row_facts, separator
 
 DELIMITERS = ",\t;|"
 #: Characters of a file's beginning that its delimiter is told from.
@@ -24,6 +24,9 @@ SAMPLE = 2048
 MARK = "\ufeff"
 SPLIT = "file string, start long, ends array<boolean>, begun array<long>, runs array<long>, head string, bad boolean"
 PLAN = "file string, start long, quoted boolean, row long, run long, delimiter string, head array<string>, n long, error string"
+CELL = "file string, ev_seq int, row int, field_name string, raw_value string, key string, method string"
+#: A task's Python holds so many rows of a batch at a time, and gives back what it made by so many characters or rows.
+PIECE, MOST_CHARACTERS, MOST_ROWS = 256, 1_000_000, 20_000
 RUN = "file string, run long, start long, row long, delimiter string, head array<string>, text string, whole boolean"
 
 
@@ -77,15 +80,25 @@ def _names(kind: str) -> list[str]:
 
 
 def _flat(batches, *names: str):
+    """The rows of Arrow's batches. Of a batch PIECE rows at a time are Python's objects."""
     for batch in batches:
-        yield from zip(*[batch[n] for n in names])
+        for at in range(0, batch.num_rows, PIECE):
+            piece = batch.slice(at, PIECE)
+            yield from zip(*[piece.column(n).to_pylist() for n in names])
+
+
+def _batch(rows: list[tuple], kind: str):
+    """Rows of a kind as a batch of Arrow."""
+    import pyarrow as pa
+
+    plain = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    types = [plain.get(t) or pa.list_(plain[t[6:-1]]) for t in (x.split()[1] for x in kind.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], _names(kind))
 
 
 def _walk(batches):
     """A row of SPLIT for each split. By delimiter and beginning (outside, inside quotes): how it ends, its rows, its runs, which are lines that begin outside quotes. Of
     a file's first split also its beginning, with the whole first row whatever the delimiter."""
-    import pandas as pd
-
     for (file, start), lines in groupby(_flat(batches, "file", "start", "value"), lambda x: x[:2]):
         ends, begun, runs, head, size, closed, bad = [False, True] * 4, [0] * 8, [0] * 8, [], 0, [False] * 4, False
         for _, _, chunk in lines:
@@ -100,7 +113,7 @@ def _walk(batches):
                 begun[i] += n
             if size:
                 closed = [done or not e for done, e in zip(closed, ends[::2])]
-        yield pd.DataFrame([(file, start, ends, begun, runs, "\n".join(head) if start == 0 else None, bad)], columns=_names(SPLIT))
+        yield _batch([(file, start, ends, begun, runs, "\n".join(head) if start == 0 else None, bad)], SPLIT)
 
 
 def _joined(splits):
@@ -124,8 +137,6 @@ def _joined(splits):
 def _cut(batches):
     """RUN rows: lines from one that begins outside quotes to one that ends there, and the number of the first row. A run that a split's end cuts is there in parts that aren't
     whole, of which the first has the number."""
-    import pandas as pd
-
     out, size = [], 0
     for (file, start), lines in groupby(_flat(batches, "file", "start", "value", "quoted", "row", "run", "delimiter", "head"), lambda x: x[:2]):
         held, first, row = [], None, None
@@ -145,29 +156,28 @@ def _cut(batches):
                     size += len(text)
                 held, whole, first = [], True, None
                 run += 1
-                if size > 4_000_000 or len(out) >= 20_000:
-                    yield pd.DataFrame(out, columns=_names(RUN))
+                if size > MOST_CHARACTERS or len(out) >= MOST_ROWS:
+                    yield _batch(out, RUN)
                     out, size = [], 0
         if held:
             out.append((file, run, start, first, delimiter, head, "\n".join(held), False))
     if out:
-        yield pd.DataFrame(out, columns=_names(RUN))
+        yield _batch(out, RUN)
 
 
 def _facts(batches):
-    """FACT rows of runs; source_seq and source_id are put in by file."""
-    import pandas as pd
-
-    names, out = ["file", *_names(FACT)[1:6], "method"], []
+    """CELL rows of runs, FACT rows but for source_seq and source_id, which are put in by file."""
+    out, size = [], 0
     for file, row, delimiter, head, text in _flat(batches, "file", "row", "delimiter", "head", "text"):
         for n, cells in enumerate(parsed(text, delimiter), row):
             if n > 0:
                 out += [(file, i, n, field, value, key, method) for i, (field, value, key, method) in enumerate(row_facts(head, cells))]
-        if len(out) >= 20_000:
-            yield pd.DataFrame(out, columns=names)
-            out = []
+        size += len(text)
+        if out and (size > MOST_CHARACTERS or len(out) >= MOST_ROWS):
+            yield _batch(out, CELL)
+            out, size = [], 0
     if out:
-        yield pd.DataFrame(out, columns=names)
+        yield _batch(out, CELL)
 
 
 def csv_facts_of(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -181,13 +191,13 @@ def csv_facts_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = None
     if there:
         lines = _lines(spark, there)
-        plan = lines.mapInPandas(_walk, SPLIT).groupBy("file").applyInPandas(_joined, PLAN)
+        plan = lines.mapInArrow(_walk, SPLIT).groupBy("file").applyInPandas(_joined, PLAN)
         good = plan.where("error is null").drop("n", "error")
-        runs = lines.join(F.broadcast(good), ["file", "start"]).mapInPandas(_cut, RUN)
+        runs = lines.join(F.broadcast(good), ["file", "start"]).mapInArrow(_cut, RUN)
         parts = F.array_sort(F.collect_list(F.struct("start", "text")))
         cut = runs.where("not whole").groupBy("file", "run").agg(F.max("row").alias("row"), F.first("delimiter").alias("delimiter"), F.first("head").alias("head"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
         columns = ["file", "row", "delimiter", "head", "text"]
-        cells = runs.where("whole").select(columns).union(cut.select(columns)).mapInPandas(_facts, "file string, ev_seq int, row int, field_name string, raw_value string, key string, method string")
+        cells = runs.where("whole").select(columns).union(cut.select(columns)).mapInArrow(_facts, CELL)
         ids = listed.where("error is null").select("source_seq", "source_id", F.col("key").alias("file"))
         name = F.concat("source_id", F.lit("#row"), "row")
         rows = cells.join(F.broadcast(ids), "file").select("source_seq", "ev_seq", "row", "field_name", "raw_value", "key", name.alias("source_id"), F.lit("structured").alias("source_type"), "method", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("array<string>").alias("warnings"))
